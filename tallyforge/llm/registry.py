@@ -10,6 +10,7 @@ from tallyforge.llm.bpe import op9_bpe_backtracking
 from tallyforge.llm.flac import op6_flac_media
 from tallyforge.llm.language import op3_language_crf
 from tallyforge.llm.ngram_join import op2_ngram_jaccard
+from tallyforge.llm.site_style import op5_site_style_tree
 from tallyforge.llm.token_output import op7_token_blocks
 from tallyforge.llm.toxicity import op4_toxicity_trees
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_crf": op3_language_crf,
     "op4_toxicity_trees": op4_toxicity_trees,
+    "op5_site_style_tree": op5_site_style_tree,
     "op6_flac_media": op6_flac_media,
     "op7_token_blocks": op7_token_blocks,
     "op9_bpe_backtracking": op9_bpe_backtracking,
