@@ -7,21 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.bpe import op9_bpe_backtracking
+from tallyforge.llm.conversations import OP8_SQL, op8_snapshot_collapse
 from tallyforge.llm.flac import op6_flac_media
 from tallyforge.llm.language import op3_language_crf
+from tallyforge.llm.mixing import op1_source_mixing
 from tallyforge.llm.ngram_join import op2_ngram_jaccard
 from tallyforge.llm.site_style import op5_site_style_tree
 from tallyforge.llm.token_output import op7_token_blocks
 from tallyforge.llm.toxicity import op4_toxicity_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_crf": op3_language_crf,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_site_style_tree": op5_site_style_tree,
     "op6_flac_media": op6_flac_media,
     "op7_token_blocks": op7_token_blocks,
+    "op8_snapshot_collapse": op8_snapshot_collapse,
     "op9_bpe_backtracking": op9_bpe_backtracking,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_snapshot_collapse": OP8_SQL,
+}
