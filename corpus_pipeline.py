@@ -14,7 +14,7 @@ from tallyforge.llm.shared import table, written
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; `lang` is the predicted one. Texts without a letter go, and so do doubtful ones."""
-    return language.labelled(docs, least=0.5)
+    return language.labelled(docs, least=0.25)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs = written(docs, name.replace(" ", "-"))
     return docs
-
-

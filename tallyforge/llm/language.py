@@ -243,14 +243,13 @@ class Labeller:
         return marginal_sums(self.scores[: len(self.number)], row, np.cumsum(sizes) - sizes, sizes, self.transitions), sizes
 
 
-def identify(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score) of every document; `train` is the condition for rows whose lang may be learned from.
+def identified(docs: DataFrame, train) -> DataFrame:
+    """docs with `lang_pred` and `score`; `train` is the condition for rows whose lang may be learned from.
 
     Null texts and texts without a letter are `und` with score 0. Without any labelled row every document is `und`.
-    Equal texts get equal labels, whatever their id, source or lang.
+    Equal texts get equal labels, whatever their id, source or lang. One pass, no shuffle; other columns stay as they are.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("doc_id", F.col(id_col).cast("long"))
     sample = training_sample(docs, train).toPandas()
     languages = sorted(sample["lang"].unique().tolist())
     weights, transitions = fit(sample["text"].tolist(), np.searchsorted(languages, sample["lang"].to_numpy(object)) if languages else np.zeros(0, np.int64), len(languages))
@@ -259,7 +258,8 @@ def identify(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(*shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            names = batch.schema.names
+            texts = batch.column(names.index("text")).to_pylist()
             for a, b in tv.slices(texts, GROUP_CHARS):
                 total, size = model.sums(texts[a:b])
                 mean = total / np.maximum(size, 1)[:, None]
@@ -267,17 +267,22 @@ def identify(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
                 some = (size > 0) & bool(model.languages)
                 label = [model.languages[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
                 score = np.where(some, np.minimum(1.0, mean[np.arange(b - a), best]) if model.languages else 0.0, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(label, pa.string()), pa.array(np.round(score, 6))], names=["doc_id", "lang_pred", "score"])
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(label, pa.string()), pa.array(np.round(score, 6))], names=[*names, "lang_pred", "score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, lang_pred, score) of every document."""
+    return identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", "lang"), train).select("doc_id", "lang_pred", "score")
 
 
 def labelled(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without those that are `und` or score below `least`, with lang set to the predicted label."""
-    train = F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False))
-    found = identify(docs, train).select(F.col("doc_id").alias("_id"), "lang_pred", "score")
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_id", "lang_pred").distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"]).select(*[F.col("lang_pred").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+    found = identified(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def op3_language_crf(spark, sf_dir: str) -> DataFrame:
