@@ -231,6 +231,8 @@ class Labeller:
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Summed label probabilities and number of words of each text."""
+        if not self.languages:
+            return np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
         rows, sizes = [], np.zeros(len(texts), np.int64)
         if len(self.number) > MAX_WORDS:
             self._clear()
@@ -263,10 +265,9 @@ def identified(docs: DataFrame, train) -> DataFrame:
             for a, b in tv.slices(texts, GROUP_CHARS):
                 total, size = model.sums(texts[a:b])
                 mean = total / np.maximum(size, 1)[:, None]
-                best = mean.argmax(1) if model.languages else np.zeros(b - a, np.int64)
-                some = (size > 0) & bool(model.languages)
+                best, some = mean.argmax(1), size > 0
                 label = [model.languages[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
-                score = np.where(some, np.minimum(1.0, mean[np.arange(b - a), best]) if model.languages else 0.0, 0.0)
+                score = np.where(some, np.minimum(1.0, mean[np.arange(b - a), best]), 0.0)
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(label, pa.string()), pa.array(np.round(score, 6))], names=[*names, "lang_pred", "score"])
 
