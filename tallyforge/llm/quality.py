@@ -175,3 +175,32 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 def op10_distribution_divergence(spark, sf_dir: str) -> DataFrame:
     return rules(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    half = "(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2"
+    quoted = lambda x: x.replace("'", "''")
+    known = [f"len(regexp_extract_all(text, '{quoted(p)}'))" for p in CLASSES.values()]
+    listed = ", ".join(f"'{w}'" for w in WORDS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+m AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+  list_filter(string_split_regex(translate(lower(text), ',.;:!?|' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), repeat(' ', 12)), ' +'), lambda x: x <> '') AS tokens FROM d),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid),
+base AS (SELECT m.*, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words FROM m LEFT JOIN repeated USING (rid)),
+c0 AS (SELECT rid, lang, length(text) AS size, unnest([{', '.join(known)}, length(text) - ({' + '.join(known)})]) AS c, unnest(range({len(_BINS)})) AS k FROM d),
+cref AS (SELECT lang, k, c / greatest(sum(c) OVER (PARTITION BY lang), 1) AS q FROM (SELECT lang, k, sum(c) AS c FROM c0 WHERE lang IS NOT NULL GROUP BY lang, k UNION ALL SELECT NULL, k, sum(c) FROM c0 GROUP BY k)),
+cd AS (SELECT rid, sqrt(greatest(0, least(1, sum({half})))) AS dist FROM (SELECT rid, c / greatest(size, 1) AS p, q FROM c0 JOIN cref r ON r.lang IS NOT DISTINCT FROM c0.lang AND r.k = c0.k) GROUP BY rid),
+t0 AS (SELECT rid, lang, CASE WHEN t IN ({listed}) THEN t ELSE '' END AS b FROM (SELECT rid, lang, unnest(tokens) AS t FROM m)),
+wref AS (SELECT lang, b, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM (SELECT lang, b, count(*) AS n FROM t0 WHERE lang IS NOT NULL GROUP BY lang, b UNION ALL SELECT NULL, b, count(*) FROM t0 GROUP BY b)),
+hist AS (SELECT rid, b, count(*) AS n FROM t0 GROUP BY rid, b),
+wd AS (SELECT rid, sqrt(greatest(0, least(1, sum({half})))) AS dist FROM (SELECT m.rid, coalesce(h.n, 0) / len(tokens) AS p, q FROM m JOIN wref r ON r.lang IS NOT DISTINCT FROM m.lang LEFT JOIN hist h ON h.rid = m.rid AND h.b = r.b WHERE len(tokens) > 0) GROUP BY rid),
+judged AS (SELECT base.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, CASE WHEN length(text) >= {LEAST_CHARS} THEN cd.dist ELSE 0 END AS a, CASE WHEN len(tokens) >= {LEAST_JUDGED_WORDS} THEN wd.dist ELSE 0 END AS b
+  FROM base LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND a <= {MAX_CLASS_DISTANCE} AND b <= {MAX_WORD_DISTANCE} AS kept FROM judged
+"""
+
+
+OP10_SQL = _oracle()

@@ -12,7 +12,7 @@ from tallyforge.llm.flac import op6_flac_media
 from tallyforge.llm.language import op3_language_crf
 from tallyforge.llm.mixing import op1_source_mixing
 from tallyforge.llm.ngram_join import op2_ngram_jaccard
-from tallyforge.llm.quality import op10_distribution_divergence
+from tallyforge.llm.quality import OP10_SQL, op10_distribution_divergence
 from tallyforge.llm.site_style import op5_site_style_tree
 from tallyforge.llm.token_output import op7_token_blocks
 from tallyforge.llm.toxicity import op4_toxicity_trees
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op8_snapshot_collapse": OP8_SQL,
+    "op10_distribution_divergence": OP10_SQL,
 }
