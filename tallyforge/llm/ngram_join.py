@@ -29,6 +29,10 @@ PERCENT = 80
 MAX_FREQUENT = 400_000
 #: A shingle counts as frequent from so many documents on, if the bound allows.
 FREQUENT_FROM = 12
+#: Rounds of comparing sets with their lists' leaders before all pairs of different classes are compared.
+MAX_LEADERS = 4
+#: Size of the bit array that tells which documents' texts are to be compared; where it fills up, more texts are read.
+FILTER_BITS = 1 << 23
 _STEP = [tv.U64(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -130,13 +134,29 @@ def _prefixes(frequent: np.ndarray, levels: np.ndarray):
     return run
 
 
-def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps rows whose text has the set that they are to stand for."""
-    for batch in batches:
-        texts, sid = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-        for a, b in tv.slices(texts):
-            own = shingle_sets(texts[a:b])[3].view(np.int64)
-            yield batch.slice(a, b - a).filter(pa.array(own == sid[a:b]))
+def _bit(column: str = "doc_id"):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(sid, text) of the documents in named, and of few others: ids are told as a bit array of fixed size."""
+    words = named.select((_bit() / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most FILTER_BITS / 64 rows
+        bits[r["w"]] = r["b"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((held[at // 64] >> (at % 64)) & 1 == 1))
+            texts = batch.column(0).to_pylist()
+            for a, b in tv.slices(texts):
+                sid = shingle_sets(texts[a:b])[3].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(texts[a:b], pa.string())], names=["sid", "text"])
+
+    return docs.where("doc_id is not null").select("text", _bit().alias("at")).mapInArrow(run, "sid long, text string")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +204,7 @@ def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
     while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         e = written(small.where("u <> v").distinct(), "edges")
@@ -194,30 +214,46 @@ def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
         before = now
 
 
-def _labelled(lists: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries of the lists that still hold two classes or more."""
-    own = lists.join(roots, lists.sid == roots.node, "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("class"))
+    own = lists.join(roots, lists.sid == roots.node, "left").select("token", "sid", "n", "pos", "held", F.coalesce("root", "sid").alias("class"))
     per = Window.partitionBy("token")
     return own.withColumn("lo", F.min("class").over(per)).withColumn("hi", F.max("class").over(per)).where("lo < hi").drop("lo", "hi")
 
 
-def _led(lists: DataFrame, seed: int, known: DataFrame | None) -> DataFrame:
-    """For each set the leader of another class that the most lists name: the list's least set by a seeded order."""
-    per = Window.partitionBy("token")
-    lead = F.min(F.struct(F.xxhash64(F.lit(seed), "sid").alias("o"), "sid", "n", "class")).over(per)
-    votes = (
-        lists.withColumn("lead", lead)
-        .where("lead.class <> class and 100 * least(n, lead.n) >= 80 * greatest(n, lead.n)".replace("80", str(PERCENT)))
-        .groupBy("sid", F.col("lead.sid").alias("other"))
-        .agg(F.count("*").alias("votes"))
-    )
-    pairs = votes.groupBy("sid").agg(F.max_by("other", F.struct("votes", "other")).alias("other"))
-    pairs = pairs.select(F.greatest("sid", "other").alias("x"), F.least("sid", "other").alias("y")).distinct()
-    return pairs.join(known, ["x", "y"], "left_anti") if known is not None else pairs
+def _rest(n):
+    """Shingles of a set of n that are not in its prefix."""
+    return F.ceil(F.lit(PERCENT) * n / 100 - 1e-9) - 1
+
+
+def _enough(common, nx, ny):
+    """Whether two sets with so many common prefix shingles can meet the threshold.
+
+    Common shingles up to where the first of the two prefixes ends are all counted; behind it there are no more than what
+    that set has left.
+    """
+    return common + F.greatest(_rest(nx), _rest(ny)) >= F.ceil(F.lit(PERCENT) * (nx + ny) / (100 + PERCENT) - 1e-9)
+
 
+def _led(lists: DataFrame, seed: int) -> DataFrame:
+    """For each set the leader of another class that most of its lists name, if their common prefixes allow a link.
 
-def _across(lists: DataFrame, known: DataFrame | None) -> DataFrame:
-    """All pairs of different classes that a list holds in blocks of compatible size, if their positions allow a link."""
+    A list's leader is first (seed 0) the set with the largest share of its prefix in lists, which the centre of a group of
+    near copies has, then the least one by a seeded order.
+    """
+    per = Window.partitionBy("token")
+    order = -F.col("held") if seed == 0 else F.xxhash64(F.lit(seed), "sid").cast("double")
+    lead = F.min(F.struct(order.alias("o"), "sid", "n", "class")).over(per)
+    votes = lists.withColumn("lead", lead).where(F.expr(f"lead.class <> class and 100 * least(n, lead.n) >= {PERCENT} * greatest(n, lead.n)")).groupBy("sid", F.col("lead.sid").alias("other")).agg(F.count("*").alias("votes"))
+    pairs = votes.groupBy("sid").agg(F.max_by("other", F.struct("votes", "other")).alias("other")).withColumnRenamed("sid", "x").withColumnRenamed("other", "y")
+    mine = pairs.join(lists.select("token", F.col("sid").alias("x"), F.col("n").alias("nx")), "x")
+    both = mine.join(lists.select("token", F.col("sid").alias("y"), F.col("n").alias("ny")), ["token", "y"])
+    counted = both.groupBy("x", "y").agg(F.count("*").alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    return counted.where(_enough(F.col("common"), F.col("nx"), F.col("ny"))).select("x", "y")
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """All pairs of different classes that lists hold in blocks of compatible size, if position and common prefix allow a link."""
     step = math.log(100 / PERCENT)
     lists = lists.withColumn("block", F.floor(F.log("n") / F.lit(step)))
     l, r = lists.alias("l"), lists.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("r")
@@ -226,11 +262,11 @@ def _across(lists: DataFrame, known: DataFrame | None) -> DataFrame:
         l.join(r, ["token", "block"])
         .where("l.class <> r.class and (l.n > r.n or l.n = r.n and l.sid > r.sid)")
         .where(100 * F.col("r.n") >= PERCENT * F.col("l.n"))
-        .where(F.least("l.pos", "r.pos") + 1 + F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) - 1 >= need)
-        .select(F.greatest("l.sid", "r.sid").alias("x"), F.least("l.sid", "r.sid").alias("y"))
-        .distinct()
+        .where(F.least("l.pos", "r.pos") + F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) >= need)
+        .groupBy(F.col("l.sid").alias("x"), F.col("r.sid").alias("y"))
+        .agg(F.count("*").alias("common"), F.first("l.n").alias("nx"), F.first("r.n").alias("ny"))
     )
-    return pairs.join(known, ["x", "y"], "left_anti") if known is not None else pairs
+    return pairs.where(_enough(F.col("common"), F.col("nx"), F.col("ny"))).select("x", "y")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,27 +297,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per = Window.partitionBy("token")
     lists = written(entries.withColumn("lo", F.min("sid").over(per)).withColumn("hi", F.max("sid").over(per)).where("lo < hi").drop("lo", "hi").distinct(), "lists")
 
+    prefix = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100 - 1e-9) + 1
+    share = lists.groupBy("sid", "n").agg(F.count("*").alias("held")).select("sid", (F.col("held") / prefix).alias("held"))
+    lists = written(lists.join(share, "sid"), "lists")
     reps = sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    named = reps.join(lists.select("sid").distinct(), "sid", "left_semi")
-    texts = written(docs.join(named, "doc_id").select("sid", "text").mapInArrow(_same_set, "sid long, text string").distinct(), "texts")
 
-    open_lists = lists.withColumn("class", F.col("sid"))
-    size = open_lists.count()
-    roots, done, links, seed = None, None, None, 0
-    while size:
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
+        texts = written(_texts_of(docs, reps.join(ends, "sid", "left_semi")), "texts")
+        return written(verified(pairs, texts).where("linked").select("x", "y").distinct(), "links")
+
+    open_lists, links, roots, seed = lists.withColumn("class", F.col("sid")), None, None, 0
+    while True:
+        size = open_lists.count()
+        if not size:
+            break
         spread = open_lists.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        rest = spread.agg(F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2).first()[0] or 0
-        last = seed >= 3 or rest <= 4 * size
-        pairs = _across(open_lists, done) if last else _led(open_lists, seed, done).union(_led(open_lists, seed + 101, done)).distinct()
-        checked = written(verified(pairs, texts), "checked")
-        done = checked.select("x", "y") if done is None else done.union(checked.select("x", "y"))
-        new = checked.where("linked").select("x", "y")
+        rest = spread.agg(F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2).first()[0]
+        last = rest <= size or seed >= MAX_LEADERS
+        new = checked(_across(open_lists) if last else _led(open_lists, seed))
         links = new if links is None else links.union(new)
-        roots = components(links)
         if last:
             break
-        open_lists = written(_labelled(lists, roots), "open")
-        size, seed = open_lists.count(), seed + 1
+        if seed:
+            roots = components(links)
+        else:  # each set has one link at most: its leader, or its leader's leader, will do as its class
+            up = new.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            roots = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        open_lists, seed = written(_open(lists, roots), "open"), seed + 1
+    roots = components(links) if links is not None else None
     known = sets.where("n > 0")
     known = known.join(roots, known.sid == roots.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("class")) if roots is not None else known.select("doc_id", "n", F.col("sid").alias("class"))
     lowest = known.groupBy("class").agg(F.min("doc_id").alias("component_id"))
@@ -295,8 +340,8 @@ def near_duplicate_representatives(docs: DataFrame) -> DataFrame:
     Rows with a null id have no group and stay; of rows that share an id, all stay if that id is its group's smallest.
     """
     found = jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
