@@ -246,6 +246,11 @@ def _led(lists: DataFrame, seed: int) -> DataFrame:
     lead = F.min(F.struct(order.alias("o"), "sid", "n", "class")).over(per)
     votes = lists.withColumn("lead", lead).where(F.expr(f"lead.class <> class and 100 * least(n, lead.n) >= {PERCENT} * greatest(n, lead.n)")).groupBy("sid", F.col("lead.sid").alias("other")).agg(F.count("*").alias("votes"))
     pairs = votes.groupBy("sid").agg(F.max_by("other", F.struct("votes", "other")).alias("other")).withColumnRenamed("sid", "x").withColumnRenamed("other", "y")
+    return _possible(pairs, lists)
+
+
+def _possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs whose common prefix shingles, counted over all lists, allow a link."""
     mine = pairs.join(lists.select("token", F.col("sid").alias("x"), F.col("n").alias("nx")), "x")
     both = mine.join(lists.select("token", F.col("sid").alias("y"), F.col("n").alias("ny")), ["token", "y"])
     counted = both.groupBy("x", "y").agg(F.count("*").alias("common"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
@@ -253,7 +258,11 @@ def _led(lists: DataFrame, seed: int) -> DataFrame:
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """All pairs of different classes that lists hold in blocks of compatible size, if position and common prefix allow a link."""
+    """All pairs of different classes that lists hold in blocks of compatible size, if position and common prefix allow a link.
+
+    Of the shingles that two sets share, the first in the order has so early a position in both that all they must share
+    still follows; entries further back, which for most pairs that fall short are all they share, are skipped.
+    """
     step = math.log(100 / PERCENT)
     lists = lists.withColumn("block", F.floor(F.log("n") / F.lit(step)))
     l, r = lists.alias("l"), lists.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("r")
@@ -262,11 +271,11 @@ def _across(lists: DataFrame) -> DataFrame:
         l.join(r, ["token", "block"])
         .where("l.class <> r.class and (l.n > r.n or l.n = r.n and l.sid > r.sid)")
         .where(100 * F.col("r.n") >= PERCENT * F.col("l.n"))
-        .where(F.least("l.pos", "r.pos") + F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) >= need)
-        .groupBy(F.col("l.sid").alias("x"), F.col("r.sid").alias("y"))
-        .agg(F.count("*").alias("common"), F.first("l.n").alias("nx"), F.first("r.n").alias("ny"))
+        .where((F.col("l.n") - F.col("l.pos") >= need) & (F.col("r.n") - F.col("r.pos") >= need))
+        .select(F.col("l.sid").alias("x"), F.col("r.sid").alias("y"))
+        .distinct()
     )
-    return pairs.where(_enough(F.col("common"), F.col("nx"), F.col("ny"))).select("x", "y")
+    return _possible(pairs, lists)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,15 +317,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         texts = written(_texts_of(docs, reps.join(ends, "sid", "left_semi")), "texts")
         return written(verified(pairs, texts).where("linked").select("x", "y").distinct(), "links")
 
-    open_lists, links, roots, seed = lists.withColumn("class", F.col("sid")), None, None, 0
+    open_lists, links, roots, seed, gain = lists.withColumn("class", F.col("sid")), None, None, 0, 0
     while True:
         size = open_lists.count()
         if not size:
             break
         spread = open_lists.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rest = spread.agg(F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2).first()[0]
-        last = rest <= size or seed >= MAX_LEADERS
+        # leaders go on only while most of the pairs would be in open lists and leaders still find links
+        last = rest <= size or seed >= MAX_LEADERS or seed > 0 and (rest <= 20 * size or gain * 20 < size)
         new = checked(_across(open_lists) if last else _led(open_lists, seed))
+        gain = 0 if last else new.count()
         links = new if links is None else links.union(new)
         if last:
             break
