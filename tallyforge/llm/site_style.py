@@ -8,7 +8,7 @@ from each page. What a page itself declares to be navigation, notice, advert, fo
 style is removed on any site. Where a page has article or main elements, text is taken within them only.
 
 Statistics are sums of partial counts by (host, node), so one huge host is pre-aggregated in every task and its tree is
-never gathered with its pages; only the low-importance nodes come back to the pages, by a join on (host, node bucket).
+never gathered with its pages; only the few low-importance nodes of each site come back to its pages, by a join.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import table, written
 
 #: A site is judged by its tree from so many pages on; a node if it is on this share of them; low importance is below this.
 LEAST_PAGES, LEAST_SHARE, LEAST_IMPORTANCE = 8, 0.5, 0.25
@@ -224,7 +224,8 @@ def extract(pages: DataFrame) -> DataFrame:
     on one host have equal texts. Nothing but branches is dropped, and text is never cut.
     """
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    low = low_importance(held).groupBy("host").agg(F.collect_list("node").alias("low"))  # a site's few repeated branches
+    # a site's few repeated branches; written, so that Spark knows the table's size and broadcasts it only while it is small
+    low = written(low_importance(held).groupBy("host").agg(F.collect_list("node").alias("low")), "low-nodes")
     joined = held.join(low, "host", "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
