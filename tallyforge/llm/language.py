@@ -246,7 +246,7 @@ class Labeller:
 
 
 def identified(docs: DataFrame, train) -> DataFrame:
-    """docs with `lang_pred` and `score`; `train` is the condition for rows whose lang may be learned from.
+    """docs with `__lang_pred` and `__lang_score`; `train` is the condition for rows whose lang may be learned from.
 
     Null texts and texts without a letter are `und` with score 0. Without any labelled row every document is `und`.
     Equal texts get equal labels, whatever their id, source or lang. One pass, no shuffle; other columns stay as they are.
@@ -269,21 +269,21 @@ def identified(docs: DataFrame, train) -> DataFrame:
                 label = [model.languages[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
                 score = np.where(some, np.minimum(1.0, mean[np.arange(b - a), best]), 0.0)
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(label, pa.string()), pa.array(np.round(score, 6))], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(label, pa.string()), pa.array(np.round(score, 6))], names=[*names, "__lang_pred", "__lang_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, __lang_pred string, __lang_score double")
 
 
 def identify(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
-    return identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", "lang"), train).select("doc_id", "lang_pred", "score")
+    return identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", "lang"), train).select("doc_id", F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
 
 
 def labelled(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without those that are `und` or score below `least`, with lang set to the predicted label."""
     found = identified(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return found.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*[F.col("__lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_language_crf(spark, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pattern = regex.compile(WORD)
     for batch in batches:
         names = batch.schema.names
-        text, blocks = batch.column(names.index("text")).to_pylist(), batch.column(names.index("_blocks")).to_pylist()
+        text, blocks = batch.column(names.index("text")).to_pylist(), batch.column(names.index("__blocks")).to_pylist()
         keep, out = [], []
         for i, (t, parts) in enumerate(zip(text, blocks, strict=True)):
             words = None
@@ -162,15 +162,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = words or [m.span() for m in pattern.finditer(t)]
                     out.append("\n".join(t[words[a][0] : words[b - 1][1]] for a, b in spans))
                 keep.append(i)
-        rows = batch.take(pa.array(keep, pa.int64())).drop_columns(["_blocks"])
+        rows = batch.take(pa.array(keep, pa.int64())).drop_columns(["__blocks"])
         cols = [pa.array(out, pa.string()) if c == "text" else pa.array([len(t) for t in out], pa.int64()) if c == "n_chars" else rows.column(k) for k, c in enumerate(rows.schema.names)]
         yield pa.RecordBatch.from_arrays(cols, names=rows.schema.names)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with docs' columns: a row for each pass over a document (at most two), with what the pass takes."""
-    own = sized(docs)
-    rows = planned(own, own.select("doc_id", "source", "_size")).select(*docs.columns, "_blocks")
+    own = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))).drop("text")  # columns of any name stay apart
+    rows = planned(own, own.drop("_row")).select("_row.*", F.col("_blocks").alias("__blocks"))
     schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.mapInArrow(_cut, schema)
 

@@ -165,12 +165,14 @@ def judged(docs: DataFrame, refs: DataFrame) -> DataFrame:
 
 def rules(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every document."""
+    docs = docs.select("doc_id", "lang", "text")
     return judged(docs, references(docs)).select("doc_id", "_base.*", F.col("_kept").alias("kept"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, as they are."""
-    return judged(docs, references(docs)).where("_kept").select(*docs.columns)
+    packed = docs.select("lang", "text", F.struct("*").alias("_row"))  # columns of any name stay apart
+    return judged(packed, references(docs)).where("_kept").select("_row.*")
 
 
 def op10_distribution_divergence(spark, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from tallyforge.llm.shared import crc_mod, table, written
 
 #: Most labelled documents of each class in the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 12_000
-#: Most terms that are looked at, and the least strength (log odds, and log odds over their error) of a lexicon term.
-MAX_TERMS = 60_000
+#: Most terms that are looked at, the folds whose features come from a lexicon of the others, and the least strength (log odds, and log odds over their error) of a lexicon term.
+MAX_TERMS, FOLDS = 30_000, 4
 LEAST_ODDS, LEAST_Z = 2.0, 2.6
 THRESHOLD = 0.7
 #: Trees, depth, learning rate, value bins.
@@ -247,29 +247,31 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Model:
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_TOXIC / n1))).otherwise(F.lit(min(1.0, SAMPLE_CLEAN / n0)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)  # about 20,000 ids at most: small enough to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    sample = written(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)).cast("int").alias("fold")), "toxic-sample")
+    sample = written(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
     counts = "term long, fold int, toxic int, n long"
     marked = sample.where("toxic = 1").mapInArrow(lambda b: _term_counts(b, None), counts).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
     terms = np.sort(marked.orderBy(F.desc("n"), "term").limit(MAX_TERMS).toPandas()["term"].to_numpy(np.int64).view(tv.U64))
     shared = spark.sparkContext.broadcast(terms)
-    seen = sample.mapInArrow(lambda b: _term_counts(b, shared.value), counts).groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n")).toPandas()  # at most 4 rows for each of MAX_TERMS
-    table_ = np.zeros((2, 2, len(terms)))
+    seen = sample.mapInArrow(lambda b: _term_counts(b, shared.value), counts).groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * FOLDS rows for each of MAX_TERMS
+    table_ = np.zeros((FOLDS, 2, len(terms)))
     at = np.searchsorted(terms, seen["term"].to_numpy(np.int64).view(tv.U64))
     table_[seen["fold"].to_numpy(int), seen["toxic"].to_numpy(int), at] = seen["n"].to_numpy(float)
     rows = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
-    size = np.array([[rows.get((f, t), 0) for t in (0, 1)] for f in (0, 1)], float)
-    halves = [_lexicon(terms, table_[f, 1], table_[f, 0], size[f, 1], size[f, 0]) for f in (0, 1)]
+    size = np.array([[rows.get((f, t), 0) for t in (0, 1)] for f in range(FOLDS)], float)
+    rest = lambda x, f: x.sum(0) - x[f]
+    others = [_lexicon(terms, rest(table_, f)[1], rest(table_, f)[0], rest(size, f)[1], rest(size, f)[0]) for f in range(FOLDS)]
     full = _lexicon(terms, table_[:, 1].sum(0), table_[:, 0].sum(0), size[:, 1].sum(), size[:, 0].sum())
-    told = spark.sparkContext.broadcast((halves, _pronouns()))
+    told = spark.sparkContext.broadcast((others, _pronouns()))
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, pronouns = told.value
+        lexicons, pronouns = told.value
         for batch in batches:
             texts, fold = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            for a, b in tv.slices(texts):
-                w = Words(texts[a:b])
-                x = np.where(fold[a:b, None] == 0, dense(w, *both[1], pronouns), dense(w, *both[0], pronouns))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(a, b - a)], names=["x", "toxic"])
+            for f in range(FOLDS):
+                own = np.flatnonzero(fold == f)
+                for a, b in tv.slices([texts[i] for i in own]):
+                    x = dense(Words([texts[i] for i in own[a:b]]), *lexicons[f], pronouns)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).take(pa.array(own[a:b]))], names=["x", "toxic"])
 
     got = sample.mapInArrow(crossed, "x array<double>, toxic int").toPandas()  # numbers only, for the bounded sample
     x, y = np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(float)
