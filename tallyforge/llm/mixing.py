@@ -103,7 +103,7 @@ def planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """rows (doc_id, source, _size, any others) with source_size, target, and `_blocks`: the row's part of each block as
     structs (begin, end, times), in words of the row. sizes: the same rows' source, doc_id and _size, to count over."""
     by = targets(sizes).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("all") / MIN_BLOCKS))).cast("long")).withColumn("shards", F.ceil(F.sqrt("n_docs") / 2).cast("int"))
-    seats = by.groupBy("block", "all").agg(F.array_sort(F.collect_list(F.struct("s", "target", "source_size"))).alias("a"))
+    seats = by.groupBy("block", "all").agg(F.sort_array(F.collect_list(F.struct("s", "target", "source_size"))).alias("a"))
     seats = seats.withColumn("q", _apportioned(F.col("a.target"), F.round(SHARE * F.col("all") / F.col("block")).cast("long"), F.transform("a.source_size", lambda x: MOST * F.greatest(F.lit(1).cast("long"), F.round(x / F.col("block")).cast("long")))))
     seats = seats.select(F.explode(F.arrays_zip(F.col("a.s").alias("s"), "q")).alias("z")).select(F.col("z.s").alias("s"), F.col("z.q").alias("seats"))
     by = written(by.join(seats, "s"), "sources")
@@ -113,7 +113,7 @@ def planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
     held = sharded(sizes).groupBy("s", "shard").agg(F.sum("_size").alias("words")).join(F.broadcast(by.select("s", "seats", "block")), "s")
     held = held.withColumn("n", F.greatest(F.lit(1).cast("long"), F.round(F.col("words") / F.col("block")).cast("long")))
-    held = held.groupBy("s", "seats").agg(F.array_sort(F.collect_list(F.struct("shard", "words", "n"))).alias("a"))
+    held = held.groupBy("s", "seats").agg(F.sort_array(F.collect_list(F.struct("shard", "words", "n"))).alias("a"))
     held = held.withColumn("q", _apportioned(F.col("a.words").cast("array<double>"), F.col("seats"), F.transform("a.n", lambda n: MOST * n)))
     held = held.select("s", F.explode(F.arrays_zip(F.col("a.shard").alias("shard"), F.col("a.words").alias("words"), F.col("a.n").alias("n"), "q")).alias("z")).select("s", "z.*")
     step = F.element_at(F.array(*[F.lit(p) for p in STEPS]), (F.pmod(F.xxhash64(F.lit(SEED + 1), "s", "shard"), F.lit(len(STEPS))) + 1).cast("int"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -53,13 +53,13 @@ def _let(value: Column, then) -> Column:
 def _repeated_words(words: Column) -> Column:
     """Words that lie in a window of three words which occurs twice or more; sorts the windows' hashes with their places."""
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
-    placed = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _covered))
+    placed = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _covered))
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(hashes, placed))
 
 
 def _covered(ordered: Column) -> Column:
     twice = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(ordered, i + 1)["h"] == x["h"], F.lit(False)))
-    places = F.array_sort(F.transform(twice, lambda x: x["i"]))
+    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     # each window adds the words from where the last one ended
     return F.aggregate(places, start, lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")), lambda s: s["n"])
@@ -85,16 +85,23 @@ def base_measures(text: Column) -> Column:
     return _let(words_of(text), measures)
 
 
-def _class_counts(text: Column) -> list[Column]:
-    known = [F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) for p in CLASSES.values()]
-    return [*known, F.coalesce(F.length(text), F.lit(0)) - sum(known[1:], known[0])]
+def _class_counts(text: Column) -> Column:
+    """How many characters of each class a text has, and of the rest; most texts are short once their small letters are out."""
+    first, *others = CLASSES.values()
+    without = lambda t, p: F.regexp_replace(t, f"(?:{p})+", "")
+
+    def counts(left: Column) -> Column:
+        held = [F.length(text) - F.length(left), *[F.length(left) - F.length(without(left, p)) for p in others]]
+        return _let(F.array(*held), lambda h: F.concat(h, F.array(F.length(text) - F.aggregate(h, F.lit(0), lambda x, y: x + y))))
+
+    return _let(without(text, first), counts).cast("array<long>")
 
 
 def references(docs: DataFrame) -> DataFrame:
     """(lang, classes array<double>, common array<double>): each language's distributions over all its documents, and a
     row with a null lang for all documents together. common has the bins of WORDS and a last one for all other words."""
     rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    sums = rows.select("lang", *[c.cast("long").alias(f"c{k}") for k, c in enumerate(_class_counts(F.col("text")))]).groupBy("lang").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(_BINS))])
+    sums = rows.select("lang", _class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(len(_BINS))])
     classes = sums.select("lang", F.array(*[F.col(f"c{k}").cast("double") for k in range(len(_BINS))]).alias("classes"))
     tokens = rows.select("lang", F.explode(F.split(_plain(F.col("text")), " +")).alias("w")).where("w <> ''")
     bins = tokens.select("lang", F.when(F.col("w").isin(WORDS), F.col("w")).otherwise("").alias("w")).groupBy("lang", "w").count()
@@ -102,6 +109,7 @@ def references(docs: DataFrame) -> DataFrame:
     common = held.select("lang", F.array(*[F.coalesce(F.element_at("m", F.lit(w)), F.lit(0.0)) for w in [*WORDS, ""]]).alias("common"))
     none = lambda n: F.array(*[F.lit(0.0)] * n)
     both = classes.join(common, classes["lang"].eqNullSafe(common["lang"]), "left").select(classes["lang"], "classes", F.coalesce("common", none(len(WORDS) + 1)).alias("common"))
+    both = written(both, "references")  # a row for each language
     add = lambda column, n: F.array(*[F.sum(F.get(column, F.lit(k))) for k in range(n)])
     pooled = both.agg(add("classes", len(_BINS)).alias("classes"), add("common", len(WORDS) + 1).alias("common")).select(F.lit(None).cast("string").alias("lang"), "classes", "common")
     share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), F.lit(1.0)))
@@ -120,7 +128,7 @@ def _distance(parts: Column) -> Column:
 
 def class_distance(text: Column, reference: Column) -> Column:
     """Distance of a text's character classes; 0 for a text that is too short to tell."""
-    counts = F.array(*[c.cast("double") for c in _class_counts(text)])
+    counts = _class_counts(text).cast("array<double>")
     parts = F.aggregate(F.zip_with(counts, reference, lambda c, q: _half(c / F.length(text), q)), F.lit(0.0), lambda a, b: a + b)
     return F.when(F.length(text) >= LEAST_CHARS, _distance(parts)).otherwise(0.0)
 
@@ -130,7 +138,7 @@ def word_distance(text: Column, reference: Column) -> Column:
     listed = F.array(*[F.lit(w) for w in WORDS])
 
     def of_tokens(tokens: Column) -> Column:
-        hits = F.array_sort(F.transform(F.filter(tokens, lambda w: w.isin(WORDS)), lambda w: F.array_position(listed, w).cast("int")))
+        hits = F.sort_array(F.transform(F.filter(tokens, lambda w: w.isin(WORDS)), lambda w: F.array_position(listed, w).cast("int")))
         return F.when(F.size(tokens) >= LEAST_JUDGED_WORDS, _let(hits, lambda h: _distance(of_hits(h, F.size(tokens).cast("double"))))).otherwise(0.0)
 
     def of_hits(hits: Column, n: Column) -> Column:
