@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 #: Farthest distances (0 to 1), and the least letters or words that a histogram needs to be judged.
@@ -40,9 +39,9 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def _plain(text: Column) -> Column:
-    """Lower-case text with the usual marks as blanks, for looking up common words."""
-    return F.translate(F.lower(text), ",.;:!?|\t\n\x0b\x0c\r", " " * 12)
+def _tokens(text: Column) -> Column:
+    """Lower-case words without the usual marks, for looking up common words; may hold empty strings."""
+    return F.split(F.lower(text), r"[ ,.;:!?|\t\n\x0B\f\r]+")
 
 
 def _let(value: Column, then) -> Column:
@@ -74,8 +73,8 @@ def base_measures(text: Column) -> Column:
             _repeated_words(words).cast("long"),
             lambda repeated: F.struct(
                 F.size(words).cast("long").alias("n_words"),
-                F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-                (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
                 _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
                 repeated.alias("n_repeat_words"),
                 ((F.size(words) < LEAST_WORDS) | (100 * repeated > REPEAT_PERCENT * F.size(words))).alias("base_failed"),
@@ -103,7 +102,7 @@ def references(docs: DataFrame) -> DataFrame:
     rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
     sums = rows.select("lang", _class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(len(_BINS))])
     classes = sums.select("lang", F.array(*[F.col(f"c{k}").cast("double") for k in range(len(_BINS))]).alias("classes"))
-    tokens = rows.select("lang", F.explode(F.split(_plain(F.col("text")), " +")).alias("w")).where("w <> ''")
+    tokens = rows.select("lang", F.explode(_tokens(F.col("text"))).alias("w")).where("w <> ''")
     bins = tokens.select("lang", F.when(F.col("w").isin(WORDS), F.col("w")).otherwise("").alias("w")).groupBy("lang", "w").count()
     held = bins.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("count").cast("double")))).alias("m"))  # a row for each bin
     common = held.select("lang", F.array(*[F.coalesce(F.element_at("m", F.lit(w)), F.lit(0.0)) for w in [*WORDS, ""]]).alias("common"))
@@ -153,7 +152,7 @@ def word_distance(text: Column, reference: Column) -> Column:
         # bins that the text lacks add q / 2 each: all of q, less that of the bins it has
         return F.aggregate(ends, start, step, lambda s: s["d"] + (1 - q_other - s["q"]) / 2 + _half(other, q_other))
 
-    return _let(F.filter(F.split(_plain(text), " +"), lambda w: w != ""), of_tokens)
+    return _let(F.filter(_tokens(text), lambda w: w != ""), of_tokens)
 
 
 def judged(docs: DataFrame, refs: DataFrame) -> DataFrame:
