@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import table, written
 
-#: A site is judged by its tree from so many pages on; a node if it is on this share of them; low importance is below this.
+#: A site is judged by its tree from so many different pages on (a node inside article or main, too); a node if it is on
+#: this share of them; low importance is below this.
 LEAST_PAGES, LEAST_SHARE, LEAST_IMPORTANCE = 8, 0.5, 0.25
 #: Fixed lists of the HTML standard: elements without content, elements that begin a block, and their implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,7 +73,7 @@ class Page:
 
     def __init__(self, source: str | None) -> None:
         self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
-        self.nodes: dict[int, list] = {0: [[], 0]}
+        self.nodes: dict[int, list] = {0: [[], 0, False]}
         self.has_main = False
         self._tags, self._path, self._state = [""], [0], [(False, False)]
         self._held: dict[str, int] = {}
@@ -133,7 +133,7 @@ class Page:
             self.kept.add(node)
         self.nodes[parent][0].append(node)
         if node not in self.nodes:
-            self.nodes[node] = [[], 0]
+            self.nodes[node] = [[], 0, inside]
         self._tags.append(tag)
         self._path.append(node)
         self._state.append((hidden or off, inside))
@@ -181,21 +181,25 @@ def host_of(column):
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, side, variant, n): how often a node has a presentation (side 0) or a content (side 1) in a task."""
-    seen: Counter = Counter()
+    """(host, node, inside, page, shape, content): a node's presentation and content on a page, which its own text names.
+
+    Pages of equal text give equal rows, most of which a task already leaves out. inside: whether article or main holds it.
+    """
+    seen: set[tuple] = set()
 
     def rows() -> pa.RecordBatch:
-        keys = list(seen)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["host", "node", "side", "variant", "n"])
+        columns = list(zip(*seen, strict=True))
         seen.clear()
-        return out
+        types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "node", "inside", "page", "shape", "content"])
 
     for batch in batches:
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for node, (children, content) in Page(source).nodes.items():
+            page = Page(source)
+            own = xxhash.xxh64_intdigest(page.text(frozenset())) >> 1
+            for node, (children, content, inside) in page.nodes.items():
                 shape = xxhash.xxh64_intdigest(np.array(children, np.uint64).tobytes())
-                seen[host, node, 0, (shape >> 1)] += 1
-                seen[host, node, 1, (content >> 1)] += 1
+                seen.add((host, node, inside, own, shape >> 1, content >> 1))
             if len(seen) > 200_000:
                 yield rows()
     if seen:
@@ -205,16 +209,20 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def low_importance(pages: DataFrame) -> DataFrame:
     """(host, node) of the branches to remove. pages: (host, html).
 
-    With n pages that have the node and k different variants, entropy is taken to base n: 0 where all pages have it alike,
-    1 where each has its own. Importance is the larger of presentation's and content's entropy.
+    Copies count once: a page is what it says before any branch is removed, so an article under other menus is the same
+    page. With n different pages that have the node and k different variants, entropy is taken to base n: 0 where all
+    pages have it alike, 1 where each has its own. Importance is the larger of presentation's and content's entropy.
     """
-    counts = pages.select("host", "html").mapInArrow(_variants, "host string, node long, side int, variant long, n long")
-    merged = counts.groupBy("host", "node", "side", "variant").agg(F.sum("n").alias("n"))
-    sides = merged.groupBy("host", "node", "side").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    found = pages.select("host", "html").mapInArrow(_variants, "host string, node long, inside boolean, page long, shape long, content long")
+    # where copies differ in hidden parts, one of their variants counts
+    once = found.groupBy("host", "node", "page").agg(F.max("inside").alias("inside"), F.min("shape").alias("shape"), F.min("content").alias("content"))
+    counts = once.select("host", "node", "inside", F.expr("stack(2, 0, shape, 1, content) as (side, variant)"))
+    merged = counts.groupBy("host", "node", "side", "variant").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    sides = merged.groupBy("host", "node", "side").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("inside").alias("inside"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(1.0)
-    nodes = sides.withColumn("e", entropy).groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"))
+    nodes = sides.withColumn("e", entropy).groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"), F.max("inside").alias("inside"))
     sites = nodes.where("node = 0").select("host", F.col("pages").alias("site"))
-    return nodes.where(F.col("importance") < LEAST_IMPORTANCE).join(sites, "host").where((F.col("site") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("site")) & (F.col("node") != 0)).select("host", "node")
+    return nodes.where(F.col("importance") < LEAST_IMPORTANCE).join(sites, "host").where((F.col("site") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("site")) & (~F.col("inside") | (F.col("pages") >= LEAST_PAGES)) & (F.col("node") != 0)).select("host", "node")
 
 
 def extract(pages: DataFrame) -> DataFrame:

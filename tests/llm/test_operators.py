@@ -186,6 +186,19 @@ def test_repeated_branches_of_a_site_go(spark):
     assert got[99].text == "" and got[99].n_chars == 0 and got[100].text == "alone"
 
 
+def test_copied_pages_keep_their_articles(spark):
+    rng, v = random.Random(5), vocabulary(12)
+    words = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    page = lambda menu: f"<body><div class=x>{menu}</div><article><h1>{words(4)}</h1><p>{words(30)}</p><ul><li>{words(5)}</ul></article></body>"
+    copy, few = page("m"), [page("m") for _ in range(5)]
+    rows = [("a.example", copy)] * 20 + [("a.example", page("m"))]  # twenty equal pages and another one
+    rows += [("b.example", few[i % 5]) for i in range(200)]
+    rows += [("c.example", copy.replace(">m<", f">menu {i}<")) for i in range(60)] + [("c.example", page("m")) for _ in range(9)]  # copies under other menus
+    rows = [(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)] + [(1000 + i, None, copy) for i in range(20)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[i] == site_style.Page(p).text(frozenset()) and len(got[i].split()) == 39 for i, _, p in rows)
+
+
 # ---- 6
 
 
