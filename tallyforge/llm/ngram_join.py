@@ -1,11 +1,16 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Each distinct shingle set is indexed by a prefix of its shingles, rarest first. Index lists carry the size and position
-of each entry; entries are put into blocks by size, and blocks (and single entries) whose size or position rules out the
-threshold are skipped. Answers are derived between similar sets: every list first links its sets to leaders, verified
-exactly; sets that turn out linked share one class, lists that hold a single class are skipped, and only pairs of
-different classes are ever compared afterwards. All candidates that remain are verified, so no link between different
-classes is lost and no cap is set.
+of each entry; entries lie in blocks by size, and an entry's size and position say which blocks it is compared with, so
+that all others are skipped.
+
+The join (`links`, `link_counts`) gives every pair of sets that meets the threshold. A set's answers are derived from
+those of its leader: the distance 1 - Jaccard is a metric, so two sets' exact distances to one leader often settle
+whether they link; the other candidates are verified. Documents of one set share its answers.
+
+Components (`jaccard_components`) need fewer comparisons: every list first links its sets to leaders, verified exactly;
+sets that turn out linked share one class, lists that hold a single class are skipped, and only pairs of different
+classes are compared afterwards. No link between different classes is lost. Nothing is capped in either.
 
 Which shingles count as frequent only decides the order in prefixes, never a result; any order gives the same links.
 """
@@ -160,7 +165,7 @@ def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets meet the threshold, counted exactly."""
+    """The pairs with the sizes of intersection and union, counted exactly, and whether they meet the threshold."""
     for batch in batches:
         x, y = (batch.column(k).to_numpy() for k in (0, 1))
         tx, ty = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -177,24 +182,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts.append(t)
             doc, h, size, _ = shingle_sets(texts)
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            linked = np.zeros(b - a, bool)
+            shared, union = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
             for k in range(a, b):
                 i, j = number[int(x[k])], number[int(y[k])]
                 both = np.concatenate([h[cut[i] : cut[i + 1]], h[cut[j] : cut[j + 1]]])
                 both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked[k - a] = 100 * common >= PERCENT * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(x[a:b]), pa.array(y[a:b]), pa.array(linked)], names=["x", "y", "linked"])
+                shared[k - a] = (both[1:] == both[:-1]).sum()
+                union[k - a] = len(both) - shared[k - a]
+            yield pa.RecordBatch.from_arrays([pa.array(x[a:b]), pa.array(y[a:b]), pa.array(shared), pa.array(union), pa.array(100 * shared >= PERCENT * union)], names=["x", "y", "shared", "union", "linked"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (x, y) with a boolean `linked`; each text travels to its pairs, pairs never gather in one group."""
+    """pairs (x, y) with the sizes `shared` and `union` and a boolean `linked`; each text travels to its pairs, pairs never gather in one group."""
     both = (
         pairs.join(texts.select(F.col("sid").alias("x"), F.col("text").alias("tx")), "x")
         .join(texts.select(F.col("sid").alias("y"), F.col("text").alias("ty")), "y")
         .select("x", "y", "tx", "ty")
     )
-    return both.mapInArrow(_verified, "x long, y long, linked boolean")
+    return both.mapInArrow(_verified, "x long, y long, shared long, union long, linked boolean")
 
 
 def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
@@ -261,11 +266,14 @@ def _across(lists: DataFrame) -> DataFrame:
     """All pairs of different classes that lists hold in blocks of compatible size, if position and common prefix allow a link.
 
     Of the shingles that two sets share, the first in the order has so early a position in both that all they must share
-    still follows; entries further back, which for most pairs that fall short are all they share, are skipped.
+    still follows; entries further back, which for most pairs that fall short are all they share, are skipped. So with its
+    size, an entry's position gives the largest set it can lead to, and with that the blocks to look into.
     """
-    step = math.log(100 / PERCENT)
-    lists = lists.withColumn("block", F.floor(F.log("n") / F.lit(step)))
-    l, r = lists.alias("l"), lists.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("r")
+    block = lambda n: F.floor(F.log(n) / F.lit(math.log(100 / PERCENT) / 2))
+    least = F.ceil(F.lit(PERCENT) * F.col("n") / 100 - 1e-9)
+    most = F.least(F.col("n"), F.floor(F.lit(100 + PERCENT) * (F.col("n") - F.col("pos")) / PERCENT + 1e-9) - F.col("n"))
+    l = lists.where(most >= least).withColumn("block", F.explode(F.sequence(block(least), block(most)))).alias("l")
+    r = lists.withColumn("block", block(F.col("n"))).alias("r")
     need = F.ceil(F.lit(PERCENT) * (F.col("l.n") + F.col("r.n")) / (100 + PERCENT) - 1e-9)
     pairs = (
         l.join(r, ["token", "block"])
@@ -278,12 +286,8 @@ def _across(lists: DataFrame) -> DataFrame:
     return _possible(pairs, lists)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; two link at a Jaccard similarity of 0.8 or more.
-
-    Null and wordless texts have an empty set (0 shingles) and link with nothing, their component is their own id. Rows
-    with a null id get a null component and no links. Equal ids share what their sets reach. An empty table gives no rows.
-    """
+def _indexed(docs: DataFrame, id_col: str, text_col: str):
+    """(doc_id, sid, n) of all documents, the lists of the index, and a function that verifies pairs of sets."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(docs.mapInArrow(_sizes, "kind int, a long, b long, c long"), "sets")
@@ -311,11 +315,67 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = written(lists.join(share, "sid"), "lists")
     reps = sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def counted(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         ends = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
         texts = written(_texts_of(docs, reps.join(ends, "sid", "left_semi")), "texts")
-        return written(verified(pairs, texts).where("linked").select("x", "y").distinct(), "links")
+        return written(verified(pairs, texts), "verified")
+
+    return sets, lists, counted
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join: (x, y) of all pairs of different sets with a similarity of 0.8 or more, and (doc_id, sid, n) of all documents.
+
+    Documents of one set (sid) link with each other and with all documents of linked sets; empty sets and rows with a null
+    id link with nothing. A group of k different near copies has up to k * (k - 1) / 2 links, which are all given.
+    """
+    return _joined(*_indexed(docs, id_col, text_col))
+
+
+def _joined(sets: DataFrame, lists: DataFrame, counted) -> tuple[DataFrame, DataFrame]:
+    lists = lists.withColumn("class", F.col("sid"))
+    led = counted(_led(lists, 0)).select(F.col("x").alias("sid"), F.col("y").alias("lead"), "shared", "union")
+    itself = led.select(F.col("lead").alias("sid"), "lead", F.lit(1).cast("long").alias("shared"), F.lit(1).cast("long").alias("union")).distinct()
+    answers = written(led.union(itself), "answers")
+    candidates = written(_across(lists), "candidates")
+    a, b = (answers.select(F.col("sid").alias(k), "lead", (F.col("union") - F.col("shared")).alias(f"d{k}"), F.col("union").alias(f"u{k}")) for k in "xy")
+    both = candidates.join(a, "x").join(b, ["y", "lead"])
+    # distances as exact fractions: dx / ux from x to the leader, dy / uy from y; linked up to (100 - PERCENT) / 100
+    far = F.lit(100 - PERCENT).cast("long") * F.col("ux") * F.col("uy")
+    p, q = 100 * F.col("dx") * F.col("uy"), 100 * F.col("dy") * F.col("ux")
+    told = F.when(p + q <= far, True).when(F.abs(p - q) > far, False)
+    derived = written(both.select("x", "y", told.alias("linked")).where("linked is not null").groupBy("x", "y").agg(F.first("linked").alias("linked")), "derived")
+    rest = counted(candidates.join(derived, ["x", "y"], "left_anti"))
+    known = sets.where("n > 0 and doc_id is not null").select("sid").distinct()
+    found = derived.where("linked").select("x", "y").union(rest.where("linked").select("x", "y"))
+    return found.join(known.withColumnRenamed("sid", "x"), "x", "left_semi").join(known.withColumnRenamed("sid", "y"), "y", "left_semi").select("x", "y"), sets
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, n_links) of every document: with how many others it has a similarity of 0.8 or more.
+
+    Rows are counted, so equal ids count each; rows with a null id are counted nowhere and have 0 links.
+    """
+    pairs, sets = links(docs, id_col, text_col)
+    held = written(sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.count("*").alias("held")), "held")
+    ends = pairs.union(pairs.select("y", "x")).toDF("sid", "other")
+    other = ends.join(held.toDF("other", "more"), "other").groupBy("sid").agg(F.sum("more").alias("more"))
+    own = held.join(other, "sid", "left").select("sid", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    known = sets.where("n > 0 and doc_id is not null").join(own, "sid").select("doc_id", F.col("n").alias("n_shingles"), "n_links")
+    return known.union(sets.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(0).cast("long")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; two link at a Jaccard similarity of 0.8 or more.
+
+    Null and wordless texts have an empty set (0 shingles) and link with nothing, their component is their own id. Rows
+    with a null id get a null component and no links. Equal ids share what their sets reach. An empty table gives no rows.
+    """
+    sets, lists, counted = _indexed(docs, id_col, text_col)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return counted(pairs).where("linked").select("x", "y").distinct()
 
     open_lists, links, roots, seed, gain = lists.withColumn("class", F.col("sid")), None, None, 0, 0
     while True:
@@ -357,3 +417,7 @@ def near_duplicate_representatives(docs: DataFrame) -> DataFrame:
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ from tallyforge.llm.conversations import OP8_SQL, op8_snapshot_collapse
 from tallyforge.llm.flac import op6_flac_media
 from tallyforge.llm.language import op3_language_crf
 from tallyforge.llm.mixing import op1_source_mixing
-from tallyforge.llm.ngram_join import op2_ngram_jaccard
+from tallyforge.llm.ngram_join import op2_ngram_jaccard, op2_ngram_jaccard_links
 from tallyforge.llm.quality import OP10_SQL, op10_distribution_divergence
 from tallyforge.llm.site_style import op5_site_style_tree
 from tallyforge.llm.token_output import op7_token_blocks
@@ -20,6 +20,7 @@ from tallyforge.llm.toxicity import op4_toxicity_trees
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
     "op3_language_crf": op3_language_crf,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_site_style_tree": op5_site_style_tree,

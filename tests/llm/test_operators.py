@@ -71,6 +71,31 @@ def test_jaccard_components_match_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_links_inside_groups_match_brute_force(spark):
+    rng, v = random.Random(14), vocabulary(2)
+    texts = [*EDGES, EDGES[5]]
+    for size, group, edits in ((60, 25, 1), (200, 40, 4), (120, 30, 3), (20, 10, 1)):
+        base = [rng.choice(v) for _ in range(size)]
+        for _ in range(group):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(size)] = rng.choice(v)
+            texts.append(" ".join(w[: size - rng.randint(0, size // 8)]))
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    linked = [[j for j, r in enumerate(sets) if j != i and s and 100 * len(s & r) >= 80 * len(s | r)] for i, s in enumerate(sets)]
+    got = sorted(tuple(r) for r in ngram_join.link_counts(frame(spark, texts)).collect())
+    assert got == [(i, len(s), len(n)) for i, (s, n) in enumerate(zip(sets, linked))]
+    pairs, members = ngram_join.links(frame(spark, texts))
+    held = defaultdict(list)
+    for r in members.collect():
+        held[r.sid].append(r.doc_id)
+    between = {frozenset((i, j)) for r in pairs.collect() for i in held[r.x] for j in held[r.y]}
+    assert between == {frozenset((i, j)) for i, n in enumerate(linked) for j in n if sets[i] != sets[j]}
+
+
 def test_jaccard_on_nothing(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
     assert ngram_join.near_duplicate_representatives(frame(spark, ["a b", "a b", None])).count() == 2
