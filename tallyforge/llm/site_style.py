@@ -3,9 +3,10 @@
 Pages of one host are merged into a style tree: a style node stands for a place in the tree (the path of tag names with
 their class, id and role), and holds in how many pages it occurs, which ways of continuing it has (presentation), and
 how its content is spread over pages (content). A node's importance is the entropy of its presentation over pages with
-that of its content; branches of low importance (the same on most pages of a site that has enough pages) are removed
+that of its content; branches of low importance (the same on most of the different pages that have them, if these are enough) are removed
 from each page. What a page itself declares to be navigation, notice, advert, form, sidebar, footer, comments, script or
-style is removed on any site. Where a page has article or main elements, text is taken within them only.
+style is removed on any site. Where a page has article or main elements, text is taken within them only; a container
+with a boilerplate name does not hide the main that it holds, nor its articles if the page has no others.
 
 Statistics are sums of partial counts by (host, node), so one huge host is pre-aggregated in every task and its tree is
 never gathered with its pages; only the few low-importance nodes of each site come back to its pages, by a join.
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import table, written
 
-#: A site is judged by its tree from so many different pages on (a node inside article or main, too); a node if it is on
-#: this share of them; low importance is below this.
-LEAST_PAGES, LEAST_SHARE, LEAST_IMPORTANCE = 8, 0.5, 0.25
+#: A node is judged from so many different pages on that have it, one inside article or main from LEAST_PAGES on; low
+#: importance is below LEAST_IMPORTANCE.
+LEAST_OCCURRENCES, LEAST_PAGES, LEAST_IMPORTANCE = 3, 8, 0.25
 #: Fixed lists of the HTML standard: elements without content, elements that begin a block, and their implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -36,9 +37,9 @@ HIDDEN = frozenset("script style noscript template head title svg canvas iframe
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Fixed words in class, id or role that name boilerplate.
+#: Fixed words in class, id or role that name boilerplate, as whole words between blanks; a number may follow.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|footer|masthead|site-header|page-header|topbar|cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|comment-list|disqus|reply|replies|respond|pagination|pager|widget|toolbar|contentinfo|complementary|search|skip|skip-link|legal|copyright)(?=$|[\s_-]|\d)",
+    r"(?<!\S)(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|footer|masthead|site-header|page-header|topbar|cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|comment-list|disqus|reply|replies|respond|pagination|pager|widget|toolbar|contentinfo|complementary|search|skip|skip-link|legal|copyright)(?:[_-]?\d+)?(?!\S)",
     re.I,
 )
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -46,25 +47,25 @@ _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"(
 _DIGITS = re.compile(r"\d+")
 
 
-_PLACES: dict[tuple[int, str, str], tuple[int, bool]] = {}
+_PLACES: dict[tuple[int, str, str], tuple[int, bool, bool]] = {}
 
 
-def _place(parent: int, tag: str, attrs: str) -> tuple[int, bool]:
-    """The style node of an element below a node, and whether it declares itself to be boilerplate."""
+def _place(parent: int, tag: str, attrs: str) -> tuple[int, bool, bool]:
+    """The style node of an element below a node, and whether it declares itself to be boilerplate: as such, or by name."""
     key = parent, tag, attrs
     found = _PLACES.get(key)
     if found is None:
-        label, off = "", tag in HIDDEN
+        label, off, named = "", tag in HIDDEN, False
         for m in _ATTRS.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 off = True
             elif name != "aria-hidden":
                 label += f" {name}={_DIGITS.sub('#', value)}"
-                off |= bool(NAMES.search(value)) and tag not in ("body", "html", "article", "main")
+                named |= bool(NAMES.search(value)) and tag not in ("body", "html", "article", "main")
         if len(_PLACES) > 100_000:
             _PLACES.clear()
-        found = _PLACES[key] = xxhash.xxh64_intdigest(f"{parent}>{tag}{label}") >> 1, off
+        found = _PLACES[key] = xxhash.xxh64_intdigest(f"{parent}>{tag}{label}") >> 1, off, named
     return found
 
 
@@ -72,10 +73,10 @@ class Page:
     """One page's text blocks, each with the style nodes around it, and the nodes with their children."""
 
     def __init__(self, source: str | None) -> None:
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], bool, bool, int]] = []
         self.nodes: dict[int, list] = {0: [[], 0, False]}
-        self.has_main = False
-        self._tags, self._path, self._state = [""], [0], [(False, False)]
+        self.main = 0  # the best of `inside`: 2 in article or main, 1 in an article whose container has a boilerplate name, else 0
+        self._tags, self._path, self._state = [""], [0], [(False, False, 0)]  # hidden, below a boilerplate name, inside
         self._held: dict[str, int] = {}
         self._text: list[str] = []
         self._read(source or "")
@@ -121,22 +122,25 @@ class Page:
             if tag == "br":
                 self._text.append(" ")
             return
-        parent, (hidden, inside) = self._path[-1], self._state[-1]
+        parent, (hidden, below, inside) = self._path[-1], self._state[-1]
         links = tag == "a"
-        node, off = _place(parent, tag, "" if links and "class" not in attrs and "id" not in attrs and "role" not in attrs and "hidden" not in attrs else attrs)
+        node, off, named = _place(parent, tag, "" if links and "class" not in attrs and "id" not in attrs and "role" not in attrs and "hidden" not in attrs else attrs)
         off |= tag == "header" and not inside
+        hidden |= off
+        below |= named
         if tag in ("article", "main"):
-            if not (off or hidden):
-                inside, self.has_main = True, True
+            if not (hidden or below and inside):
+                inside = max(inside, 1 if tag == "article" and (below or inside == 1) else 2)
+                below, self.main = False, max(self.main, inside)
             self.kept.add(node)
         elif tag in ("html", "body"):
             self.kept.add(node)
         self.nodes[parent][0].append(node)
         if node not in self.nodes:
-            self.nodes[node] = [[], 0, inside]
+            self.nodes[node] = [[], 0, inside > 0]
         self._tags.append(tag)
         self._path.append(node)
-        self._state.append((hidden or off, inside))
+        self._state.append((hidden, below, inside))
         self._held[tag] = self._held.get(tag, 0) + 1
 
     def _read(self, source: str) -> None:
@@ -172,7 +176,7 @@ class Page:
     def text(self, low: frozenset[int] | set[int]) -> str:
         """The kept blocks. A page's own article, main, body and html elements are never low themselves."""
         low = low - self.kept
-        return "\n".join(t for t, path, hidden, inside in self.blocks if not hidden and (inside or not self.has_main) and not low.intersection(path))
+        return "\n".join(t for t, path, hidden, below, inside in self.blocks if not (hidden or below) and inside >= self.main and not low.intersection(path))
 
 
 def host_of(column):
@@ -221,8 +225,8 @@ def low_importance(pages: DataFrame) -> DataFrame:
     sides = merged.groupBy("host", "node", "side").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("inside").alias("inside"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(1.0)
     nodes = sides.withColumn("e", entropy).groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"), F.max("inside").alias("inside"))
-    sites = nodes.where("node = 0").select("host", F.col("pages").alias("site"))
-    return nodes.where(F.col("importance") < LEAST_IMPORTANCE).join(sites, "host").where((F.col("site") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("site")) & (~F.col("inside") | (F.col("pages") >= LEAST_PAGES)) & (F.col("node") != 0)).select("host", "node")
+    least = F.when(F.col("inside"), LEAST_PAGES).otherwise(LEAST_OCCURRENCES)
+    return nodes.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= least) & (F.col("node") != 0)).select("host", "node")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -224,6 +224,21 @@ def test_copied_pages_keep_their_articles(spark):
     assert all(got[i] == site_style.Page(p).text(frozenset()) and len(got[i].split()) == 39 for i, _, p in rows)
 
 
+def test_names_are_whole_words_and_small_sections_are_judged(spark):
+    for name in ("no-sidebar", "has-sidebar", "related-work", "share-price", "search-results"):
+        assert site_style.Page(f"<body class=b><div class='x {name}'><p>text</p></div></body>").text(frozenset()) == "text"
+    assert site_style.Page("<div class='x sidebar'>a</div><div id=ad-2>b</div><p>c</p>").text(frozenset()) == "c"
+    assert site_style.Page("<div class=sidebar>a<main>b<div class=comments><article>c</article></div></main></div>").text(frozenset()) == "b"
+    assert site_style.Page("<div class=search>a<article>b</article></div>").text(frozenset()) == "b"
+    assert site_style.Page("<main>b</main><div class=related><article>c</article></div>").text(frozenset()) == "b"
+    rng, v = random.Random(6), vocabulary(13)
+    words = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    rows = [(i, f"http://big.example/{i}", f"<body>{'<div class=x>Shop now</div>' if i < 10 else ''}<p>{words(30)}</p></body>") for i in range(60)]
+    rows += [(100 + i, f"http://small.example/{i}", f"<body><div class=x>Call us</div><p>{words(30)}</p></body>") for i in range(4)]
+    got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 64 and all(len(r.text.split()) == 30 for r in got)
+
+
 # ---- 6
 
 
