@@ -26,6 +26,12 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 
+def lines_of(text: Column, pattern: str) -> Column:
+    """(line, n) of each line of the whole text where a pattern without line breaks matches, n times."""
+    counts = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_count(x, F.lit(pattern)).alias("n")))
+    return F.filter(counts, lambda c: c["n"] > 0)
+
+
 def is_staging(path: Column) -> Column:
     return F.lower(path).rlike("staging/|/stg_|/stage/")
 

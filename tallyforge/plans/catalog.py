@@ -271,6 +271,11 @@ def _(docs):
     return docs.select("doc_id", st.line_of(F.col("text"), F.lit(500)).alias("line"))
 
 
+@query("lines_of_matches", "documents", sql="SELECT doc_id, i AS line, len(regexp_extract_all(parts[i], '[.!?]')) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE regexp_matches(parts[i], '[.!?]')")
+def _(docs):
+    return docs.select("doc_id", F.explode(st.lines_of(F.col("text"), "[.!?]")).alias("m")).select("doc_id", "m.line", "m.n")
+
+
 @query("path_layers", "d_models", sql=f"SELECT model_id, {STAGE} AS staging, {DOWN} AS downstream FROM {{d_models}}")
 def _(models):
     return models.select("model_id", st.is_staging(F.col("path")).alias("staging"), st.is_downstream(F.col("path")).alias("downstream"))

@@ -61,3 +61,8 @@ def test_empty_inputs(spark):
     assert lineage.downstream(none).count() == 0
     obs = spark.createDataFrame([], "model_id string, window_start timestamp, window_end timestamp, executions long, bytes_processed double, credits double, cost_usd double")
     assert costs.observe_monthly(obs).count() == 0 and costs.violations(obs).count() == 0
+
+
+def test_lines_are_found_in_the_whole_text(spark):
+    row = spark.createDataFrame([("x" * 600 + "\n\na. b.\nc!",)], "text string").select(st.lines_of(F.col("text"), "[.!?]").alias("m")).first()
+    assert [(m.line, m.n) for m in row.m] == [(3, 2), (4, 1)]
