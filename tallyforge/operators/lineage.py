@@ -2,53 +2,75 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources.scratch import scratch, written
+
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the folder that executors share."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def _steps(edges: DataFrame) -> DataFrame:
+    return written(edges.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).where("_p is not null and _c is not null").distinct(), "steps")
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
 
+def _spread(first: DataFrame, step: DataFrame, most: int | None = None) -> DataFrame:
+    """first (node and perhaps seed) and all that follows from it along step (_p, _c), each row once.
 
-def downstream(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    Semi-naive: a round joins only what was new in the last one, and drops what is known, so diamonds and cycles count
+    once. Each round's rows are appended as Parquet in the shared folder: nothing is written twice, and no plan carries
+    over from round to round. With `most`, a seed goes no further once it has that many rows.
+    """
+    spark, base, schema = first.sparkSession, scratch(first.sparkSession, "reached"), first.schema
+    keys, paths = first.columns, [f"{base}/round-0"]
+    first.write.option("compression", "zstd").parquet(paths[0])
+    while True:
+        frontier = spark.read.schema(schema).parquet(paths[-1])
+        found = spark.read.schema(schema).parquet(*paths)
+        if frontier.isEmpty():
+            return found
+        if most is not None:
+            full = found.groupBy("seed").agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
+            frontier = frontier.join(full, "seed", "left_anti")
+        new = frontier.join(step, F.col("node") == F.col("_p")).select(*[F.col("_c").alias("node") if k == "node" else F.col(k) for k in keys])
+        if "seed" in keys:
+            new = new.where("seed <> node")
+        paths.append(f"{base}/round-{len(paths)}")
+        new.distinct().join(found, keys, "left_anti").select(*keys).write.option("compression", "zstd").parquet(paths[-1])
+
+
+def downstream(edges: DataFrame, seeds: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(seed, node): all that is reachable from each seed along parent -> child, seeds themselves excluded.
 
-    Semi-naive: each round joins only what was new in the last one, and drops what is known, so diamonds count once.
+    With `most`, each seed keeps all it reaches if that is less, else at least `most` of it. Null ends are no edges;
+    no edges or no seeds give no rows; repeated edges count once.
     """
-    step = edges.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).distinct()
-    start = edges.select(F.col("parent").alias("seed")).distinct() if seeds is None else seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
-    frontier = _kept(start.join(step, F.col("seed") == F.col("_p")).select("seed", F.col("_c").alias("node")).where("seed <> node").distinct())
-    found = frontier
-    while not frontier.isEmpty():
-        new = frontier.join(step, F.col("node") == F.col("_p")).select("seed", F.col("_c").alias("node")).where("seed <> node").distinct()
-        frontier = _kept(new.join(found, ["seed", "node"], "left_anti"))
-        found = _kept(found.union(frontier))
-    return found
+    step = _steps(edges)
+    start = step.select(F.col("_p").alias("seed")).distinct() if seeds is None else seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    first = start.join(step, F.col("seed") == F.col("_p")).select("seed", F.col("_c").alias("node")).where("seed <> node").distinct()
+    return _spread(first, step, most)
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): all that is downstream of any of `starts` (first column); one row a node, however many starts reach it."""
+    step = _steps(edges)
+    start = starts.select(F.col(starts.columns[0]).alias("_s")).distinct()
+    return _spread(start.join(step, F.col("_s") == F.col("_p")).select(F.col("_c").alias("node")).distinct(), step)
 
 
 def downstream_counts(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(seed, n), n at most `most` where given."""
+    """(seed, n), n at most `most` where given; a seed is followed no further than that needs."""
     n = F.count("*")
-    return downstream(edges).groupBy("seed").agg((F.least(n, F.lit(most)) if most else n).alias("n"))
+    return downstream(edges, most=most).groupBy("seed").agg((F.least(n, F.lit(most)) if most else n).alias("n"))
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame, costs: DataFrame) -> DataFrame:
     """One row: distinct models downstream of the changed ones, and their summed cost (node, usd)."""
-    touched = downstream(edges, changed).select("node").distinct().join(changed.select(F.col(changed.columns[0]).alias("node")), "node", "left_anti")
+    touched = reached(edges, changed).join(changed.select(F.col(changed.columns[0]).alias("node")), "node", "left_anti")
     return touched.join(costs, "node", "left").agg(F.count("*").alias("models"), F.sum("usd").alias("usd"))
 
 
 def exposures_affected(edges: DataFrame, changed: DataFrame, exposures: DataFrame) -> DataFrame:
     """Exposures that depend on a changed model or on one downstream of it."""
-    touched = downstream(edges, changed).select("node").union(changed.select(F.col(changed.columns[0]))).distinct()
+    touched = reached(edges, changed).union(changed.select(F.col(changed.columns[0]))).distinct()
     return exposures.join(touched, exposures["depends_on"] == touched["node"], "left_semi").select("exposure").distinct()
 
 
