@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,6 @@ from tallyforge.llm import pieces as pc
 from tallyforge.llm import textvec as tv
 from tallyforge.llm.shared import table
 
-#: Fixed by the format: how a word is cut.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _FOREVER = 1 << 62
 
 
@@ -96,7 +93,9 @@ class WordEncoder:
 
     def encode(self, word: str) -> list[int]:
         """Ids of one word as cut from the normalized text."""
-        raw = word.encode("utf-8", "replace")
+        return self.encode_bytes(word.encode("utf-8", "replace"))
+
+    def encode_bytes(self, raw: bytes) -> list[int]:
         text = raw[:-1].decode("latin-1") + chr(raw[-1] + 256)
         n = len(text)
         at: list[list[int]] = [[] for _ in range(n)]
@@ -143,50 +142,43 @@ class OffsetTable:
         return [out[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-_KNOWN: dict[str, tuple[WordEncoder, pc.PieceTable]] = {}
+_KNOWN: dict[str, tuple] = {}
 
 
-def _encoder(path: str) -> tuple[WordEncoder, pc.PieceTable]:
+def _encoder(path: str) -> tuple:
+    """The encoder, its table of words, and the way for texts of unknown characters; one for each Python worker."""
     if path not in _KNOWN:
         own = WordEncoder(path)
-        _KNOWN[path] = own, pc.PieceTable(lambda words: [own.encode(w) for w in words])
+        _KNOWN[path] = own, pc.PieceTable(lambda words: [own.encode(w) for w in words]), _whole(own, path)
     return _KNOWN[path]
 
 
-def _slow(text: str, own: WordEncoder, path: str) -> list[int]:
-    """Any text: special tokens first, then the library's own normalization and the pattern."""
-    from tokenizers import Tokenizer
+def _whole(own: WordEncoder, path: str):
+    """Ids of a text in which the library's newer Unicode tables are needed to cut words."""
+
+    byte = {c: b for b, c in enumerate(_byte_chars())}
+    lib: list = []
+
+    def encode_text(text: str) -> list[int]:
+        if not lib:
+            from tokenizers import Tokenizer
+
+            lib.append(Tokenizer.from_file(path))
+        words = lib[0].pre_tokenizer.pre_tokenize_str(lib[0].normalizer.normalize_str(text))
+        return [i for word, _ in words for i in own.encode_bytes(bytes(byte[c] for c in word))]
+
+    return encode_text
+
 
-    ids: list[int] = []
-    if not hasattr(own, "normalize"):
-        own.normalize = Tokenizer.from_file(path).normalizer.normalize_str
-    marks = regex.compile("(" + "|".join(map(regex.escape, sorted(own.special, key=len, reverse=True))) + ")") if own.special else None
-    for part in marks.split(text) if marks else [text]:
-        if part in own.special:
-            ids.append(own.special[part])
-        else:
-            for word in WORD.findall(own.normalize(part)):
-                ids += own.encode(word)
-    return ids
+def _normal(text: str | None) -> str | None:
+    """NFC in lower case, each character for itself (a final sigma is like any other)."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower() if text else text
 
 
 def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row (null: none) and the number of ids of each."""
-    own, known = _encoder(path)
-    fast = [unicodedata.normalize("NFC", t).lower() if t and pc.is_fast(t) else "" for t in texts]
-    fast = [t if t.isascii() or ord(max(t)) < pc.FAST_BELOW else "" for t in fast]
-    codes, bounds = tv.flat(fast)
-    start, end = pc.bare_pieces(codes, bounds)
-    ids, lens = known.ids(codes, start, end)
-    counts = pc.by_text(lens, start, bounds)
-    slow = [k for k, t in enumerate(texts) if t and not fast[k]]
-    if slow:
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        for k in slow:
-            parts[k] = np.array(_slow(texts[k], own, path), np.uint32)
-            counts[k] = len(parts[k])
-        ids = np.concatenate(parts)
-    return ids, counts
+    own, known, whole = _encoder(path)
+    return pc.ids_of(texts, pc.bare_pieces, known, own.special, whole, _normal)
 
 
 def decode(ids: np.ndarray, counts: np.ndarray, path: str) -> list[str]:

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from tallyforge.llm import textvec as tv
 from tallyforge.llm.shared import crc_mod, table
 
-#: Most training documents for each language, and most languages; whole texts of these, taken by a hash of the id.
+#: The fit sees about this many labelled documents a language, and one window of so many characters of each; the window
+#: lies at a hash of the id. Predictions read whole texts. Every learned lang value can be predicted.
 SAMPLE_PER_LANGUAGE = 240
-MAX_LANGUAGES = 500
+SAMPLE_CHARS = 8_000
 BUCKETS = 1 << 16
 #: Training sequences: words in each, chance that the language may change at a word, sequences a step, steps.
 LENGTH, CHANGE, BATCH, STEPS = 32, 0.05, 160, 150
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 1_000_000
 MAX_WORDS = 400_000
 _LETTER: list[np.ndarray] = []
 
@@ -93,8 +94,8 @@ def emissions(weights: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np
     return out
 
 
-def marginal_sums(scores: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Sums of the words' label probabilities for each text, by forward-backward over all texts in step.
+def marginals(scores: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The label probabilities of the word at each place, by forward-backward over all texts in step.
 
     scores: of distinct words; row: the distinct word at each place; begin, size: each text's places.
     """
@@ -115,7 +116,6 @@ def marginal_sums(scores: np.ndarray, row: np.ndarray, begin: np.ndarray, size:
         here = (here[:m] @ a if t else here[:m]) * e[row[at]]
         here /= here.sum(1, keepdims=True)
         alpha[at] = here
-    total = np.zeros((len(size), labels))
     beta = np.ones((n, labels))
     for t in range(steps - 1, -1, -1):
         m = active[t]
@@ -124,9 +124,17 @@ def marginal_sums(scores: np.ndarray, row: np.ndarray, begin: np.ndarray, size:
             b = (e[row[at[:k] + 1]] * beta[:k]) @ back_a
             beta[:k] = b / b.sum(1, keepdims=True)
         p = alpha[at] * beta[:m]
-        total[:m] += p / p.sum(1, keepdims=True)
-    out = np.zeros_like(total)
-    out[order] = total
+        alpha[at] = p / p.sum(1, keepdims=True)
+    return alpha
+
+
+def marginal_sums(scores: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Sums of the words' label probabilities for each text; begin ascends and leaves no gaps."""
+    p = marginals(scores, row, begin, size, transitions)
+    out = np.zeros((len(size), scores.shape[1]))
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(p, begin[some])
     return out
 
 
@@ -194,13 +202,12 @@ def fit(texts: list[str], labels: np.ndarray, n_labels: int, seed: int = 7) -> t
 
 
 def training_sample(docs: DataFrame, train) -> DataFrame:
-    """(text, lang) of at most about SAMPLE_PER_LANGUAGE documents for each language, by a hash of the id."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
+    """(text, lang) of about SAMPLE_PER_LANGUAGE documents for each language, one window of each, by a hash of the id."""
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    share = rows.groupBy("lang").agg((F.lit(SAMPLE_PER_LANGUAGE * 1_000_000) / F.count("*")).alias("_share"))
+    place = F.xxhash64("doc_id", F.lit(11))
+    begin = F.pmod(F.shiftright(place, 20), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS) + 1)).cast("int") + 1
+    return rows.join(share, "lang").where(F.pmod(place, F.lit(1_000_000)) < F.col("_share")).select(F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
 
 
 class Labeller:
@@ -229,64 +236,124 @@ class Labeller:
                 got[k] = self.number[keys[k]] = n + i
         return np.array(got, np.int32)[back]
 
-    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed label probabilities and number of words of each text."""
-        if not self.languages:
-            return np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
-        rows, sizes = [], np.zeros(len(texts), np.int64)
+    def _words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The table row, start and end (within its text) of every word, and the number of words of each text."""
+        rows, starts, ends, sizes = [], [], [], np.zeros(len(texts), np.int64)
         if len(self.number) > MAX_WORDS:
             self._clear()
         for a, b in tv.slices(texts):
             codes, bounds, start, end = lowered_words(texts[a:b])
             if len(start):
                 rows.append(self._rows(codes, start, end))
-                sizes[a:b] = np.bincount(tv.doc_of(start, bounds), minlength=b - a)
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+                doc = tv.doc_of(start, bounds)
+                sizes[a:b] = np.bincount(doc, minlength=b - a)
+                starts.append(start - bounds[doc])
+                ends.append(end - bounds[doc])
+        whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return whole(rows, np.int32), whole(starts, np.int64), whole(ends, np.int64), sizes
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed label probabilities and number of words of each text."""
+        if not self.languages:
+            return np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
+        row, _, _, sizes = self._words(texts)
         return marginal_sums(self.scores[: len(self.number)], row, np.cumsum(sizes) - sizes, sizes, self.transitions), sizes
 
+    def predicted(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Label and score of each text."""
+        total, size = self.sums(texts)
+        mean = total / np.maximum(size, 1)[:, None]
+        best, some = mean.argmax(1), size > 0
+        label = [self.languages[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
+        return label, np.round(np.where(some, np.minimum(1.0, mean[np.arange(len(texts)), best]), 0.0), 6)
+
+    def spans(self, text: str | None) -> list[dict]:
+        """Runs of words of one label: begin and end in the text, label and the least probability of its words."""
+        if not text or not self.languages:
+            return []
+        row, start, end, sizes = self._words([text])
+        p = marginals(self.scores[: len(self.number)], row, np.zeros(1, np.int64), sizes, self.transitions)
+        if not len(row):
+            return []
+        best = p.argmax(1)
+        first = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+        last = np.append(first[1:], len(best)) - 1
+        low = np.minimum.reduceat(p.max(1), first)
+        return [{"begin": a, "end": b, "lang": self.languages[k], "score": round(s, 6)} for a, b, k, s in zip(start[first].tolist(), end[last].tolist(), best[first].tolist(), low.tolist(), strict=True)]
+
+
+def fitted(docs: DataFrame, train):
+    """(languages, weights, transitions) as a broadcast value; `train` says whose lang may be learned from."""
+    sample = training_sample(docs, train).toPandas().sort_values(["lang", "text"], ignore_index=True)
+    languages = sorted(sample["lang"].unique().tolist())
+    labels = np.searchsorted(languages, sample["lang"].to_numpy(object)) if languages else np.zeros(0, np.int64)
+    return docs.sparkSession.sparkContext.broadcast((languages, *fit(sample["text"].tolist(), labels, len(languages))))
+
 
-def identified(docs: DataFrame, train) -> DataFrame:
-    """docs with `__lang_pred` and `__lang_score`; `train` is the condition for rows whose lang may be learned from.
+def predictor(docs: DataFrame, train):
+    """A function of one column, text -> struct<lang_pred, score>; all other columns stay where they are, in the JVM.
 
-    Null texts and texts without a letter are `und` with score 0. Without any labelled row every document is `und`.
-    Equal texts get equal labels, whatever their id, source or lang. One pass, no shuffle; other columns stay as they are.
+    It is declared nondeterministic so that Spark runs it once where a filter and a projection both use its result.
     """
-    spark = docs.sparkSession
-    sample = training_sample(docs, train).toPandas()
-    languages = sorted(sample["lang"].unique().tolist())
-    weights, transitions = fit(sample["text"].tolist(), np.searchsorted(languages, sample["lang"].to_numpy(object)) if languages else np.zeros(0, np.int64), len(languages))
-    shared = spark.sparkContext.broadcast((languages, weights, transitions))
+    shared = fitted(docs, train)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Labeller(*shared.value)
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
+            texts = batch.to_pylist()
+            labels, scores = [], [np.zeros(0)]
             for a, b in tv.slices(texts, GROUP_CHARS):
-                total, size = model.sums(texts[a:b])
-                mean = total / np.maximum(size, 1)[:, None]
-                best, some = mean.argmax(1), size > 0
-                label = [model.languages[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
-                score = np.where(some, np.minimum(1.0, mean[np.arange(b - a), best]), 0.0)
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(label, pa.string()), pa.array(np.round(score, 6))], names=[*names, "__lang_pred", "__lang_score"])
+                label, score = model.predicted(texts[a:b])
+                labels += label
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, __lang_pred string, __lang_score double")
+    return predict.asNondeterministic()
 
 
 def identify(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score) of every document."""
-    return identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", "lang"), train).select("doc_id", F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+    """(doc_id, lang_pred, score) of every document; doc_id as long, so ids must be whole numbers or null.
+
+    Null texts and texts without a letter are `und` with score 0. Without any labelled row every document is `und`. Equal
+    texts get equal labels, whatever their id, source or lang; repeated rows stay; an empty table gives no rows. One pass
+    over whole texts, no shuffle of them.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", "lang")
+    return rows.select("doc_id", predictor(rows, train)("text").alias("p")).select("doc_id", "p.lang_pred", "p.score")
+
+
+def language_spans(docs: DataFrame, train, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, begin, end, lang, score): the runs of words of one language in code-switched texts, in code points.
+
+    A text without a letter, and every text where nothing is labelled, has no span.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", "lang")
+    shared = fitted(rows, train)
+
+    @F.arrow_udf("array<struct<begin: long, end: long, lang: string, score: double>>")
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Labeller(*shared.value)
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
+        for batch in batches:
+            yield pa.array([model.spans(t) for t in batch.to_pylist()], kind)
 
+    return rows.select("doc_id", F.explode(spans.asNondeterministic()("text")).alias("s")).select("doc_id", "s.*")
 
-def labelled(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without those that are `und` or score below `least`, with lang set to the predicted label."""
-    found = identified(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
-    return found.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*[F.col("__lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """docs without those that are `und` (null text, no letter, nothing to learn from), lang set to the predicted label.
+
+    Its columns are those of docs, whatever their names; repeated rows stay; an empty table gives no rows.
+    """
+    predict = predictor(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(held.alias("row"), predict("text").alias("p")).where("p.lang_pred <> 'und'")
+    return found.select(*[F.col("p.lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3_language_crf(spark, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, held_out, lang_pred, score. Edge cases as in `identify`; null ids are not held out and not learned from."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -1,7 +1,9 @@
 """Pre-tokens of many texts at once, and a bounded table from pre-token to ids.
 
-Pre-tokens are cut by array operations where every character lies below U+0250 and no apostrophe or special token
-occurs; other texts go the slow, general way, so results are the same for any text.
+Pre-tokens of any script are cut by array operations: runs of one kind of character, contractions after an apostrophe,
+single spaces that join what follows. Special tokens split a text before that. Texts with a character that this Python's
+Unicode tables do not know yet are cut by the tokenizers library, whose tables are newer, so results are the same for
+any text.
 """
 
 from __future__ import annotations
@@ -10,24 +12,27 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+import regex
 
 from tallyforge.llm import textvec as tv
 
-FAST_BELOW = 0x250
-SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+#: Fixed by Unicode: the code points of white space, first and last of each range.
+BLANKS = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+#: Fixed by the tokenizers: what an apostrophe takes with it.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+_KINDS: list[np.ndarray] = []
 
 
-def _kind(code: int) -> int:
-    if 9 <= code <= 13 or code in (0x20, 0x85, 0xA0):
-        return SPACE
-    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], OTHER)
-
-
-KIND = np.array([_kind(c) for c in range(FAST_BELOW)], np.int8)
-
-
-def is_fast(text: str) -> bool:
-    return "'" not in text and "<|" not in text and (text.isascii() or ord(max(text)) < FAST_BELOW)
+def kinds() -> np.ndarray:
+    """The kind of each code point."""
+    if not _KINDS:
+        of = {"L": LETTER, "N": NUMBER}
+        table = np.fromiter((UNKNOWN if (g := unicodedata.category(chr(c))) == "Cn" else of.get(g[0], OTHER) for c in range(0x110000)), np.int8, 0x110000)
+        for first, last in BLANKS:
+            table[first : last + 1] = SPACE
+        _KINDS.append(table)
+    return _KINDS[0]
 
 
 def _starts(kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -38,36 +43,95 @@ def _starts(kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return first
 
 
-def spaced_pieces(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contract(codes: np.ndarray, bounds: np.ndarray, first: np.ndarray, joined: bool) -> None:
+    """Marks contractions in `first`: an apostrophe that is a run of its own takes the letters of CONTRACTIONS with it.
+
+    joined: a space before belongs to the apostrophe, which then starts nothing.
+    """
+    n = len(codes)
+    at = np.flatnonzero(codes == 39)
+    at = at[at + 1 < n]
+    at = at[first[at] & first[at + 1]]
+    if joined:
+        opens = np.zeros(n + 1, bool)
+        opens[bounds] = True
+        at = at[opens[at] | (codes[at - 1] != 32)]
+    closes = np.zeros(n + 2, bool)
+    closes[bounds] = True
+    at = at[~closes[at + 1]]
+    for tail in CONTRACTIONS:
+        hit = at[at + len(tail) < n]
+        for k, c in enumerate(tail, 1):
+            hit = hit[(codes[hit + k] == ord(c)) & ~closes[hit + k]]
+        first[hit + 1] = False
+        after = hit + 1 + len(tail)
+        first[after[after < n]] = True
+
+
+def spaced_pieces(codes: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of one kind of character with one space before them; of a run of white space before text the last is apart."""
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = KIND[codes]
     first = _starts(kind, bounds)
     at = np.flatnonzero(first)
     end = np.append(at[1:], len(codes))
     closing = np.zeros(len(codes) + 1, bool)
     closing[bounds] = True
     blank = (kind[at] == SPACE) & ~closing[end]
-    a, b = at[blank], end[blank]
+    _contract(codes, bounds, first, True)
+    b = end[blank]
     first[b - 1] = True
     first[b[codes[b - 1] == 32]] = False
     at = np.flatnonzero(first)
     return at, np.append(at[1:], len(codes))
 
 
-def bare_pieces(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bare_pieces(codes: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of letters, single numbers, and runs of other characters; white space is dropped."""
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = KIND[codes]
     first = _starts(kind, bounds) | (kind == NUMBER)
+    _contract(codes, bounds, first, False)
     at = np.flatnonzero(first)
     end = np.append(at[1:], len(codes))
     keep = kind[at] != SPACE
     return at[keep], end[keep]
 
 
+def ids_of(texts: list[str | None], cut: Callable, known: PieceTable, special: dict[str, int], whole: Callable[[str], list[int]], normal: Callable = lambda t: t) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row (null: none) and the number of ids of each.
+
+    cut: spaced_pieces or bare_pieces; special: contents and ids of the tokens that split a text; whole: the ids of a
+    text with a character of unknown kind; normal: what is done to a text between special tokens before it is cut.
+    """
+    raw, parts, owner, given = [], [], [], {}
+    marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    for k, t in enumerate(texts):
+        for part in marks.split(t) if t and any(s in t for s in special) else [t]:
+            if part in special:
+                given[len(parts)] = [special[part]]
+            raw.append("" if part in special else part)
+            parts.append("" if part in special else normal(part))
+            owner.append(k)
+    codes, bounds = tv.flat(parts)
+    kind = kinds()[codes]
+    if (kind == UNKNOWN).any():
+        for k in np.unique(tv.doc_of(np.flatnonzero(kind == UNKNOWN), bounds)).tolist():
+            given[k], parts[k] = whole(raw[k]), ""
+        codes, bounds = tv.flat(parts)
+        kind = kinds()[codes]
+    start, end = cut(codes, bounds, kind)
+    ids, lens = known.ids(codes, start, end)
+    counts = by_text(lens, start, bounds)
+    if given:
+        given = dict(sorted(given.items()))
+        at = np.concatenate([[0], np.cumsum(counts)])[list(given)]
+        sizes = [len(g) for g in given.values()]
+        ids = np.insert(ids, np.repeat(at, sizes), np.array([i for g in given.values() for i in g], ids.dtype))
+        counts[list(given)] += sizes
+    return ids, np.bincount(owner, counts, len(texts)).astype(np.int64) if texts else np.zeros(0, np.int64)
+
+
 class PieceTable:
     """Ids of pre-tokens by hash, filled by `encode(list of str) -> list of id lists`, emptied when full."""
 

@@ -2,39 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where the setting is absent (local mode, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    spark, schema = df.sparkSession, df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is now on disk
-    return spark.read.schema(schema).parquet(path)
+from tallyforge.sources.scratch import scratch, shared_dir, written  # noqa: F401  (the operators take them from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -88,26 +88,16 @@ def _encoder(path: str):
         lib = Tokenizer.from_file(path)
         lib.no_truncation()
         lib.no_padding()
-        whole = lambda texts: [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
-        _ENCODERS[path] = (whole, pc.PieceTable(whole), lib.get_vocab_size())
+        many = lambda texts: [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
+        _ENCODERS[path] = (lambda text: many([text])[0], pc.PieceTable(many), lib.get_vocab_size(), special)
     return _ENCODERS[path]
 
 
 def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row (null: none) and the number of ids of each."""
-    whole, known, _ = _encoder(path)
-    fast = [t if t and pc.is_fast(t) else "" for t in texts]
-    codes, bounds = tv.flat(fast)
-    start, end = pc.spaced_pieces(codes, bounds)
-    ids, lens = known.ids(codes, start, end)
-    counts = pc.by_text(lens, start, bounds)
-    slow = [k for k, t in enumerate(texts) if t and not fast[k]]
-    if slow:
-        parts = np.split(ids, np.cumsum(counts)[:-1])
-        for k, own in zip(slow, whole([texts[k] for k in slow]), strict=True):
-            parts[k], counts[k] = np.array(own, np.uint32), len(own)
-        ids = np.concatenate(parts)
-    return ids, counts
+    whole, known, _, special = _encoder(path)
+    return pc.ids_of(texts, pc.spaced_pieces, known, special, whole)
 
 
 BLOCK = "part int, block int, n_docs long, n_ids long, width int, doc_ids array<long>, ids binary, lower binary, upper binary, samples binary"
