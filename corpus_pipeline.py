@@ -13,8 +13,8 @@ from tallyforge.llm.shared import table, written
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; `lang` is the predicted one. Texts without a letter go, and so do doubtful ones."""
-    return language.labelled(docs, least=0.25)
+    """Documents with a language; `lang` is the predicted one. Null texts and texts without a letter go."""
+    return language.labelled(docs)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
