@@ -24,7 +24,12 @@ from tallyforge.llm.shared import scratch, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
-_BYTE_POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
+#: Input a range of documents should hold: the number of ranges follows the input.
+RANGE_BYTES = 128 << 20
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_BYTE_POP = _BITS.sum(1).astype(np.int64)
+#: The place of the k-th one in each byte.
+_BYTE_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)
 
 
 class EliasFano:
@@ -51,14 +56,22 @@ class EliasFano:
     def _low(self, index: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(index), np.int64)
-        held = np.unpackbits(np.frombuffer(self.lower, np.uint8), bitorder="little")
+        raw = np.frombuffer(self.lower, np.uint8)
         at = index[:, None] * self.bits + np.arange(self.bits)
-        return (held[at].astype(np.int64) << np.arange(self.bits)).sum(1)
+        return ((raw[at >> 3] >> (at & 7) & 1).astype(np.int64) << np.arange(self.bits)).sum(1)
+
+    def select_many(self, index: np.ndarray) -> np.ndarray:
+        """The values at many places: the byte of the unary part by its count of ones, then the place in that byte."""
+        if not len(index):
+            return np.zeros(0, np.int64)
+        raw = np.frombuffer(self.upper, np.uint8)
+        ones = np.cumsum(_BYTE_POP[raw], dtype=np.int64)
+        byte = np.searchsorted(ones, index, "right")
+        one = byte * 8 + _BYTE_SELECT[raw[byte], index - (ones[byte] - _BYTE_POP[raw[byte]])]
+        return ((one - index) << self.bits) + self._low(index)
 
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.upper, np.uint8), bitorder="little"))[: self.n]
-        index = np.arange(self.n)
-        return ((ones - index) << self.bits) + self._low(index)
+        return self.select_many(np.arange(self.n))
 
     def select(self, i: int) -> int:
         """The i-th value, from the sample before it and a short scan of the unary part."""
@@ -137,22 +150,52 @@ def _blocks(path: str, end_id: int):
 
 
 def write_token_blocks(docs: DataFrame, tokenizer: str, to: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the table of blocks: documents in ascending id order (null ids first, ties by text), `end_id` after each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_blocks(tokenizer, end_id), BLOCK).write.parquet(to)
+    """Writes the table of blocks: documents in ascending id order, `end_id` after each.
+
+    Null ids come first; rows of one id lie by a hash of the text, then by text, so even an id with many rows is split
+    over ranges. Null texts are empty. Ids must be whole numbers or null. An empty table gives an empty table of blocks.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
+    held = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(8)).alias("b")).first()["b"] or 0
+    ranges = max(1, -(-held // RANGE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism * 4, held >> 20))
+    rows.repartitionByRange(int(ranges), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(_blocks(tokenizer, end_id), BLOCK).write.parquet(to)
+
+
+def _opened(r: dict) -> tuple[EliasFano, np.ndarray]:
+    """A block's bounds and ids."""
+    return EliasFano(r["n_docs"], r["n_ids"] + 1, r["lower"], r["upper"], np.frombuffer(r["samples"], "<u4")), np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            ef = EliasFano(r["n_docs"], r["n_ids"] + 1, r["lower"], r["upper"], np.frombuffer(r["samples"], "<u4"))
-            ends = ef.values()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-            crc = np.array([zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)], np.int64)
+            bounds, ids = _opened(r)
+            ends = bounds.select_many(np.arange(r["n_docs"]))
+            starts = np.append(0, ends[:-1])
+            crc = np.array([zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["before"]), pa.array(ends - starts), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            bounds, ids = _opened(r)
+            own = [ids[bounds.select(i - 1) if i else 0 : bounds.select(i)].astype(np.int64) for i in r["places"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_ids"][i] for i in r["places"]], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+
+def fetch_token_ids(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents named in `wanted` (first column), each by two selections in its block.
+
+    Only blocks that hold a wanted document are opened. Ids that are not there give no row; null ids are not looked up.
+    """
+    blocks = spark.read.schema(BLOCK).parquet(path)
+    places = blocks.select("part", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    named = wanted.select(F.col(wanted.columns[0]).cast("long").alias("doc_id")).distinct()
+    found = places.join(named, "doc_id", "left_semi").groupBy("part", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))  # at most the documents of one block
+    return blocks.join(found, ["part", "block"]).mapInArrow(_fetched, "doc_id long, ids array<long>")
+
+
 def read_token_blocks(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document from the blocks alone; start counts all ids before it."""
     blocks = spark.read.schema(BLOCK).parquet(path)
