@@ -20,8 +20,8 @@ from tallyforge.llm.shared import crc_mod, table, written
 
 #: Most labelled documents of each class in the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 12_000
-#: Most terms that are looked at, the folds whose features come from a lexicon of the others, and the least strength (log odds, and log odds over their error) of a lexicon term.
-MAX_TERMS, FOLDS = 30_000, 4
+#: The folds whose features come from a lexicon of the others, and what makes a lexicon term: the least toxic documents with it, log odds, and log odds over their error.
+FOLDS, LEAST_DOCUMENTS = 4, 3
 LEAST_ODDS, LEAST_Z = 2.0, 2.6
 THRESHOLD = 0.7
 #: Trees, depth, learning rate, value bins.
@@ -190,17 +190,14 @@ def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     return b[:, 0] / b[:, 2], (b[:, 1] + 0.05) / (b[:, 2] + 0.1)
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch], only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(term, fold, toxic, n): in how many documents of a fold and class a term occurs; only: the sorted terms to count."""
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, fold, toxic, n): in how many documents of a fold and class a term occurs."""
     for batch in batches:
         texts, toxic, fold = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for a, b in tv.slices(texts, 4 * tv.SLICE_CHARS):
             w = Words(texts[a:b])
             term, doc = np.concatenate(w.terms), np.tile(w.doc, len(w.terms))
             keep = term != 0
-            if only is not None:
-                at = np.minimum(np.searchsorted(only, term), max(len(only) - 1, 0))
-                keep &= only[at] == term if len(only) else False
             term, doc = term[keep], doc[keep]
             order = np.lexsort((term, doc))
             term, doc = term[order], doc[order]
@@ -218,7 +215,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch], only: np.ndarray | None) ->
 def _lexicon(term: np.ndarray, tox: np.ndarray, clean: np.ndarray, n_tox: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
     odds = np.log((tox + 0.5) / (n_tox + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     z = odds / np.sqrt(1 / (tox + 0.5) + 1 / (clean + 0.5))
-    keep = (tox >= 3) & (odds >= LEAST_ODDS) & (z >= LEAST_Z)
+    keep = (tox >= LEAST_DOCUMENTS) & (odds >= LEAST_ODDS) & (z >= LEAST_Z)
     order = np.argsort(term[keep])
     return term[keep][order], odds[keep][order]
 
@@ -248,16 +245,23 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Model:
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)  # about 20,000 ids at most: small enough to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     sample = written(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
-    counts = "term long, fold int, toxic int, n long"
-    marked = sample.where("toxic = 1").mapInArrow(lambda b: _term_counts(b, None), counts).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
-    terms = np.sort(marked.orderBy(F.desc("n"), "term").limit(MAX_TERMS).toPandas()["term"].to_numpy(np.int64).view(tv.U64))
-    shared = spark.sparkContext.broadcast(terms)
-    seen = sample.mapInArrow(lambda b: _term_counts(b, shared.value), counts).groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * FOLDS rows for each of MAX_TERMS
-    table_ = np.zeros((FOLDS, 2, len(terms)))
-    at = np.searchsorted(terms, seen["term"].to_numpy(np.int64).view(tv.U64))
-    table_[seen["fold"].to_numpy(int), seen["toxic"].to_numpy(int), at] = seen["n"].to_numpy(float)
     rows = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
     size = np.array([[rows.get((f, t), 0) for t in (0, 1)] for f in range(FOLDS)], float)
+    cells = [(f, t) for f in range(FOLDS) for t in (0, 1)]
+    seen = sample.mapInArrow(_term_counts, "term long, fold int, toxic int, n long").groupBy("term").agg(*[F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}") for f, t in cells])
+
+    def telling(skip: int | None) -> F.Column:
+        tox, clean = (sum(F.col(f"n{f}{t}") for f in range(FOLDS) if f != skip) + 0.5 for t in (1, 0))
+        n_clean, n_tox = size.sum(0) if skip is None else size.sum(0) - size[skip]
+        odds = F.log(tox / float(n_tox + 1)) - F.log(clean / float(n_clean + 1))
+        return (tox > LEAST_DOCUMENTS) & (odds >= LEAST_ODDS - 1e-9) & (odds / F.sqrt(1 / tox + 1 / clean) >= LEAST_Z - 1e-9)
+
+    wanted = telling(None)
+    for f in range(FOLDS):
+        wanted = wanted | telling(f)
+    seen = seen.where(wanted).toPandas().sort_values("term", ignore_index=True)  # only what some lexicon takes, from the bounded sample
+    terms = seen["term"].to_numpy(np.int64).view(tv.U64)
+    table_ = np.stack([seen[f"n{f}{t}"].to_numpy(float) for f, t in cells]).reshape(FOLDS, 2, len(terms))
     rest = lambda x, f: x.sum(0) - x[f]
     others = [_lexicon(terms, rest(table_, f)[1], rest(table_, f)[0], rest(size, f)[1], rest(size, f)[0]) for f in range(FOLDS)]
     full = _lexicon(terms, table_[:, 1].sum(0), table_[:, 0].sum(0), size[:, 1].sum(), size[:, 0].sum())
