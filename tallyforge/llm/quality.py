@@ -2,14 +2,15 @@
 
 A document's histograms of character classes and of common words are compared with those of its language over all
 documents by the Jensen-Shannon distance; documents that are long enough for a comparison and too far away are rejected,
-as are those that fail the base rules. One pass counts the references, a second one judges; only the references' few
-numbers are shuffled or broadcast (a row for each language).
+as are those that fail the base rules. What is common, what is usual and what is too far is learned for each language
+from all its documents. The first pass measures texts and counts, the second one compares words; what is shuffled is a
+row for each different word of a task, and a few numbers for each language.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import table, written
@@ -17,19 +18,17 @@ from tallyforge.llm.shared import table, written
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
-#: Farthest distances (0 to 1), and the least letters or words that a histogram needs to be judged.
-MAX_CLASS_DISTANCE, LEAST_CHARS = 0.28, 200
-MAX_WORD_DISTANCE, LEAST_JUDGED_WORDS = 0.45, 100
+#: How many of a language's commonest words have a bin of their own; all other words share the last bin.
+COMMON_WORDS = 32
+#: The least letters or words that a histogram needs to be judged.
+LEAST_CHARS, LEAST_JUDGED_WORDS = 200, 100
+#: A document is too far away beyond its language's upper fence, the third quartile of the distances and FENCE times the
+#: quartiles' difference; but never below these distances (0 to 1), so that a uniform corpus loses nothing.
+FENCE, LEAST_CLASS_BOUND, LEAST_WORD_BOUND = 1.5, 0.28, 0.30
+#: Decimals of the distances, which bounds the different values that quartiles are taken over.
+DECIMALS = 4
 #: Fixed classes of characters; what is left is a class of its own.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{N}", "blank": r"[\x20\x09-\x0D]", "stop": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>@=+_/\\^~{}\[\]]"}
-#: Fixed lists: very common words of some languages. Documents of other languages have them all in the last bin.
-COMMON = {
-    "en": "the of and to in a is that it was for on are as with be by this from or have not at you",
-    "de": "der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es an",
-    "fr": "de la le et les des en un une du que est pour qui dans sur par au pas avec ce",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como",
-}
-WORDS = sorted({w for ws in COMMON.values() for w in ws.split()})
 _BINS = [*CLASSES, "rest"]
 
 
@@ -96,23 +95,36 @@ def _class_counts(text: Column) -> Column:
     return _let(without(text, first), counts).cast("array<long>")
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(lang, classes array<double>, common array<double>): each language's distributions over all its documents, and a
-    row with a null lang for all documents together. common has the bins of WORDS and a last one for all other words."""
-    rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    sums = rows.select("lang", _class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(len(_BINS))])
-    classes = sums.select("lang", F.array(*[F.col(f"c{k}").cast("double") for k in range(len(_BINS))]).alias("classes"))
-    tokens = rows.select("lang", F.explode(_tokens(F.col("text"))).alias("w")).where("w <> ''")
-    bins = tokens.select("lang", F.when(F.col("w").isin(WORDS), F.col("w")).otherwise("").alias("w")).groupBy("lang", "w").count()
-    held = bins.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("count").cast("double")))).alias("m"))  # a row for each bin
-    common = held.select("lang", F.array(*[F.coalesce(F.element_at("m", F.lit(w)), F.lit(0.0)) for w in [*WORDS, ""]]).alias("common"))
-    none = lambda n: F.array(*[F.lit(0.0)] * n)
-    both = classes.join(common, classes["lang"].eqNullSafe(common["lang"]), "left").select(classes["lang"], "classes", F.coalesce("common", none(len(WORDS) + 1)).alias("common"))
-    both = written(both, "references")  # a row for each language
-    add = lambda column, n: F.array(*[F.sum(F.get(column, F.lit(k))) for k in range(n)])
-    pooled = both.agg(add("classes", len(_BINS)).alias("classes"), add("common", len(WORDS) + 1).alias("common")).select(F.lit(None).cast("string").alias("lang"), "classes", "common")
-    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), F.lit(1.0)))
-    return both.where("lang is not null").union(pooled).select("lang", share(F.col("classes")).alias("classes"), share(F.col("common")).alias("common"))
+def _share(counts: Column) -> Column:
+    return F.transform(counts, lambda x: x / F.greatest(F.aggregate(counts, F.lit(0.0), lambda a, b: a + b), F.lit(1.0)))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """`_row` with all columns of docs (of any name), `_base` and `_classes` of each text; written, so texts are measured once."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return written(docs.select(F.struct("*").alias("_row"), base_measures(text).alias("_base"), _class_counts(text).alias("_classes")), "measured")
+
+
+def references(measured: DataFrame) -> DataFrame:
+    """(lang, classes array<double>, words array<string>, shares array<double>): each language's distributions over all
+    its documents, and a row with a null lang for all documents together.
+
+    words are the COMMON_WORDS commonest words (ties by the word), shares their parts of all words and that of the rest.
+    """
+    lang, sums = F.col("_row.lang"), [F.sum(F.get("_classes", F.lit(k))).cast("double").alias(f"c{k}") for k in range(len(_BINS))]
+    by_lang = written(measured.groupBy(lang.alias("lang")).agg(*sums), "classes")  # a row for each language
+    pooled = by_lang.groupBy(F.lit(None).cast("string").alias("lang")).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(_BINS))])
+    classes = by_lang.where("lang is not null").union(pooled).select("lang", _share(F.array(*[F.col(f"c{k}") for k in range(len(_BINS))])).alias("classes"))
+    tokens = measured.select(lang.alias("lang"), F.explode(_tokens(F.coalesce("_row.text", F.lit("")))).alias("w")).where("w <> ''")
+    counts = written(tokens.groupBy("lang", "w").agg(F.count("*").alias("n")), "words")
+    counts = counts.where("lang is not null").union(counts.groupBy(F.lit(None).cast("string").alias("lang"), "w").agg(F.sum("n").alias("n")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))  # each task keeps its own commonest before the shuffle
+    top = counts.withColumn("k", rank).where(F.col("k") <= COMMON_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    bins = top.join(total, top["lang"].eqNullSafe(total["lang"])).select(top["lang"], F.col("top.w").alias("words"), F.transform("top.n", lambda n: n / F.col("total")).alias("own"))
+    common = bins.select("lang", "words", F.concat("own", F.array(F.greatest(F.lit(0.0), 1 - F.aggregate("own", F.lit(0.0), lambda a, b: a + b)))).alias("shares"))
+    both = classes.join(common, classes["lang"].eqNullSafe(common["lang"]), "left")
+    return written(both.select(classes["lang"], "classes", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("shares", F.array(F.lit(1.0))).alias("shares")), "references")
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -122,67 +134,78 @@ def _half(p: Column, q: Column) -> Column:
 
 
 def _distance(parts: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts)))
+    return F.round(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts))), DECIMALS)
 
 
-def class_distance(text: Column, reference: Column) -> Column:
-    """Distance of a text's character classes; 0 for a text that is too short to tell."""
-    counts = _class_counts(text).cast("array<double>")
-    parts = F.aggregate(F.zip_with(counts, reference, lambda c, q: _half(c / F.length(text), q)), F.lit(0.0), lambda a, b: a + b)
-    return F.when(F.length(text) >= LEAST_CHARS, _distance(parts)).otherwise(0.0)
+def class_distance(counts: Column, reference: Column) -> Column:
+    """Distance of a text's counts of character classes."""
+    return _distance(F.aggregate(F.zip_with(_share(counts.cast("array<double>")), reference, _half), F.lit(0.0), lambda a, b: a + b))
 
 
-def word_distance(text: Column, reference: Column) -> Column:
-    """Distance of a text's common words; 0 for a text that is too short to tell."""
-    listed = F.array(*[F.lit(w) for w in WORDS])
+def word_distance(text: Column, words: Column, shares: Column) -> Column:
+    """Distance of a text's common words; null for a text with too few words to tell."""
 
     def of_tokens(tokens: Column) -> Column:
-        hits = F.sort_array(F.transform(F.filter(tokens, lambda w: w.isin(WORDS)), lambda w: F.array_position(listed, w).cast("int")))
-        return F.when(F.size(tokens) >= LEAST_JUDGED_WORDS, _let(hits, lambda h: _distance(of_hits(h, F.size(tokens).cast("double"))))).otherwise(0.0)
+        hits = F.sort_array(F.filter(F.transform(tokens, lambda w: F.array_position(words, w).cast("int")), lambda k: k > 0))
+        return F.when(F.size(tokens) >= LEAST_JUDGED_WORDS, _let(hits, lambda h: _distance(of_hits(h, F.size(tokens).cast("double")))))
 
     def of_hits(hits: Column, n: Column) -> Column:
         ends = F.filter(F.transform(hits, lambda x, i: F.when(i == F.size(hits) - 1, i).when(F.get(hits, i + 1) != x, i)), lambda i: i.isNotNull())
         start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"), F.lit(-1).alias("last"))
 
         def step(s: Column, e: Column) -> Column:
-            q = F.get(reference, F.get(hits, e) - 1)
+            q = F.get(shares, F.get(hits, e) - 1)
             return F.struct((s["d"] + _half((e - s["last"]) / n, q)).alias("d"), (s["q"] + q).alias("q"), e.alias("last"))
 
-        other, q_other = (n - F.size(hits)) / n, F.get(reference, F.lit(len(WORDS)))
+        other, q_other = (n - F.size(hits)) / n, F.get(shares, F.size(shares) - 1)
         # bins that the text lacks add q / 2 each: all of q, less that of the bins it has
         return F.aggregate(ends, start, step, lambda s: s["d"] + (1 - q_other - s["q"]) / 2 + _half(other, q_other))
 
     return _let(F.filter(_tokens(text), lambda w: w != ""), of_tokens)
 
 
-def judged(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """docs with `_base` (the base measures), `_class_distance`, `_word_distance` and `_kept`.
+def _fence(distance: str, least: float) -> Column:
+    low, high = F.percentile(distance, F.lit(0.25)), F.percentile(distance, F.lit(0.75))
+    return F.greatest(F.lit(least), F.coalesce(high + FENCE * (high - low), F.lit(least)))
+
 
-    A document of a language without a reference, or of none, is held against all documents together. Documents under a
-    minimum length, and empty ones, have a distance of 0; null texts are empty. Rows with equal text and lang get equal
-    verdicts.
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """`_row` (all columns of docs, or those in `keep`), `_base` (the base measures), `_class_distance`, `_word_distance` and `_kept`.
+
+    A document of a language without a reference, or of none, is held against all documents together. Texts under a
+    minimum length, and those that fail the base rules, have null distances; null texts are empty. Rows with equal text
+    and lang get equal verdicts; repeated rows stay; an empty table gives no rows.
     """
-    known = refs.where("lang is not null").select(F.col("lang").alias("_lang"), F.col("classes").alias("_rc"), F.col("common").alias("_rw"))
-    whole = refs.where("lang is null").select(F.col("classes").alias("_pc"), F.col("common").alias("_pw"))
-    rows = docs.join(F.broadcast(known), docs["lang"] == F.col("_lang"), "left").join(F.broadcast(whole))  # a row for each language, and one row
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = rows.withColumn("_base", base_measures(text)).withColumn("_class_distance", class_distance(text, F.coalesce("_rc", "_pc"))).withColumn("_word_distance", word_distance(text, F.coalesce("_rw", "_pw")))
-    return rows.withColumn("_kept", ~F.col("_base.base_failed") & (F.col("_class_distance") <= MAX_CLASS_DISTANCE) & (F.col("_word_distance") <= MAX_WORD_DISTANCE)).drop("_lang", "_rc", "_rw", "_pc", "_pw")
+    measured = _measured(docs)
+    refs = references(measured)
+    known = refs.where("lang is not null").select(F.col("lang").alias("_lang"), *[F.col(c).alias(f"_{c}_of") for c in ("classes", "words", "shares")])
+    whole = refs.where("lang is null").select(*[F.col(c).alias(f"_{c}_all") for c in ("classes", "words", "shares")])
+    rows = measured.join(known, F.col("_row.lang") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")  # `whole` is one row
+    of = lambda c: F.coalesce(f"_{c}_of", f"_{c}_all")
+    text = F.coalesce("_row.text", F.lit(""))
+    rows = rows.select(
+        F.struct(*[F.col(f"_row.`{c}`") for c in keep]).alias("_row") if keep else "_row", "_base", F.col("_row.lang").alias("_lang"),
+        F.when(~F.col("_base.base_failed") & (F.length(text) >= LEAST_CHARS), class_distance(F.col("_classes"), of("classes"))).alias("_class_distance"),
+        F.when(~F.col("_base.base_failed"), word_distance(text, of("words"), of("shares"))).alias("_word_distance"),
+    )
+    rows = written(rows, "distances")
+    bounds = rows.groupBy(F.col("_lang").alias("_of")).agg(_fence("_class_distance", LEAST_CLASS_BOUND).alias("_class_bound"), _fence("_word_distance", LEAST_WORD_BOUND).alias("_word_bound"))  # a row for each language
+    near = lambda d, b: F.coalesce(F.col(d) <= F.col(b), F.lit(True))
+    return rows.join(bounds, F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("_kept", ~F.col("_base.base_failed") & near("_class_distance", "_class_bound") & near("_word_distance", "_word_bound"))
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every document."""
-    docs = docs.select("doc_id", "lang", "text")
-    return judged(docs, references(docs)).select("doc_id", "_base.*", F.col("_kept").alias("kept"))
+    return judged(docs.select("doc_id", "lang", "text"), ["doc_id"]).select("_row.doc_id", "_base.*", F.col("_kept").alias("kept"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, as they are."""
-    packed = docs.select("lang", "text", F.struct("*").alias("_row"))  # columns of any name stay apart
-    return judged(packed, references(docs)).where("_kept").select("_row.*")
+    return judged(docs).where("_kept").select("_row.*")
 
 
 def op10_distribution_divergence(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, with its base measures and the verdict; edge cases as in `judged`."""
     return rules(table(spark, sf_dir, "documents"))
 
 
@@ -190,7 +213,7 @@ def _oracle() -> str:
     half = "(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2"
     quoted = lambda x: x.replace("'", "''")
     known = [f"len(regexp_extract_all(text, '{quoted(p)}'))" for p in CLASSES.values()]
-    listed = ", ".join(f"'{w}'" for w in WORDS)
+    fence = lambda d, least: f"greatest({least}, coalesce(quantile_cont({d}, 0.75) + {FENCE} * (quantile_cont({d}, 0.75) - quantile_cont({d}, 0.25)), {least}))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 m AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
@@ -201,14 +224,17 @@ base AS (SELECT m.*, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words FROM m LEFT JOIN repeated USING (rid)),
 c0 AS (SELECT rid, lang, length(text) AS size, unnest([{', '.join(known)}, length(text) - ({' + '.join(known)})]) AS c, unnest(range({len(_BINS)})) AS k FROM d),
 cref AS (SELECT lang, k, c / greatest(sum(c) OVER (PARTITION BY lang), 1) AS q FROM (SELECT lang, k, sum(c) AS c FROM c0 WHERE lang IS NOT NULL GROUP BY lang, k UNION ALL SELECT NULL, k, sum(c) FROM c0 GROUP BY k)),
-cd AS (SELECT rid, sqrt(greatest(0, least(1, sum({half})))) AS dist FROM (SELECT rid, c / greatest(size, 1) AS p, q FROM c0 JOIN cref r ON r.lang IS NOT DISTINCT FROM c0.lang AND r.k = c0.k) GROUP BY rid),
-t0 AS (SELECT rid, lang, CASE WHEN t IN ({listed}) THEN t ELSE '' END AS b FROM (SELECT rid, lang, unnest(tokens) AS t FROM m)),
-wref AS (SELECT lang, b, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM (SELECT lang, b, count(*) AS n FROM t0 WHERE lang IS NOT NULL GROUP BY lang, b UNION ALL SELECT NULL, b, count(*) FROM t0 GROUP BY b)),
-hist AS (SELECT rid, b, count(*) AS n FROM t0 GROUP BY rid, b),
-wd AS (SELECT rid, sqrt(greatest(0, least(1, sum({half})))) AS dist FROM (SELECT m.rid, coalesce(h.n, 0) / len(tokens) AS p, q FROM m JOIN wref r ON r.lang IS NOT DISTINCT FROM m.lang LEFT JOIN hist h ON h.rid = m.rid AND h.b = r.b WHERE len(tokens) > 0) GROUP BY rid),
-judged AS (SELECT base.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, CASE WHEN length(text) >= {LEAST_CHARS} THEN cd.dist ELSE 0 END AS a, CASE WHEN len(tokens) >= {LEAST_JUDGED_WORDS} THEN wd.dist ELSE 0 END AS b
-  FROM base LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND a <= {MAX_CLASS_DISTANCE} AND b <= {MAX_WORD_DISTANCE} AS kept FROM judged
+cd AS (SELECT rid, round(sqrt(greatest(0, least(1, sum({half})))), {DECIMALS}) AS dist FROM (SELECT rid, c / greatest(size, 1) AS p, q FROM c0 JOIN cref r ON r.lang IS NOT DISTINCT FROM c0.lang AND r.k = c0.k) GROUP BY rid),
+t0 AS (SELECT rid, lang, unnest(tokens) AS t FROM m),
+n0 AS (SELECT lang, t, count(*) AS n FROM t0 WHERE lang IS NOT NULL GROUP BY lang, t UNION ALL SELECT NULL, t, count(*) FROM t0 GROUP BY t),
+top AS (SELECT lang, t AS b, n / sum(n) OVER (PARTITION BY lang) AS q, row_number() OVER (PARTITION BY lang ORDER BY n DESC, t) AS k FROM n0),
+wref AS (SELECT lang, b, q FROM top WHERE k <= {COMMON_WORDS} UNION ALL SELECT lang, NULL, greatest(0, 1 - sum(q)) FROM top WHERE k <= {COMMON_WORDS} GROUP BY lang),
+hist AS (SELECT t0.rid, r.b, count(*) AS n FROM t0 LEFT JOIN wref r ON r.lang IS NOT DISTINCT FROM t0.lang AND r.b = t0.t GROUP BY t0.rid, r.b),
+wd AS (SELECT rid, round(sqrt(greatest(0, least(1, sum({half})))), {DECIMALS}) AS dist FROM (SELECT m.rid, coalesce(h.n, 0) / len(tokens) AS p, q FROM m JOIN wref r ON r.lang IS NOT DISTINCT FROM m.lang LEFT JOIN hist h ON h.rid = m.rid AND h.b IS NOT DISTINCT FROM r.b WHERE len(tokens) > 0) GROUP BY rid),
+j0 AS (SELECT base.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, cd.dist AS cdist, wd.dist AS wdist FROM base LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)),
+judged AS (SELECT *, CASE WHEN NOT base_failed AND length(text) >= {LEAST_CHARS} THEN cdist END AS a, CASE WHEN NOT base_failed AND len(tokens) >= {LEAST_JUDGED_WORDS} THEN wdist END AS b FROM j0),
+bounds AS (SELECT lang, {fence('a', LEAST_CLASS_BOUND)} AS fa, {fence('b', LEAST_WORD_BOUND)} AS fb FROM judged GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(a <= fa, true) AND coalesce(b <= fb, true) AS kept FROM judged LEFT JOIN bounds ON bounds.lang IS NOT DISTINCT FROM judged.lang
 """
 
 
