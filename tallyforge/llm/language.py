@@ -302,12 +302,9 @@ def predictor(docs: DataFrame, train):
         model = Labeller(*shared.value)
         for batch in batches:
             texts = batch.to_pylist()
-            labels, scores = [], [np.zeros(0)]
             for a, b in tv.slices(texts, GROUP_CHARS):
                 label, score = model.predicted(texts[a:b])
-                labels += label
-                scores.append(score)
-            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
+                yield pa.StructArray.from_arrays([pa.array(label, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     return predict.asNondeterministic()
 

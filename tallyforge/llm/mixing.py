@@ -6,7 +6,8 @@ of the shards' tokens. A shard's documents, in a seeded order, form a row of tok
 seeded permutation of block numbers says which blocks are taken, or taken once more. Documents get what their share of
 the taken blocks holds: whole passes over a block come first, so no token is taken more than twice.
 
-Only counts are shuffled for the apportionment; a hot source has many shards, each a task's worth.
+Only counts are shuffled for the apportionment; a hot source has many shards, each a task's worth. There is one row for
+each source, and one for each shard of a source (half the root of its documents); joins with them are left to Spark.
 """
 
 from __future__ import annotations
@@ -72,9 +73,13 @@ def _apportioned(weights: pd.Series, seats: pd.Series, most: pd.Series) -> pd.Se
     return pd.Series([apportion(np.asarray(w, float), int(s), np.asarray(m, np.int64)) for w, s, m in zip(weights, seats, most, strict=True)])
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with `_size`, the words of its text (null: 0)."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def sized(docs: DataFrame, *others: str) -> DataFrame:
+    """docs with `_size`, the words of its text (null: 0), `_tie`, a hash of the text, and `_last`, one of other columns.
+
+    Rows of one id are told apart by these, so reruns agree; rows that are equal in all of that are alike in the mix.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumn("_size", size).withColumn("_tie", F.xxhash64("text")).withColumn("_last", F.xxhash64(*others) if others else F.lit(0).cast("long"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -100,8 +105,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (doc_id, source, _size, any others) with source_size, target, and `_blocks`: the row's part of each block as
-    structs (begin, end, times), in words of the row. sizes: the same rows' source, doc_id and _size, to count over."""
+    """rows (doc_id, source, _size, _tie, _last, any others) with source_size, target, and `_blocks`: the row's part of each block
+    as structs (begin, end, times), in words of the row. sizes: the same rows' source, doc_id, _size, _tie and _last, to count over."""
     by = targets(sizes).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("all") / MIN_BLOCKS))).cast("long")).withColumn("shards", F.ceil(F.sqrt("n_docs") / 2).cast("int"))
     seats = by.groupBy("block", "all").agg(F.sort_array(F.collect_list(F.struct("s", "target", "source_size"))).alias("a"))
     seats = seats.withColumn("q", _apportioned(F.col("a.target"), F.round(SHARE * F.col("all") / F.col("block")).cast("long"), F.transform("a.source_size", lambda x: MOST * F.greatest(F.lit(1).cast("long"), F.round(x / F.col("block")).cast("long")))))
@@ -109,16 +114,16 @@ def planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     by = written(by.join(seats, "s"), "sources")
 
     def sharded(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(by.select(F.col("source").alias("_source"), "s", "shards", "source_size", "target")), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("shards")).cast("int"))
+        return df.join(by.select(F.col("source").alias("_source"), "s", "shards", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "_tie"), F.col("shards")).cast("int"))
 
-    held = sharded(sizes).groupBy("s", "shard").agg(F.sum("_size").alias("words")).join(F.broadcast(by.select("s", "seats", "block")), "s")
+    held = sharded(sizes).groupBy("s", "shard").agg(F.sum("_size").alias("words")).join(by.select("s", "seats", "block"), "s")
     held = held.withColumn("n", F.greatest(F.lit(1).cast("long"), F.round(F.col("words") / F.col("block")).cast("long")))
     held = held.groupBy("s", "seats").agg(F.sort_array(F.collect_list(F.struct("shard", "words", "n"))).alias("a"))
     held = held.withColumn("q", _apportioned(F.col("a.words").cast("array<double>"), F.col("seats"), F.transform("a.n", lambda n: MOST * n)))
     held = held.select("s", F.explode(F.arrays_zip(F.col("a.shard").alias("shard"), F.col("a.words").alias("words"), F.col("a.n").alias("n"), "q")).alias("z")).select("s", "z.*")
     step = F.element_at(F.array(*[F.lit(p) for p in STEPS]), (F.pmod(F.xxhash64(F.lit(SEED + 1), "s", "shard"), F.lit(len(STEPS))) + 1).cast("int"))
     held = held.select("s", "shard", "words", "n", F.floor(F.col("q") / F.col("n")).alias("base"), (F.col("q") % F.col("n")).alias("more"), (step % F.col("n")).alias("step"), F.pmod(F.xxhash64(F.lit(SEED + 2), "s", "shard"), F.col("n")).alias("off"))
-    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64(F.lit(SEED + 3), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64(F.lit(SEED + 3), "doc_id", "_tie"), "doc_id", "_tie", "_size", "_last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = sharded(rows).withColumn("_end", F.sum("_size").over(order)).withColumn("_begin", F.col("_end") - F.col("_size")).join(held, ["s", "shard"])
     # block k of a shard holds words floor(k W / n) up to floor((k + 1) W / n)
     parts = F.expr("""
@@ -127,53 +132,62 @@ def planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
             k -> struct(greatest(_begin, (k * words) div n) - _begin AS begin, least(_end, ((k + 1) * words) div n) - _begin AS end,
                         base + IF(pmod(step * k + off, n) < more, 1, 0) AS times))
         ELSE cast(array() AS array<struct<begin: bigint, end: bigint, times: bigint>>) END""")
-    return at.withColumn("_blocks", parts).drop("_source", "s", "shard", "shards", "words", "n", "base", "more", "step", "off", "_begin", "_end")
+    return at.withColumn("_blocks", parts).drop("_source", "s", "shard", "shards", "words", "n", "base", "more", "step", "off", "_begin", "_end", "_tie", "_last")
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document. Empty texts have size 0 and give nothing."""
-    sizes = written(sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "_size"), "sizes")
+    """(doc_id, size, source_size, target, taken) of every document; ids must be whole numbers or null.
+
+    Null and empty texts have size 0 and give nothing; a null source is a source of its own, the last one; rows of one id
+    count each by their own text; an empty table gives no rows. Reruns agree, however the rows are dealt.
+    """
+    sizes = written(sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).select("doc_id", "source", "_size", "_tie", "_last"), "sizes")
     taken = F.aggregate("_blocks", F.lit(0).cast("long"), lambda t, b: t + (b["end"] - b["begin"]) * b["times"])
     return planned(sizes, sizes).select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each pass over a document: its text, or the parts of it that the pass takes, joined by new lines."""
-    pattern = regex.compile(WORD)
-    for batch in batches:
-        names = batch.schema.names
-        text, blocks = batch.column(names.index("text")).to_pylist(), batch.column(names.index("__blocks")).to_pylist()
-        keep, out = [], []
-        for i, (t, parts) in enumerate(zip(text, blocks, strict=True)):
-            words = None
-            for turn in range(1, 1 + max((p["times"] for p in parts), default=0)):
-                spans: list[list[int]] = []
-                for p in parts:
-                    if p["times"] >= turn and p["end"] > p["begin"]:
-                        if spans and spans[-1][1] == p["begin"]:
-                            spans[-1][1] = p["end"]
-                        else:
-                            spans.append([p["begin"], p["end"]])
-                if not spans:
-                    continue
-                if len(spans) == 1 and spans[0] == [0, parts[-1]["end"]]:
-                    out.append(t)
+def _passes(text: str | None, parts: list[dict], pattern: regex.Pattern) -> list[str | None]:
+    """What each pass over a text takes: the text itself (null), or the parts that the pass takes, joined by new lines."""
+    words, out = None, []
+    for turn in range(1, 1 + max((p["times"] for p in parts), default=0)):
+        spans: list[list[int]] = []
+        for p in parts:
+            if p["times"] >= turn and p["end"] > p["begin"]:
+                if spans and spans[-1][1] == p["begin"]:
+                    spans[-1][1] = p["end"]
                 else:
-                    words = words or [m.span() for m in pattern.finditer(t)]
-                    out.append("\n".join(t[words[a][0] : words[b - 1][1]] for a, b in spans))
-                keep.append(i)
-        rows = batch.take(pa.array(keep, pa.int64())).drop_columns(["__blocks"])
-        cols = [pa.array(out, pa.string()) if c == "text" else pa.array([len(t) for t in out], pa.int64()) if c == "n_chars" else rows.column(k) for k, c in enumerate(rows.schema.names)]
-        yield pa.RecordBatch.from_arrays(cols, names=rows.schema.names)
+                    spans.append([p["begin"], p["end"]])
+        if len(spans) == 1 and spans[0] == [0, parts[-1]["end"]]:
+            out.append(None)
+        elif spans:
+            words = words or [m.span() for m in pattern.finditer(text)]
+            out.append("\n".join(text[words[a][0] : words[b - 1][1]] for a, b in spans))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    pattern = regex.compile(WORD)
+    for text, blocks in batches:
+        for k in range(0, len(text), 500):
+            yield pa.array([_passes(t, parts, pattern) for t, parts in zip(text.slice(k, 500).to_pylist(), blocks.slice(k, 500).to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself, with docs' columns: a row for each pass over a document (at most two), with what the pass takes."""
-    own = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))).drop("text")  # columns of any name stay apart
-    rows = planned(own, own.drop("_row")).select("_row.*", F.col("_blocks").alias("__blocks"))
-    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_cut, schema)
+    """The mix itself, with docs' columns: a row for each pass over a document (at most two), with what the pass takes.
+
+    Edge cases as in `mix_counts`. n_chars, where docs has it, is that of the new text; all other columns stay as they are,
+    whatever their names. Only texts and block numbers go through Python.
+    """
+    simple = [c for c, kind in ((f.name, f.dataType.simpleString()) for f in docs.schema.fields) if "map<" not in kind and "variant" not in kind]
+    own = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))  # columns of any name stay apart
+    own = sized(own, *[f"_row.`{c}`" for c in simple]).drop("text")
+    rows = planned(own, own.drop("_row")).select("_row", F.explode(_cut("_row.text", "_blocks")).alias("_part"))
+    text = F.coalesce("_part", "_row.text")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken; edge cases as in `mix_counts`."""
     return mix_counts(table(spark, sf_dir, "documents"))

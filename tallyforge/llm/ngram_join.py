@@ -1,8 +1,8 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Each distinct shingle set is indexed by a prefix of its shingles, rarest first. Index lists carry the size and position
-of each entry; entries lie in blocks by size, and an entry's size and position say which blocks it is compared with, so
-that all others are skipped.
+of each entry; entries lie in blocks by size and position, and an entry's own size and position say which blocks it is
+compared with, so that all others are skipped.
 
 The join (`links`, `link_counts`) gives every pair of sets that meets the threshold. A set's answers are derived from
 those of its leader: the distance 1 - Jaccard is a metric, so two sets' exact distances to one leader often settle
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import textvec as tv
@@ -36,8 +36,12 @@ MAX_FREQUENT = 400_000
 FREQUENT_FROM = 12
 #: Rounds of comparing sets with their lists' leaders before all pairs of different classes are compared.
 MAX_LEADERS = 4
-#: Size of the bit array that tells which documents' texts are to be compared; where it fills up, more texts are read.
-FILTER_BITS = 1 << 23
+#: Largest bit array (16 MB) that tells which documents' texts are to be compared, and its bits a document; beyond that the
+#: texts are found by a join.
+MOST_BITS, BITS_EACH = 1 << 27, 16
+#: Keys that hold at least so many rows, and at least one in so many of all rows, are looked up in a table that all tasks
+#: have: it has no more than MOST_HOT rows.
+LEAST_HOT, MOST_HOT = 1_000, 10_000
 _STEP = [tv.U64(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -139,29 +143,31 @@ def _prefixes(frequent: np.ndarray, levels: np.ndarray):
     return run
 
 
-def _bit(column: str = "doc_id"):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
 def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(sid, text) of the documents in named, and of few others: ids are told as a bit array of fixed size."""
-    words = named.select((_bit() / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most FILTER_BITS / 64 rows
-        bits[r["w"]] = r["b"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """(sid, text) of the documents in named, and of few others: ids are told as a bit array that follows their number."""
+    held = named.count()
+    n_bits = 1 << max(16, (BITS_EACH * held).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((held[at // 64] >> (at % 64)) & 1 == 1))
+            if shared is not None:
+                at = batch.column(1).to_numpy()
+                batch = batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1))
             texts = batch.column(0).to_pylist()
             for a, b in tv.slices(texts):
                 sid = shingle_sets(texts[a:b])[3].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(texts[a:b], pa.string())], names=["sid", "text"])
 
-    return docs.where("doc_id is not null").select("text", _bit().alias("at")).mapInArrow(run, "sid long, text string")
+    if n_bits > MOST_BITS:
+        shared = None
+        return docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("text", F.lit(0).alias("at")).mapInArrow(run, "sid long, text string")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))
+    words = named.select(F.floor(bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {n_bits}) % 64 as int))").alias("b"))
+    bits = np.zeros(n_bits // 64, np.int64)
+    for part in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # at most MOST_BITS / 64 rows
+        bits[part["w"]] = part["b"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return docs.where("doc_id is not null").select("text", bit.alias("at")).mapInArrow(run, "sid long, text string")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +227,14 @@ def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
 
 def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries of the lists that still hold two classes or more."""
-    own = lists.join(roots, lists.sid == roots.node, "left").select("token", "sid", "n", "pos", "held", F.coalesce("root", "sid").alias("class"))
-    per = Window.partitionBy("token")
-    return own.withColumn("lo", F.min("class").over(per)).withColumn("hi", F.max("class").over(per)).where("lo < hi").drop("lo", "hi")
+    own = written(lists.join(roots, lists.sid == roots.node, "left").select("token", "sid", "n", "pos", "held", F.coalesce("root", "sid").alias("class")), "classed")
+    return _several(own, "class")
+
+
+def _several(entries: DataFrame, column: str) -> DataFrame:
+    """Entries of the lists in which `column` has two values or more; counted by partial aggregates, so a long list is no task's own."""
+    mixed = entries.groupBy("token").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo < hi").select("token")
+    return entries.join(mixed, "token", "left_semi")
 
 
 def _rest(n):
@@ -246,10 +257,9 @@ def _led(lists: DataFrame, seed: int) -> DataFrame:
     A list's leader is first (seed 0) the set with the largest share of its prefix in lists, which the centre of a group of
     near copies has, then the least one by a seeded order.
     """
-    per = Window.partitionBy("token")
     order = -F.col("held") if seed == 0 else F.xxhash64(F.lit(seed), "sid").cast("double")
-    lead = F.min(F.struct(order.alias("o"), "sid", "n", "class")).over(per)
-    votes = lists.withColumn("lead", lead).where(F.expr(f"lead.class <> class and 100 * least(n, lead.n) >= {PERCENT} * greatest(n, lead.n)")).groupBy("sid", F.col("lead.sid").alias("other")).agg(F.count("*").alias("votes"))
+    leads = lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), "sid", "n", "class")).alias("lead"))
+    votes = lists.join(leads, "token").where(F.expr(f"lead.class <> class and 100 * least(n, lead.n) >= {PERCENT} * greatest(n, lead.n)")).groupBy("sid", F.col("lead.sid").alias("other")).agg(F.count("*").alias("votes"))
     pairs = votes.groupBy("sid").agg(F.max_by("other", F.struct("votes", "other")).alias("other")).withColumnRenamed("sid", "x").withColumnRenamed("other", "y")
     return _possible(pairs, lists)
 
@@ -269,14 +279,20 @@ def _across(lists: DataFrame) -> DataFrame:
     still follows; entries further back, which for most pairs that fall short are all they share, are skipped. So with its
     size, an entry's position gives the largest set it can lead to, and with that the blocks to look into.
     """
-    block = lambda n: F.floor(F.log(n) / F.lit(math.log(100 / PERCENT) / 2))
+    base = 100 / PERCENT
+    block = lambda n: F.floor(F.log(n) / F.lit(math.log(base) / 2))
+    depth = lambda pos: F.floor(F.log2(pos + 1))
     least = F.ceil(F.lit(PERCENT) * F.col("n") / 100 - 1e-9)
     most = F.least(F.col("n"), F.floor(F.lit(100 + PERCENT) * (F.col("n") - F.col("pos")) / PERCENT + 1e-9) - F.col("n"))
-    l = lists.where(most >= least).withColumn("block", F.explode(F.sequence(block(least), block(most)))).alias("l")
-    r = lists.withColumn("block", block(F.col("n"))).alias("r")
+    l = lists.where(most >= least).withColumn("block", F.explode(F.sequence(block(least), block(most))))
+    # the largest set of a block may share its entry at this position at the latest, if enough is to follow
+    largest = F.least(F.col("n"), F.ceil(F.pow(F.lit(base), (F.col("block") + 1) / 2)))
+    latest = F.floor(largest - F.lit(PERCENT) * (F.col("n") + largest) / (100 + PERCENT) + 1e-9)
+    l = l.where(latest >= 0).withColumn("depth", F.explode(F.sequence(F.lit(0).cast("long"), depth(latest)))).alias("l")
+    r = lists.withColumn("block", block(F.col("n"))).withColumn("depth", depth(F.col("pos"))).alias("r")
     need = F.ceil(F.lit(PERCENT) * (F.col("l.n") + F.col("r.n")) / (100 + PERCENT) - 1e-9)
     pairs = (
-        l.join(r, ["token", "block"])
+        l.join(r, ["token", "block", "depth"])
         .where("l.class <> r.class and (l.n > r.n or l.n = r.n and l.sid > r.sid)")
         .where(100 * F.col("r.n") >= PERCENT * F.col("l.n"))
         .where((F.col("l.n") - F.col("l.pos") >= need) & (F.col("r.n") - F.col("r.pos") >= need))
@@ -307,8 +323,7 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str):
         yield from _prefixes(*shared.value)(batches)
 
     entries = docs.select("text").mapInArrow(prefixes, "token long, sid long, n int, pos int")
-    per = Window.partitionBy("token")
-    lists = written(entries.withColumn("lo", F.min("sid").over(per)).withColumn("hi", F.max("sid").over(per)).where("lo < hi").drop("lo", "hi").distinct(), "lists")
+    lists = written(_several(written(entries, "entries"), "sid").distinct(), "shared-lists")
 
     prefix = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100 - 1e-9) + 1
     share = lists.groupBy("sid", "n").agg(F.count("*").alias("held")).select("sid", (F.col("held") / prefix).alias("held"))
@@ -397,25 +412,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             up = new.select(F.col("x").alias("node"), F.col("y").alias("root"))
             roots = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         open_lists, seed = written(_open(lists, roots), "open"), seed + 1
-    roots = components(links) if links is not None else None
-    known = sets.where("n > 0")
-    known = known.join(roots, known.sid == roots.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("class")) if roots is not None else known.select("doc_id", "n", F.col("sid").alias("class"))
-    lowest = known.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(lowest, "class").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    own = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("held"))
+    if links is None:
+        found = own.select("sid", F.col("doc_id").alias("component_id"), "held")
+    else:
+        roots = components(links)
+        own = written(own.join(roots, own.sid == roots.node, "left").select("sid", "doc_id", "held", F.coalesce("root", "sid").alias("class")), "classes")
+        lowest = own.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+        found = _looked_up(own, "class", lowest).select("sid", "component_id", "held")
+    found = found.withColumnRenamed("held", "rows")
+    out = _looked_up(sets.where("n > 0"), "sid", found).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.union(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def _looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """rows with what values has for their key; values: one row for each key, `rows` says how many of rows have it."""
+    values = written(values, "values")
+    least = max(LEAST_HOT, (values.agg(F.sum("rows")).first()[0] or 0) // MOST_HOT)
+    hot = values.where(F.col("rows") >= least)  # at most MOST_HOT rows
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(F.col("rows") < least), key)
+    return many.unionByName(few)
+
+
 def near_duplicate_representatives(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest id stays, with its columns as they are.
 
     Rows with a null id have no group and stay; of rows that share an id, all stay if that id is its group's smallest.
     """
     found = jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select("doc_id", F.struct("*").alias("row"))  # columns of any name stay apart
+    return rows.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id; edge cases as in `jaccard_components`."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
