@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import textvec as tv
-from tallyforge.llm.shared import crc_mod, table
+from tallyforge.llm.shared import crc_mod, table, written
 
 #: The fit sees about this many labelled documents a language, and one window of so many characters of each; the window
 #: lies at a hash of the id. Predictions read whole texts. Every learned lang value can be predicted.
@@ -28,7 +28,7 @@ SAMPLE_CHARS = 8_000
 BUCKETS = 1 << 16
 #: Training sequences: words in each, chance that the language may change at a word, sequences a step, steps.
 LENGTH, CHANGE, BATCH, STEPS = 32, 0.05, 160, 150
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 2_000_000
 MAX_WORDS = 400_000
 _LETTER: list[np.ndarray] = []
 
@@ -204,7 +204,7 @@ def fit(texts: list[str], labels: np.ndarray, n_labels: int, seed: int = 7) -> t
 def training_sample(docs: DataFrame, train) -> DataFrame:
     """(text, lang) of about SAMPLE_PER_LANGUAGE documents for each language, one window of each, by a hash of the id."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    share = rows.groupBy("lang").agg((F.lit(SAMPLE_PER_LANGUAGE * 1_000_000) / F.count("*")).alias("_share"))
+    share = written(rows.groupBy("lang").agg((F.lit(SAMPLE_PER_LANGUAGE * 1_000_000) / F.count("*")).alias("_share")), "languages")  # so Spark knows its size
     place = F.xxhash64("doc_id", F.lit(11))
     begin = F.pmod(F.shiftright(place, 20), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS) + 1)).cast("int") + 1
     return rows.join(share, "lang").where(F.pmod(place, F.lit(1_000_000)) < F.col("_share")).select(F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
@@ -302,9 +302,12 @@ def predictor(docs: DataFrame, train):
         model = Labeller(*shared.value)
         for batch in batches:
             texts = batch.to_pylist()
-            for a, b in tv.slices(texts, GROUP_CHARS):
-                label, score = model.predicted(texts[a:b])
-                yield pa.StructArray.from_arrays([pa.array(label, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+            labels, scores = np.empty(len(texts), object), np.zeros(len(texts))
+            order = np.argsort([len(t) if t else 0 for t in texts], kind="stable")  # texts of like length step together
+            sorted_texts = [texts[i] for i in order]
+            for a, b in tv.slices(sorted_texts, GROUP_CHARS):
+                labels[order[a:b]], scores[order[a:b]] = model.predicted(sorted_texts[a:b])
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     return predict.asNondeterministic()
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import textvec as tv
@@ -36,6 +36,10 @@ MAX_FREQUENT = 400_000
 FREQUENT_FROM = 12
 #: Rounds of comparing sets with their lists' leaders before all pairs of different classes are compared.
 MAX_LEADERS = 4
+#: A shingle known to be in 2 ** HOT_LEVEL sets or more has a list that is dealt over SALTS tasks; what a task remembers of
+#: sets and shingles it has seen, to tell fewer things twice.
+HOT_LEVEL, SALTS = 10, 64
+MOST_SEEN, MOST_HELD = 250_000, 2_000_000
 #: Largest bit array (16 MB) that tells which documents' texts are to be compared, and its bits a document; beyond that the
 #: texts are found by a join.
 MOST_BITS, BITS_EACH = 1 << 27, 16
@@ -93,19 +97,19 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _signed(h), pa.array(count.astype(np.int64)), pa.array(np.zeros(len(h), np.int64))], names=names)
 
     for batch in batches:
-        texts, ids = batch.column(1).to_pylist(), batch.column(0)
-        for a, b in tv.slices(texts):
-            doc, h, size, sid = shingle_sets(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in tv.parts(batch.column(1)):
+            doc, h, size, sid = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), ids.slice(a, b - a).cast(pa.int64()), _signed(sid), pa.array(size.astype(np.int64))], names=names)
             new = np.zeros(b - a, bool)
             for k, s in enumerate(sid.tolist()):
                 new[k] = s not in seen
                 seen.add(s)
-            if len(seen) > 1_000_000:
+            if len(seen) > MOST_SEEN:
                 seen.clear()
             held.append(h[new[doc]])
             n_held += len(held[-1])
-            if n_held > 6_000_000:
+            if n_held > MOST_HELD:
                 yield common()
                 n_held = 0
     if held:
@@ -118,27 +122,27 @@ def _prefixes(frequent: np.ndarray, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in tv.slices(texts):
-                doc, h, size, sid = shingle_sets(texts[a:b])
+            for a, b, texts in tv.parts(batch.column(0)):
+                doc, h, size, sid = shingle_sets(texts)
                 new = np.zeros(b - a, bool)
                 for k, s in enumerate(sid.tolist()):
                     new[k] = s not in seen and size[k] > 0
                     seen.add(s)
-                if len(seen) > 1_000_000:
+                if len(seen) > MOST_SEEN:
                     seen.clear()
                 doc, h = doc[new[doc]], h[new[doc]]
                 level = np.zeros(len(h), tv.U64)
                 if len(frequent) and len(h):
                     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                     level = np.where(frequent[at] == h, levels[at], 0).astype(tv.U64)
+                hot = level >= HOT_LEVEL
                 order = np.lexsort(((level << tv.U64(57)) | (h >> tv.U64(7)), doc))
-                doc, h = doc[order], h[order]
+                doc, h, hot = doc[order], h[order], hot[order]
                 at = np.arange(len(h)) - np.searchsorted(doc, doc)
                 n = size[doc]
                 keep = at < n - (PERCENT * n + 99) // 100 + 1
-                doc, h, at = doc[keep], h[keep], at[keep]
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(sid[doc]), pa.array(size[doc].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "sid", "n", "pos"])
+                doc, h, at, hot = doc[keep], h[keep], at[keep], hot[keep]
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(sid[doc]), pa.array(size[doc].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(hot)], names=["token", "sid", "n", "pos", "hot"])
 
     return run
 
@@ -153,10 +157,9 @@ def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
             if shared is not None:
                 at = batch.column(1).to_numpy()
                 batch = batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1))
-            texts = batch.column(0).to_pylist()
-            for a, b in tv.slices(texts):
-                sid = shingle_sets(texts[a:b])[3].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(texts[a:b], pa.string())], names=["sid", "text"])
+            for _, _, texts in tv.parts(batch.column(0)):
+                sid = shingle_sets(texts)[3].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(texts, pa.string())], names=["sid", "text"])
 
     if n_bits > MOST_BITS:
         shared = None
@@ -322,8 +325,11 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str):
     def prefixes(batches):
         yield from _prefixes(*shared.value)(batches)
 
-    entries = docs.select("text").mapInArrow(prefixes, "token long, sid long, n int, pos int")
-    lists = written(_several(written(entries, "entries"), "sid").distinct(), "shared-lists")
+    entries = docs.select("text").mapInArrow(prefixes, "token long, sid long, n int, pos int, hot boolean")
+    # a list with one set leads nowhere; a hot one has more, whatever part of it a task sees
+    per = Window.partitionBy("token", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0))
+    several = entries.withColumn("lo", F.min("sid").over(per)).withColumn("hi", F.max("sid").over(per)).where("lo < hi or hot").select("token", "sid", "n", "pos")
+    lists = written(several.distinct(), "shared-lists")
 
     prefix = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100 - 1e-9) + 1
     share = lists.groupBy("sid", "n").agg(F.count("*").alias("held")).select("sid", (F.col("held") / prefix).alias("held"))

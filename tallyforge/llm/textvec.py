@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_CHARS = 1_000_000
@@ -53,6 +55,16 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield begin, len(texts)
 
 
+def parts(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Index ranges of a column with about `limit` characters each, and the texts of each; no more than that is held."""
+    ends = np.cumsum(pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = min(len(ends), int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit)) + 1)
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
+
+
 def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row (null: none), and the n + 1 bounds of the texts."""
     bounds = np.zeros(len(texts) + 1, np.int64)
