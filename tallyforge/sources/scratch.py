@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group.
+ROW_GROUP = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset: a new local one in local mode, an error on a cluster."""
     context = spark.sparkContext
@@ -30,8 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
 
-    Unlike a checkpoint, the table read again carries nothing of the plan it came from. The files stay for the session.
+    Unlike a checkpoint, the table read again carries nothing of the plan it came from. Row groups are small, so that
+    writers hold little and a file can be dealt to several tasks. The files stay for the session.
     """
-    path, schema = scratch(df.sparkSession, name), df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files once their plan is collected: what is on disk here needs them no more
+    return spark.read.schema(schema).parquet(path)
