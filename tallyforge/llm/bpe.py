@@ -192,9 +192,8 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path)[0]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in tv.slices(texts):
-                ids, counts = encode(texts[a:b], path)
+            for a, b, texts in tv.parts(batch.column(1)):
+                ids, counts = encode(texts, path)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(counts.astype(np.int64)), sha(own.decimals.join(ids, counts)), sha(own.strings.join(ids, counts))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -205,9 +204,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in tv.slices(texts):
-                ids, counts = encode(texts[a:b], tokenizer)
+            for a, b, texts in tv.parts(batch.column(1)):
+                ids, counts = encode(texts, tokenizer)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 

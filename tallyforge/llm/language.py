@@ -28,8 +28,8 @@ SAMPLE_CHARS = 8_000
 BUCKETS = 1 << 16
 #: Training sequences: words in each, chance that the language may change at a word, sequences a step, steps.
 LENGTH, CHANGE, BATCH, STEPS = 32, 0.05, 160, 150
-GROUP_CHARS = 2_000_000
-MAX_WORDS = 400_000
+PART_CHARS, GROUP_CHARS = 8_000_000, 2_000_000
+MAX_WORDS = 200_000
 _LETTER: list[np.ndarray] = []
 
 
@@ -301,13 +301,13 @@ def predictor(docs: DataFrame, train):
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Labeller(*shared.value)
         for batch in batches:
-            texts = batch.to_pylist()
-            labels, scores = np.empty(len(texts), object), np.zeros(len(texts))
-            order = np.argsort([len(t) if t else 0 for t in texts], kind="stable")  # texts of like length step together
-            sorted_texts = [texts[i] for i in order]
-            for a, b in tv.slices(sorted_texts, GROUP_CHARS):
-                labels[order[a:b]], scores[order[a:b]] = model.predicted(sorted_texts[a:b])
-            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
+            for _, _, texts in tv.parts(batch, PART_CHARS):
+                labels, scores = np.empty(len(texts), object), np.zeros(len(texts))
+                order = np.argsort([len(t) if t else 0 for t in texts], kind="stable")  # texts of like length step together
+                texts = [texts[i] for i in order]
+                for a, b in tv.slices(texts, GROUP_CHARS):
+                    labels[order[a:b]], scores[order[a:b]] = model.predicted(texts[a:b])
+                yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     return predict.asNondeterministic()
 

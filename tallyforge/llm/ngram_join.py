@@ -327,7 +327,8 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str):
 
     entries = docs.select("text").mapInArrow(prefixes, "token long, sid long, n int, pos int, hot boolean")
     # a list with one set leads nowhere; a hot one has more, whatever part of it a task sees
-    per = Window.partitionBy("token", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0))
+    per = Window.partitionBy("token", "deal")
+    entries = entries.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0))
     several = entries.withColumn("lo", F.min("sid").over(per)).withColumn("hi", F.max("sid").over(per)).where("lo < hi or hot").select("token", "sid", "n", "pos")
     lists = written(several.distinct(), "shared-lists")
 

@@ -135,9 +135,8 @@ def _blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in tv.slices(texts):
-                ids, counts = encode(texts[a:b], path)
+            for a, b, texts in tv.parts(batch.column(1)):
+                ids, counts = encode(texts, path)
                 ends = np.cumsum(counts)
                 held.append((batch.column(0).slice(a, b - a).cast(pa.int64()), counts + 1, np.insert(ids, ends, end_id)))
                 if sum(len(h[2]) for h in held) >= BLOCK_IDS:
