@@ -2,8 +2,10 @@
 
 Each stream has STREAMINFO (with the samples' MD5), a seek table with a point for every frame, and frames with a fixed
 linear predictor and Rice-coded residuals. Frames are coded and decoded in step with each other by array operations.
-Reading checks the header's CRC-8 and the frame's CRC-16 of every frame and the MD5 of every stream; a stream that fails
-a check raises an error. A byte of payload is one sample, less 128.
+Streams of other writers (mono, 8 bits) are read frame after frame: all subframes, linear predictors with coefficients of
+their own, Rice partitions and escapes, with or without a seek table. Reading checks the header's CRC-8 and the frame's
+CRC-16 of every frame and the MD5 of every stream; a stream that fails a check raises an error. A byte of payload is one
+sample, less 128.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import textvec as tv
 from tallyforge.llm.pieces import gather
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import table, written
 
 BLOCK = 1024
 RATE = 8000
@@ -30,6 +32,10 @@ MAX_ORDER = 2
 SLICE = 500_000
 
 
+class Foreign(ValueError):
+    """A frame that is sound as far as seen, but not of the form that is read many at a time."""
+
+
 def _crc_table(poly: int, bits: int) -> np.ndarray:
     top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
     for byte in range(256):
@@ -85,7 +91,7 @@ def _header(frame: int, size: int) -> bytes:
 def _parsed(raw: bytes) -> tuple[int, int, int]:
     """(frame number, samples, header bytes) from a frame's first bytes."""
     if raw[0] != 0xFF or raw[1] != 0xF8 or raw[3] != 0x02 or raw[2] >> 4 not in (7, 10):
-        raise ValueError("not a mono 8-bit frame of a fixed size")
+        raise Foreign("not a mono 8-bit frame of a fixed size")
     lead, k = raw[4], 0
     if lead >= 0x80:
         while lead & (0x80 >> k):
@@ -204,9 +210,12 @@ def _decode_frames(data: np.ndarray, at: np.ndarray, size: np.ndarray, raw: byte
         raise ValueError("a frame's CRC-16 is wrong")
     kind = data[at + head] >> 1
     order = kind.astype(np.int64) - 8
-    if ((order < 0) | (order > MAX_ORDER)).any():
-        raise ValueError("a subframe without a fixed predictor of order 0 to 2")
+    if ((order < 0) | (order > MAX_ORDER) | (data[at + head] & 0x81 > 0)).any():
+        raise Foreign("a subframe without a fixed predictor of order 0 to 2")
     bits = np.unpackbits(data)
+    form = 8 * (at + head + 1) + 8 * order
+    if any(bits[form + j].any() for j in range(6)) or np.all([bits[form + 6 + j] for j in range(4)], 0).any():
+        raise Foreign("Rice partitions or escapes")
     place = np.where(bits, np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
     nxt = np.minimum.accumulate(place[::-1])[::-1]
     base = 8 * (at + head + 1)
@@ -251,9 +260,114 @@ def _decode_frames(data: np.ndarray, at: np.ndarray, size: np.ndarray, raw: byte
     return (summed(v, own >= 1) + 128).astype(np.uint8), n
 
 
+class _Bits:
+    """Bits of a byte string in order."""
+
+    def __init__(self, raw: bytes, at: int) -> None:
+        self.raw, self.at = raw, 8 * at
+
+    def take(self, n: int) -> int:
+        first, last = self.at // 8, (self.at + n + 7) // 8
+        value = int.from_bytes(self.raw[first:last], "big") >> (8 * last - self.at - n) & ((1 << n) - 1)
+        self.at += n
+        return value
+
+    def signed(self, n: int) -> int:
+        value = self.take(n) if n else 0
+        return value - (1 << n) if n and value >> (n - 1) else value
+
+    def unary(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+#: Fixed by the format: the weights of the fixed predictors, latest sample first.
+FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+
+
+def plain_frame(raw: bytes, at: int, depth: int = 8) -> tuple[list[int], int]:
+    """The samples of the mono frame that begins at a byte, and where it ends; bit by bit, any subframe and residual form."""
+    bits = _Bits(raw, at)
+    if bits.take(15) != 0x7FFC:
+        raise ValueError("a frame does not begin here")
+    bits.take(1)
+    code, rate, channels, width = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+    bits.take(1)
+    if channels or width not in (0, 1) or depth != 8:
+        raise ValueError("not mono with 8 bits")
+    lead = bits.take(8)
+    while lead & 0xC0 == 0xC0:
+        bits.take(8)
+        lead = (lead << 1) & 0xFF
+    n = {1: 192, 6: 0, 7: 0}.get(code) if code in (1, 6, 7) else 576 << (code - 2) if code < 6 else 256 << (code - 8)
+    n = n or bits.take(8 if code == 6 else 16) + 1
+    if rate in (12, 13, 14):
+        bits.take(8 if rate == 12 else 16)
+    if _crc8(raw[at : bits.at // 8]) != bits.take(8):
+        raise ValueError("a frame header's CRC-8 is wrong")
+    bits.take(1)
+    kind = bits.take(6)
+    wasted = bits.unary() + 1 if bits.take(1) else 0
+    width = depth - wasted
+    if kind == 0:
+        x = [bits.signed(width)] * n
+    elif kind == 1:
+        x = [bits.signed(width) for _ in range(n)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind <= 12 else kind - 31
+        x = [bits.signed(width) for _ in range(order)]
+        weights, shift = FIXED[order] if kind <= 12 else (), 0
+        if kind >= 32:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            weights = tuple(bits.signed(precision) for _ in range(order))
+        wide = 5 if bits.take(2) else 4
+        parts = bits.take(4)
+        for part in range(1 << parts):
+            k = bits.take(wide)
+            escaped = bits.take(5) if k == (1 << wide) - 1 else None
+            for _ in range((n >> parts) - (order if part == 0 else 0)):
+                if escaped is None:
+                    u = bits.unary() << k | (bits.take(k) if k else 0)
+                    r = u >> 1 ^ -(u & 1)
+                else:
+                    r = bits.signed(escaped)
+                x.append(r + (sum(w * v for w, v in zip(weights, reversed(x))) >> shift))
+    else:
+        raise ValueError("a subframe of a reserved kind")
+    end = (bits.at + 7) // 8
+    body = np.frombuffer(raw[at:end], np.uint8)
+    if int(crc16(body, np.zeros(1, np.int64), np.array([len(body)]))[0]) != int.from_bytes(raw[end : end + 2], "big"):
+        raise ValueError("a frame's CRC-16 is wrong")
+    return [v << wasted for v in x], end + 2
+
+
+def plain_decode(media: bytes) -> bytes:
+    """The payload of one stream of any writer, frame after frame, with all checks made."""
+    total, md5, _, at = layout(media)
+    x: list[int] = []
+    while at < len(media):
+        more, at = plain_frame(media, at)
+        x += more
+    signed = np.array(x, np.int64).astype(np.int8).tobytes()
+    if total and len(x) != total or md5.strip(b"\0") and hashlib.md5(signed).digest() != md5:
+        raise ValueError("a stream's MD5 or length is wrong")
+    return (np.array(x, np.int64) + 128).astype(np.uint8).tobytes()
+
+
 def decode(medias: list[bytes]) -> list[bytes]:
-    """The payload of each stream, with all checks made."""
+    """The payload of each stream, with all checks made: many at a time, or bit by bit where a stream's form asks for it."""
+    try:
+        return _decode(medias)
+    except Foreign:
+        return [plain_decode(medias[0])] if len(medias) == 1 else [p for m in medias for p in decode([m])]
+
+
+def _decode(medias: list[bytes]) -> list[bytes]:
     laid = [layout(m) for m in medias]
+    if any(len(seek) == 0 or seek[0, 1] or seek[:, 2].sum() != total for total, _, seek, _ in laid):
+        raise Foreign("a seek table without every frame")
     raw = b"".join(m[found[3] :] for m, found in zip(medias, laid, strict=True))
     at, size, offset = [], [], 0
     for m, (_, _, seek, frames) in zip(medias, laid, strict=True):
@@ -310,41 +424,49 @@ def _groups(media: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(media)
 
 
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, pcm array<struct<sample_offset: long, samples: binary>>"
+
+
 def pcm_blocks(df: DataFrame) -> DataFrame:
-    """(doc_id, media) -> (doc_id, sample_offset, pcm): the decoded blocks of each stream with their first sample."""
+    """(doc_id, n_bytes, media) -> a row for each stream: its size and digest, and its decoded blocks of BLOCK samples, each
+    with its first sample's offset. Explode `pcm` for a table of blocks that a reader can seek in."""
+    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("samples", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, media = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            media = batch.column(2).to_pylist()
             for a, b in _groups(media):
-                rows = [(i, s, p[s : s + BLOCK]) for i, p in zip(ids[a:b], decode(media[a:b]), strict=True) for s in range(0, len(p), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+                blocks = [[{"sample_offset": s, "samples": p[s : s + BLOCK]} for s in range(0, len(p), BLOCK)] for p in decode(media[a:b])]
+                cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(m) for m in media[a:b]], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media[a:b]]), pa.array(blocks, kind)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "pcm"])
 
-    return df.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        media = batch.column(2).to_pylist()
-        for a, b in _groups(media):
-            payloads = decode(media[a:b])
-            features = []
-            for p, m in zip(payloads, media[a:b], strict=True):
-                x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
-                crossings = int((x[1:] < 0).astype(np.int8).__ne__((x[:-1] < 0).astype(np.int8)).sum())
-                features.append(f"frames={-(-len(p) // BLOCK)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings};ratio={len(m) / len(p):.4f}")
-            cols = [
-                batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()),
-                pa.array([len(m) for m in media[a:b]], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media[a:b]]), pa.array(features),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-
-def describe(df: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> digests of the payload read back and of the stored stream, and a feature string."""
-    return df.mapInArrow(_described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        rows = {k: [] for k in names[2:5] + names[7:]}
+        for size, pcm in zip(batch.column(2).to_pylist(), batch.column(4), strict=True):
+            p = b"".join(pcm.values.field("samples").to_pylist())
+            x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+            crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+            for k, v in zip(rows, (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), f"frames={len(pcm)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings};ratio={size / len(p):.4f}"), strict=True):
+                rows[k].append(v)
+        own = {"doc_id": batch.column(0), "n_bytes": batch.column(1), "media_bytes": batch.column(2), "media_sha256": batch.column(3)}
+        yield pa.RecordBatch.from_arrays([own[k] if k in own else pa.array(rows[k]) for k in names], names=names)
+
+
+def describe(pcm: DataFrame) -> DataFrame:
+    """Rows of pcm_blocks -> digests of the payload that the blocks hold and of the stored stream, and a feature string."""
+    return pcm.mapInArrow(_described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_flac_media(spark, sf_dir: str) -> DataFrame:
-    return describe(encode_column(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    """One row for each document: its streams are stored as a Parquet column, read back, decoded to PCM blocks, described.
+
+    Null texts are empty, and give one unit of zeros; equal texts give equal values; repeated rows stay; ids must be whole
+    numbers or null; an empty table gives no rows.
+    """
+    media = written(encode_column(table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
+    return describe(pcm_blocks(media))

@@ -188,8 +188,12 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(~F.col("_base.base_failed") & (F.length(text) >= LEAST_CHARS), class_distance(F.col("_classes"), of("classes"))).alias("_class_distance"),
         F.when(~F.col("_base.base_failed"), word_distance(text, of("words"), of("shares"))).alias("_word_distance"),
     )
-    rows = written(rows, "distances")
-    bounds = rows.groupBy(F.col("_lang").alias("_of")).agg(_fence("_class_distance", LEAST_CLASS_BOUND).alias("_class_bound"), _fence("_word_distance", LEAST_WORD_BOUND).alias("_word_bound"))  # a row for each language
+    if keep:
+        rows = basis = written(rows, "distances")
+    else:  # whole rows are not written twice: their distances are computed again below
+        basis = written(rows.select("_lang", "_class_distance", "_word_distance"), "distances")
+    bounds = basis.groupBy(F.col("_lang").alias("_of")).agg(_fence("_class_distance", LEAST_CLASS_BOUND).alias("_class_bound"), _fence("_word_distance", LEAST_WORD_BOUND).alias("_word_bound"))  # a row for each language
+    bounds = written(bounds, "bounds")
     near = lambda d, b: F.coalesce(F.col(d) <= F.col(b), F.lit(True))
     return rows.join(bounds, F.col("_lang").eqNullSafe(F.col("_of")), "left").withColumn("_kept", ~F.col("_base.base_failed") & near("_class_distance", "_class_bound") & near("_word_distance", "_word_bound"))
 

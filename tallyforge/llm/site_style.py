@@ -6,7 +6,8 @@ how its content is spread over pages (content). A node's importance is the entro
 that of its content; branches of low importance (the same on most of the different pages that have them, if these are enough) are removed
 from each page. What a page itself declares to be navigation, notice, advert, form, sidebar, footer, comments, script or
 style is removed on any site. Where a page has article or main elements, text is taken within them only; a container
-with a boilerplate name does not hide the main that it holds, nor its articles if the page has no others.
+with a boilerplate name does not hide the main that it holds, nor its articles if the page has no others. A name is a hint
+only: it does not count on a container that holds an h1, nor at all on a page of which it would leave nothing.
 
 Statistics are sums of partial counts by (host, node), so one huge host is pre-aggregated in every task and its tree is
 never gathered with its pages; only the few low-importance nodes of each site come back to its pages, by a join.
@@ -73,10 +74,11 @@ class Page:
     """One page's text blocks, each with the style nodes around it, and the nodes with their children."""
 
     def __init__(self, source: str | None) -> None:
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool, int]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], bool, tuple[int, ...], int]] = []
+        self._named, self._titled = 0, set()  # containers with a boilerplate name so far, and those of them that hold an h1
         self.nodes: dict[int, list] = {0: [[], 0, False]}
         self.main = 0  # the best of `inside`: 2 in article or main, 1 in an article whose container has a boilerplate name, else 0
-        self._tags, self._path, self._state = [""], [0], [(False, False, 0)]  # hidden, below a boilerplate name, inside
+        self._tags, self._path, self._state = [""], [0], [(False, (), 0)]  # hidden, the containers with a boilerplate name around, inside
         self._held: dict[str, int] = {}
         self._text: list[str] = []
         self._read(source or "")
@@ -127,11 +129,15 @@ class Page:
         node, off, named = _place(parent, tag, "" if links and "class" not in attrs and "id" not in attrs and "role" not in attrs and "hidden" not in attrs else attrs)
         off |= tag == "header" and not inside
         hidden |= off
-        below |= named
+        if named:
+            self._named += 1
+            below = (*below, self._named)
+        if tag == "h1" and not hidden:
+            self._titled.update(below)
         if tag in ("article", "main"):
             if not (hidden or below and inside):
                 inside = max(inside, 1 if tag == "article" and (below or inside == 1) else 2)
-                below, self.main = False, max(self.main, inside)
+                below, self.main = (), max(self.main, inside)
             self.kept.add(node)
         elif tag in ("html", "body"):
             self.kept.add(node)
@@ -176,7 +182,8 @@ class Page:
     def text(self, low: frozenset[int] | set[int]) -> str:
         """The kept blocks. A page's own article, main, body and html elements are never low themselves."""
         low = low - self.kept
-        return "\n".join(t for t, path, hidden, below, inside in self.blocks if not (hidden or below) and inside >= self.main and not low.intersection(path))
+        rows = [(t, below) for t, path, hidden, below, inside in self.blocks if not hidden and inside >= self.main and not low.intersection(path)]
+        return "\n".join([t for t, below in rows if self._titled.issuperset(below)] or [t for t, _ in rows])
 
 
 def host_of(column):

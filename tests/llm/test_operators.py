@@ -230,6 +230,9 @@ def test_names_are_whole_words_and_small_sections_are_judged(spark):
     assert site_style.Page("<div class='x sidebar'>a</div><div id=ad-2>b</div><p>c</p>").text(frozenset()) == "c"
     assert site_style.Page("<div class=sidebar>a<main>b<div class=comments><article>c</article></div></main></div>").text(frozenset()) == "b"
     assert site_style.Page("<div class=search>a<article>b</article></div>").text(frozenset()) == "b"
+    for name in ("post comments-open", "entry social", "notice-board", "post comments"):
+        assert site_style.Page(f"<body><nav>m</nav><div class='{name}'><h1>t</h1><p>a</p></div><p>b</p></body>").text(frozenset()) == "t\na\nb"
+        assert site_style.Page(f"<body><nav>m</nav><div class='{name}'><p>a</p></div></body>").text(frozenset()) == "a"
     assert site_style.Page("<main>b</main><div class=related><article>c</article></div>").text(frozenset()) == "b"
     rng, v = random.Random(6), vocabulary(13)
     words = lambda n: " ".join(rng.choice(v) for _ in range(n))
@@ -255,8 +258,40 @@ def test_flac_round_trip_and_checks():
         flac.decode([bytes(broken)])
 
 
+def _bits(*fields):
+    s = "".join(format(v & (1 << n) - 1, f"0{n}b") if n else v for v, n in fields)
+    return int(s.ljust(-(-len(s) // 8) * 8, "0"), 2).to_bytes(-(-len(s) // 8), "big")
+
+
+def _foreign(subframe, n):
+    head = bytes([0xFF, 0xF8, 0x60, 0x02, 0, n - 1])
+    body = head + bytes([flac._crc8(head)]) + subframe
+    return body + int(flac.crc16(np.frombuffer(body, np.uint8), np.zeros(1, np.int64), np.array([len(body)]))[0]).to_bytes(2, "big")
+
+
+def test_streams_of_other_writers():
+    """Linear predictors, constants, verbatim samples, partitions and escapes, without a seek table."""
+    x = [3, 5, 8, 12, 17, 20, 18, 15]
+    left = [v - (2 * b - a) for a, b, v in zip(x, x[1:], x[2:])]
+    zig = lambda v: 2 * v if v >= 0 else -2 * v - 1
+    rice = lambda v, k: ("0" * (zig(v) >> k) + "1" + format(zig(v) & (1 << k) - 1, f"0{k}b"), 0)
+    lpc = _bits((0, 1), (33, 6), (0, 1), (x[0], 8), (x[1], 8), (3, 4), (1, 5), (4, 4), (-2, 4), (0, 2), (0, 4), (2, 4), *[rice(v, 2) for v in left])  # (4, -2) / 2
+    parts = _bits((0, 1), (10, 6), (0, 1), (x[0], 8), (x[1], 8), (0, 2), (1, 4), (1, 4), *[rice(v, 1) for v in left[:2]], (15, 4), (6, 5), *[(v, 6) for v in left[2:]])
+    frames = [_foreign(lpc, 8), _foreign(parts, 8), _foreign(_bits((0, 1), (0, 6), (0, 1), (-7, 8)), 8), _foreign(_bits((0, 1), (1, 6), (0, 1), *[(v, 8) for v in x]), 8)]
+    want = [*x, *x, *[-7] * 8, *x]
+    signed = np.array(want, np.int8).tobytes()
+    info = bytes(10) + ((8000 << 44) | (7 << 36) | len(want)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+    media = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(frames)
+    payload = bytes(v + 128 for v in want)
+    assert flac.decode([media]) == [payload] and flac.decode([media, *flac.encode([payload])]) == [payload, payload]
+    ours = flac.encode([b"hello world " * 300])[0]
+    assert flac.plain_decode(ours) == flac.decode([ours])[0]
+    with pytest.raises(ValueError):
+        flac.decode([media[:-1] + bytes([media[-1] ^ 1])])
+
+
 def test_media_digests(spark):
-    rows = {r.doc_id: r for r in flac.describe(flac.encode_column(frame(spark, EDGES), "doc_id", "text")).collect()}
+    rows = {r.doc_id: r for r in flac.describe(flac.pcm_blocks(flac.encode_column(frame(spark, EDGES), "doc_id", "text"))).collect()}
     for i, t in enumerate(EDGES):
         raw = (t or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
@@ -273,11 +308,11 @@ def test_elias_fano():
     for n, bound in ((0, 1), (1, 1), (3, 3), (1000, 1001), (700, 10**7), (5, 10**12)):
         v = np.sort(rng.integers(0, bound, n))
         e = token_output.EliasFano.encode(v, bound)
-        assert (e.values() == v).all() and all(e.select(i) == v[i] for i in range(n))
+        assert (e.values() == v).all() and (e.select_many(np.arange(n)[::2]) == v[::2]).all() and all(e.select(i) == v[i] for i in range(n))
     assert 8 * (len(e.lower) + len(e.upper)) < 64 * 5
 
 
-TEXTS = [*EDGES, "don't stop I'll   go\n\n x  ", " a", "ΑΣΣ σας İstanbul ﬁ ŉ", "\x1c a\x85b\xa0c ½²3", "<|startoftext|>x", "Straße ÄÖÜ ñandú 123 4", "ab" * 400]
+TEXTS = [*EDGES, "it'sx 's !'s ''s don't\n'tis 漢字's Привет мир \u3000かな ٣४ \u1c89x हिन्दी", "a<|endoftext|>\u1c89<|endoftext|>b", "don't stop I'll   go\n\n x  ", " a", "ΑΣΣ σας İstanbul ﬁ ŉ", "\x1c a\x85b\xa0c ½²3", "<|startoftext|>x", "Straße ÄÖÜ ñandú 123 4", "ab" * 400]
 
 
 def test_token_blocks_match_the_library(spark, tmp_path):
@@ -292,6 +327,9 @@ def test_token_blocks_match_the_library(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+    texts = frame(spark, TEXTS)
+    some = {r.doc_id: r.ids for r in token_output.fetch_token_ids(spark, str(tmp_path / "b"), texts.where("doc_id % 3 = 1 or doc_id < 0").select("doc_id")).collect()}
+    assert some == {i: [*lib.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(TEXTS) if i % 3 == 1}
 
 
 def test_backtracking_matches_the_library(spark):
@@ -337,11 +375,11 @@ def test_base_measures_match_brute_force(spark):
 
 def test_far_documents_are_rejected(spark):
     rng = random.Random(5)
-    words = [w for ws in quality.COMMON.values() for w in ws.split()][:28] + vocabulary(3, 200)
-    fine = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(60)]
-    odd = ["".join(c.upper() for c in fine[0].replace(" ", "!!! ")), " ".join("%$#&" + str(i) for i in range(200))]
+    common, rare = vocabulary(4, 20), vocabulary(3, 400)
+    fine = [" ".join(rng.choice(common if rng.random() < 0.4 else rare) for _ in range(150)) for _ in range(60)]
+    odd = ["".join(c.upper() for c in fine[0].replace(" ", "!!! ")), " ".join("%$#&" + str(i) for i in range(200)), " ".join(vocabulary(99, 150))]
     got = {r.doc_id: r.kept for r in quality.rules(frame(spark, [*fine, *odd])).collect()}
-    assert all(got[i] for i in range(60)) and not got[60] and not got[61]
+    assert all(got[i] for i in range(60)) and not (got[60] or got[61] or got[62])
 
 
 def test_words_are_cut_alike():
