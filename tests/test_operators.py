@@ -66,3 +66,15 @@ def test_empty_inputs(spark):
 def test_lines_are_found_in_the_whole_text(spark):
     row = spark.createDataFrame([("x" * 600 + "\n\na. b.\nc!",)], "text string").select(st.lines_of(F.col("text"), "[.!?]").alias("m")).first()
     assert [(m.line, m.n) for m in row.m] == [(3, 2), (4, 1)]
+
+
+def test_long_chains_of_computed_edges(spark):
+    nodes = spark.range(1, 4097).select(F.col("id").alias("child"), F.floor(F.col("id") / 2).cast("long").alias("parent"))
+    got = {r.seed: r.n for r in lineage.downstream_counts(nodes).where("seed in (0, 1, 2, 1024)").collect()}
+    assert got == {0: 4096, 1: 4095, 2: 2046 + 1, 1024: 2 + 1}
+    most = {r.seed: r.n for r in lineage.downstream_counts(nodes, 15).where("seed in (0, 1, 1024)").collect()}
+    assert most == {0: 15, 1: 15, 1024: 3}
+    changed = spark.createDataFrame([(2048,), (1024,), (5,)], "id long")
+    touched = {r.node for r in lineage.reached(nodes, changed).collect()}
+    below = lambda n: {m for c in (2 * n, 2 * n + 1) if c <= 4096 for m in {c} | below(c)}
+    assert touched == below(2048) | below(1024) | below(5)
