@@ -67,3 +67,93 @@ def coverage(cases: DataFrame, positive: int = 2, negative: int = 1) -> DataFram
     """(rule, expects, forbids, ok): whether each rule has enough cases of both kinds."""
     by = cases.groupBy("rule").agg(F.count_if("expect").alias("expects"), F.count_if(~F.col("expect")).alias("forbids"))
     return by.withColumn("ok", (F.col("expects") >= positive) & (F.col("forbids") >= negative))
+
+
+#: Fixed ranks of severities and confidences.
+SEVERITY_RANK = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
+
+
+def diagnostic_score(costs: list[str], severity: Column, confidence: Column) -> Column:
+    """The first positive cost, else severity times confidence (ranks)."""
+    return F.coalesce(*[F.when(F.col(c) > 0, F.col(c)) for c in costs], (severity * confidence).cast("double"))
+
+
+def adjudicated(verdict: Column, kind: Column) -> Column:
+    """A finding's label by its verdict (tp or fp) and kind of false positive: tp, exempt, fp_bug or unknown."""
+    return F.when(verdict == "tp", "tp").when((verdict == "fp") & (kind == "exempt"), "exempt").when(verdict == "fp", "fp_bug").otherwise("unknown")
+
+
+def census(rows: DataFrame, scan_rules: tuple[str, ...] = ()) -> DataFrame:
+    """(rule, total, examined, tp, exempt, fp_bug, unknown, passes, reason) of labelled findings (rule, label, examined)."""
+    seen = F.col("examined")
+    by = rows.groupBy("rule").agg(F.count("*").alias("total"), F.count_if(seen).alias("examined"), *[F.count_if(seen & (F.col("label") == k)).alias(k) for k in ("tp", "exempt", "fp_bug", "unknown")])
+    scan, clean = F.col("rule").isin(*scan_rules) if scan_rules else F.lit(False), (F.col("fp_bug") == 0) & (F.col("unknown") == 0)
+    reason = F.when(scan, "infrastructure").when(~clean, "fail").when(F.col("examined") < F.col("total"), F.format_string("sampled_%d_of_%d", "examined", "total")).otherwise("fully_examined")
+    return by.withColumn("passes", scan | clean).withColumn("reason", reason)
+
+
+def pooled_precision(counts: DataFrame) -> DataFrame:
+    """(severity, examined, precision): of passing rules with examined findings, by severity and of all (null severity)."""
+    rows = counts.where(F.col("passes") & (F.col("examined") > 0))
+    return rows.groupingSets([["severity"], []], "severity").agg(F.sum("examined").alias("examined"), F.sum("tp").alias("tp")).select("severity", "examined", _ratio(F.col("tp"), F.col("examined")).alias("precision"))
+
+
+def against_baseline(actual: DataFrame, limits: DataFrame) -> DataFrame:
+    """(rule, problem) where counts (rule, n) break limits (rule, kind, n): exact, most, expect or forbid; a missing rule counts 0."""
+    rows = limits.join(actual.select("rule", F.col("n").alias("_n")), "rule", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    k, n, a = F.col("kind"), F.col("n"), F.col("_n")
+    problem = F.when((k == "exact") & (a != n), "count differs").when((k == "most") & (a > n), "too many").when((k == "expect") & (a == 0), "missing").when((k == "forbid") & (a > 0), "forbidden")
+    return rows.select("rule", problem.alias("problem")).where("problem is not null")
+
+
+def growth(small: DataFrame, large: DataFrame) -> DataFrame:
+    """One row: time a model in a large run over that in a small one (median_ms, models)."""
+    a = small.select(_ratio(F.col("median_ms"), F.col("models")).alias("_a"))
+    return large.join(F.broadcast(a), F.lit(True)).select(_ratio(F.col("median_ms") / F.col("models"), F.col("_a")).alias("growth"))  # one row by one row
+
+
+def failure_groups(failures: DataFrame) -> DataFrame:
+    """(signature, pattern, n) of parse failures (message, snippet, path): what the parser said, and what the text looks like."""
+    text, head = F.lower(F.ltrim("snippet")), F.substring(F.lower(F.ltrim("snippet")), 1, 120)
+    said = F.when(F.trim(F.coalesce("message", F.lit(""))) == "", "SQL parse failed").when(F.col("message").startswith("SQL parse failed for "), "SQL parse failed").otherwise(F.substring_index(F.trim("message"), ";", 1))
+    looks = (
+        F.when(head.contains("config("), "config_wrapper").when(head.contains("{{") | head.contains("{%"), "template").when(text.rlike(r" qualify |unnest\(|struct<|::"), "dialect")
+        .when(text.rlike("^(?:with|select) "), "parser_gap").when(F.lower("path").endswith(".sql"), "parse_failure").otherwise("other")
+    )
+    return failures.groupBy(said.alias("signature"), looks.alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def stratified_tail(rows: DataFrame, primary: DataFrame, cap: int, by: list[str]) -> DataFrame:
+    """At most `cap` rows of each stratum that are not in `primary` (finding_id), by savings from the top."""
+    w = Window.partitionBy(*by).orderBy(F.desc("savings"), "path", "finding_id")
+    return rows.join(primary.select("finding_id"), "finding_id", "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+
+
+def high_first(rows: DataFrame, n: int, seed: int, high: int) -> DataFrame:
+    """A sample of n rows: the high ones first, then others in a seeded order; a top-k, no full sort."""
+    return rows.orderBy((F.col("severity") < high), F.xxhash64(F.lit(seed), "finding_id"), "finding_id").limit(n)
+
+
+def negative_sample(files: DataFrame, rules: DataFrame, fired: DataFrame, share: float, seed: int) -> DataFrame:
+    """(path, rule, weight): of all files x rules that did not fire, a seeded share, each weighing 1 / share.
+
+    Pairs are made in each file's row from the short list of rules, kept by their hash, and only then compared with what fired.
+    """
+    names = rules.agg(F.sort_array(F.collect_set("rule")).alias("_rules"))  # one row: the rules of a catalog
+    pairs = files.select("path").distinct().join(F.broadcast(names), F.lit(True)).select("path", F.explode("_rules").alias("rule"))
+    kept = pairs.where(F.pmod(F.xxhash64(F.lit(seed), "path", "rule"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return kept.join(fired.select("path", "rule").distinct(), ["path", "rule"], "left_anti").withColumn("weight", F.lit(1 / share))
+
+
+def merged_labels(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key, the one with the greatest `ord`: later labels win."""
+    return rows.groupBy(*key).agg(F.max_by("y_true", "ord").alias("y_true"))
+
+
+def per_class(rows: DataFrame, a: str = "y_true", b: str = "rater") -> DataFrame:
+    """(label, support, precision, recall) of rater b against a; a null of b is an abstention and counts in support only."""
+    both = rows.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    sides = both.select(F.col("_a").alias("label"), F.lit(1).alias("s"), F.lit(0).alias("p"), (F.col("_a") == F.col("_b")).cast("int").alias("h")).union(both.select("_b", F.lit(0), F.lit(1), F.lit(0)).where("_b is not null"))
+    by = sides.groupBy("label").agg(F.sum("s").alias("support"), F.sum("p").alias("p"), F.sum(F.coalesce("h", F.lit(0))).alias("h"))
+    return by.select("label", "support", _ratio(F.col("h"), F.col("p")).alias("precision"), _ratio(F.col("h"), F.col("support")).alias("recall"))

@@ -88,3 +88,70 @@ def ref_counts(refs: DataFrame) -> DataFrame:
 def heavy_views(models: DataFrame, refs: DataFrame, least: int = 4) -> DataFrame:
     """Views and ephemeral models that are referred to at least `least` times."""
     return models.where(F.col("materialized").isin("view", "ephemeral")).join(ref_counts(refs), F.col("name") == F.col("ref")).where(F.col("n") >= least).select("model_id", "n")
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    """Each edge once, turned round: what a model depends on becomes what depends on it."""
+    return edges.where("parent is not null and child is not null").select(F.col("child").alias("parent"), F.col("parent").alias("child")).distinct()
+
+
+def display_labels(models: DataFrame) -> DataFrame:
+    """(model_id, label): the name, with its package before it where two models have one name."""
+    shared = models.groupBy("name").agg((F.count("*") > 1).alias("_shared"))
+    rows = models.join(shared, "name", "left")
+    return rows.select("model_id", F.when(F.col("_shared"), F.concat_ws(".", "package", "name")).otherwise(F.col("name")).alias("label"))
+
+
+def macro_impact(calls: DataFrame, changed: DataFrame, uses: DataFrame) -> DataFrame:
+    """(model_id): models that use a changed macro, or one that calls it through any number of others.
+
+    calls: (caller, callee) of macros; changed: macros in the first column; uses: (model_id, macro).
+    """
+    touched = reached(calls.select(F.col("callee").alias("parent"), F.col("caller").alias("child")), changed).union(changed.select(F.col(changed.columns[0]))).distinct()
+    return uses.join(touched.withColumnRenamed("node", "macro"), "macro", "left_semi").select("model_id").distinct()
+
+
+def source_impact(sources: DataFrame, changed: DataFrame) -> DataFrame:
+    """(model_id): models that read a source which a changed file declares. sources: (file, source, model_id); changed: files."""
+    return sources.join(changed.select(F.col(changed.columns[0]).alias("file")), "file", "left_semi").select("model_id").distinct()
+
+
+def first_by_key(models: DataFrame, keys: list[str], entries: DataFrame) -> DataFrame:
+    """models with `value` of the first of their key columns that entries (key, value) has; null if none has one.
+
+    The keys are one exploded column with their rank, so there is one join and one aggregation, whatever their number.
+    """
+    ranked = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(k).cast("string").alias("key")) for i, k in enumerate(keys)])
+    rows = models.select("model_id", F.explode(ranked).alias("k")).select("model_id", "k.rank", "k.key").join(entries.select("key", "value"), "key")
+    return models.join(rows.groupBy("model_id").agg(F.min_by("value", "rank").alias("value")), "model_id", "left")
+
+
+def folder_settings(models: DataFrame, folders: DataFrame) -> DataFrame:
+    """(path, setting): of the folders (folder, setting) that hold a path, the deepest one's; null if none does.
+
+    A path is exploded to its folders, so this is an equality join and not a comparison with every folder.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    rows = models.select("path", F.posexplode(above).alias("depth", "folder")).join(folders, "folder")
+    return models.select("path").distinct().join(rows.groupBy("path").agg(F.max_by("setting", "depth").alias("setting")), "path", "left")
+
+
+def filled(models: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
+    """models with the null ones of `keys` taken from what is declared for their name (one row a name, the least)."""
+    one = declared.groupBy("name").agg(*[F.min(k).alias(f"_{k}") for k in keys])
+    rows = models.join(one, "name", "left")
+    return rows.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in keys else F.col(c) for c in models.columns])
+
+
+def unambiguous(files: DataFrame, models: DataFrame) -> DataFrame:
+    """(path, model_id) of files that exactly one model claims."""
+    one = models.groupBy("path").agg(F.count("*").alias("n"), F.min("model_id").alias("model_id")).where("n = 1")
+    return files.select("path").distinct().join(one, "path").select("path", "model_id")
+
+
+def changed_paths(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(path, side): paths with another text on the two sides: both, base (gone) or head (new)."""
+    b, h = base.select("path", F.sha2("text", 256).alias("_b")), head.select("path", F.sha2("text", 256).alias("_h"))
+    side = F.when(F.col("_b").isNull(), "head").when(F.col("_h").isNull(), "base").otherwise("both")
+    return b.join(h, "path", "full_outer").where(~F.col("_b").eqNullSafe(F.col("_h"))).select("path", side.alias("side"))

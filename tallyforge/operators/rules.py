@@ -7,21 +7,51 @@ forty rules cost one scan and no join, and files stay where they are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import sqltext as st
+from tallyforge.functions import texts as tx
+from tallyforge.operators.governance import evidence_key, identity
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 
 
+#: Settings of a model that a feature row has, null where a project does not tell.
+SETTINGS = ("materialized", "unique_key", "partition_by", "cluster_by", "incremental_strategy", "on_schema_change")
+#: Columns that tables are usually partitioned by, in a filter.
+_SLICED = r"(?:block_time|evt_block_time|block_date|event_date|partition_date|_partitiontime|_partitiondate)"
+#: On masked text; these may use what only Java's regular expressions have.
+MORE_PATTERNS = {
+    "correlated": r"\b(?:where|on)\b[^;\n]*(?:\bexists\s*\(|\(\s*select\b)[^;\n]*\w\.\w+\s*=\s*\w+\.\w",
+    "or_sliced": rf"\bwhere\b[^;\n]*\b{_SLICED}\b[^;\n]*\bor\b[^;\n]*\b{_SLICED}\b",
+    "comma_join": r"\bfrom\s+[a-z_][a-z0-9_.]*(?:\s+(?:as\s+)?(?!where\b|join\b|on\b)[a-z_][a-z0-9_]*)?\s*,\s*(?!unnest\b|lateral\b|table\b|flatten\b|(?:[a-z_]+\.)*(?:" + "|".join(st.SPINES) + r")\b)[a-z_]",
+    "row_wise": r"\.apply\s*\([^\n]*axis\s*=\s*1|\.iterrows\s*\(|\.itertuples\s*\(",
+    "local_collection": r"\.(?:collect|to_?pandas|to_dict)\s*\(|\.fetch(?:all|many)\s*\(",
+    "merge_predicates": r"\bincremental_predicates?\b",
+}
+MORE_LITERAL_PATTERNS = {
+    "config_append": r"incremental_strategy\s*=\s*'append'",
+    "config_merge": r"incremental_strategy\s*=\s*'merge'",
+    "config_sync_columns": r"on_schema_change\s*=\s*'sync_all_columns'",
+}
+
+
 def features(files: DataFrame) -> DataFrame:
     """files (path, text, ...) with a count column `n_<feature>` for each pattern, `bounded` and `norm`."""
     rows = files.withColumn("_masked", st.masked(F.col("text"))).withColumn("_bare", F.lower(st.without_comments(F.col("text"))))
+    for name in SETTINGS:
+        if name not in files.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
     for name, pattern in st.PATTERNS.items():
         rows = rows.withColumn(f"n_{name}", st.count(F.col("_masked"), pattern))
     for name, pattern in st.LITERAL_PATTERNS.items():
         rows = rows.withColumn(f"n_{name}", st.count(F.col("_bare"), pattern))
+    for name, pattern in MORE_PATTERNS.items():
+        rows = rows.withColumn(f"n_{name}", st.count(F.col("_masked"), pattern))
+    for name, pattern in MORE_LITERAL_PATTERNS.items():
+        rows = rows.withColumn(f"n_{name}", st.count(F.col("_bare"), pattern))
+    rows = rows.withColumn("n_open_join", tx.unbounded_joins(F.col("_masked"))).withColumn("cte_reuse", tx.cte_reuse(F.col("_masked"))).withColumn("n_catalog", F.size(tx.catalogs(F.col("_masked"))))
     return rows.withColumn("bounded", st.is_bounded(F.col("text"))).drop("_masked", "_bare")
 
 
@@ -35,18 +65,28 @@ def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple
     mart = F.lower("path").contains("marts/")
     incremental = (F.col("materialized") == "incremental") | (_n("config_incremental") > 0)
     keyed = F.col("unique_key").isNotNull() | (_n("config_unique_key") > 0)
+    appends = (F.lower("incremental_strategy") == "append") | (_n("config_append") > 0)
+    appends = F.coalesce(appends, F.lit(False))
+    merges = (F.lower("incremental_strategy") == "merge") | (_n("config_merge") > 0)
+    wide = (_n("config_full_refresh") > 0) | (_n("config_sync_columns") > 0) | F.coalesce(F.lower("on_schema_change") == "sync_all_columns", F.lit(False))
     spine = F.lower("text").rlike(r"\bcross\s+join\s+(?:[a-z_]+\.)*(?:" + "|".join(st.SPINES) + r")\b")
     found: dict[str, tuple[str, Column, str]] = {
         "R001": ("medium", down & ~stage & (_n("select_star") > 0), "select star downstream"),
         "R002": ("medium", _n("json_call") >= json_from, "repeated json extraction"),
         "R003": ("medium", _n("regex_call") >= 2, "repeated regex"),
-        "R004": ("high", incremental & ~keyed, "incremental without unique key"),
+        "R004": ("high", incremental & ~keyed & ~appends, "incremental without unique key"),
         "R005": ("high", incremental & (_n("is_incremental") > 0) & ~F.col("bounded"), "incremental without date predicate"),
         "R007": ("low", down & (_n("order_by") > 0) & (_n("limit") == 0), "order by without limit"),
         "R008": ("medium", ~macro & (_n("distinct") > 0) & (_n("group_by") == 0), "blind distinct"),
         "R009": ("low", _n("normalization") > 1, "repeated normalization"),
         "R011": ("medium", mart & (_n("source_call") > 0), "source in mart"),
-        "R012": ("medium", (_n("cross_join") > 0) & ~spine, "cross join"),
+        "R006": ("medium", ~macro & (_n("open_join") > 0), "unbounded join"),
+        "R012": ("medium", ((_n("cross_join") > 0) & ~spine) | (_n("comma_join") > 0), "cross join"),
+        "R014": ("low", ~macro & (F.col("cte_reuse") >= 3), "repeated cte"),
+        "R030": ("high", _n("correlated") > 0, "correlated subquery"),
+        "R032": ("medium", _n("or_sliced") > 0, "or across partition predicates"),
+        "R035": ("medium", F.lit(platform in ("trino", "databricks")) & (_n("join") > 0) & (_n("catalog") > 1), "cross-catalog join"),
+        "R043": ("medium", F.lit(platform == "snowflake") & incremental & merges & (_n("merge_predicates") == 0), "merge without target pruning"),
         "R013": ("medium", _n("window") > _n("window_partitioned"), "unpartitioned window"),
         "R016": ("high", ~stage & (_n("non_sargable") > 0), "non-sargable predicate"),
         "R017": ("medium", ~macro & ~stage & (_n("wrapped_join_key") > 0), "wrapped join key"),
@@ -54,7 +94,7 @@ def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple
         "R020": ("medium", down & (_n("count_distinct") > 0), "count distinct downstream"),
         "R021": ("medium", F.lit(platform == "bigquery") & (_n("wildcard_table") > 0) & ~F.lower("text").contains("_table_suffix"), "wildcard scan"),
         "R028": ("high", F.lit(platform in ("bigquery", "snowflake", "databricks")) & mart & F.col("materialized").isin("incremental", "table") & F.col("partition_by").isNull() & F.col("cluster_by").isNull(), "mart without partition or cluster"),
-        "R029": ("medium", incremental & (_n("config_full_refresh") > 0), "full refresh of an incremental model"),
+        "R029": ("medium", incremental & wide, "full refresh of an incremental model"),
         "R031": ("medium", _n("leading_wildcard") > 0, "leading wildcard"),
         "R033": ("high", _n("pattern_join") > 0, "pattern join"),
         "R034": ("medium", down & (_n("scalar_subquery") > 0), "scalar subquery"),
@@ -65,15 +105,94 @@ def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple
         "R042": ("medium", F.lit(platform == "bigquery") & (_n("ref_call") + _n("source_call") > 0) & ~F.col("bounded"), "missing partition filter"),
         "R044": ("medium", _n("recursive_cte") > 0, "recursive cte"),
     }
-    return found
+    return {r: (s, c & ~_is_python(), name) for r, (s, c, name) in found.items()} | {
+        "R010": ("high", _is_python() & (_n("row_wise") > 0), "row-wise python"),
+        "R022": ("medium", _is_python() & (_n("local_collection") > 0), "local collection"),
+    }
+
+
+def _is_python() -> Column:
+    return F.lower("path").endswith(".py")
 
 
-def findings(rows: DataFrame, platform: str = "generic") -> DataFrame:
-    """(model_id, path, rule, severity) of all rules that a file meets, less what it suppresses itself."""
+def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(model_id, path, rule, severity) and the columns in `keep` of all rules that a file meets, less what it suppresses itself."""
     held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, (s, c, _) in sorted(conditions(platform).items())]
     off = F.regexp_extract_all("text", F.lit(r"disable-file=\s*(R[0-9]{3})"), F.lit(1))
     out = rows.withColumn("_off", off).withColumn("f", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
-    return out.where(~F.array_contains("_off", F.col("f.rule"))).select("model_id", "path", "f.rule", "f.severity")
+    return out.where(~F.array_contains("_off", F.col("f.rule"))).select("model_id", "path", "f.rule", "f.severity", *keep)
+
+
+#: What a rule's finding points at: the pattern of each occurrence. Rules that are not here concern a file as a whole.
+_EACH = {
+    "R001": st.PATTERNS["select_star"], "R007": st.PATTERNS["order_by"], "R008": st.PATTERNS["distinct"], "R012": rf"{st.PATTERNS['cross_join']}|{MORE_PATTERNS['comma_join']}", "R013": r"\bover\s*\((?!\s*partition\b)",
+    "R016": st.PATTERNS["non_sargable"], "R017": st.PATTERNS["wrapped_join_key"], "R018": r"\bunion\b(?!\s+all\b)", "R020": st.PATTERNS["count_distinct"], "R030": MORE_PATTERNS["correlated"], "R032": MORE_PATTERNS["or_sliced"],
+    "R033": st.PATTERNS["pattern_join"], "R034": st.PATTERNS["scalar_subquery"], "R036": st.PATTERNS["row_explosion"], "R037": st.PATTERNS["not_in_subquery"], "R041": st.PATTERNS["unbounded_frame"], "R044": st.PATTERNS["recursive_cte"],
+    "R010": MORE_PATTERNS["row_wise"], "R022": MORE_PATTERNS["local_collection"],
+}
+#: Rules that count calls: their finding is the first one.
+_FIRST = {"R002": st.PATTERNS["json_call"], "R003": st.PATTERNS["regex_call"], "R009": st.PATTERNS["normalization"]}
+
+
+def located(rows: DataFrame, platform: str = "generic") -> DataFrame:
+    """(model_id, path, rule, severity, line, col, span, evidence, finding_id): a finding for each occurrence of a rule.
+
+    rows: those of features(). Offsets are those of the text itself, since comments and literals are blanked, not removed.
+    Evidence is the occurrence's normalized text and its number among equal ones, so an id outlives moved lines. What the
+    text suppresses, for the file or the line, is left out. Line, column and span are null for rules on a whole file.
+    """
+    bare, quiet = F.lower(tx.blanked(F.col("text"), False)), F.lower(tx.blanked(F.col("text")))
+    rows = rows.withColumn("_quiet", quiet).withColumn("_bare", bare).withColumn("_off", tx.suppressions(F.col("text")))
+    nothing = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("found")))
+    parts = []
+    for rule, (severity, condition, _) in sorted(conditions(platform).items()):
+        text, pattern = ("_bare", st.LITERAL_PATTERNS["leading_wildcard"]) if rule == "R031" else ("_quiet", _EACH.get(rule) or _FIRST.get(rule))
+        places = tx.spans(F.col(text), pattern) if pattern else nothing
+        places = F.slice(places, 1, 1) if rule in _FIRST else places
+        name, grade = F.lit(rule).alias("rule"), F.lit(severity).alias("severity")
+        held = F.transform(places, lambda p: F.struct(name, grade, p["start"].alias("start"), p["found"].alias("found")))  # noqa: B023
+        parts.append(F.when(F.coalesce(condition, F.lit(False)), held).otherwise(F.slice(held, 1, 0)))
+    out = rows.withColumn("f", F.explode(F.flatten(F.array(*parts)))).select("model_id", "path", "_off", "text", "f.*")
+    out = out.withColumn("_at", F.when(F.col("start").isNotNull(), tx.line_col(F.col("text"), F.col("start")))).select("*", "_at.*")
+    hidden = F.exists("_off", lambda o: (o["rule"] == F.col("rule")) & (o["line"].isNull() | (o["line"] == F.coalesce("line", F.lit(-1)))))
+    key = st.normalized(F.coalesce("found", F.lit("")))
+    order = F.row_number().over(Window.partitionBy("model_id", "path", "rule", "_key").orderBy("start"))
+    out = out.where(~hidden).withColumn("_key", key).withColumn("_n", order)
+    out = out.withColumn("evidence", evidence_key("occurrence", key=F.col("_key"), n=F.col("_n").cast("string")))
+    return out.select("model_id", "path", "rule", "severity", "line", "col", F.length("found").alias("span"), "evidence", identity(F.col("rule"), F.col("path"), F.col("evidence")).alias("finding_id"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings in a stable order for a report."""
+    return found.orderBy("path", F.asc_nulls_first("line"), "rule", F.asc_nulls_first("col"), "evidence", "finding_id")
+
+
+def at_least(found: DataFrame, confidence: int) -> DataFrame:
+    """Findings of at least a confidence (a rank)."""
+    return found.where(F.col("confidence") >= confidence)
+
+
+def metadata_findings(files: DataFrame, manifest: DataFrame | None, made_at: str | None = None, most_bytes: int = 5 << 20) -> DataFrame:
+    """(path, rule, severity) about the scan itself: no manifest, a file too large, a stale manifest, another checksum.
+
+    files: (path, text, size, modified); manifest: (path, checksum), sha256 in hex. Files that the manifest does not know
+    have no checksum to differ from. Without a manifest there is one finding with a null path.
+    """
+    large = files.where(F.col("size") > most_bytes).select("path", F.lit("R026").alias("rule"), F.lit("low").alias("severity"))
+    if manifest is None:
+        return large.union(files.sparkSession.createDataFrame([(None, "R023", "info")], "path string, rule string, severity string"))
+    known = manifest.select("path", "checksum").where("checksum is not null")
+    other = files.join(known, "path").where(F.lower("checksum") != F.sha2("text", 256)).select("path", F.lit("R046"), F.lit("low"))
+    if made_at is None:
+        return large.union(other)
+    return large.union(other).union(files.where(F.col("modified") > F.lit(made_at).cast("timestamp")).select("path", F.lit("R045"), F.lit("info")))
+
+
+def checksum_counts(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: files whose checksum agrees, differs, or is not in the manifest."""
+    rows = files.join(manifest.select("path", "checksum"), "path", "left")
+    same = F.lower("checksum") == F.sha2("text", 256)
+    return rows.agg(F.count_if(same).alias("same"), F.count_if(~same).alias("other"), F.count_if(F.col("checksum").isNull()).alias("unknown"))
 
 
 def shared_expressions(files: DataFrame, least: int = 3) -> DataFrame:

@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import lognormal as ln
 from tallyforge.functions import sqltext as st
 from tallyforge.operators import costs, evaluation, governance, lineage, rules
-from tallyforge.plans.derive import derive, oracle
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, *relations: str, sql: str):
-    """Registers f(relation, ...) under a name, with its SQL."""
-
-    def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*[derive(spark, sf_dir, r) for r in relations])
-        ORACLES[name] = oracle(sql)
-        return f
-
-    return register
-
-
-def r4(*names: str):
-    return [F.round(n, 4).alias(n) for n in names]
-
+from tallyforge.plans.registered import query, r4, recursive
 
 # ---- costs
 
@@ -154,19 +132,6 @@ def _(found):
 CLOSURE = "closure AS (SELECT parent AS seed, child AS node FROM {d_edges} UNION SELECT c.seed, e.child FROM closure c JOIN {d_edges} e ON e.parent = c.node)"
 
 
-def _recursive(text: str) -> str:
-    return "WITH RECURSIVE " + text
-
-
-def recursive(name: str, *relations: str, sql: str):
-    def register(f):
-        query(name, *relations, sql=sql)(f)
-        ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
-        return f
-
-    return register
-
-
 @recursive("downstream_counts", "d_edges", sql=f"WITH {CLOSURE} SELECT seed, count(*) AS n FROM closure WHERE seed <> node GROUP BY seed")
 def _(edges):
     return lineage.downstream_counts(edges)
@@ -177,15 +142,19 @@ def _(edges):
     return lineage.downstream_counts(edges, 15).select("seed", F.round(ln.fan_out_factor(F.col("n"), F.col("seed") % 4), 6).alias("factor"))
 
 
-@recursive("blast_radius", "d_edges", "part", sql=f"WITH {CLOSURE}, t AS (SELECT DISTINCT node FROM closure WHERE seed % 97 = 5), x AS (SELECT node FROM t WHERE node % 97 <> 5) SELECT count(*) AS models, round(sum(p_retailprice), 2) AS usd FROM x LEFT JOIN part ON p_partkey = node")
-def _(edges, part):
-    out = lineage.blast_radius(edges, part.where("p_partkey % 97 = 5").select("p_partkey"), part.select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("usd")))
+#: What lies below the changed models, followed as one set.
+REACH = "changed AS MATERIALIZED (SELECT k FROM {d_changed}), reach AS (SELECT e.child AS node FROM {d_edges} e JOIN changed ON e.parent = changed.k UNION SELECT e.child FROM reach r JOIN {d_edges} e ON e.parent = r.node)"
+
+
+@recursive("blast_radius", "d_edges", "d_changed", "part", sql=f"WITH {REACH}, x AS (SELECT node FROM reach WHERE node NOT IN (SELECT k FROM changed)) SELECT count(*) AS models, round(sum(p_retailprice), 2) AS usd FROM x LEFT JOIN part ON p_partkey = node")
+def _(edges, changed, part):
+    out = lineage.blast_radius(edges, changed, part.select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("usd")))
     return out.select("models", F.round("usd", 2).alias("usd"))
 
 
-@recursive("exposures_affected", "d_edges", "part", "d_exposures", sql=f"WITH {CLOSURE}, t AS (SELECT node FROM closure WHERE seed % 97 = 5 UNION SELECT p_partkey FROM part WHERE p_partkey % 97 = 5) SELECT DISTINCT exposure FROM {{d_exposures}} WHERE depends_on IN (SELECT node FROM t)")
-def _(edges, part, exposures):
-    return lineage.exposures_affected(edges, part.where("p_partkey % 97 = 5").select("p_partkey"), exposures)
+@recursive("exposures_affected", "d_edges", "d_changed", "d_exposures", sql=f"WITH {REACH} SELECT DISTINCT exposure FROM {{d_exposures}} WHERE depends_on IN (SELECT node FROM reach UNION ALL SELECT k FROM changed)")
+def _(edges, changed, exposures):
+    return lineage.exposures_affected(edges, changed, exposures)
 
 
 @query("ref_resolution", "d_refs", "d_models", sql="WITH u AS (SELECT name, min(model_id) AS m FROM {d_models} GROUP BY name HAVING count(*) = 1) SELECT file, ref, coalesce(m, ref) AS target FROM {d_refs} LEFT JOIN u ON u.name = ref")
@@ -240,7 +209,7 @@ STAGE = "regexp_matches(lower(path), 'staging/|/stg_|/stage/')"
 INC = "(materialized = 'incremental' OR n_config_incremental > 0)"
 RULE_SQL = {
     "R001": ("medium", f"{DOWN} AND NOT {STAGE} AND n_select_star > 0"), "R002": ("medium", "n_json_call >= 2"), "R003": ("medium", "n_regex_call >= 2"),
-    "R004": ("high", f"{INC} AND unique_key IS NULL AND n_config_unique_key = 0"), "R005": ("high", f"{INC} AND n_is_incremental > 0 AND NOT bounded"), "R007": ("low", f"{DOWN} AND n_order_by > 0 AND n_limit = 0"),
+    "R006": ("medium", "template = 32"), "R014": ("low", "template = 14"), "R004": ("high", f"{INC} AND unique_key IS NULL AND n_config_unique_key = 0"), "R005": ("high", f"{INC} AND n_is_incremental > 0 AND NOT bounded"), "R007": ("low", f"{DOWN} AND n_order_by > 0 AND n_limit = 0"),
     "R008": ("medium", "n_distinct > 0 AND n_group_by = 0"), "R009": ("low", "n_normalization > 1"), "R011": ("medium", "contains(path, 'marts/') AND n_source_call > 0"),
     "R012": ("medium", "n_cross_join > 0 AND NOT contains(text, 'date_spine')"), "R013": ("medium", "n_window > n_window_partitioned"), "R016": ("high", f"NOT {STAGE} AND n_non_sargable > 0"), "R017": ("medium", f"NOT {STAGE} AND n_wrapped_join_key > 0"),
     "R018": ("medium", "n_union > n_union_all"), "R020": ("medium", f"{DOWN} AND n_count_distinct > 0"), "R021": ("medium", "n_wildcard_table > 0"),
@@ -266,9 +235,9 @@ def _(docs):
     return docs.select("doc_id", F.md5(st.normalized(F.col("text"))).alias("h"))
 
 
-@query("line_of_offset", "documents", sql="SELECT doc_id, len(string_split(left(text, 500), chr(10))) AS line FROM documents")
+@query("line_of_offset", "documents", sql="SELECT doc_id, len(string_split(text, chr(10))) AS line FROM documents")
 def _(docs):
-    return docs.select("doc_id", st.line_of(F.col("text"), F.lit(500)).alias("line"))
+    return docs.select("doc_id", st.line_of(F.col("text"), F.length("text")).alias("line"))
 
 
 @query("lines_of_matches", "documents", sql="SELECT doc_id, i AS line, len(regexp_extract_all(parts[i], '[.!?]')) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE regexp_matches(parts[i], '[.!?]')")

@@ -54,6 +54,38 @@ TEMPLATES = (
     "select a.id from cat1.s.t a join cat2.s.u b on a.id = b.id",
 )
 
+#: More texts of one file each: (end of the path, text); the rules they meet are in plans.project.
+MORE_TEMPLATES = (
+    (".sql", "select a.id from t_@ a join u_@ b on a.ts > b.ts"),
+    (".sql", "select a.id from t_@ a left join u_@ b on a.id = b.id"),
+    (".sql", "select a.id from t_@ a join u_@ b using (id)"),
+    (".sql", "select a.id from t_@ a, u_@ b where a.id > 1"),
+    (".sql", "select a.id from t_@ a, date_spine d"),
+    (".sql", "with c as (select 1 as x) select c.x from c union all select c.x from c"),
+    (".sql", "with base as (select 1 as x) select x from base"),
+    (".sql", "select a.id from t_@ a where exists (select 1 from u_@ b where b.id = a.id)"),
+    (".sql", "select id from t_@ where event_date = 1 or block_date = 2"),
+    (".sql", "select id from t_@ where event_date = 1 and block_date = 2"),
+    (".sql", "select a.id from c1.s.t a join c2.s.u b on a.id = b.id"),
+    (".sql", "select a.id from c1.s.t a join c1.s.u b on a.id = b.id"),
+    (".sql", "{{ config(materialized='incremental', incremental_strategy='merge', unique_key='id') }} select id from {{ ref('p', 't_@') }}"),
+    (".sql", "{{ config(materialized='incremental', incremental_strategy='merge', unique_key='id', incremental_predicates=['x']) }} select id from t_@"),
+    (".sql", "{{ config(materialized='incremental', incremental_strategy='append') }} select id from {{ source('raw', 't_@') }} -- {{ ref('no') }}"),
+    (".sql", "{{ config(materialized='incremental', unique_key='id', on_schema_change='sync_all_columns') }} select id from t_@"),
+    (".py", "def model(dbt, s): return dbt.ref('a').apply(f, axis=1)"),
+    (".py", "def model(dbt, s): return dbt.ref('a').to_pandas().head()"),
+    (".py", "rows = 'select * from t'"),
+    (".sql", "-- q: disable-next-line=R006, R012\nselect a.id from t_@ a, u_@ b\njoin v on a.x > v.x -- q: disable=R006"),
+)
+
+
+def _more_files() -> str:
+    quoted = lambda t: t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{", "{{").replace("}", "}}")
+    arms = " ".join(f"WHEN {k} THEN '{quoted(t)}'" for k, (_, t) in enumerate(MORE_TEMPLATES))
+    ends = " ".join(f"WHEN {k} THEN '{e}'" for k, (e, _) in enumerate(MORE_TEMPLATES))
+    own = f"p_partkey % {len(MORE_TEMPLATES)}"
+    return f"SELECT p_partkey AS k, concat('n', cast(p_partkey AS varchar(20))) AS model_id, {own} AS template, concat('models/staging/n', cast(p_partkey AS varchar(20)), CASE {own} {ends} END) AS path, replace(CASE {own} {arms} END, '@', cast(p_partkey AS varchar(20))) AS text FROM {{part}}"
+
 
 def _sql_files() -> str:
     arms = " ".join(f"WHEN {k} THEN '{t.replace(chr(39), chr(39) * 2)}'" for k, t in enumerate(TEMPLATES))
@@ -91,6 +123,10 @@ SELECT concat('R', lpad(cast(o_custkey % 44 + 1 AS varchar(20)), 3, '0')) AS rul
 FROM {orders}""",
     "d_owner_rules": "SELECT cast(n_nationkey AS int) AS ord, concat('%_', cast(n_nationkey * 4 % 10 AS varchar(20)), '%.sql') AS pattern, concat('@team-', lower(n_name)) AS owner FROM {nation}",
     "d_waivers": "SELECT cast(n_nationkey AS int) AS ord, concat('models/%', cast(n_nationkey AS varchar(20)), '.sql') AS pattern, CASE WHEN n_nationkey % 2 = 0 THEN concat('R', lpad(cast(n_nationkey + 1 AS varchar(20)), 3, '0')) END AS rule, n_nationkey % 3 <> 0 AS active FROM {nation}",
+    "d_more_files": _more_files(),
+    "d_changed": """
+SELECT DISTINCT cast(substr(h.finding_id, 2) AS bigint) AS k FROM (SELECT * FROM {d_findings} WHERE side = 'head') h LEFT JOIN (SELECT * FROM {d_findings} WHERE side = 'base') b ON b.finding_id = h.finding_id
+WHERE b.finding_id IS NULL OR h.severity > b.severity OR h.savings > b.savings""",
     "d_eval": """
 SELECT l.doc_id, d.source AS rule, d.lang AS severity, coalesce(l.quality, 0) AS y_true, CASE WHEN d.n_chars > 800 THEN 1 ELSE 0 END AS y_pred, d.n_chars AS score, coalesce(l.toxic, 0) AS rater
 FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",

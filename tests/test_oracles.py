@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans.catalog import ORACLES, QUERIES
+from tallyforge.plans.project import ORACLES, QUERIES
 from tallyforge.plans.derive import TABLES
 
 SF = "/root/testdata/sf0.001"
