@@ -111,7 +111,7 @@ def ranked(findings: DataFrame) -> DataFrame:
     """findings in the order of a report: by USD where every priced finding has it, else by GB-months; ties by rule and path."""
     full = findings.agg(F.every(F.col("savings_usd").isNotNull()).alias("_full"))  # one row
     rows = findings.join(F.broadcast(full), F.lit(True))
-    return rows.withColumn("value", F.when("_full", F.col("savings_usd")).otherwise(F.col("gb_months"))).drop("_full").orderBy(F.desc_nulls_last("value"), "rule", "path")
+    return rows.withColumn("value", F.when(F.col("_full"), F.col("savings_usd")).otherwise(F.col("gb_months"))).drop("_full").orderBy(F.desc_nulls_last("value"), "rule", "path")
 
 
 def totals(findings: DataFrame) -> DataFrame:
