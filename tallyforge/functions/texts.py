@@ -91,9 +91,21 @@ def parsed_bytes(size: Column) -> Column:
     return F.when(number != "", F.expr("1D") * number.try_cast("double") * scale)
 
 
+def _tenths(y: Column) -> Column:
+    """y in tenths, rounded by the exact value of the double, ties to even; Java's formats round its shortest decimal form."""
+    k = F.floor(y * 10)
+    high = y.cast("float").cast("double")
+    over = (high * 20 - (2 * k + 1)) + (y - high) * 20  # both products are exact, so the sign is
+    return k + ((over > 0) | ((over == 0) & (k % 2 == 1))).cast("long")
+
+
 def shown_bytes(size: Column) -> Column:
-    """Bytes for reading: TB with one decimal, whole GB, whole MB."""
-    return F.when(size >= 1e12, F.format_string("%.1fTB", size / 1e12)).when(size >= 1e9, F.format_string("%.0fGB", size / 1e9)).when(size.isNotNull(), F.format_string("%.0fMB", size / 1e6))
+    """Bytes for reading: TB with one decimal, whole GB, whole MB; ties to even."""
+    tenths, whole = _tenths(size / 1e12), lambda unit: F.rint(size / unit).cast("long").cast("string")
+    return (
+        F.when(size >= 1e12, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("TB")))
+        .when(size >= 1e9, F.concat(whole(1e9), F.lit("GB"))).when(size.isNotNull(), F.concat(whole(1e6), F.lit("MB")))
+    )
 
 
 def has_equality(predicate: Column) -> Column:
