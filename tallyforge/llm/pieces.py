@@ -133,18 +133,19 @@ def ids_of(texts: list[str | None], cut: Callable, known: PieceTable, special: d
 
 
 class PieceTable:
-    """Ids of pre-tokens by hash, filled by `encode(list of str) -> list of id lists`, emptied when full."""
+    """Ids of pre-tokens by ascending hash, filled by `encode(list of str) -> list of id lists`, emptied when full."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 700_000) -> None:
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[int, int] = {}
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.n = np.zeros(1 << 16, np.uint32), 0
         self.off, self.held = np.zeros(1 << 16, np.int64), 0
 
-    def _add(self, hashes: list[int], ids: list[list[int]]) -> None:
+    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """Appends the ids of pieces whose hashes ascend and are new."""
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lens.sum())
         while self.n + total > len(self.flat):
@@ -153,9 +154,15 @@ class PieceTable:
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
         self.flat[self.n : self.n + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
         self.off[self.held + 1 : self.held + 1 + len(ids)] = self.n + np.cumsum(lens)
-        self.number.update(zip(hashes, range(self.held, self.held + len(ids)), strict=True))
+        places = np.searchsorted(self.keys, hashes)
+        self.keys, self.number = np.insert(self.keys, places, hashes), np.insert(self.number, places, np.arange(self.held, self.held + len(ids)))
         self.n, self.held = self.n + total, self.held + len(ids)
 
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.held:
+            return np.zeros(len(hashes), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), self.held - 1)] == hashes
+
     def ids(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and the number of ids of each piece."""
         if not len(start):
@@ -163,15 +170,11 @@ class PieceTable:
         if self.held > self.most:
             self._clear()
         h, at, back = np.unique(tv.span_hash(codes, start, end), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        got = [self.number.get(k, -1) for k in keys]
-        missed = [i for i, g in enumerate(got) if g < 0]
-        if missed:
+        if len(missed := np.flatnonzero(~self._known(h))):
             joined = codes.tobytes().decode("utf-32-le", "surrogatepass")
-            self._add([keys[i] for i in missed], self.encode([joined[start[at[i]] : end[at[i]]] for i in missed]))
-            for i in missed:
-                got[i] = self.number[keys[i]]
-        number = np.array(got, np.int64)[back]
+            spans = zip(start[at[missed]].tolist(), end[at[missed]].tolist(), strict=True)
+            self._add(h[missed], self.encode([joined[a:b] for a, b in spans]))
+        number = self.number[np.searchsorted(self.keys, h)][back]
         begin, lens = self.off[number], self.off[number + 1] - self.off[number]
         return self.flat[gather(begin, lens)], lens
 

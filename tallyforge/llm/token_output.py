@@ -101,7 +101,7 @@ def _encoder(path: str):
         lib = Tokenizer.from_file(path)
         lib.no_truncation()
         lib.no_padding()
-        many = lambda texts: [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        many = lambda texts: [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
         special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
         _ENCODERS[path] = (lambda text: many([text])[0], pc.PieceTable(many), lib.get_vocab_size(), special)
     return _ENCODERS[path]
