@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import pieces as pc
 from tallyforge.llm import textvec as tv
-from tallyforge.llm.shared import scratch, table
+from tallyforge.llm.shared import scratch, table, written
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
@@ -201,6 +201,7 @@ def read_token_blocks(spark, path: str) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("earlier", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
     within = blocks.select("part", "block", "n_ids").withColumn("b", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     before = within.join(parts, "part").select("part", "block", (F.coalesce("earlier", F.lit(0)) + F.coalesce("b", F.lit(0))).cast("long").alias("before"))
+    before = written(before, "block-offsets")  # a row for each block: by the written size Spark tells whether the blocks need a shuffle
     return blocks.join(before, ["part", "block"]).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
