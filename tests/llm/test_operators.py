@@ -1,6 +1,7 @@
 """The text operators against brute force, round trips and held-out rows, with edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -136,6 +137,25 @@ def test_mix_is_near_its_targets_and_can_be_repeated(spark):
     assert mixing.mix_counts(frame(spark, [])).count() == 0
 
 
+def test_targets_match_resharing_by_hand(spark):
+    rng = random.Random(21)
+    for names in (["a"], ["a", "b"], ["b", "a", "d", "c", "e", None, "f"]):
+        docs = frame(spark, ["w " * rng.choice([0, 3, 40, 900]) for _ in range(60)], sources=names)
+        rows = mixing.mix_counts(docs).toPandas()
+        size = {s: int(r["size"].sum()) for s, r in rows.assign(source=[names[i % len(names)] or "~" for i in rows.doc_id]).groupby("source")}
+        order = sorted(size)  # "~", the null source, is last
+        weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+        want, free, left = {}, set(order), 1.5 * sum(size.values())
+        while free:
+            share = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+            over = {s for s in free if share[s] > 2 * size[s]}
+            want |= {s: 2.0 * size[s] for s in over} if over else share
+            left -= sum(2.0 * size[s] for s in over)
+            free = free - over if over else set()
+        for r in rows.itertuples():
+            assert abs(r.target - want[names[r.doc_id % len(names)] or "~"]) < 1e-6 * max(1, r.target)
+
+
 # ---- 3
 
 
@@ -211,6 +231,36 @@ def test_repeated_branches_of_a_site_go(spark):
     assert got[99].text == "" and got[99].n_chars == 0 and got[100].text == "alone"
 
 
+def test_importance_matches_entropy_by_hand(spark):
+    rng, v = random.Random(17), vocabulary(18, 40)
+    words = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    rows = []
+    for host, n in (("a", 2), ("b", 5), ("c", 11), ("d", 30)):
+        for _ in range(n):
+            menu = "".join(f"<li>{rng.choice(v[:2])}</li>" for _ in range(rng.choice([3, 3, 3, 4])))
+            note = f"<div class=n>{'same' if rng.random() < 0.9 else words(2)}</div>"
+            rows.append((host, f"<body><div class=m><ul>{menu}</ul></div>{note}<article><p>{words(6)}</p><div class=t>tail</div></article></body>"))
+        rows += rows[-2:]  # copies count once
+    rows.append(("d", None))
+    by = {}
+    for host, source in rows:
+        page = site_style.Page(source)
+        own = page.text(frozenset())
+        for node, (children, content, inside) in page.nodes.items():
+            held = by.setdefault((host, node), ({}, {}, []))
+            held[0].setdefault(own, tuple(children))
+            held[1].setdefault(own, content)
+            held[2].append(inside)
+    want = set()
+    for (host, node), (shape, content, inside) in by.items():
+        n = len(shape)
+        entropy = lambda side: -sum(c / n * math.log(c / n, n) for c in Counter(side.values()).values()) if n > 1 else 1.0
+        if node and n >= (site_style.LEAST_PAGES if any(inside) else site_style.LEAST_OCCURRENCES) and max(entropy(shape), entropy(content)) < site_style.LEAST_IMPORTANCE:
+            want.add((host, node))
+    got = {(r.host, r.node) for r in site_style.low_importance(spark.createDataFrame(rows, "host string, html string").repartition(4)).collect()}
+    assert got == want and {h for h, _ in got} == {"b", "c", "d"}
+
+
 def test_copied_pages_keep_their_articles(spark):
     rng, v = random.Random(5), vocabulary(12)
     words = lambda n: " ".join(rng.choice(v) for _ in range(n))
