@@ -426,13 +426,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         roots = components(links)
         own = written(own.join(roots, own.sid == roots.node, "left").select("sid", "doc_id", "held", F.coalesce("root", "sid").alias("class")), "classes")
         lowest = own.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
-        found = _looked_up(own, "class", lowest).select("sid", "component_id", "held")
+        found = looked_up(own, "class", lowest).select("sid", "component_id", "held")
     found = found.withColumnRenamed("held", "rows")
-    out = _looked_up(sets.where("n > 0"), "sid", found).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = looked_up(sets.where("n > 0"), "sid", found).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.union(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def _looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
     """rows with what values has for their key; values: one row for each key, `rows` says how many of rows have it."""
     values = written(values, "values")
     least = max(LEAST_HOT, (values.agg(F.sum("rows")).first()[0] or 0) // MOST_HOT)
