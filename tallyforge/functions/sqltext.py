@@ -32,16 +32,22 @@ def lines_of(text: Column, pattern: str) -> Column:
     return F.filter(counts, lambda c: c["n"] > 0)
 
 
+#: Fixed parts of paths that tell the layer of a model.
+STAGING = ("staging/", "/stg_", "/stage/")
+DOWNSTREAM = ("marts/", "mart/", "intermediate/", "/int_", "/fct_", "/dim_", "/core/", "/analytics/", "/reporting/")
+MACROS = ("/macros/", "/dbt_macros/", "^dbt_macros/")
+
+
 def is_staging(path: Column) -> Column:
-    return F.lower(path).rlike("staging/|/stg_|/stage/")
+    return F.lower(path).rlike("|".join(STAGING))
 
 
 def is_downstream(path: Column) -> Column:
-    return F.lower(path).rlike("marts/|mart/|intermediate/|/int_|/fct_|/dim_|/core/|/analytics/|/reporting/")
+    return F.lower(path).rlike("|".join(DOWNSTREAM))
 
 
 def is_macro(path: Column) -> Column:
-    return F.lower(path).rlike("/macros/|/dbt_macros/|^dbt_macros/")
+    return F.lower(path).rlike("|".join(MACROS))
 
 
 #: Fixed lists: columns and phrases that bound a scan.
@@ -61,7 +67,7 @@ def is_bounded(text: Column) -> Column:
 
 #: Patterns on masked text; \b and classes mean the same in Java's and RE2's syntax.
 PATTERNS: dict[str, str] = {
-    "select_star": r"\bselect\s+(?:distinct\s+)?(?:[a-z_][a-z0-9_]*\.)?\*",
+    "select_star": r"(?:\bselect\b(?:\s+(?:all|distinct)\b)?|,)\s*(?:\w+\s*\.\s*){0,3}\*",
     "order_by": r"\border\s+by\b",
     "group_by": r"\bgroup\s+by\b",
     "limit": r"\blimit\b",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _QUIET = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/|\{#(?s:.*?)#\}"
 
 
-def _joined(text: Column, pattern: str, instead) -> Column:
+def replaced(text: Column, pattern: str, instead) -> Column:
     """text with each match replaced by instead(match)."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.when(b.isNull(), F.lit("")).otherwise(instead(b)))), "")
@@ -18,15 +20,23 @@ def blanked(text: Column, literals: bool = True) -> Column:
     """Comments, and what is inside single quotes with `literals`, as blanks: every other character keeps its offset and line."""
     blank = lambda t: F.regexp_replace(t, r"[^\n]", " ")
     quoted = lambda t: F.concat(F.lit("'"), blank(F.substring(t, F.lit(2), F.length(t) - 2)), F.lit("'"))
-    return _joined(text, _QUIET, lambda t: F.when(t.startswith("'"), quoted(t) if literals else t).otherwise(blank(t)))
+    return replaced(text, _QUIET, lambda t: F.when(t.startswith("'"), quoted(t) if literals else t).otherwise(blank(t)))
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, found>>: each match of a pattern (no empty ones) with its 0-based offset."""
+    """array<struct<start, found>>: each match of a pattern (no empty ones) with its 0-based offset, in one pass over the matches."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(parts, found, lambda a, b: F.struct(F.length(a).alias("before"), F.coalesce(F.length(b), F.lit(0)).alias("own")))
-    start = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x["before"] + x["own"]) - F.get(lengths, i)["own"]
-    return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), m.alias("found")))
+    pieces = F.filter(F.zip_with(parts, found, lambda a, b: F.struct(F.length(a).alias("before"), b.alias("found"))), lambda x: x["found"].isNotNull())
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["before"]
+        return F.struct((start + F.length(x["found"])).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["found"].alias("found")))).alias("out"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("out")), step, lambda s: s["out"])
+
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,found:string>>")
 
 
 def line_col(text: Column, offset: Column) -> Column:
@@ -54,19 +64,86 @@ def suppressions(text: Column) -> Column:
 
 def references(text: Column) -> Column:
     """array<struct<kind, package, name>> of ref('name'), ref('package', 'name') and source('package', 'name') outside comments."""
-    bare = _joined(text, _QUIET, lambda t: F.when(t.startswith("'"), t).otherwise(F.lit(" ")))
+    bare = replaced(text, _QUIET, lambda t: F.when(t.startswith("'"), t).otherwise(F.lit(" ")))
     calls = F.regexp_extract_all(bare, F.lit(r"\b(?:ref|source)\s*\(\s*(?:'[^']*'|\"[^\"]*\")(?:\s*,\s*(?:'[^']*'|\"[^\"]*\"))?"), F.lit(0))
 
     def one(call: Column) -> Column:
         names = F.transform(F.regexp_extract_all(call, F.lit("'[^']*'|\"[^\"]*\""), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
         return F.struct(F.regexp_extract(call, "^([a-z]+)", 1).alias("kind"), F.when(F.size(names) == 2, F.get(names, F.lit(0))).alias("package"), F.get(names, F.size(names) - 1).alias("name"))
 
-    return F.transform(calls, one)
+    return F.transform(calls, one).cast("array<struct<kind:string,package:string,name:string>>")
+
+
+_TAG = r"\{%-?\s*(?:if|elif|else|endif)\b(?s:.*?)%\}"
+_OPENS = r"^(?i)\{%-?\s*(?:if|elif)\s+is_incremental\s*\(\s*\)\s*-?%\}"
+
+
+def incremental_span(text: Column) -> Column:
+    """struct<start, end> of what stands between the first `if is_incremental()` and its own `endif`, nested blocks inside; else null.
+
+    A walk over the template tags: each `if` goes a level down, each `endif` up; `else` and `elif` are part of the block.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+
+    def step(s: Column, tag: Column) -> Column:
+        inside, closed = s["start"].isNotNull(), s["end"].isNotNull()
+        deeper = F.when(tag["found"].rlike(r"^\{%-?\s*if\b"), 1).when(tag["found"].rlike(r"^\{%-?\s*endif\b"), -1).otherwise(0)
+        opens = ~inside & tag["found"].rlike(_OPENS)
+        depth = F.when(opens, 1).when(inside, s["depth"] + deeper).otherwise(0)
+        end = F.when(inside & (depth == 0), tag["start"])
+        return F.when(closed, s).otherwise(F.struct(depth.alias("depth"), F.when(opens, tag["start"] + F.length(tag["found"])).otherwise(s["start"]).alias("start"), end.alias("end")))
+
+    span = F.aggregate(spans(text, _TAG), start, step)
+    return F.when(span["end"].isNotNull(), F.struct(span["start"].alias("start"), span["end"].alias("end")))
 
 
 def incremental_block(text: Column) -> Column:
-    """What stands between `{% if is_incremental() %}` and its end, up to a nested block's; empty without one."""
-    return F.regexp_extract(text, r"(?s)\{%-?\s*if\s+is_incremental\s*\(\s*\)[^%]*%\}(.*?)\{%-?\s*(?:endif|else|elif)\b", 1)
+    """The text of `incremental_span`; empty without one."""
+    cut = F.transform(F.array(incremental_span(text)), lambda span: F.substring(text, span["start"] + 1, span["end"] - span["start"]))
+    return F.when(text.contains("is_incremental"), F.coalesce(F.get(cut, F.lit(0)), F.lit(""))).otherwise("")
+
+
+def loose_sources(text: Column, bounds: list[str]) -> Column:
+    """array<struct<start, found>> of the source() calls of lower-case text that are read without a bound.
+
+    A call is read from the last select before it up to the end of its parentheses' query, or for 1,200 characters; it is
+    loose if none of the spans of `bounds` lies inside.
+    """
+    calls, held = spans(text, r"source\("), spans(text, "|".join(map(re.escape, sorted(bounds, key=len, reverse=True))))
+
+    def loose(c: Column) -> Column:
+        head = F.substring(text, F.lit(1), c["start"])
+        begin = F.when(head.contains("select"), F.length(head) - F.length(F.substring_index(head, "select", -1)) - 6).otherwise(0)
+        close = F.locate("),", F.substring(text, c["start"] + 1, F.length(text)))
+        end = F.when(close > 0, c["start"] + close - 1).otherwise(F.least(F.length(text), c["start"] + 1200))
+        return ~F.exists(held, lambda b: (b["start"] >= begin) & (b["start"] + F.length(b["found"]) <= end))
+
+    return F.filter(calls, loose)
+
+
+def alternatives(text: Column, columns: list[str]) -> Column:
+    """array<struct<start, found>> of the filters in which OR stands between predicates on listed columns."""
+    filters = spans(text, r"\bwhere\b(?s:.*?)(?=\b(?:group\s+by|order\s+by|having|qualify|limit|union|where)\b|;|$)")
+    filters = F.filter(filters, lambda f: f["found"].rlike(r"\bor\b"))
+    named = rf"(?:^|[^a-z0-9])_?(?:{'|'.join(c.lstrip('_') for c in columns)})\b"
+    return F.filter(filters, lambda f: F.size(F.filter(F.split(f["found"], r"\bor\b"), lambda part: part.rlike(named))) > 1)
+
+
+def json_keys(text: Column) -> Column:
+    """The keys of a text's calls that take values out of JSON."""
+    calls = F.regexp_extract_all(text, F.lit(r"\b(?:json_extract|json_extract_scalar|json_value|json_query|parse_json|get_path)\s*\([^)]*"), F.lit(0))
+    return F.transform(calls, json_key)
+
+
+def normalizations(text: Column) -> Column:
+    """Calls like lower(trim(x)), each as one string."""
+    calls = F.regexp_extract_all(text, F.lit(r"\b(?:lower|upper)\s*\(\s*trim\s*\([^)]*\)\s*\)"), F.lit(0))
+    return F.transform(calls, lambda c: F.regexp_replace(c, r"\s+", " "))
+
+
+def most_equal(values: Column) -> Column:
+    """How often the most frequent of the values occurs; 0 of none."""
+    return F.coalesce(F.array_max(F.transform(F.array_distinct(values), lambda d: F.size(F.filter(values, lambda v: v == d)))), F.lit(0))
 
 
 def json_key(call: Column) -> Column:
@@ -130,10 +207,10 @@ def unbounded_joins(masked: Column) -> Column:
 
 
 def cte_reuse(masked: Column) -> Column:
-    """The most references that any common table expression of a text has."""
+    """The most references, as a table, that any common table expression of a text has."""
     names = F.array_distinct(F.regexp_extract_all(masked, F.lit(r"(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)([a-z_][a-z0-9_]*)\s+as\s*\("), F.lit(1)))
-    uses = F.transform(names, lambda n: F.regexp_count(masked, F.concat(F.lit(r"\b"), n, F.lit(r"\b"))) - 1)
-    return F.coalesce(F.array_max(uses), F.lit(0))
+    tables = F.regexp_extract_all(masked, F.lit(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)(?![a-z0-9_.])"), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(names, lambda n: F.size(F.filter(tables, lambda t: t == n)))), F.lit(0))
 
 
 def catalogs(masked: Column) -> Column:

@@ -113,15 +113,18 @@ def growth(small: DataFrame, large: DataFrame) -> DataFrame:
     return large.join(F.broadcast(a), F.lit(True)).select(_ratio(F.col("median_ms") / F.col("models"), F.col("_a")).alias("growth"))  # one row by one row
 
 
-def failure_groups(failures: DataFrame) -> DataFrame:
-    """(signature, pattern, n) of parse failures (message, snippet, path): what the parser said, and what the text looks like."""
-    text, head = F.lower(F.ltrim("snippet")), F.substring(F.lower(F.ltrim("snippet")), 1, 120)
-    said = F.when(F.trim(F.coalesce("message", F.lit(""))) == "", "SQL parse failed").when(F.col("message").startswith("SQL parse failed for "), "SQL parse failed").otherwise(F.substring_index(F.trim("message"), ";", 1))
-    looks = (
-        F.when(head.contains("config("), "config_wrapper").when(head.contains("{{") | head.contains("{%"), "template").when(text.rlike(r" qualify |unnest\(|struct<|::"), "dialect")
-        .when(text.rlike("^(?:with|select) "), "parser_gap").when(F.lower("path").endswith(".sql"), "parse_failure").otherwise("other")
-    )
-    return failures.groupBy(said.alias("signature"), looks.alias("pattern")).agg(F.count("*").alias("n"))
+def failure_groups(failures: DataFrame, classes: list[tuple[str, str]], most: int | None = None) -> DataFrame:
+    """(signature, group, n, example) of failures (message, path), with `most` only the most frequent signatures.
+
+    A signature is the message in lower case with quoted values and numbers left out, '' for none. classes: (group, pattern)
+    in order, the first that matches a signature names its group, else `other`. Example: the least path.
+    """
+    said = F.lower(F.coalesce("message", F.lit("")))
+    said = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(said, "'[^']*'|\"[^\"]*\"|`[^`]*`", "<value>"), r"\d+", "#"), r"\s+", " "))
+    by = failures.groupBy(said.alias("signature")).agg(F.count("*").alias("n"), F.min("path").alias("example"))
+    group = F.coalesce(*[F.when(F.col("signature").rlike(p), g) for g, p in classes], F.lit("other"))
+    out = by.select("signature", group.alias("group"), "n", "example")
+    return out if most is None else out.orderBy(F.desc("n"), "signature").limit(most)
 
 
 def stratified_tail(rows: DataFrame, primary: DataFrame, cap: int, by: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ def _steps(edges: DataFrame) -> DataFrame:
     return written(edges.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).where("_p is not null and _c is not null").distinct(), "steps")
 
 
-def _spread(first: DataFrame, step: DataFrame, most: int | None = None) -> DataFrame:
+def spread(first: DataFrame, step: DataFrame, most: int | None = None) -> DataFrame:
     """first (node and perhaps seed) and all that follows from it along step (_p, _c), each row once.
 
     Semi-naive: a round joins only what was new in the last one, and drops what is known, so diamonds and cycles count
@@ -46,14 +46,14 @@ def downstream(edges: DataFrame, seeds: DataFrame | None = None, most: int | Non
     step = _steps(edges)
     start = step.select(F.col("_p").alias("seed")).distinct() if seeds is None else seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
     first = start.join(step, F.col("seed") == F.col("_p")).select("seed", F.col("_c").alias("node")).where("seed <> node").distinct()
-    return _spread(first, step, most)
+    return spread(first, step, most)
 
 
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node): all that is downstream of any of `starts` (first column); one row a node, however many starts reach it."""
     step = _steps(edges)
     start = starts.select(F.col(starts.columns[0]).alias("_s")).distinct()
-    return _spread(start.join(step, F.col("_s") == F.col("_p")).select(F.col("_c").alias("node")).distinct(), step)
+    return spread(start.join(step, F.col("_s") == F.col("_p")).select(F.col("_c").alias("node")).distinct(), step)
 
 
 def downstream_counts(edges: DataFrame, most: int | None = None) -> DataFrame:

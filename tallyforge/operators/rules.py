@@ -7,10 +7,12 @@ forty rules cost one scan and no join, and files stay where they are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import joins as jn
 from tallyforge.functions import sqltext as st
+from tallyforge.functions import templates as tp
 from tallyforge.functions import texts as tx
 from tallyforge.operators.governance import evidence_key, identity
 
@@ -19,15 +21,22 @@ SEVERITIES = ("info", "low", "medium", "high", "critical")
 
 #: Settings of a model that a feature row has, null where a project does not tell.
 SETTINGS = ("materialized", "unique_key", "partition_by", "cluster_by", "incremental_strategy", "on_schema_change")
-#: Columns that tables are usually partitioned by, in a filter.
-_SLICED = r"(?:block_time|evt_block_time|block_date|event_date|partition_date|_partitiontime|_partitiondate)"
+#: Methods of dataframe libraries that go row by row, and of dataframes and cursors that bring all rows to the caller.
+ROW_WISE = ("iterrows", "itertuples")
+COLLECTING = ("collect", "toPandas", "to_pandas", "to_dict", "fetchall", "fetchmany")
+
+
+def _calls(methods: tuple[str, ...]) -> str:
+    return r"\.\s*(?:" + "|".join(dict.fromkeys(m.lower() for m in methods)) + r")\s*\("
+
+
+#: An apply over rows: the axis is named somewhere in its arguments.
+_BY_ROW = r"\.\s*apply\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\baxis\s*=\s*(?:1\b|'\s*')"
 #: On masked text; these may use what only Java's regular expressions have.
 MORE_PATTERNS = {
-    "correlated": r"\b(?:where|on)\b[^;\n]*(?:\bexists\s*\(|\(\s*select\b)[^;\n]*\w\.\w+\s*=\s*\w+\.\w",
-    "or_sliced": rf"\bwhere\b[^;\n]*\b{_SLICED}\b[^;\n]*\bor\b[^;\n]*\b{_SLICED}\b",
     "comma_join": r"\bfrom\s+[a-z_][a-z0-9_.]*(?:\s+(?:as\s+)?(?!where\b|join\b|on\b)[a-z_][a-z0-9_]*)?\s*,\s*(?!unnest\b|lateral\b|table\b|flatten\b|(?:[a-z_]+\.)*(?:" + "|".join(st.SPINES) + r")\b)[a-z_]",
-    "row_wise": r"\.apply\s*\([^\n]*axis\s*=\s*1|\.iterrows\s*\(|\.itertuples\s*\(",
-    "local_collection": r"\.(?:collect|to_?pandas|to_dict)\s*\(|\.fetch(?:all|many)\s*\(",
+    "row_wise": rf"{_calls(ROW_WISE)}|{_BY_ROW}",
+    "local_collection": _calls(COLLECTING),
     "merge_predicates": r"\bincremental_predicates?\b",
 }
 MORE_LITERAL_PATTERNS = {
@@ -38,28 +47,31 @@ MORE_LITERAL_PATTERNS = {
 
 
 def features(files: DataFrame) -> DataFrame:
-    """files (path, text, ...) with a count column `n_<feature>` for each pattern, `bounded` and `norm`."""
-    rows = files.withColumn("_masked", st.masked(F.col("text"))).withColumn("_bare", F.lower(st.without_comments(F.col("text"))))
-    for name in SETTINGS:
-        if name not in files.columns:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-    for name, pattern in st.PATTERNS.items():
-        rows = rows.withColumn(f"n_{name}", st.count(F.col("_masked"), pattern))
-    for name, pattern in st.LITERAL_PATTERNS.items():
-        rows = rows.withColumn(f"n_{name}", st.count(F.col("_bare"), pattern))
-    for name, pattern in MORE_PATTERNS.items():
-        rows = rows.withColumn(f"n_{name}", st.count(F.col("_masked"), pattern))
-    for name, pattern in MORE_LITERAL_PATTERNS.items():
-        rows = rows.withColumn(f"n_{name}", st.count(F.col("_bare"), pattern))
-    rows = rows.withColumn("n_open_join", tx.unbounded_joins(F.col("_masked"))).withColumn("cte_reuse", tx.cte_reuse(F.col("_masked"))).withColumn("n_catalog", F.size(tx.catalogs(F.col("_masked"))))
-    return rows.withColumn("bounded", st.is_bounded(F.col("text"))).drop("_masked", "_bare")
+    """files (path, text, ...) with a count column `n_<feature>` for each pattern, and what rules need of its shape.
+
+    shaped: the text of `joins.shape` and its breaks; joins, nested: of `joins.joins` and `joins.correlated`; sliced: where
+    filters on partition columns are joined by OR; bounded, block_bounded: whether the text, and its incremental block or
+    else the text, has a bound; loose_sources: sources read without one; json_repeats, normal_repeats: equal calls at most.
+    """
+    masked, bare, text = F.col("_masked"), F.col("_bare"), F.col("text")
+    rows = files.withColumns({n: F.lit(None).cast("string") for n in SETTINGS if n not in files.columns} | {"_masked": st.masked(text), "_bare": F.lower(st.without_comments(text)), "shaped": jn.shape(text), "_block": F.trim(tx.incremental_block(F.lower(text)))})
+    counts = {f"n_{n}": st.count(masked, p) for n, p in (st.PATTERNS | MORE_PATTERNS).items()} | {f"n_{n}": st.count(bare, p) for n, p in (st.LITERAL_PATTERNS | MORE_LITERAL_PATTERNS).items()}
+    counts |= {"n_open_join": tx.unbounded_joins(masked), "cte_reuse": tx.cte_reuse(masked), "n_catalog": F.size(tx.catalogs(masked)), "json_repeats": tx.most_equal(tx.json_keys(bare)), "normal_repeats": tx.most_equal(tx.normalizations(masked))}
+    shape = {"_scopes": jn.scopes(F.col("shaped.text")), "sliced": tx.alternatives(F.col("shaped.text"), st.BOUND_COLUMNS), "bounded": st.is_bounded(text), "block_bounded": st.is_bounded(F.when(F.col("_block") == "", text).otherwise(F.col("_block")))}
+    loose = F.when(F.lower(text).contains("is_incremental"), tx.loose_sources(F.lower(text), [*st.BOUND_COLUMNS, *st.BOUND_PHRASES])).otherwise(tx.no_spans())
+    rows = rows.withColumns(counts | shape | {"loose_sources": loose})
+    return rows.withColumns({"joins": jn.joins(F.col("_scopes")), "nested": jn.correlated(F.col("_scopes"))}).drop("_masked", "_bare", "_scopes", "_block")
 
 
 def _n(name: str) -> Column:
     return F.col(f"n_{name}")
 
 
-def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple[str, Column, str]]:
+def _raised(when: Column, usual: str = "medium") -> Column:
+    return F.when(F.coalesce(when, F.lit(False)), "high").otherwise(usual)
+
+
+def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple[str | Column, Column, str]]:
     """rule -> (severity, condition, name). Columns: those of features(), path, and a model's settings."""
     down, stage, macro = st.is_downstream(F.col("path")), st.is_staging(F.col("path")), st.is_macro(F.col("path"))
     mart = F.lower("path").contains("marts/")
@@ -70,28 +82,30 @@ def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple
     merges = (F.lower("incremental_strategy") == "merge") | (_n("config_merge") > 0)
     wide = (_n("config_full_refresh") > 0) | (_n("config_sync_columns") > 0) | F.coalesce(F.lower("on_schema_change") == "sync_all_columns", F.lit(False))
     spine = F.lower("text").rlike(r"\bcross\s+join\s+(?:[a-z_]+\.)*(?:" + "|".join(st.SPINES) + r")\b")
-    found: dict[str, tuple[str, Column, str]] = {
+    looks_raw = F.lower("text").contains("raw")
+    found: dict[str, tuple[str | Column, Column, str]] = {
         "R001": ("medium", down & ~stage & (_n("select_star") > 0), "select star downstream"),
-        "R002": ("medium", _n("json_call") >= json_from, "repeated json extraction"),
+        "R002": (_raised(stage & looks_raw), F.col("json_repeats") >= json_from, "repeated json extraction"),
         "R003": ("medium", _n("regex_call") >= 2, "repeated regex"),
         "R004": ("high", incremental & ~keyed & ~appends, "incremental without unique key"),
-        "R005": ("high", incremental & (_n("is_incremental") > 0) & ~F.col("bounded"), "incremental without date predicate"),
+        "R005": ("high", incremental & (_n("is_incremental") > 0) & ~F.col("block_bounded") & ~F.lower("text").contains("incremental_predicate"), "incremental without date predicate"),
         "R007": ("low", down & (_n("order_by") > 0) & (_n("limit") == 0), "order by without limit"),
         "R008": ("medium", ~macro & (_n("distinct") > 0) & (_n("group_by") == 0), "blind distinct"),
-        "R009": ("low", _n("normalization") > 1, "repeated normalization"),
+        "R009": ("low", F.col("normal_repeats") > 1, "repeated normalization"),
         "R011": ("medium", mart & (_n("source_call") > 0), "source in mart"),
         "R006": ("medium", ~macro & (_n("open_join") > 0), "unbounded join"),
         "R012": ("medium", ((_n("cross_join") > 0) & ~spine) | (_n("comma_join") > 0), "cross join"),
         "R014": ("low", ~macro & (F.col("cte_reuse") >= 3), "repeated cte"),
-        "R030": ("high", _n("correlated") > 0, "correlated subquery"),
-        "R032": ("medium", _n("or_sliced") > 0, "or across partition predicates"),
+        "R019": ("high", incremental & (_n("is_incremental") > 0) & F.col("block_bounded") & (F.size("loose_sources") > 0), "unbounded source in incremental"),
+        "R030": ("high", F.size("nested") > 0, "correlated subquery"),
+        "R032": ("medium", F.size("sliced") > 0, "or across partition predicates"),
         "R035": ("medium", F.lit(platform in ("trino", "databricks")) & (_n("join") > 0) & (_n("catalog") > 1), "cross-catalog join"),
         "R043": ("medium", F.lit(platform == "snowflake") & incremental & merges & (_n("merge_predicates") == 0), "merge without target pruning"),
         "R013": ("medium", _n("window") > _n("window_partitioned"), "unpartitioned window"),
         "R016": ("high", ~stage & (_n("non_sargable") > 0), "non-sargable predicate"),
-        "R017": ("medium", ~macro & ~stage & (_n("wrapped_join_key") > 0), "wrapped join key"),
-        "R018": ("medium", _n("union") > _n("union_all"), "union without all"),
-        "R020": ("medium", down & (_n("count_distinct") > 0), "count distinct downstream"),
+        "R017": ("medium", ~macro & ~stage & F.exists("joins", lambda j: j["hidden"]), "wrapped join key"),
+        "R018": (_raised(stage | F.lower("path").contains("intermediate/")), _n("union") > _n("union_all"), "union without all"),
+        "R020": (_raised(_n("count_distinct") > 1), down & (_n("count_distinct") > 0), "count distinct downstream"),
         "R021": ("medium", F.lit(platform == "bigquery") & (_n("wildcard_table") > 0) & ~F.lower("text").contains("_table_suffix"), "wildcard scan"),
         "R028": ("high", F.lit(platform in ("bigquery", "snowflake", "databricks")) & mart & F.col("materialized").isin("incremental", "table") & F.col("partition_by").isNull() & F.col("cluster_by").isNull(), "mart without partition or cluster"),
         "R029": ("medium", incremental & wide, "full refresh of an incremental model"),
@@ -111,13 +125,17 @@ def conditions(platform: str = "generic", json_from: int = 2) -> dict[str, tuple
     }
 
 
+def _grade(severity: str | Column) -> Column:
+    return F.lit(severity) if isinstance(severity, str) else severity
+
+
 def _is_python() -> Column:
     return F.lower("path").endswith(".py")
 
 
 def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] = ()) -> DataFrame:
     """(model_id, path, rule, severity) and the columns in `keep` of all rules that a file meets, less what it suppresses itself."""
-    held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, (s, c, _) in sorted(conditions(platform).items())]
+    held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), _grade(s).alias("severity"))) for r, (s, c, _) in sorted(conditions(platform).items())]
     off = F.regexp_extract_all("text", F.lit(r"disable-file=\s*(R[0-9]{3})"), F.lit(1))
     out = rows.withColumn("_off", off).withColumn("f", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
     return out.where(~F.array_contains("_off", F.col("f.rule"))).select("model_id", "path", "f.rule", "f.severity", *keep)
@@ -126,7 +144,7 @@ def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] =
 #: What a rule's finding points at: the pattern of each occurrence. Rules that are not here concern a file as a whole.
 _EACH = {
     "R001": st.PATTERNS["select_star"], "R007": st.PATTERNS["order_by"], "R008": st.PATTERNS["distinct"], "R012": rf"{st.PATTERNS['cross_join']}|{MORE_PATTERNS['comma_join']}", "R013": r"\bover\s*\((?!\s*partition\b)",
-    "R016": st.PATTERNS["non_sargable"], "R017": st.PATTERNS["wrapped_join_key"], "R018": r"\bunion\b(?!\s+all\b)", "R020": st.PATTERNS["count_distinct"], "R030": MORE_PATTERNS["correlated"], "R032": MORE_PATTERNS["or_sliced"],
+    "R016": st.PATTERNS["non_sargable"], "R018": r"\bunion\b(?!\s+all\b)", "R020": st.PATTERNS["count_distinct"],
     "R033": st.PATTERNS["pattern_join"], "R034": st.PATTERNS["scalar_subquery"], "R036": st.PATTERNS["row_explosion"], "R037": st.PATTERNS["not_in_subquery"], "R041": st.PATTERNS["unbounded_frame"], "R044": st.PATTERNS["recursive_cte"],
     "R010": MORE_PATTERNS["row_wise"], "R022": MORE_PATTERNS["local_collection"],
 }
@@ -134,32 +152,73 @@ _EACH = {
 _FIRST = {"R002": st.PATTERNS["json_call"], "R003": st.PATTERNS["regex_call"], "R009": st.PATTERNS["normalization"]}
 
 
+#: Rules whose places come with the features.
+_PLACED = {"R017": lambda: F.transform(F.filter("joins", lambda j: j["hidden"]), lambda j: F.struct(j["start"].alias("start"), j["predicate"].alias("found"))), "R019": lambda: F.col("loose_sources"), "R030": lambda: F.col("nested"), "R032": lambda: F.col("sliced")}
+#: Rules whose places are offsets of the source itself, not of the shaped text.
+_RAW = ("R019", "R031")
+
+
+def _named(rule: str, severity: str | Column):
+    return lambda p: F.struct(F.lit(rule).alias("rule"), _grade(severity).alias("severity"), F.lit(rule in _RAW).alias("raw"), p["start"].alias("start"), p["found"].alias("found"))
+
+
+def _mapped(places: Column, breaks: Column) -> Column:
+    """Places (rule, severity, raw, start, found) with their key and their first and last offset in the source."""
+    ends = F.transform(places, lambda p: F.struct(p.alias("p"), (p["start"] + F.length(p["found"]) - 1).alias("last")))
+
+    def one(x: Column) -> Column:
+        p = x["p"]
+        start = F.when(p["raw"], p["start"]).otherwise(tp.source_offset(breaks, p["start"]))
+        end = F.when(p["raw"], x["last"]).otherwise(tp.source_offset(breaks, x["last"])) + 1
+        return F.struct(p["rule"].alias("rule"), st.normalized(F.coalesce(p["found"], F.lit(""))).alias("key"), start.alias("start"), end.alias("end"), p["severity"].alias("severity"))
+
+    return F.transform(ends, one)
+
+
+def _numbered(places: Column) -> Column:
+    """Places with `n`, their number among those of equal rule and key in ascending order: a sort and one walk in the row."""
+    kind = "array<struct<rule:string,key:string,start:int,end:int,severity:string,n:int>>"
+    first = F.struct(F.lit("").alias("rule"), F.lit("").alias("key"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        n = F.when((p["rule"] == s["rule"]) & (p["key"] == s["key"]), s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(p["rule"].alias("rule"), p["key"].alias("key"), n.alias("n"), F.concat(s["out"], F.array(F.struct(*[p[c].alias(c) for c in ("rule", "key", "start", "end", "severity")], n.alias("n")))).alias("out"))
+
+    return F.aggregate(F.array_sort(places), first, step, lambda s: s["out"])
+
+
 def located(rows: DataFrame, platform: str = "generic") -> DataFrame:
-    """(model_id, path, rule, severity, line, col, span, evidence, finding_id): a finding for each occurrence of a rule.
+    """(model_id, path, rule, severity, line, col, span, message, evidence, finding_id): a finding for each occurrence of a rule.
 
-    rows: those of features(). Offsets are those of the text itself, since comments and literals are blanked, not removed.
-    Evidence is the occurrence's normalized text and its number among equal ones, so an id outlives moved lines. What the
-    text suppresses, for the file or the line, is left out. Line, column and span are null for rules on a whole file.
+    rows: those of features(). Places are found in text without comments, literals and templates and mapped back, so line,
+    column and span are those of the text itself. Evidence is the occurrence's normalized text and its number among equal
+    ones, so an id outlives moved lines. What the text suppresses, for the file or the line, is left out. Line, column and
+    span are null for rules on a whole file.
     """
-    bare, quiet = F.lower(tx.blanked(F.col("text"), False)), F.lower(tx.blanked(F.col("text")))
-    rows = rows.withColumn("_quiet", quiet).withColumn("_bare", bare).withColumn("_off", tx.suppressions(F.col("text")))
+    rows = rows.withColumn("_raw", F.lower(tx.blanked(F.col("text"), False))).withColumn("_off", tx.suppressions(F.col("text")))
     nothing = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("found")))
-    parts = []
-    for rule, (severity, condition, _) in sorted(conditions(platform).items()):
-        text, pattern = ("_bare", st.LITERAL_PATTERNS["leading_wildcard"]) if rule == "R031" else ("_quiet", _EACH.get(rule) or _FIRST.get(rule))
-        places = tx.spans(F.col(text), pattern) if pattern else nothing
+    parts, names = [], []
+    for rule, (severity, condition, name) in sorted(conditions(platform).items()):
+        pattern = _EACH.get(rule) or _FIRST.get(rule)
+        if rule in _PLACED:
+            places = _PLACED[rule]()
+        elif rule == "R031":
+            places = tx.spans(F.col("_raw"), st.LITERAL_PATTERNS["leading_wildcard"])
+        else:
+            places = tx.spans(F.col("shaped.text"), pattern) if pattern else nothing
         places = F.slice(places, 1, 1) if rule in _FIRST else places
-        name, grade = F.lit(rule).alias("rule"), F.lit(severity).alias("severity")
-        held = F.transform(places, lambda p: F.struct(name, grade, p["start"].alias("start"), p["found"].alias("found")))  # noqa: B023
+
+        held = F.transform(places, _named(rule, severity))
         parts.append(F.when(F.coalesce(condition, F.lit(False)), held).otherwise(F.slice(held, 1, 0)))
-    out = rows.withColumn("f", F.explode(F.flatten(F.array(*parts)))).select("model_id", "path", "_off", "text", "f.*")
+        names.append((rule, name))
+    message = F.create_map(*[F.lit(x) for pair in names for x in pair])
+    rows = rows.select("model_id", "path", "_off", "text", "shaped", F.flatten(F.array(*parts)).alias("_places"))
+    rows = rows.withColumn("_places", _mapped(F.col("_places"), F.col("shaped.breaks")))
+    out = rows.withColumn("f", F.explode(_numbered(F.col("_places")))).select("model_id", "path", "_off", "text", "f.*")
     out = out.withColumn("_at", F.when(F.col("start").isNotNull(), tx.line_col(F.col("text"), F.col("start")))).select("*", "_at.*")
     hidden = F.exists("_off", lambda o: (o["rule"] == F.col("rule")) & (o["line"].isNull() | (o["line"] == F.coalesce("line", F.lit(-1)))))
-    key = st.normalized(F.coalesce("found", F.lit("")))
-    order = F.row_number().over(Window.partitionBy("model_id", "path", "rule", "_key").orderBy("start"))
-    out = out.where(~hidden).withColumn("_key", key).withColumn("_n", order)
-    out = out.withColumn("evidence", evidence_key("occurrence", key=F.col("_key"), n=F.col("_n").cast("string")))
-    return out.select("model_id", "path", "rule", "severity", "line", "col", F.length("found").alias("span"), "evidence", identity(F.col("rule"), F.col("path"), F.col("evidence")).alias("finding_id"))
+    out = out.where(~hidden).withColumn("evidence", evidence_key("occurrence", key=F.col("key"), n=F.col("n").cast("string")))
+    return out.select("model_id", "path", "rule", "severity", "line", "col", (F.col("end") - F.col("start")).alias("span"), message[F.col("rule")].alias("message"), "evidence", identity(F.col("rule"), F.col("path"), F.col("evidence")).alias("finding_id"))
 
 
 def ordered(found: DataFrame) -> DataFrame:

@@ -208,16 +208,16 @@ DOWN = "regexp_matches(lower(path), 'marts/|mart/|intermediate/|/int_|/fct_|/dim
 STAGE = "regexp_matches(lower(path), 'staging/|/stg_|/stage/')"
 INC = "(materialized = 'incremental' OR n_config_incremental > 0)"
 RULE_SQL = {
-    "R001": ("medium", f"{DOWN} AND NOT {STAGE} AND n_select_star > 0"), "R002": ("medium", "n_json_call >= 2"), "R003": ("medium", "n_regex_call >= 2"),
+    "R001": ("medium", f"{DOWN} AND NOT {STAGE} AND n_select_star > 0"), "R002": (f"CASE WHEN {STAGE} AND contains(lower(text), 'raw') THEN 'high' ELSE 'medium' END", "n_json_call >= 2"), "R003": ("medium", "n_regex_call >= 2"),
     "R006": ("medium", "template = 32"), "R014": ("low", "template = 14"), "R004": ("high", f"{INC} AND unique_key IS NULL AND n_config_unique_key = 0"), "R005": ("high", f"{INC} AND n_is_incremental > 0 AND NOT bounded"), "R007": ("low", f"{DOWN} AND n_order_by > 0 AND n_limit = 0"),
     "R008": ("medium", "n_distinct > 0 AND n_group_by = 0"), "R009": ("low", "n_normalization > 1"), "R011": ("medium", "contains(path, 'marts/') AND n_source_call > 0"),
     "R012": ("medium", "n_cross_join > 0 AND NOT contains(text, 'date_spine')"), "R013": ("medium", "n_window > n_window_partitioned"), "R016": ("high", f"NOT {STAGE} AND n_non_sargable > 0"), "R017": ("medium", f"NOT {STAGE} AND n_wrapped_join_key > 0"),
-    "R018": ("medium", "n_union > n_union_all"), "R020": ("medium", f"{DOWN} AND n_count_distinct > 0"), "R021": ("medium", "n_wildcard_table > 0"),
+    "R018": (f"CASE WHEN {STAGE} OR contains(path, 'intermediate/') THEN 'high' ELSE 'medium' END", "n_union > n_union_all"), "R020": ("CASE WHEN n_count_distinct > 1 THEN 'high' ELSE 'medium' END", f"{DOWN} AND n_count_distinct > 0"), "R021": ("medium", "n_wildcard_table > 0"),
     "R028": ("high", "contains(path, 'marts/') AND materialized IN ('incremental', 'table') AND partition_by IS NULL AND cluster_by IS NULL"), "R029": ("medium", f"{INC} AND n_config_full_refresh > 0"), "R031": ("medium", "n_leading_wildcard > 0"),
     "R033": ("high", "n_pattern_join > 0"), "R034": ("medium", f"{DOWN} AND n_scalar_subquery > 0"), "R036": ("high", "n_row_explosion > 0 AND (n_distinct > 0 OR n_count_distinct > 0)"), "R037": ("high", "n_not_in_subquery > 0"),
     "R040": ("medium", f"{DOWN} AND materialized = 'table' AND n_is_incremental = 0 AND bounded"), "R041": ("medium", "n_unbounded_frame > 0"), "R042": ("medium", "n_ref_call + n_source_call > 0 AND NOT bounded"), "R044": ("medium", "n_recursive_cte > 0"),
 }
-FOUND = f"{_features_sql()}, found AS (SELECT * FROM ({' UNION ALL '.join(f'''SELECT model_id, path, text, '{r}' AS rule, '{s}' AS severity FROM feat WHERE {c}''' for r, (s, c) in RULE_SQL.items())}) x WHERE NOT contains(text, 'disable-file=' || rule))"
+FOUND = f"{_features_sql()}, found AS (SELECT * FROM ({' UNION ALL '.join(f'''SELECT model_id, path, text, '{r}' AS rule, {s if s[:4] == 'CASE' else repr(s)} AS severity FROM feat WHERE {c}''' for r, (s, c) in RULE_SQL.items())}) x WHERE NOT contains(text, 'disable-file=' || rule))"
 
 
 @query("rule_findings", "d_files", "d_models", sql=f"WITH {FOUND} SELECT model_id, path, rule, severity FROM found")

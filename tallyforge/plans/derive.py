@@ -45,7 +45,7 @@ TEMPLATES = (
     "{{ config(materialized='incremental') }} select id, ts from {{ source('raw', 'ev_@') }} {% if is_incremental() %} where id > 5 {% endif %}",
     "{{ config(materialized='incremental', unique_key='id') }} select id from {{ ref('up_@') }} {% if is_incremental() %} where updated_at > '2024-01-01' {% endif %}",
     "{{ config(materialized='incremental', unique_key='id', full_refresh=true) }} select id from {{ ref('up_@') }}",
-    "select a.id from {{ ref('up_@') }} a join {{ ref('other_@') }} b on lower(a.k) = b.k",
+    "select a.id from {{ ref('up_@') }} a join {{ ref('other_@') }} b on lower(a.k) = b.code",
     "select a.id from {{ ref('up_@') }} a join {{ ref('other_@') }} b on a.name like b.pattern",
     "select 'select * from x' as t, id from {{ ref('up_@') }} /* order by a */",
     "-- costcheck: disable-file=R001\nselect * from {{ ref('up_@') }}",
@@ -61,7 +61,7 @@ MORE_TEMPLATES = (
     (".sql", "select a.id from t_@ a join u_@ b using (id)"),
     (".sql", "select a.id from t_@ a, u_@ b where a.id > 1"),
     (".sql", "select a.id from t_@ a, date_spine d"),
-    (".sql", "with c as (select 1 as x) select c.x from c union all select c.x from c"),
+    (".sql", "with c as (select 1 as x) select c.x from c union all select c.x from c union all select c.x from c"),
     (".sql", "with base as (select 1 as x) select x from base"),
     (".sql", "select a.id from t_@ a where exists (select 1 from u_@ b where b.id = a.id)"),
     (".sql", "select id from t_@ where event_date = 1 or block_date = 2"),
@@ -76,15 +76,63 @@ MORE_TEMPLATES = (
     (".py", "def model(dbt, s): return dbt.ref('a').to_pandas().head()"),
     (".py", "rows = 'select * from t'"),
     (".sql", "-- q: disable-next-line=R006, R012\nselect a.id from t_@ a, u_@ b\njoin v on a.x > v.x -- q: disable=R006"),
+    (".sql", "{{ config(materialized='incremental', unique_key='id') }} with s as (select id from {{ source('raw', 't_@') }}), f as (select id from s) select id from f {% if is_incremental() %} where updated_at > 1 {% endif %}"),
+    (".sql", "{{ config(materialized='incremental', unique_key='id') }} with s as (select id from {{ source('raw', 't_@') }} where updated_at > 1), f as (select id from s) select id from f {% if is_incremental() %} where updated_at > 1 {% endif %}"),
+    (".sql", "{{ config(materialized='incremental', unique_key='id') }} select id from {{ source('raw', 't_@') }} where updated_at > 1"),
+    (".sql", "{{ config(materialized='incremental', unique_key='id') }} select id, updated_at from t_@ {% if is_incremental() %} where id > 5 {% endif %}"),
+    (".sql", "{{ config(materialized='incremental', unique_key='id') }} select id from t_@ {% if is_incremental() %} {% if var('x') %} where a > 1 {% endif %} and event_date > 1 {% endif %}"),
+    (".py", "for i, row in df.iterrows(): use(row)"),
+    (".py", "rows = [f(r) for r in df.itertuples()]"),
+    (".py", "df.apply(lambda r: f(r), axis = 1)"),
+    (".py", "df.apply(f).apply(g, axis=0)"),
+    (".py", "iterrows = 1"),
+    (".py", "rows = cursor.fetchall()"),
+    (".py", "rows = df.collect()"),
+    (".py", "df.select(collect_list('x'), to_dict)"),
+    (".sql", "select a.id, (select max(b.v) from u_@ b where b.k = a.k) m from t_@ a"),
+    (".sql", "select a.id from t_@ a where a.id in (select b.id from u_@ b)"),
+    (".sql", "select q.id from (select b.id from u_@ b where b.v = b.w) q"),
+    (".sql", "select a.id from t_@ a where not exists (select 1 from u_@ b join w c on c.id = b.id where b.id = a.id)"),
+    (".sql", "select id from t_@ where updated_at > 1 and (created_at = 2 or event_date = 3)"),
+    (".sql", "select id from t_@ where status = 1 or event_date = 2"),
+    (".sql", "{{ config(x=1) }}\n{% set a = 1 %}\nselect a.id from {{ ref('t_@') }} a\n  cross join {{ ref('u_@') }} b"),
+    (".sql", "{% if x %} select 1 {% else %}\nselect {{ col }}, a.id from t_@ a join u_@ b on lower(a.k) = b.code {% endif %}"),
+)
+
+#: Texts of one model with joins each.
+KEY_TEMPLATES = tuple(
+    (".sql", text)
+    for text in (
+        "select a.id from {{ ref('orders_@') }} a join {{ ref('lines_@') }} b on a.id = b.order_id",
+        "select a.id from t a left join u b on a.id = b.id and a.day = b.day where a.x = b.y",
+        "select a.id from t a join u b using (id, day)",
+        "select a.id from t a join u b on lower(a.k) = b.code",
+        "select a.id from t a join u b on lower(a.k) = lower(b.j)",
+        "select a.id from t a join u b on cast(a.k as text) = cast(b.j as text)",
+        "select a.id from t a join u b on date_trunc('day', a.ts) = b.day",
+        "select a.id from t a join u b on coalesce(b.k, b.k) = a.k",
+        "select a.id from t a join u b on a.k = coalesce(b.j, 'x')",
+        "select a.id from t a join u b on trim(a.k) = b.k",
+        "select a.id from t a join u b on md5(a.k) = md5(b.j)",
+        "select a.id from t a join u b on a.k::date = b.day",
+        "select a.id from t a join u b on to_char(a.ts) = b.code",
+        "select a.id from t a join u b on a.id = b.id and upper(b.code) = a.k",
+        "select a.id from t a join u b on a.id = b.id or a.k = b.k",
+        "select a.id from t a join u b on a.ts > b.ts",
+        "with c as (select x.id from t x join u y on (x.id = y.id)) select c.id from c full outer join v on v.id = c.id",
+        "select a.id from t a join u b on date(a.ts) = b.code",
+        "select a.id from t a join (select z.id from s z join u w on w.id = z.id and w.day = z.day) q on q.id = a.id",
+    )
 )
 
 
-def _more_files() -> str:
+def _numbered(prefix: str, folder: str, templates: tuple[tuple[str, str], ...]) -> str:
+    """A file for each part, its text one of the templates by number."""
     quoted = lambda t: t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{", "{{").replace("}", "}}")
-    arms = " ".join(f"WHEN {k} THEN '{quoted(t)}'" for k, (_, t) in enumerate(MORE_TEMPLATES))
-    ends = " ".join(f"WHEN {k} THEN '{e}'" for k, (e, _) in enumerate(MORE_TEMPLATES))
-    own = f"p_partkey % {len(MORE_TEMPLATES)}"
-    return f"SELECT p_partkey AS k, concat('n', cast(p_partkey AS varchar(20))) AS model_id, {own} AS template, concat('models/staging/n', cast(p_partkey AS varchar(20)), CASE {own} {ends} END) AS path, replace(CASE {own} {arms} END, '@', cast(p_partkey AS varchar(20))) AS text FROM {{part}}"
+    arms = " ".join(f"WHEN {k} THEN '{quoted(t)}'" for k, (_, t) in enumerate(templates))
+    ends = " ".join(f"WHEN {k} THEN '{e}'" for k, (e, _) in enumerate(templates))
+    own, k = f"p_partkey % {len(templates)}", "cast(p_partkey AS varchar(20))"
+    return f"SELECT p_partkey AS k, concat('{prefix}', {k}) AS model_id, {own} AS template, concat('models/{folder}/{prefix}', {k}, CASE {own} {ends} END) AS path, replace(CASE {own} {arms} END, '@', {k}) AS text FROM {{part}}"
 
 
 def _sql_files() -> str:
@@ -123,7 +171,11 @@ SELECT concat('R', lpad(cast(o_custkey % 44 + 1 AS varchar(20)), 3, '0')) AS rul
 FROM {orders}""",
     "d_owner_rules": "SELECT cast(n_nationkey AS int) AS ord, concat('%_', cast(n_nationkey * 4 % 10 AS varchar(20)), '%.sql') AS pattern, concat('@team-', lower(n_name)) AS owner FROM {nation}",
     "d_waivers": "SELECT cast(n_nationkey AS int) AS ord, concat('models/%', cast(n_nationkey AS varchar(20)), '.sql') AS pattern, CASE WHEN n_nationkey % 2 = 0 THEN concat('R', lpad(cast(n_nationkey + 1 AS varchar(20)), 3, '0')) END AS rule, n_nationkey % 3 <> 0 AS active FROM {nation}",
-    "d_more_files": _more_files(),
+    "d_more_files": _numbered("n", "staging", MORE_TEMPLATES),
+    "d_key_files": _numbered("j", "base", KEY_TEMPLATES),
+    "d_unique_keys": """
+SELECT concat('lines_', cast(p_partkey AS varchar(20))) AS name, CASE p_partkey % 3 WHEN 0 THEN 'order_id' WHEN 1 THEN 'order_id,day' END AS unique_key FROM {part}
+UNION ALL SELECT CASE n_nationkey WHEN 0 THEN 'u' ELSE 'v' END AS name, CASE n_nationkey WHEN 0 THEN 'id,day' ELSE 'id' END AS unique_key FROM {nation} WHERE n_nationkey < 2""",
     "d_changed": """
 SELECT DISTINCT cast(substr(h.finding_id, 2) AS bigint) AS k FROM (SELECT * FROM {d_findings} WHERE side = 'head') h LEFT JOIN (SELECT * FROM {d_findings} WHERE side = 'base') b ON b.finding_id = h.finding_id
 WHERE b.finding_id IS NULL OR h.severity > b.severity OR h.savings > b.savings""",

@@ -8,7 +8,7 @@ from tallyforge.functions import lognormal as ln
 from tallyforge.functions import sqltext as st
 from tallyforge.functions import texts as tx
 from tallyforge.functions.globs import glob_regex
-from tallyforge.operators import attribution, enforcement, evaluation, governance, lineage, rules, validation
+from tallyforge.operators import attribution, enforcement, evaluation, governance, joins, lineage, rules, validation
 from tallyforge.operators import costs as cost_ops
 from tallyforge.plans import catalog
 from tallyforge.plans.registered import ORACLES, QUERIES, query, r4, recursive
@@ -25,6 +25,7 @@ def _values(rows, names: str) -> str:
 
 #: Rules that the further texts meet, by template number.
 TRUTH = {0: ["R006"], 3: ["R012"], 5: ["R014"], 7: ["R030"], 8: ["R032"], 12: ["R043"], 15: ["R029"], 16: ["R010"], 17: ["R022"], 19: ["R006", "R012"]}
+TRUTH |= {20: ["R019"], 23: ["R005"], 25: ["R010"], 26: ["R010"], 27: ["R010"], 30: ["R022"], 31: ["R022"], 33: ["R030"], 36: ["R030"], 37: ["R032"], 39: ["R012"]}
 TRUTH_TRINO = {k: v for k, v in TRUTH.items() if k != 12} | {10: ["R035"]}
 _more_sql = lambda truth: f"SELECT model_id, rule FROM {{d_more_files}} JOIN {_values([(t, r) for t, rs in truth.items() for r in rs], 'template, rule')} v USING (template)"
 
@@ -41,7 +42,7 @@ def _(files):
 
 #: How each located finding begins in the lower-case text, by rule; rules that are not here concern whole files.
 NEEDLES = {
-    "R001": "select *", "R002": "json_extract(", "R003": "regexp_extract(", "R007": "order", "R008": "select distinct", "R009": "lower(trim(", "R012": "cross join", "R013": "over (", "R016": "where date(", "R017": "on lower(", "R018": "union",
+    "R001": "select *", "R002": "json_extract(", "R003": "regexp_extract(", "R007": "order", "R008": "select distinct", "R009": "lower(trim(", "R012": "cross join", "R013": "over (", "R016": "where date(", "R017": "join ", "R018": "union",
     "R020": "count(distinct", "R031": "like ''%", "R033": "on a.name like", "R034": ", (select", "R036": "unnest(", "R037": "not in (select", "R041": "unbounded preceding and", "R044": "with recursive",
 }
 
@@ -55,6 +56,59 @@ def _(files, models):
     return rules.located(catalog._feature_rows(files, models), "bigquery").select("model_id", "rule", "severity", "line", "col")
 
 
+#: What the occurrence that a located finding points at reads like, where it is more than its needle.
+READS = NEEDLES | {"R007": "order by", "R016": "where date(event_date", "R017": "lower(a.k) = b.code", "R041": "unbounded preceding and unbounded following"}
+_ids = lambda of: f"""'sem-v1:occurrence:' || sha256('key=' || coalesce({of}, '') || '|n=' || k)"""
+
+
+@query("finding_ids", "d_files", "d_models", sql=f"""WITH {catalog.FOUND}, reads AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{NEEDLES[r]}', '{t}')" for r, t in READS.items())}) AS v(rule, needle, said)),
+parts AS (SELECT model_id, path, f.rule, f.severity, said, len(string_split(lower(text), needle)) AS n FROM found f LEFT JOIN reads r ON r.rule = f.rule),
+places AS (SELECT *, unnest(CASE WHEN said IS NULL OR rule IN ('R002', 'R003', 'R009') THEN [1] ELSE range(1, n) END) AS k FROM parts)
+SELECT model_id, rule, severity, {_ids('said')} AS evidence, 'cgf_' || sha256(rule || '|' || path || '|' || {_ids('said')}) AS finding_id FROM places""")
+def _(files, models):
+    return rules.located(catalog._feature_rows(files, models), "bigquery").select("model_id", "rule", "severity", "evidence", "finding_id")
+
+
+@query("places_behind_templates", "d_more_files", sql=f"SELECT model_id, rule, line, col FROM {{d_more_files}} JOIN {_values([(39, 'R012', 4, 3), (20, 'R019', 1, 88), (36, 'R030', 1, None), (33, 'R030', 1, 14)], 'template, rule, line, c')} v USING (template), LATERAL (SELECT coalesce(c, 40 + len(cast(k AS varchar))) AS col)")
+def _(files):
+    places = rules.located(rules.features(files.where("template in (39, 20, 36, 33)")), "snowflake")
+    return places.where("rule in ('R012', 'R019', 'R030')").select("model_id", "rule", "line", "col")
+
+
+# ---- joins
+
+_PAIRS = [(0, "orders_@", "id", "lines_@", "order_id"), (1, "t", "id", "u", "id"), (1, "t", "day", "u", "day"), (2, None, "id", "u", "id"), (2, None, "day", "u", "day"), (13, "t", "id", "u", "id"), (16, "t", "id", "u", "id"), (16, "v", "id", "c", "id"), (18, "u", "id", "s", "id"), (18, "u", "day", "s", "day"), (18, "(query)", "id", "t", "id")]
+
+
+@query("join_keys", "d_key_files", sql=f"SELECT model_id, replace(l, '@', cast(k AS varchar)) AS left_relation, lk AS left_key, replace(r, '@', cast(k AS varchar)) AS right_relation, rk AS right_key FROM {{d_key_files}} JOIN {_values(_PAIRS, 'template, l, lk, r, rk')} v USING (template)")
+def _(files):
+    return joins.join_keys(rules.features(files)).select("model_id", "left_relation", "left_key", "right_relation", "right_key")
+
+
+@query("hidden_join_keys", "d_key_files", sql="SELECT model_id FROM {d_key_files} WHERE template IN (3, 12, 13, 17)")
+def _(files):
+    return rules.findings(rules.features(files)).where("rule = 'R017'").select("model_id")
+
+
+def _keyed(names):
+    return names.select("name", F.split("unique_key", ",").alias("unique_key"))
+
+
+@query("fan_out_joins", "d_key_files", "d_unique_keys", sql=f"""SELECT model_id, 'R038' AS rule, CASE WHEN template = 0 THEN 'lines_' || k ELSE r END AS joined, CASE WHEN template = 0 THEN 'day' ELSE missing END AS missing
+FROM {{d_key_files}} JOIN {_values([(0, 'lines', 'day'), (3, 'u', 'id,day'), (4, 'u', 'id,day'), (5, 'u', 'id,day'), (6, 'u', 'id'), (7, 'u', 'id,day'), (8, 'u', 'id,day'), (9, 'u', 'id,day'), (10, 'u', 'id,day'), (11, 'u', 'id'), (12, 'u', 'id,day'), (13, 'u', 'day'), (14, 'u', 'id,day'), (16, 'u', 'day'), (17, 'u', 'id,day')], 'template, r, missing')} v USING (template) WHERE template <> 0 OR k % 3 = 1""")
+def _(files, names):
+    found = joins.fan_out(rules.features(files), _keyed(names))
+    return found.select("model_id", "rule", "joined", F.concat_ws(",", "missing").alias("missing"))
+
+
+@recursive("propagated_keys", "d_models", "d_edges", sql="""WITH one AS (SELECT child, min(parent) AS parent FROM {d_edges} GROUP BY child HAVING count(*) = 1),
+keyed AS (SELECT k, 'key_' || k AS key FROM {d_models} WHERE unique_key IS NOT NULL UNION SELECT m.k, keyed.key FROM keyed JOIN one ON one.parent = keyed.k JOIN {d_models} m ON m.k = one.child AND m.unique_key IS NULL AND m.materialized = 'view')
+SELECT k AS model_id, key FROM keyed""")
+def _(models, edges):
+    own = models.select(F.col("k").alias("model_id"), F.when(F.col("unique_key").isNotNull(), F.array(F.concat(F.lit("key_"), F.col("k").cast("string")))).alias("unique_key"), (F.col("materialized") == "view").alias("passes"))
+    return joins.propagated_keys(own, edges).select("model_id", F.concat_ws(",", "unique_key").alias("key"))
+
+
 @query("line_suppressions", "d_more_files", sql="SELECT model_id, rule, 2 AS line FROM {d_more_files} JOIN (SELECT * FROM (VALUES ('R006'), ('R012')) AS v(rule)) v ON template = 19 UNION ALL SELECT model_id, 'R006', 3 FROM {d_more_files} WHERE template = 19")
 def _(files):
     return files.select("model_id", F.explode(tx.suppressions(F.col("text"))).alias("s")).select("model_id", "s.rule", "s.line")
@@ -377,11 +431,16 @@ def _(part, orders):
     return evaluation.growth(run(part, 1000.0), run(orders, 4000.0)).select(F.round("growth", 6).alias("growth"))
 
 
-@query("parse_failure_groups", "d_more_files", sql="""SELECT CASE WHEN k % 3 = 0 THEN 'SQL parse failed' WHEN k % 3 = 1 THEN 'unexpected token' ELSE 'SQL parse failed' END AS signature,
-CASE WHEN template BETWEEN 12 AND 15 THEN 'config_wrapper' WHEN template IN (16, 17, 18) THEN 'other' WHEN template = 19 THEN 'parse_failure' ELSE 'parser_gap' END AS pattern, count(*) AS n FROM {d_more_files} GROUP BY ALL""")
+#: What failed, by what the message says; the first that matches counts.
+FAILURES = [("lexer", r"unterminated|unexpected character"), ("grammar", r"\bexpected\b|unexpected token"), ("unsupported", r"not supported|unsupported")]
+
+
+@query("parse_failure_groups", "d_more_files", sql="""SELECT * FROM (SELECT CASE k % 4 WHEN 0 THEN 'unexpected token <value> at line #' WHEN 1 THEN 'unterminated string at #:#' WHEN 2 THEN 'expected from, found <value>' ELSE '' END AS signature,
+CASE k % 4 WHEN 0 THEN 'grammar' WHEN 1 THEN 'lexer' WHEN 2 THEN 'grammar' ELSE 'other' END AS "group", count(*) AS n, min(path) AS example FROM {d_more_files} GROUP BY ALL) ORDER BY n DESC, signature LIMIT 3""")
 def _(files):
-    message = F.when(F.col("k") % 3 == 0, F.concat(F.lit("SQL parse failed for "), "path")).when(F.col("k") % 3 == 1, F.concat(F.lit("unexpected token; line "), F.col("k").cast("string")))
-    return evaluation.failure_groups(files.select(message.alias("message"), F.col("text").alias("snippet"), "path"))
+    k = F.col("k").cast("string")
+    message = F.when(F.col("k") % 4 == 0, F.concat(F.lit("Unexpected token 't"), k, F.lit("' at line "), k)).when(F.col("k") % 4 == 1, F.concat(F.lit("unterminated  string at "), k, F.lit(":7"))).when(F.col("k") % 4 == 2, F.concat(F.lit('Expected FROM, found "'), k, F.lit('"')))
+    return evaluation.failure_groups(files.select(message.alias("message"), "path"), FAILURES, 3)
 
 
 @query("stratified_sample", "d_findings", sql="WITH h AS (SELECT * FROM {d_findings} WHERE side = 'head' AND finding_id NOT IN (SELECT finding_id FROM {d_findings} WHERE side = 'base' AND severity > 3)) SELECT rule, confidence, finding_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY rule, confidence ORDER BY savings DESC, path, finding_id) AS rank FROM h) x WHERE rank <= 2")
