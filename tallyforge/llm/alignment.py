@@ -249,16 +249,31 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+SUMS = "base long, docs binary, n_best binary, count_sum binary"
+
+
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, n_best, count_sum) of the postings of each A id, whose pair counts come first in the stream."""
+    """What the postings of each A id, whose pair counts come first in the stream, give to documents, summed and packed.
+
+    A row holds the documents of one slice: their numbers from `base` on, and their sums.
+    """
     counts, known, best, now = np.zeros(1 << B_BITS, np.int64), [], 0, None
+    bases: set[int] = set()
     held, size = [], 0
 
-    def out() -> pa.RecordBatch:
+    def summed() -> None:
         uid, first, total = map(np.concatenate, zip(*held, strict=True))
-        held.clear()
         keys, n_best = _summed(uid, first)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n_best), pa.array(_summed(uid, total)[1])], names=["uid", "n_best", "count_sum"])
+        held[:] = [(keys, n_best, _summed(uid, total)[1])]
+
+    def out() -> pa.RecordBatch:
+        summed()
+        uid, n_best, total = held.pop()
+        base = np.array(sorted(bases), np.int64)
+        bases.clear()
+        of = base[np.searchsorted(base, uid, "right") - 1]
+        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+        return pa.RecordBatch.from_arrays([pa.array(of[ends - 1]), _packed(uid - of, ends, "<u4"), _packed(n_best, ends, "<i8"), _packed(total, ends, "<i8")], names=["base", "docs", "n_best", "count_sum"])
 
     for batch in batches:
         a, salt, kind = (batch.column(k).to_numpy() for k in range(3))
@@ -278,12 +293,44 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             text, lens = _unpacked(batch.column(6).slice(i, j - i), "<u4")
             b, many = (_unpacked(batch.column(k).slice(i, j - i), t)[0] for k, t in ((7, "<u2"), (8, "<u4")))
+            base = batch.column(5).slice(i, j - i).to_numpy()
+            bases.update(base.tolist())
             n, many = counts[b], many.astype(np.int64)
-            held.append((np.repeat(batch.column(5).slice(i, j - i).to_numpy(), lens) + text, many * (n == best), many * n))
+            held.append((np.repeat(base, lens) + text, many * (n == best), many * n))
             size += len(b)
             if size > MOST_HELD:
+                summed()
+                size = len(held[0][0])
+                if 2 * size > MOST_HELD:
+                    yield out()
+                    size = 0
+    if held:
+        yield out()
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, n_best, count_sum) of every document that has any, from sorted rows of what tasks have summed."""
+    now, held = None, []
+
+    def out() -> pa.RecordBatch:
+        text, first, total = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        keys, n_best = _summed(text, first)
+        return pa.RecordBatch.from_arrays([pa.array(now + keys), pa.array(n_best), pa.array(_summed(text, total)[1])], names=["uid", "n_best", "count_sum"])
+
+    for batch in batches:
+        base = batch.column(0).to_numpy()
+        turns = np.flatnonzero(base[1:] != base[:-1]) + 1
+        for i, j in zip([0, *turns.tolist()], [*turns.tolist(), len(base)], strict=True):
+            if i == j:
+                continue
+            if base[i] != now and held:
                 yield out()
-                size = 0
+            now = int(base[i])
+            held.append(tuple(_unpacked(batch.column(k).slice(i, j - i), t)[0].astype(np.int64) for k, t in ((1, "<u4"), (2, "<i8"), (3, "<i8"))))
+            if len(held) > 64:
+                text, first, total = map(np.concatenate, zip(*held, strict=True))
+                held[:] = [(*_summed(text, first), _summed(text, total)[1])]
     if held:
         yield out()
 
@@ -306,7 +353,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     counts = dealt(pairs).select("a", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("salt"), F.lit(0).alias("kind"), "b", "n", F.lit(0).cast("long").alias("uid"), *[F.lit(b"").alias(k) for k in ("docs", "bs", "many")])
     rows = dealt(postings).select("a", F.pmod(F.xxhash64("uid"), F.col("streams")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"), "uid", "docs", "bs", "many")
     streams = counts.unionByName(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    sums = streams.mapInArrow(_contributions, "uid long, n_best long, count_sum long").groupBy("uid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = streams.mapInArrow(_contributions, SUMS).repartition("base").sortWithinPartitions("base").mapInArrow(_by_document, "uid long, n_best long, count_sum long")
     known = first.where("kind = 0").select("uid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     zero = F.lit(0).cast("long")
     out = known.join(sums, "uid", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
