@@ -23,14 +23,15 @@ def prefixes(turns: DataFrame) -> DataFrame:
     own = Window.partitionBy("conv_id")
     order = own.orderBy("turn", "role", "text")
     upto = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(own).cast("int"))
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(own).cast("int"))
     return rows.withColumn("h1", F.bit_xor(_hash(1)).over(upto)).withColumn("h2", F.bit_xor(_hash(2)).over(upto))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the maximal conversations; n_copies counts the equal ones that conv_id stands for.
 
-    Rows without conv_id are one conversation of their own. Null roles and texts differ from empty ones.
+    Rows without conv_id belong to no conversation: `unnamed` has them. Null roles and texts differ from empty ones, repeated
+    rows are turns of their own, very long texts are hashed whole, and an empty table gives no rows.
     """
     rows = prefixes(turns)
     whole = rows.where("pos = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
@@ -38,23 +39,29 @@ def collapse(turns: DataFrame) -> DataFrame:
     return whole.join(part, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies")
 
 
+def unnamed(turns: DataFrame) -> DataFrame:
+    """The rows without conv_id, as they are."""
+    return turns.where("conv_id is null")
+
+
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """kept with `rendered`: for each turn its role in marks, its text and an end mark, a line each (null role: unknown)."""
     one = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>"))
-    bodies = turns.select(F.col("conv_id").cast("long").alias("_id"), F.struct("turn", "role", "text", one.alias("line")).alias("t"))
-    mine = bodies.join(kept.select(F.col("conv_id").alias("_kept")), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    bodies = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("_id"), F.struct("turn", "role", "text", one.alias("line")).alias("t"))
+    mine = bodies.join(kept.select(F.col("conv_id").alias("_kept")), F.col("_id") == F.col("_kept"), "left_semi")
     texts = mine.groupBy("_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["line"]), "\n").alias("rendered"))
-    return kept.join(texts, F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return kept.join(texts, F.col("conv_id") == F.col("_id")).drop("_id")
 
 
 def op8_snapshot_collapse(spark, sf_dir: str) -> DataFrame:
+    """All conversations that prefix no longer one, rendered; edge cases as in `collapse` and `render`."""
     turns = table(spark, sf_dir, "conversations")
     return render(turns, collapse(turns))
 
 
 OP8_SQL = """
 WITH t AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
   SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDER BY pos) AS body,
          string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>', chr(10) ORDER BY pos) AS rendered

@@ -364,9 +364,14 @@ def decode(medias: list[bytes]) -> list[bytes]:
         return [plain_decode(medias[0])] if len(medias) == 1 else [p for m in medias for p in decode([m])]
 
 
+def _indexed(total: int, seek: np.ndarray) -> bool:
+    """Whether a seek table names every frame."""
+    return len(seek) > 0 and not seek[0, 1] and int(seek[:, 2].sum()) == total
+
+
 def _decode(medias: list[bytes]) -> list[bytes]:
     laid = [layout(m) for m in medias]
-    if any(len(seek) == 0 or seek[0, 1] or seek[:, 2].sum() != total for total, _, seek, _ in laid):
+    if not all(_indexed(total, seek) for total, _, seek, _ in laid):
         raise Foreign("a seek table without every frame")
     raw = b"".join(m[found[3] :] for m, found in zip(medias, laid, strict=True))
     at, size, offset = [], [], 0
@@ -385,8 +390,12 @@ def _decode(medias: list[bytes]) -> list[bytes]:
 
 
 def read_range(media: bytes, first: int, count: int) -> bytes:
-    """Samples first to first + count, reading only the frames that hold them (by the seek table)."""
-    _, _, seek, frames = layout(media)
+    """Samples first to first + count, reading only the frames that hold them; all frames where the seek table lacks some."""
+    total, _, seek, frames = layout(media)
+    if first < 0:
+        raise ValueError("samples count from 0")
+    if not _indexed(total, seek):
+        return plain_decode(media)[first : first + max(0, count)]
     a = max(0, int(np.searchsorted(seek[:, 0], first, "right")) - 1)
     b = int(np.searchsorted(seek[:, 0], first + count, "left"))
     if count <= 0 or b <= a:

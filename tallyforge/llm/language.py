@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import textvec as tv
-from tallyforge.llm.shared import crc_mod, table, written
+from tallyforge.llm.shared import crc_mod, fraction, table, written
 
 #: The fit sees about this many labelled documents a language, and one window of so many characters of each; the window
 #: lies at a hash of the id. Predictions read whole texts. Every learned lang value can be predicted.
@@ -41,8 +41,11 @@ def letter_table() -> np.ndarray:
 
 
 def lowered_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, their bounds, and starts and ends of the runs of letters."""
-    codes, bounds = tv.flat([t.lower() if t else None for t in texts])
+    """Code points of the lower-cased texts, their bounds, and starts and ends of the runs of letters; offsets are those of the texts."""
+    low = [t.lower() if t else None for t in texts]
+    if any(t and len(t) != len(u) for t, u in zip(texts, low, strict=True)):  # some letters grow when lower-cased
+        low = ["".join(c.lower()[0] for c in t) if t and len(t) != len(u) else u for t, u in zip(texts, low, strict=True)]
+    codes, bounds = tv.flat(low)
     start, end = tv.runs(letter_table()[codes], bounds)
     return codes, bounds, start, end
 
@@ -202,12 +205,16 @@ def fit(texts: list[str], labels: np.ndarray, n_labels: int, seed: int = 7) -> t
 
 
 def training_sample(docs: DataFrame, train) -> DataFrame:
-    """(text, lang) of about SAMPLE_PER_LANGUAGE documents for each language, one window of each, by a hash of the id."""
+    """(text, lang) of about SAMPLE_PER_LANGUAGE documents for each language, one window of each, by a hash of the id.
+
+    The hash is compared as a fraction of all its 53 leading bits, so the bound holds for any number of documents; rows that
+    repeat an id and a text count once.
+    """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    share = written(rows.groupBy("lang").agg((F.lit(SAMPLE_PER_LANGUAGE * 1_000_000) / F.count("*")).alias("_share")), "languages")  # so Spark knows its size
-    place = F.xxhash64("doc_id", F.lit(11))
-    begin = F.pmod(F.shiftright(place, 20), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS) + 1)).cast("int") + 1
-    return rows.join(share, "lang").where(F.pmod(place, F.lit(1_000_000)) < F.col("_share")).select(F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    share = written(rows.groupBy("lang").agg((F.lit(SAMPLE_PER_LANGUAGE) / F.count("*")).alias("_share")), "languages")  # so Spark knows its size
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS) + 1)).cast("int") + 1
+    chosen = rows.join(share, "lang").where(fraction(F.xxhash64("doc_id", F.lit(11))) < F.col("_share"))
+    return chosen.select("doc_id", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "lang").distinct().drop("doc_id")
 
 
 class Labeller:

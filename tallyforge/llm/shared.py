@@ -15,3 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids give null."""
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
+
+
+def fraction(hashed):
+    """A 64-bit hash as a number from 0 up to 1, by its 53 leading bits: what a sample's share is compared with."""
+    return F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import textvec as tv
 from tallyforge.llm.language import letter_table
-from tallyforge.llm.shared import crc_mod, table, written
+from tallyforge.llm.shared import crc_mod, fraction, table, written
 
 #: Most labelled documents of each class in the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 12_000
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, train) -> Model:
     if not n1 or not n0:
         return Model(np.zeros(0, tv.U64), np.zeros(0), None, (np.zeros(1), np.zeros(1)))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_TOXIC / n1))).otherwise(F.lit(min(1.0, SAMPLE_CLEAN / n0)))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)  # about 20,000 ids at most: small enough to broadcast
+    chosen = known.where(fraction(F.xxhash64("doc_id", F.lit(5))) < share)  # about 20,000 ids at most: small enough to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     sample = written(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-sample")
     rows = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}

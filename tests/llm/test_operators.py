@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, conversations, flac, language, mixing, ngram_join, quality, site_style, token_output, toxicity
 from tallyforge.llm import textvec as tv
@@ -336,6 +337,7 @@ def test_streams_of_other_writers():
     assert flac.decode([media]) == [payload] and flac.decode([media, *flac.encode([payload])]) == [payload, payload]
     ours = flac.encode([b"hello world " * 300])[0]
     assert flac.plain_decode(ours) == flac.decode([ours])[0]
+    assert all(flac.read_range(media, a, n) == payload[a : a + n] for a in (0, 3, 11, 31, 32) for n in (0, 1, 9, 40))
     with pytest.raises(ValueError):
         flac.decode([media[:-1] + bytes([media[-1] ^ 1])])
 
@@ -402,8 +404,25 @@ def test_snapshots_collapse(spark):
     rows = []
     for conv, turns in {1: "ab", 2: "abc", 3: "abc", 4: "x", 5: "abd", 6: "b"}.items():
         rows += [(conv, k, "user" if k % 2 == 0 else None, t) for k, t in enumerate(turns)]
-    got = {r.conv_id: (r.n_turns, r.n_copies) for r in conversations.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    rows += [(None, k, None, t) for k, t in enumerate("abcx")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(9)).withColumn("rendered", F.lit("x"))
+    got = {r.conv_id: (r.n_turns, r.n_copies) for r in conversations.collapse(turns).collect()}
     assert got == {2: (3, 2), 4: (1, 1), 5: (3, 1), 6: (1, 1)}
+    assert {r.conv_id: r.rendered.count("<|end|>") for r in conversations.render(turns, conversations.collapse(turns)).collect()} == {2: 3, 4: 1, 5: 3, 6: 1}
+    assert conversations.unnamed(turns).count() == 4 and conversations.collapse(turns.limit(0)).count() == 0
+
+
+def test_a_sample_stays_bounded_however_many_documents_there_are(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_PER_LANGUAGE", 0.5)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"), F.lit("en").alias("lang"))
+    assert language.training_sample(docs, F.lit(True)).count() <= 4
+    monkeypatch.setattr(language, "SAMPLE_PER_LANGUAGE", 200)
+    assert 140 <= language.training_sample(docs.union(docs), F.lit(True)).count() <= 260
+
+
+def test_spans_of_letters_that_grow_in_lower_case():
+    codes, bounds, start, end = language.lowered_words(["İİİİ the cat", None, "Straße"])
+    assert list(zip(start.tolist(), end.tolist())) == [(0, 4), (5, 8), (9, 12), (12, 18)] and bounds.tolist() == [0, 12, 12, 18]
 
 
 # ---- 10
