@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import lognormal as ln
+from tallyforge.operators.ordered import upper_medians
 
 PRICE_PER_BYTE = 6.25 / 1e12
 CREDIT_USD = 3.0
@@ -32,9 +33,7 @@ def sibling_runs(models: DataFrame, observed: DataFrame) -> DataFrame:
     """Per folder the upper median of its models' monthly executions (no averaging of the middle two)."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
     rows = models.join(observed, "model_id").select(folder.alias("folder"), F.greatest("monthly_executions", F.lit(1.0)).alias("runs"))
-    w = Window.partitionBy("folder")
-    ranked = rows.withColumn("i", F.row_number().over(w.orderBy("runs")) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("i") == F.floor(F.col("n") / 2)).select("folder", "runs")
+    return upper_medians(rows, "folder", "runs")
 
 
 def volumes(models: DataFrame, observed: DataFrame, history: DataFrame, catalog: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
@@ -44,7 +43,7 @@ def volumes(models: DataFrame, observed: DataFrame, history: DataFrame, catalog:
     past, size, count = F.col("bytes_per_run").isNotNull(), F.col("num_bytes").isNotNull(), F.col("row_count").isNotNull()
     runs_default: Column = F.lit(DEFAULT_RUNS)
     if siblings is not None:
-        rows = rows.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(F.broadcast(siblings.withColumnRenamed("runs", "sibling")), "folder", "left")
+        rows = rows.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(siblings.withColumnRenamed("runs", "sibling"), "folder", "left")
         runs_default = F.coalesce("sibling", F.lit(DEFAULT_RUNS))
     return rows.select(
         "model_id",

@@ -160,3 +160,26 @@ def per_class(rows: DataFrame, a: str = "y_true", b: str = "rater") -> DataFrame
     sides = both.select(F.col("_a").alias("label"), F.lit(1).alias("s"), F.lit(0).alias("p"), (F.col("_a") == F.col("_b")).cast("int").alias("h")).union(both.select("_b", F.lit(0), F.lit(1), F.lit(0)).where("_b is not null"))
     by = sides.groupBy("label").agg(F.sum("s").alias("support"), F.sum("p").alias("p"), F.sum(F.coalesce("h", F.lit(0))).alias("h"))
     return by.select("label", "support", _ratio(F.col("h"), F.col("p")).alias("precision"), _ratio(F.col("h"), F.col("support")).alias("recall"))
+
+
+def rated_items(ratings: DataFrame) -> DataFrame:
+    """(item, raters, abstained, labels, disagreement) of ratings (item, rater, label), null labels being abstentions.
+
+    One aggregate by item and label is the sparse matrix that all else is read from. labels: how many different ones;
+    disagreement: the share of those who judged that chose another label than most did, null where nobody judged.
+    """
+    by = ratings.groupBy("item", "label").agg(F.count("*").alias("n"))
+    judged = F.sum(F.when(F.col("label").isNotNull(), F.col("n")))
+    most = F.max(F.when(F.col("label").isNotNull(), F.col("n")))
+    return by.groupBy("item").agg(F.sum("n").alias("raters"), F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)).alias("abstained"), F.count("label").alias("labels"), (1 - most / judged).alias("disagreement"))
+
+
+def rating_rates(items: DataFrame) -> DataFrame:
+    """One row of rated items: how many, and the shares of abstentions, of items nobody judged, and of items in dispute."""
+    n = F.count("*")
+    return items.agg(n.alias("items"), _ratio(F.sum("abstained"), F.sum("raters")).alias("abstention"), _ratio(F.count_if(F.col("labels") == 0), n).alias("unjudged"), _ratio(F.count_if(F.col("labels") > 1), n).alias("disputed"))
+
+
+def most_disputed(items: DataFrame, most: int) -> DataFrame:
+    """The items in dispute with the most disagreement, then most raters, then the least item; `most` of them."""
+    return items.where("labels > 1").orderBy(F.desc("disagreement"), F.desc("raters"), "item").limit(most)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordered import running
+
 
 def identity(rule: Column, path: Column, evidence: Column) -> Column:
-    """A finding's stable id."""
+    """A finding's stable id; prefix and order are fixed by the format of baselines."""
     return F.concat(F.lit("cgf_"), F.sha2(F.concat_ws("|", F.upper(rule), path, evidence), 256))
 
 
@@ -101,7 +103,6 @@ def completeness(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
     return rows.select("m.*").where("value > most")
 
 
-def running_budget(files: DataFrame, limit: int, salt: int = 0) -> DataFrame:
-    """files with the bytes so far in path order within their folder, and whether that is inside the budget."""
-    w = Window.partitionBy("folder").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return files.withColumn("so_far", F.sum("bytes").over(w)).withColumn("inside", F.col("so_far") <= limit)
+def running_budget(files: DataFrame, limit: int) -> DataFrame:
+    """files with the bytes so far in path order within their folder, and whether that is inside the budget; see `ordered.running`."""
+    return running(files, "folder", ["path"], F.col("bytes")).withColumn("inside", F.col("so_far") <= limit)

@@ -8,10 +8,12 @@ from tallyforge.functions import lognormal as ln
 from tallyforge.functions import sqltext as st
 from tallyforge.functions import texts as tx
 from tallyforge.functions.globs import glob_regex
-from tallyforge.operators import attribution, enforcement, evaluation, governance, joins, lineage, rules, validation
+from tallyforge.operators import attribution, baselines, enforcement, evaluation, governance, joins, lineage, rules, validation
 from tallyforge.operators import costs as cost_ops
 from tallyforge.plans import catalog
 from tallyforge.plans.registered import ORACLES, QUERIES, query, r4, recursive
+from tallyforge.sources import manifests, settings
+from tallyforge.sources.scratch import scratch
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -456,3 +458,97 @@ def _(rows):
 @query("per_class_agreement", "d_eval", sql="SELECT l AS label, count(*) FILTER (y_true = l) AS support, round(count(*) FILTER (y_true = l AND rater = l) / nullif(count(*) FILTER (rater = l), 0), 6) AS precision, round(count(*) FILTER (y_true = l AND rater = l) / nullif(count(*) FILTER (y_true = l), 0), 6) AS recall FROM {d_eval}, (VALUES (0), (1)) AS v(l) GROUP BY l")
 def _(rows):
     return evaluation.per_class(rows).select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall")])
+
+
+_RATINGS = """r AS (SELECT doc_id % 400 AS item, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE v END AS label FROM (SELECT doc_id, y_true AS v FROM {d_eval} UNION ALL SELECT doc_id, y_pred FROM {d_eval} UNION ALL SELECT doc_id, rater FROM {d_eval})),
+n AS (SELECT item, label, count(*) AS n FROM r GROUP BY item, label),
+i AS (SELECT item, CAST(sum(n) AS BIGINT) AS raters, CAST(coalesce(sum(n) FILTER (label IS NULL), 0) AS BIGINT) AS abstained, count(label) AS labels, 1 - max(n) FILTER (label IS NOT NULL) / sum(n) FILTER (label IS NOT NULL) AS d FROM n GROUP BY item)"""
+
+
+def _ratings(rows):
+    each = rows.select((F.col("doc_id") % 400).alias("item"), "doc_id", F.posexplode(F.array(F.col("y_true").cast("int"), F.col("y_pred").cast("int"), F.col("rater").cast("int"))).alias("rater", "v"))
+    return evaluation.rated_items(each.select("item", "rater", F.when(F.col("doc_id") % 7 != 0, F.col("v")).alias("label")))
+
+
+@query("rating_rates", "d_eval", sql=f"WITH {_RATINGS} SELECT count(*) AS items, round(sum(abstained) / sum(raters), 6) AS abstention, round(count(*) FILTER (labels = 0) / count(*), 6) AS unjudged, round(count(*) FILTER (labels > 1) / count(*), 6) AS disputed FROM i")
+def _(rows):
+    return evaluation.rating_rates(_ratings(rows)).select("items", *[F.round(c, 6).alias(c) for c in ("abstention", "unjudged", "disputed")])
+
+
+@query("most_disputed", "d_eval", sql=f"WITH {_RATINGS} SELECT item, raters, abstained, labels, round(d, 6) AS disagreement FROM (SELECT * FROM i WHERE labels > 1 ORDER BY d DESC, raters DESC, item LIMIT 25)")
+def _(rows):
+    return evaluation.most_disputed(_ratings(rows), 25).withColumn("disagreement", F.round("disagreement", 6))
+
+
+# ---- settings and manifests
+
+def _settings(part):
+    """Entities of a settings file for each part: schema files with columns, sources and exposures, project files, and broken ones."""
+    k = F.col("p_partkey")
+    n, text = k.cast("string"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    schema = text("models:\n  - name: m", n, "\n    config: {materialized: table, unique_key: [a, b", n, "]}\n    columns: [{name: id}, {name: c", n, "}]\n  - tags: x\nsources:\n  - name: s", n, "\n    tables: [{name: t1}, {name: t2}]\nexposures:\n  - name: e", n, "\n    depends_on: [r.m", n, "]\n    owner: {email: o@x}\n")
+    project = text("name: p", n, "\nmodels:\n  p", n, ":\n    +materialized: view\n    marts:\n      +materialized: table\n      core: {partition_by: {field: day}}\n    staging: {}\n")
+    body = F.when(k % 4 == 0, schema).when(k % 4 == 1, project).when(k % 4 == 2, text("models: [", n)).otherwise(text("a:\n  b: ", n))
+    return settings.settings_of(part.select(F.concat(F.lit("p"), n, F.when(k % 4 == 1, "/dbt_project.yml").otherwise("/schema.yml")).alias("path"), body.alias("text")))
+
+
+@query("settings_entities", "part", sql="""WITH k AS (SELECT CAST(p_partkey AS varchar) AS n, p_partkey % 4 AS d FROM part) SELECT 'p' || n || '/schema.yml' AS path, 'model' AS entity, 'm' || n AS name, 'table' AS materialized, 'a,b' || n AS unique_key, 'id,c' || n AS items, '' AS owners FROM k WHERE d = 0
+UNION ALL SELECT 'p' || n || '/schema.yml', 'source', 's' || n, NULL, NULL, 't1,t2', '' FROM k WHERE d = 0 UNION ALL SELECT 'p' || n || '/schema.yml', 'exposure', 'e' || n, NULL, NULL, 'r.m' || n, 'o@x' FROM k WHERE d = 0""")
+def _(part):
+    rows = _settings(part).where("entity in ('model', 'source', 'exposure')")
+    return rows.select("path", "entity", "name", F.col("settings")["materialized"].alias("materialized"), F.col("settings")["unique_key"].alias("unique_key"), F.concat_ws(",", "items").alias("items"), F.concat_ws(",", "owners").alias("owners"))
+
+
+@query("folder_inheritance", "part", sql=f"SELECT 'p' || p_partkey AS project, folder, m AS materialized, b AS partition_by FROM part, {_values([('', 'view', None), ('marts', 'table', None), ('marts/core', 'table', 'day'), ('staging', 'view', None)], 'folder, m, b')} WHERE p_partkey % 4 = 1")
+def _(part):
+    return settings.folder_settings(_settings(part)).select("project", "folder", F.col("settings")["materialized"].alias("materialized"), F.col("settings")["partition_by"].alias("partition_by"))
+
+
+@query("settings_findings", "part", sql="SELECT 'p' || p_partkey || '/schema.yml' AS path, 'R024' AS rule, 'low' AS severity FROM part WHERE p_partkey % 4 = 2")
+def _(part):
+    return settings.settings_findings(_settings(part))
+
+
+def _manifests(models):
+    """A manifest for every 50 models, as JSON text."""
+    k = F.col("k").cast("string")
+    node = F.struct(F.lit("model").alias("resource_type"), F.col("name"), F.struct("materialized", F.array(F.col("unique_key"), F.lit("x")).alias("unique_key")).alias("config"), F.struct(F.array(F.concat(F.lit("model.up"), k)).alias("nodes"), F.array(F.lit("macro.p.a")).alias("macros")).alias("depends_on"), F.array(F.array(F.lit("pkg"), F.concat(F.lit("up"), k))).alias("refs"), F.array(F.array(F.lit("raw"), F.lit("t"))).alias("sources"), F.create_map(F.concat(F.lit("c"), k), F.struct(F.lit(1).alias("a"))).alias("columns"))
+    source = F.struct(F.lit("raw").alias("source_name"), F.concat(F.lit("t"), k).alias("name"))
+    shown = F.struct(F.concat(F.lit("e"), k).alias("name"), F.struct(F.array(F.concat(F.lit("model."), k)).alias("nodes")).alias("depends_on"), F.struct(F.lit("o@x").alias("email")).alias("owner"))
+    members = lambda prefix, value: F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit(prefix), k).alias("k"), value.alias("v"))))
+    by = models.groupBy(F.floor(F.col("k") / 50).alias("part")).agg(members("model.", node).alias("nodes"), members("source.", source).alias("sources"), members("exposure.", shown).alias("exposures"))  # 50 models each
+    text = F.to_json(F.struct("nodes", "sources", "exposures", F.create_map(F.lit("macro.p.a"), F.struct(F.lit("a").alias("name"), F.lit("macros/a.sql").alias("path"))).alias("macros")))
+    return manifests.manifest_objects(by.select(F.concat(F.lit("m"), F.col("part").cast("string")).alias("path"), F.when(F.col("part") % 10 == 9, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("text")))
+
+
+_READ = "FROM {d_models} WHERE cast(floor(k / 50) AS bigint) % 10 <> 9"
+
+
+@query("manifest_models", "d_models", sql=f"SELECT 'm' || cast(floor(k / 50) AS bigint) AS path, 'model.' || k AS model_id, name, materialized, CASE WHEN unique_key IS NULL THEN 'x' ELSE unique_key || ',x' END AS unique_key, 'up' || k AS refs, 'raw.t' AS source_refs, 'c' || k AS columns {_READ}")
+def _(models):
+    return manifests.models(_manifests(models)[0]).select("path", "model_id", "name", "materialized", "unique_key", *[F.concat_ws("|", c).alias(c) for c in ("refs", "source_refs", "columns")])
+
+
+@query("manifest_edges", "d_models", sql=f"SELECT 'model.' || k AS child, 'model.up' || k AS parent, 'node' AS kind {_READ} UNION ALL SELECT 'model.' || k, 'macro.p.a', 'macro' {_READ}")
+def _(models):
+    return manifests.edges(_manifests(models)[0]).select("child", "parent", "kind")
+
+
+@query("manifest_others", "d_models", sql=f"SELECT 'source' AS kind, 'raw.t' || k AS name, '' AS more {_READ} UNION ALL SELECT 'exposure', 'e' || k, 'model.' || k || '|o@x' {_READ} UNION ALL SELECT DISTINCT 'macro', 'm' || cast(floor(k / 50) AS bigint), 'a|macros/a.sql' {_READ} UNION ALL SELECT DISTINCT 'reject', 'm' || cast(floor(k / 50) AS bigint), 'not a JSON object' {_READ.replace('<> 9', '= 9')}")
+def _(models):
+    objects, rejects = _manifests(models)
+    shape = lambda df, kind, name, more: df.select(F.lit(kind).alias("kind"), name.alias("name"), more.alias("more"))
+    out = shape(manifests.sources(objects), "source", F.concat_ws(".", "source", "table_name"), F.lit(""))
+    out = out.union(shape(manifests.exposures(objects), "exposure", F.col("exposure"), F.concat_ws("|", F.concat_ws(",", "depends_on"), "owner")))
+    return out.union(shape(manifests.macros(objects), "macro", F.col("path"), F.concat_ws("|", "name", "file"))).union(shape(rejects, "reject", F.col("path"), F.col("reason")))
+
+
+# ---- baselines as a table
+
+@query("baseline_store", "d_findings", sql="SELECT finding_id, min(rule) AS rule, min(path) AS path, 3 AS version, 'semantic-v1' AS identity_scheme, 'bigquery' AS platform FROM {d_findings} GROUP BY finding_id")
+def _(found):
+    at = scratch(found.sparkSession, "baseline")
+    baselines.write_baseline(found.where("side = 'base'"), at, "bigquery")
+    for _again in range(2):  # as after a lost job
+        baselines.merge_baseline(found.where("side = 'head'"), at, "bigquery")
+    return baselines.read_baseline(found.sparkSession, at, "bigquery").select("finding_id", "rule", "path", "version", "identity_scheme", "platform")
