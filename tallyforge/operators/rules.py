@@ -187,8 +187,8 @@ def _numbered(places: Column) -> Column:
     return F.aggregate(F.array_sort(places), first, step, lambda s: s["out"])
 
 
-def located(rows: DataFrame, platform: str = "generic") -> DataFrame:
-    """(model_id, path, rule, severity, line, col, span, message, evidence, finding_id): a finding for each occurrence of a rule.
+def located(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(model_id, path, rule, severity, line, col, span, message, evidence, finding_id, *keep): a finding for each occurrence of a rule.
 
     rows: those of features(). Places are found in text without comments, literals and templates and mapped back, so line,
     column and span are those of the text itself. Evidence is the occurrence's normalized text and its number among equal
@@ -212,13 +212,13 @@ def located(rows: DataFrame, platform: str = "generic") -> DataFrame:
         parts.append(F.when(F.coalesce(condition, F.lit(False)), held).otherwise(F.slice(held, 1, 0)))
         names.append((rule, name))
     message = F.create_map(*[F.lit(x) for pair in names for x in pair])
-    rows = rows.select("model_id", "path", "_off", "text", "shaped", F.flatten(F.array(*parts)).alias("_places"))
+    rows = rows.select("model_id", "path", "_off", "text", "shaped", *keep, F.flatten(F.array(*parts)).alias("_places"))
     rows = rows.withColumn("_places", _mapped(F.col("_places"), F.col("shaped.breaks")))
-    out = rows.withColumn("f", F.explode(_numbered(F.col("_places")))).select("model_id", "path", "_off", "text", "f.*")
+    out = rows.withColumn("f", F.explode(_numbered(F.col("_places")))).select("model_id", "path", "_off", "text", *keep, "f.*")
     out = out.withColumn("_at", F.when(F.col("start").isNotNull(), tx.line_col(F.col("text"), F.col("start")))).select("*", "_at.*")
     hidden = F.exists("_off", lambda o: (o["rule"] == F.col("rule")) & (o["line"].isNull() | (o["line"] == F.coalesce("line", F.lit(-1)))))
     out = out.where(~hidden).withColumn("evidence", evidence_key("occurrence", key=F.col("key"), n=F.col("n").cast("string")))
-    return out.select("model_id", "path", "rule", "severity", "line", "col", (F.col("end") - F.col("start")).alias("span"), message[F.col("rule")].alias("message"), "evidence", identity(F.col("rule"), F.col("path"), F.col("evidence")).alias("finding_id"))
+    return out.select("model_id", "path", "rule", "severity", "line", "col", (F.col("end") - F.col("start")).alias("span"), message[F.col("rule")].alias("message"), "evidence", identity(F.col("rule"), F.col("path"), F.col("evidence")).alias("finding_id"), *keep)
 
 
 def ordered(found: DataFrame) -> DataFrame:
@@ -264,3 +264,16 @@ def shared_expressions(files: DataFrame, least: int = 3) -> DataFrame:
 def metrics(found: DataFrame) -> DataFrame:
     """(rule, severity, n) with totals by rule, by severity, and of all: one aggregation with grouping sets."""
     return found.groupingSets([["rule", "severity"], ["rule"], ["severity"], []], "rule", "severity").agg(F.count("*").alias("n"))
+
+
+#: Rules that are not judged from a file's shape: (severity, name).
+OTHER_RULES = {
+    "R015": ("medium", "expensive expression across files"), "R023": ("info", "no manifest"), "R024": ("low", "settings file does not parse"), "R025": ("low", "project file has a problem"), "R026": ("low", "file skipped"),
+    "R038": ("high", "fan-out join"), "R039": ("medium", "heavy view"), "R045": ("info", "stale manifest"), "R046": ("low", "checksum differs"), "R047": ("low", "artifact integrity"),
+}
+
+
+def catalog(spark) -> DataFrame:
+    """(rule, name, severity, raised): every rule that can be reported, with its usual severity; raised: it can be higher."""
+    shape = [(r, n, s if isinstance(s, str) else "medium", not isinstance(s, str)) for r, (s, _, n) in conditions().items()]
+    return spark.createDataFrame(sorted(shape + [(r, n, s, False) for r, (s, n) in OTHER_RULES.items()]), "rule string, name string, severity string, raised boolean")

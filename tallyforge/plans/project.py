@@ -8,7 +8,7 @@ from tallyforge.functions import lognormal as ln
 from tallyforge.functions import sqltext as st
 from tallyforge.functions import texts as tx
 from tallyforge.functions.globs import glob_regex
-from tallyforge.operators import attribution, baselines, enforcement, evaluation, governance, joins, lineage, rules, validation
+from tallyforge.operators import attribution, baselines, enforcement, evaluation, governance, joins, lineage, rules, snapshot, validation
 from tallyforge.operators import costs as cost_ops
 from tallyforge.plans import catalog
 from tallyforge.plans.registered import ORACLES, QUERIES, query, r4, recursive
@@ -552,3 +552,54 @@ def _(found):
     for _again in range(2):  # as after a lost job
         baselines.merge_baseline(found.where("side = 'head'"), at, "bigquery")
     return baselines.read_baseline(found.sparkSession, at, "bigquery").select("finding_id", "rule", "path", "version", "identity_scheme", "platform")
+
+
+# ---- from files to gates
+
+_PLACED = f"""{catalog.FOUND}, reads AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{NEEDLES[r]}')" for r in READS)}) AS v(rule, needle)),
+parts AS (SELECT model_id, path, f.rule, f.severity, needle, len(string_split(lower(text), needle)) AS n, CAST(substr(model_id, 2) AS BIGINT) % 10 AS d FROM found f LEFT JOIN reads r ON r.rule = f.rule),
+places AS (SELECT *, path LIKE 'models/core/%' OR d = 4 AS context, unnest(CASE WHEN needle IS NULL OR rule IN ('R002', 'R003', 'R009') THEN [1] ELSE range(1, n) END) AS k FROM parts)"""
+
+
+def _snapshot(files, models):
+    """Base lacks files ending in 1, head those ending in 2; core models and files ending in 4 are context; a sixth is compiled."""
+    k = F.substring("model_id", 2, 20).cast("long") % 10
+    sides = files.where(k != 1).withColumn("side", F.lit("base")).union(files.where(k != 2).withColumn("side", F.lit("head")))
+    only = F.col("path").like("models/core/%") | (k == 4)
+    compiled = files.join(models.drop("path", "template"), "model_id").select("path", "model_id", F.explode(F.array(F.lit("base"), F.lit("head"))).alias("side"), F.when(F.col("k") % 6 == 0, F.col("text")).alias("compiled_code"), "materialized", "unique_key", "partition_by", "cluster_by")
+    return snapshot.judged(snapshot.assembled(snapshot.united(sides.where(~only), sides), compiled), "bigquery")
+
+
+@query("snapshot_findings", "d_files", "d_models", sql=f"WITH {_PLACED}, s AS (SELECT *, unnest(CASE d WHEN 1 THEN ['head'] WHEN 2 THEN ['base'] ELSE ['base', 'head'] END) AS side FROM places) SELECT side, NOT context AS is_target, CASE WHEN CAST(substr(model_id, 2) AS BIGINT) % 6 = 0 THEN 'compiled' ELSE 'raw' END AS input, rule, severity, count(*) AS n FROM s GROUP BY ALL")
+def _(files, models):
+    return _snapshot(files, models).groupBy("side", "is_target", "input", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("context_warnings", "d_files", "d_models", sql=f"WITH {_PLACED} SELECT path, rule, count(*) AS n FROM places WHERE context AND d <> 2 GROUP BY path, rule")
+def _(files, models):
+    return snapshot.context_warnings(_snapshot(files, models))
+
+
+@query("snapshot_delta", "d_files", "d_models", sql=f"WITH {_PLACED} SELECT rule, CASE d WHEN 1 THEN 'introduced' WHEN 2 THEN 'resolved' ELSE 'unchanged' END AS status, count(*) AS n FROM places WHERE NOT context AND rule <> 'R042' GROUP BY ALL")
+def _(files, models):
+    found = _snapshot(files, models)
+    status = snapshot.delta(found, F.col("rule") == "R042").join(found.select("finding_id", "rule").distinct(), "finding_id")
+    return status.groupBy("rule", "status").agg(F.count("*").alias("n"))
+
+
+PROJECT_GATES = [{"name": "all", "mode": "fail", "fail_on": 3}, {"name": "marts", "mode": "warn", "paths": ["models/marts/**"], "fail_on": 2}, {"name": "low", "mode": "fail", "paths": ["models/staging/*"], "fail_on": 4}, {"name": "nowhere", "mode": "fail", "paths": ["none/**"], "fail_on": 0}]
+PROJECT_EXCEPTIONS = [{"id": "x1", "path": "models/marts/**", "rule": "R001", "expires_at": "2030-01-01"}, {"id": "x2", "path": "**", "rule": "R007", "expires_at": "2020-01-01"}]
+
+
+@query("files_to_gates", "d_files", "d_models", sql=f"""WITH {_PLACED}, y AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END AS s FROM places WHERE NOT context AND d = 1 AND NOT (rule = 'R001' AND path LIKE 'models/marts/%'))
+SELECT 'all' AS gate, CASE WHEN count(*) FILTER (s >= 3) > 0 THEN 'fail' ELSE 'pass' END AS status, count(*) AS matched FROM y UNION ALL SELECT 'marts', CASE WHEN count(*) FILTER (s >= 2) > 0 THEN 'warn' ELSE 'pass' END, count(*) FROM y WHERE path LIKE 'models/marts/%'
+UNION ALL SELECT 'low', 'pass', count(*) FROM y WHERE path LIKE 'models/staging/%' UNION ALL SELECT 'nowhere', 'pass', 0""")
+def _(files, models):
+    found = _snapshot(files, models)
+    head = enforcement.excused(snapshot.targets_only(found).where("side = 'head'"), PROJECT_EXCEPTIONS, "2026-01-01", "exception")
+    new = enforcement.blocking(head, snapshot.delta(found)).withColumn("severity", F.col("severity_rank"))
+    none, empty = F.lit(None).cast("double"), F.array().cast("array<string>")
+    rows = new.withColumns({"excepted": F.col("exception").isNotNull(), "confidence": F.lit(2), "savings_usd": none, "gb_months": none, "tags": empty, "owners": empty})
+    changed = models.limit(0).select("path", F.col("k").alias("model_id"), empty.alias("tags"), empty.alias("owners"))
+    reach = models.limit(0).select(F.col("k").alias("seed"), F.col("k").alias("node"))
+    return enforcement.gates(rows, changed, reach, PROJECT_GATES, None, True).select("gate", "status", "matched")
