@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import lognormal as ln
@@ -85,9 +85,14 @@ def attributed(findings: DataFrame, costs: DataFrame, fan_out: DataFrame, wareho
 
     findings: (model_id, rule, structure, ...); costs: (model_id, cost estimate, scan_bytes of a month); fan_out: (model_id,
     downstream, exposures). Findings of rules without a multiplier keep null savings and a reason; a model without a cost
-    has null USD. Adds savings (estimate), savings_usd, gb_months, prior_basis, unestimated.
+    has null USD. Where costs have a `discount` (of an incremental model), rules in UNBOUNDED_RULES undo it: what they report
+    is a full scan. Adds savings (estimate), savings_usd, gb_months, prior_basis, unestimated.
     """
-    rows = findings.join(costs.select("model_id", "cost", "scan_bytes"), "model_id", "left").join(fan_out, "model_id", "left")
+    rows = findings.join(costs.select("model_id", "cost", "scan_bytes", *[c for c in ("discount", "is_observed") if c in costs.columns]), "model_id", "left").join(fan_out, "model_id", "left")
+    if {"discount", "is_observed"} <= {*costs.columns}:
+        undone = F.when(F.col("rule").isin(*UNBOUNDED_RULES), F.coalesce("discount", F.lit(1.0))).otherwise(1.0)
+        cost = F.when(F.col("cost").isNotNull() & ~F.coalesce("is_observed", F.lit(False)), F.struct((F.col("cost.mu") - F.log(undone)).alias("mu"), F.col("cost.sigma").alias("sigma"))).otherwise(F.col("cost"))
+        rows = rows.withColumns({"cost": cost, "scan_bytes": F.col("scan_bytes") / undone}).drop("discount", "is_observed")
     m = multiplier(F.col("rule"), warehouse, overrides)
     rows = rows.withColumn("_m", m).withColumn("fan_out", ln.fan_out_factor(F.coalesce("downstream", F.lit(0)), F.coalesce("exposures", F.lit(0))))
     weight = ln.times(ln.savings_fraction(F.col("_m")), ln.from_point(F.col("structure") * F.col("fan_out"), 0.2))
@@ -96,6 +101,19 @@ def attributed(findings: DataFrame, costs: DataFrame, fan_out: DataFrame, wareho
     return rows.select("*", ln.median(F.col("savings")).alias("savings_usd"), (F.col("scan_bytes") * ln.median(F.col("_w")) / 1e9).alias("gb_months"), F.col("_m.basis").alias("prior_basis"), reason.alias("unestimated")).drop("_m", "_w")
 
 
+def capped(found: DataFrame, warehouse: str = "generic", overrides: dict | None = None) -> DataFrame:
+    """Attributed findings whose savings, by model, sum to at most what mending all of them would save; both figures shrink alike.
+
+    The windows are over the findings of one model.
+    """
+    w = Window.partitionBy("model_id")
+    m = F.least(F.lit(20.0), F.greatest(F.lit(1.001), F.exp(F.sum(multiplier(F.col("rule"), warehouse, overrides)["mu"]).over(w))))
+    whole = F.max(ln.median(F.col("cost"))).over(w)
+    total, most = F.sum("savings_usd").over(w), F.greatest(F.lit(0.001), whole - whole / m)
+    share = F.when(total > most, most / total).otherwise(1.0)
+    return found.withColumn("_share", share).withColumns({"savings_usd": F.col("savings_usd") * F.col("_share"), "gb_months": F.col("gb_months") * F.coalesce("_share", F.lit(1.0))}).drop("_share")
+
+
 def exposure_counts(exposures: DataFrame) -> DataFrame:
     """(model_id, exposures) of (exposure, depends_on), repeated rows once."""
     return exposures.distinct().groupBy(F.col("depends_on").alias("model_id")).agg(F.count("*").alias("exposures"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import lognormal as ln
+from tallyforge.operators.attribution import incremental_factor, scan_factor
 from tallyforge.operators.ordered import upper_medians
 
 PRICE_PER_BYTE = 6.25 / 1e12
@@ -36,22 +37,35 @@ def sibling_runs(models: DataFrame, observed: DataFrame) -> DataFrame:
     return upper_medians(rows, "folder", "runs")
 
 
-def volumes(models: DataFrame, observed: DataFrame, history: DataFrame, catalog: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
-    """(model_id, basis, grade, bytes_per_run, runs): observations, query history, catalog bytes, catalog rows, prior."""
+def volumes(models: DataFrame, observed: DataFrame, history: DataFrame, catalog: DataFrame, siblings: DataFrame | None = None, warehouse: str = "generic", overrides: DataFrame | None = None) -> DataFrame:
+    """(model_id, basis, grade, bytes, runs, cv, discount): observations, query history, catalog bytes, catalog rows, prior.
+
+    What was not measured is scaled by what partitions, clusters and being a view leave of a scan, and by the discount of
+    incremental models; runs that were not measured are an override (model_id, runs_override), else the siblings' median,
+    else the default. discount: what the incremental discount left, 1 where it does not apply.
+    """
     rows = models.join(observed.select("model_id", "monthly_executions", "monthly_bytes"), "model_id", "left").join(history, "model_id", "left").join(catalog, "model_id", "left")
+    for c, kind in (("partition_by", "string"), ("cluster_by", "string"), ("materialized", "string"), ("unique_key", "string"), ("full_refresh", "boolean")):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
     seen = F.col("monthly_bytes").isNotNull()
     past, size, count = F.col("bytes_per_run").isNotNull(), F.col("num_bytes").isNotNull(), F.col("row_count").isNotNull()
     runs_default: Column = F.lit(DEFAULT_RUNS)
     if siblings is not None:
         rows = rows.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(siblings.withColumnRenamed("runs", "sibling"), "folder", "left")
         runs_default = F.coalesce("sibling", F.lit(DEFAULT_RUNS))
+    if overrides is not None:
+        rows = rows.join(overrides.select("model_id", "runs_override"), "model_id", "left")
+        runs_default = F.coalesce("runs_override", runs_default)
+    discount = F.when(seen | past, 1.0).otherwise(incremental_factor())
+    scale = scan_factor(warehouse) * incremental_factor()
     return rows.select(
         "model_id",
         F.when(seen, "observed").when(past, "history").when(size, "catalog-bytes").when(count, "catalog-rows").otherwise("prior").alias("basis"),
         F.when(seen | past, "A").when(size | count, "B").otherwise("C").alias("grade"),
-        F.when(seen, F.when(F.col("monthly_executions") > 0, F.col("monthly_bytes") / F.col("monthly_executions")).otherwise(F.col("monthly_bytes"))).when(past, F.col("bytes_per_run")).when(size, F.col("num_bytes")).when(count, F.col("row_count") * ROW_BYTES).otherwise(F.col("prior_bytes")).alias("bytes"),
+        F.when(seen, F.when(F.col("monthly_executions") > 0, F.col("monthly_bytes") / F.col("monthly_executions")).otherwise(F.col("monthly_bytes"))).when(past, F.col("bytes_per_run")).when(size, F.col("num_bytes") * scale).when(count, F.col("row_count") * ROW_BYTES * scale).otherwise(F.col("prior_bytes") * scale).alias("bytes"),
         F.when(seen, F.greatest("monthly_executions", F.lit(1.0))).when(past, F.col("runs_per_month")).otherwise(runs_default).alias("runs"),
         F.when(seen, 0.1).when(past, 0.2).when(size, 0.25).when(count, 0.35).otherwise(0.8).alias("cv"),
+        discount.alias("discount"),
     )
 
 

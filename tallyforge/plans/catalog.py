@@ -19,10 +19,10 @@ observed AS (SELECT model_id, CASE WHEN u IS NOT NULL THEN 'usd' WHEN c IS NOT N
 VOLUME = """
 volume AS (SELECT m.model_id, CASE WHEN mb IS NOT NULL THEN 'observed' WHEN h.model_id IS NOT NULL THEN 'history' WHEN num_bytes IS NOT NULL THEN 'catalog-bytes' WHEN row_count IS NOT NULL THEN 'catalog-rows' ELSE 'prior' END AS basis,
   CASE WHEN mb IS NOT NULL OR h.model_id IS NOT NULL THEN 'A' WHEN c.model_id IS NOT NULL THEN 'B' ELSE 'C' END AS grade,
-  CASE WHEN mb IS NOT NULL THEN CASE WHEN me > 0 THEN mb / me ELSE mb END WHEN h.model_id IS NOT NULL THEN bytes_per_run WHEN num_bytes IS NOT NULL THEN num_bytes WHEN row_count IS NOT NULL THEN row_count * 200 ELSE prior_bytes END AS bytes,
+  CASE WHEN mb IS NOT NULL THEN CASE WHEN me > 0 THEN mb / me ELSE mb END WHEN h.model_id IS NOT NULL THEN bytes_per_run WHEN num_bytes IS NOT NULL THEN num_bytes * sc * dc WHEN row_count IS NOT NULL THEN row_count * 200 * sc * dc ELSE prior_bytes * sc * dc END AS bytes,
   CASE WHEN mb IS NOT NULL THEN greatest(me, 1) WHEN h.model_id IS NOT NULL THEN runs_per_month ELSE 30 END AS runs,
-  CASE WHEN mb IS NOT NULL THEN 0.1 WHEN h.model_id IS NOT NULL THEN 0.2 WHEN num_bytes IS NOT NULL THEN 0.25 WHEN row_count IS NOT NULL THEN 0.35 ELSE 0.8 END AS cv
-  FROM {d_models} m LEFT JOIN observed o ON o.model_id = m.model_id LEFT JOIN {d_history} h ON h.model_id = m.model_id LEFT JOIN {d_catalog} c ON c.model_id = m.model_id)"""
+  CASE WHEN mb IS NOT NULL THEN 0.1 WHEN h.model_id IS NOT NULL THEN 0.2 WHEN num_bytes IS NOT NULL THEN 0.25 WHEN row_count IS NOT NULL THEN 0.35 ELSE 0.8 END AS cv, CASE WHEN mb IS NOT NULL OR h.model_id IS NOT NULL THEN 1.0 ELSE dc END AS discount
+  FROM (SELECT *, (CASE WHEN partition_by IS NOT NULL THEN 0.5 WHEN cluster_by IS NOT NULL THEN 0.7 ELSE 1 END) * (CASE WHEN materialized = 'view' THEN 0.5 ELSE 1 END) AS sc, CASE WHEN materialized = 'incremental' AND unique_key IS NOT NULL THEN 0.05 ELSE 1.0 END AS dc FROM {d_models}) m LEFT JOIN observed o ON o.model_id = m.model_id LEFT JOIN {d_history} h ON h.model_id = m.model_id LEFT JOIN {d_catalog} c ON c.model_id = m.model_id)"""
 COST = """
 cost AS (SELECT v.model_id, grade, coalesce(o.mu > 0, false) AS is_observed,
   CASE WHEN o.mu > 0 THEN ln(o.mu) ELSE ln(bytes) + ln(runs) + ln(6.25 / 1e12) END AS mu,
@@ -42,7 +42,7 @@ def _(obs):
 
 @query("volume_ladder", "d_models", "d_obs", "d_history", "d_catalog", sql=f"WITH {OBS}, {VOLUME} SELECT model_id, basis, grade, round(bytes, 0) AS bytes, round(runs, 4) AS runs FROM volume")
 def _(models, obs, history, catalog):
-    return costs.volumes(models, costs.observe_monthly(obs), history, catalog).select("model_id", "basis", "grade", F.round("bytes", 0).alias("bytes"), *r4("runs"))
+    return costs.volumes(models, costs.observe_monthly(obs), history, catalog, warehouse="bigquery").select("model_id", "basis", "grade", F.round("bytes", 0).alias("bytes"), *r4("runs"))
 
 
 @query("runs_sibling_median", "d_models", "d_obs", sql=f"""WITH {OBS}, s AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, greatest(me, 1) AS runs FROM {{d_models}} m JOIN observed o ON o.model_id = m.model_id),
@@ -53,7 +53,7 @@ def _(models, obs):
 
 def _costs(models, obs, history, catalog):
     seen = costs.observe_monthly(obs)
-    return costs.cost_index(costs.volumes(models, seen, history, catalog), seen)
+    return costs.cost_index(costs.volumes(models, seen, history, catalog, warehouse="bigquery"), seen)
 
 
 @query("model_cost_index", "d_models", "d_obs", "d_history", "d_catalog", sql=f"WITH {OBS}, {VOLUME}, {COST} SELECT model_id, grade, round(exp(mu), 4) AS p50, round(exp(mu + sigma * 1.2815515655446004), 4) AS p90 FROM cost")

@@ -169,23 +169,25 @@ def _(models):
 
 
 _FAN = f"{catalog.CLOSURE}, fan AS (SELECT seed, least(count(*), 15) AS n FROM closure WHERE seed <> node GROUP BY seed), ex AS (SELECT depends_on, count(*) AS e FROM {{d_exposures}} GROUP BY depends_on)"
-_SAVED = f"""saved AS (SELECT f.model_id, f.rule, f.severity,
-  exp(c.mu) * least(0.95, 1 - 1 / greatest(1.001, sqrt(lo * hi) * m.f)) * s AS usd, v.bytes * v.runs / 1e9 * least(0.95, 1 - 1 / greatest(1.001, sqrt(lo * hi) * m.f)) * s AS gb
+_SAVED = f"""raw AS (SELECT f.model_id, f.rule, f.severity, ln(sqrt(lo * hi) * m.f) AS lm, exp(c.mu - CASE WHEN c.is_observed THEN 0 ELSE ln(dd) END) AS whole,
+  exp(c.mu - CASE WHEN c.is_observed THEN 0 ELSE ln(dd) END) * least(0.95, 1 - 1 / greatest(1.001, sqrt(lo * hi) * m.f)) * s AS usd, v.bytes * v.runs / dd / 1e9 * least(0.95, 1 - 1 / greatest(1.001, sqrt(lo * hi) * m.f)) * s AS gb
   FROM (SELECT found.model_id, found.rule, found.severity, (CASE found.rule WHEN 'R012' THEN CASE WHEN n_cross_join >= 2 THEN 1.25 WHEN n_cross_join = 0 THEN 0.75 ELSE 1 END WHEN 'R006' THEN least(1.5, 1 + 0.05 * n_join) WHEN 'R001' THEN 1.15 WHEN 'R013' THEN CASE WHEN n_window > 1 THEN 1.2 ELSE 1 END WHEN 'R014' THEN 1.2 ELSE 1 END)
     * least(2.0, 1 + 0.25 * log2(1 + coalesce(fan.n, 0))) * least(1.5, 1 + 0.05 * coalesce(ex.e, 0)) AS s FROM found JOIN feat USING (model_id) LEFT JOIN fan ON 'm' || fan.seed = found.model_id LEFT JOIN ex ON 'm' || ex.depends_on = found.model_id) f
-  JOIN {MULT} m ON m.rule = f.rule JOIN cost c ON c.model_id = f.model_id JOIN volume v ON v.model_id = f.model_id)"""
+  JOIN {MULT} m ON m.rule = f.rule JOIN cost c ON c.model_id = f.model_id JOIN (SELECT * FROM volume) v ON v.model_id = f.model_id, LATERAL (SELECT CASE WHEN f.rule IN {attribution.UNBOUNDED_RULES} THEN v.discount ELSE 1.0 END AS dd)),
+capped AS (SELECT *, sum(usd) OVER w AS total, greatest(0.001, max(whole) OVER w - max(whole) OVER w / least(20.0, greatest(1.001, exp(sum(lm) OVER w)))) AS most FROM raw WINDOW w AS (PARTITION BY model_id)),
+saved AS (SELECT model_id, rule, severity, usd * CASE WHEN total > most THEN most / total ELSE 1 END AS usd, gb * CASE WHEN total > most THEN most / total ELSE 1 END AS gb FROM capped)"""
 _SAVING_INPUTS = ("d_files", "d_models", "d_obs", "d_history", "d_catalog", "d_edges", "d_exposures")
 
 
 def _savings(files, models, obs, history, catalogs, edges, exposures):
     seen = cost_ops.observe_monthly(obs)
-    volume = cost_ops.volumes(models, seen, history, catalogs)
-    price = cost_ops.cost_index(volume, seen).select("model_id", "cost").join(volume.select("model_id", (F.col("bytes") * F.col("runs")).alias("scan_bytes")), "model_id")
+    volume = cost_ops.volumes(models, seen, history, catalogs, warehouse="bigquery")
+    price = cost_ops.cost_index(volume, seen).select("model_id", "cost", "is_observed").join(volume.select("model_id", (F.col("bytes") * F.col("runs")).alias("scan_bytes"), "discount"), "model_id")
     own = rules.findings(catalog._feature_rows(files, models), "bigquery", ("n_cross_join", "n_join", "n_select_star", "n_window", "cte_reuse"))
     found = own.select("model_id", "path", "rule", "severity", attribution.structure_factor(F.col("rule")).alias("structure"))
     below = lineage.downstream_counts(edges, 15).select(F.concat(F.lit("m"), F.col("seed").cast("string")).alias("model_id"), F.col("n").alias("downstream"))
     shown = attribution.exposure_counts(exposures).select(F.concat(F.lit("m"), F.col("model_id").cast("string")).alias("model_id"), "exposures")
-    return attribution.attributed(found, price, below.join(shown, "model_id", "full_outer"), "bigquery")
+    return attribution.capped(attribution.attributed(found, price, below.join(shown, "model_id", "full_outer"), "bigquery"), "bigquery")
 
 
 @recursive("finding_savings", *_SAVING_INPUTS, sql=f"WITH {catalog.OBS}, {catalog.VOLUME}, {catalog.COST}, {catalog.FOUND}, {_FAN}, {_SAVED} SELECT model_id, rule, round(usd, 4) AS usd, round(gb, 4) AS gb FROM saved")
