@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tallyforge.functions import lognormal as ln
@@ -12,7 +14,7 @@ from tallyforge.operators import attribution, baselines, enforcement, evaluation
 from tallyforge.operators import costs as cost_ops
 from tallyforge.plans import catalog
 from tallyforge.plans.registered import ORACLES, QUERIES, query, r4, recursive
-from tallyforge.sources import manifests, settings
+from tallyforge.sources import exports, manifests, settings
 from tallyforge.sources.scratch import scratch
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -605,3 +607,38 @@ def _(files, models):
     changed = models.limit(0).select("path", F.col("k").alias("model_id"), empty.alias("tags"), empty.alias("owners"))
     reach = models.limit(0).select(F.col("k").alias("seed"), F.col("k").alias("node"))
     return enforcement.gates(rows, changed, reach, PROJECT_GATES, None, True).select("gate", "status", "matched")
+
+
+# ---- exports of costs
+
+def _exported(part):
+    """An export row for each part in one of seven formats, and the observations of all."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    row = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    texts = {
+        "normalized": row('{"schema_version": 1, "observations": [{"model_id": "m', n, '", "window_start": "2024-01-01T00:00:00Z", "window_end": "2024-01-02T02:00:00+02:00", "executions": 3, "bytes_processed": ', n, '}]}'),
+        "generic": row('[{"model": "m', n, '", "start": "2024-01-01 00:00:00", "end": "2024-01-02 00:00:00", "query_count": "3", "bytes_billed": "', n, '"}]'),
+        "snowflake": row('{"rows": [{"model_id": "no", "query_tag": "m', n, '", "start_time": "2024-01-01", "end_time": "2024-01-02", "count": 3, "bytes_scanned": ', n, ', "bytes_billed": 7}]}'),
+        "bigquery": row('{"labels": {"model_id": "m', n, '"}, "job_id": "j", "start_time": "2024-01-01T00:00:00", "end_time": "2024-01-02T00:00:00", "executions": 3, "bytes_processed": ', n, '}'),
+        "databricks": row('{"usage_metadata": {"job_name": "m', n, '"}, "usage_start_time": "2024-01-01", "usage_end_time": "2024-01-02", "executions": 3, "bytes_processed": null, "bytes_scanned": ', n, '}'),
+        "trino": row('[{"query_id": "m', n, '", "start": "2024-01-01", "end": "2024-01-02", "execution_count": 3, "bytes_scanned": ', n, ', "wall_time_ms": 1500}]'),
+        "pipeline": row('[{"asset_key": "m', n, '", "start": "2024-01-01", "end": "2024-01-02", "materialization_count": 3, "bytes_processed": ', n, ', "elapsed_ms": 1500}, {"asset": "late", "start": "2024-01-02", "end": "2024-01-01"}]'),
+    }
+    found = [(exports.normalized(exports.json_rows(part.where(k % 7 == i).select(text.alias("text")))[0], name), name) for i, (name, text) in enumerate(texts.items())]
+    return [(a.withColumn("format", F.lit(name)), b.withColumn("format", F.lit(name))) for (a, b), name in found]
+
+
+_FORMAT = "CASE p_partkey % 7 WHEN 0 THEN 'normalized' WHEN 1 THEN 'generic' WHEN 2 THEN 'snowflake' WHEN 3 THEN 'bigquery' WHEN 4 THEN 'databricks' WHEN 5 THEN 'trino' ELSE 'pipeline' END"
+
+
+@query("export_formats", "part", sql=f"SELECT {_FORMAT} AS format, 'm' || p_partkey AS model_id, 1 AS days, 3 AS executions, CASE WHEN p_partkey % 7 <> 4 THEN CAST(p_partkey AS double) END AS bytes_processed, CASE WHEN p_partkey % 7 >= 5 THEN 1.5 END AS compute_seconds FROM part")
+def _(part):
+    rows = functools.reduce(lambda a, b: a.union(b), [a for a, _ in _exported(part)])
+    return rows.select("format", "model_id", F.datediff("window_end", "window_start").alias("days"), "executions", "bytes_processed", "compute_seconds")
+
+
+@query("export_rejects", "part", sql="SELECT 'pipeline' AS format, 'window ends before it starts' AS problem, count(*) AS n FROM part WHERE p_partkey % 7 = 6")
+def _(part):
+    rows = functools.reduce(lambda a, b: a.union(b), [b for _, b in _exported(part)])
+    return rows.groupBy("format", "problem").agg(F.count("*").alias("n"))
