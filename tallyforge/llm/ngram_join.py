@@ -375,17 +375,23 @@ def _joined(sets: DataFrame, lists: DataFrame, counted) -> tuple[DataFrame, Data
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, n_links) of every document: with how many others it has a similarity of 0.8 or more.
+    """(doc_id, n_shingles, component_id, n_links) of every document: with how many others it has a similarity of 0.8 or more.
 
-    Rows are counted, so equal ids count each; rows with a null id are counted nowhere and have 0 links.
+    Counts and components both come from the join's links. Rows are counted, so equal ids count each; rows with a null id
+    are counted nowhere, have 0 links and no component; empty sets are their own component.
     """
     pairs, sets = links(docs, id_col, text_col)
-    held = written(sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.count("*").alias("held")), "held")
+    pairs = written(pairs, "links")
+    held = written(sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.count("*").alias("held"), F.min("doc_id").alias("lowest")), "held")
     ends = pairs.union(pairs.select("y", "x")).toDF("sid", "other")
-    other = ends.join(held.toDF("other", "more"), "other").groupBy("sid").agg(F.sum("more").alias("more"))
-    own = held.join(other, "sid", "left").select("sid", (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
-    known = sets.where("n > 0 and doc_id is not null").join(own, "sid").select("doc_id", F.col("n").alias("n_shingles"), "n_links")
-    return known.union(sets.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(0).cast("long")))
+    other = ends.join(held.select(F.col("sid").alias("other"), F.col("held").alias("more")), "other").groupBy("sid").agg(F.sum("more").alias("more"))
+    roots = components(pairs).withColumnRenamed("node", "sid")
+    own = held.join(other, "sid", "left").join(roots, "sid", "left").select("sid", "lowest", F.col("held").alias("rows"), (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "sid").alias("class"))
+    own = written(own, "link-counts")
+    lowest = own.groupBy("class").agg(F.min("lowest").alias("component_id"))
+    found = own.drop("lowest").join(lowest, "class")
+    known = looked_up(sets.where("n > 0 and doc_id is not null"), "sid", found.select("sid", "component_id", "n_links", "rows")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return known.union(sets.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -459,4 +465,5 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """As op2_ngram_jaccard, from the join's links: doc_id, n_shingles, component_id and n_links; edge cases as in `link_counts`."""
     return link_counts(table(spark, sf_dir, "documents"))
