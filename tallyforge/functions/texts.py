@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyforge.functions import lognormal as ln
+
 _QUIET = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/|\{#(?s:.*?)#\}"
 
 
@@ -216,3 +218,31 @@ def cte_reuse(masked: Column) -> Column:
 def catalogs(masked: Column) -> Column:
     """The different first parts of three-part table names."""
     return F.array_distinct(F.regexp_extract_all(masked, F.lit(r"\b(?:from|join)\s+`?([a-z0-9_-]+)`?\.`?[a-z0-9_-]+`?\.`?[a-z0-9_-]+"), F.lit(1)))
+
+
+def config_values(text: Column) -> Column:
+    """map<string, string> of the settings in a text's config() calls: quotes taken off, lists by commas; of repeated ones the last.
+
+    Values are texts, numbers, true and false, and lists of these; others (calls, mappings) are left out, as are comments.
+    """
+    plain = r"'[^']*'|\"[^\"]*\"|[\w.+-]+"
+    calls = F.regexp_extract_all(blanked(text, False), F.lit(r"\bconfig\s*\(((?:[^()'\"]++|'[^']*+'|\"[^\"]*+\"|\([^()]*+\))*+)\)"), F.lit(1))
+    pair = rf"\b([a-z_]+)\s*=\s*(?:{plain}|\[[^\]]*\])(?=\s*(?:,|$))"
+    found = F.flatten(F.transform(calls, lambda c: F.regexp_extract_all(F.regexp_replace(c, r"\s+", " "), F.lit(pair), F.lit(0))))
+    bare = lambda v: F.regexp_replace(F.trim(v), r"^['\"]|['\"]$", "")
+    value = lambda v: F.when(v.startswith("["), F.array_join(F.transform(F.split(F.regexp_replace(v, r"^\[\s*|\s*,?\s*\]$", ""), ","), bare), ",")).otherwise(bare(v))
+    entry = lambda p: F.struct(F.regexp_extract(p, r"^([a-z_]+)", 1).alias("key"), value(F.trim(F.regexp_replace(p, r"^[a-z_]+\s*=", ""))).alias("value"))
+    entries = F.transform(found, entry).cast("array<struct<key:string,value:string>>")
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0)
+    return F.map_from_entries(last)
+
+
+def shown_usd(usd: Column) -> Column:
+    """Dollars for reading, by two significant digits: $7, $1.2k, $12k, $3M; ties to even."""
+    v = ln.round_sig2(usd)
+    whole = lambda x: F.rint(x).cast("long").cast("string")
+    return (
+        F.when(v >= 1e6, F.concat(F.lit("$"), whole(v / 1e6), F.lit("M"))).when(v >= 1e4, F.concat(F.lit("$"), whole(v / 1e3), F.lit("k")))
+        .when(v >= 1e3, F.concat(F.lit("$"), F.format_string("%.1f", v / 1e3), F.lit("k"))).when(v.isNotNull(), F.concat(F.lit("$"), whole(v)))
+    )

@@ -131,3 +131,18 @@ def aliased(rows: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Vendor export columns under common names: of each list the first column that is present counts, even if null."""
     names = {c.lower(): c for c in rows.columns}
     return rows.select(*[next((F.col(f"`{names[a]}`") for a in options if a in names), F.lit(None)).alias(common) for common, options in aliases.items()])
+
+
+def coverage(index: DataFrame, observations: DataFrame, now: str) -> DataFrame:
+    """One row: models, those with measured figures and with a cost, both as fractions, and the age in days of the stalest observation.
+
+    index: of cost_index; observations: (model_id, window_end), of which each model's last counts.
+    """
+    last = observations.groupBy("model_id").agg(F.max("window_end").alias("_end"))
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("_end")) / 86400.0
+    measured = (F.col("grade") == "A") | F.coalesce("is_observed", F.lit(False))
+    rows = index.select("model_id", "grade", "is_observed", "cost").join(last, "model_id", "left")
+    n = F.count("*")
+    rows = rows.agg(n.alias("models"), F.count_if(measured).alias("measured"), F.count("cost").alias("with_cost"), F.max(age).alias("age_days"))
+    fraction = lambda c: F.when(F.col("models") > 0, F.col(c) / F.col("models")).otherwise(0.0)
+    return rows.select("models", "measured", fraction("measured").alias("measured_fraction"), "with_cost", fraction("with_cost").alias("cost_fraction"), "age_days")

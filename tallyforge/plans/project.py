@@ -642,3 +642,23 @@ def _(part):
 def _(part):
     rows = functools.reduce(lambda a, b: a.union(b), [b for _, b in _exported(part)])
     return rows.groupBy("format", "problem").agg(F.count("*").alias("n"))
+
+
+@query("cost_coverage", "d_models", "d_obs", "d_history", "d_catalog", sql=f"""WITH {catalog.OBS}, {catalog.VOLUME}, {catalog.COST}, a AS (SELECT max(a) AS a FROM (SELECT epoch(TIMESTAMP '1999-06-01') / 86400.0 - max(epoch(window_end)) / 86400.0 AS a FROM {{d_obs}} WHERE model_id IN (SELECT model_id FROM {{d_models}}) GROUP BY model_id))
+SELECT count(*) AS models, count(*) FILTER (grade = 'A' OR is_observed) AS measured, round(count(*) FILTER (grade = 'A' OR is_observed) / count(*), 6) AS measured_fraction, count(*) AS with_cost, 1.0 AS cost_fraction, round((SELECT a FROM a), 4) AS age_days FROM cost""")
+def _(models, obs, history, catalogs):
+    found = cost_ops.coverage(catalog._costs(models, obs, history, catalogs), obs, "1999-06-01")
+    return found.select("models", "measured", F.round("measured_fraction", 6).alias("measured_fraction"), "with_cost", "cost_fraction", F.round("age_days", 4).alias("age_days"))
+
+
+@query("inline_settings", "d_more_files", sql="""SELECT model_id, 'incremental' AS materialized, CASE WHEN template IN (12, 13, 15, 20, 21, 22, 23, 24) THEN 'id' END AS unique_key, CASE template WHEN 12 THEN 'merge' WHEN 13 THEN 'merge' WHEN 14 THEN 'append' END AS incremental_strategy,
+CASE WHEN template = 13 THEN 'x' END AS incremental_predicates, CASE WHEN template = 15 THEN 'sync_all_columns' END AS on_schema_change FROM {d_more_files} WHERE template IN (12, 13, 14, 15, 20, 21, 22, 23, 24)""")
+def _(files):
+    found = files.select("model_id", tx.config_values(F.col("text")).alias("c")).where("c['materialized'] is not null")
+    return found.select("model_id", *[F.col("c")[k].alias(k) for k in ("materialized", "unique_key", "incremental_strategy", "incremental_predicates", "on_schema_change")])
+
+
+@query("shown_usd", "part", sql="""SELECT p_partkey, CASE WHEN s >= 1e6 THEN '$' || CAST(round_even(s / 1e6, 0) AS BIGINT) || 'M' WHEN s >= 1e4 THEN '$' || CAST(round_even(s / 1e3, 0) AS BIGINT) || 'k' WHEN s >= 1e3 THEN printf('$%.1fk', s / 1e3) ELSE '$' || CAST(round_even(s, 0) AS BIGINT) END AS shown
+FROM (SELECT p_partkey, CASE WHEN v = 0 THEN 0 ELSE round(v * m) / m END AS s FROM (SELECT p_partkey, v, power(10, 1 - floor(log10(v + CASE WHEN v = 0 THEN 1 ELSE 0 END))) AS m FROM (SELECT p_partkey, (p_partkey % 1000) * (p_partkey % 1000) * 1.3 AS v FROM part)))""")
+def _(part):
+    return part.select("p_partkey", tx.shown_usd((F.col("p_partkey") % 1000) * (F.col("p_partkey") % 1000) * 1.3).alias("shown"))

@@ -117,3 +117,21 @@ def test_keys_pass_along_single_parents_only(spark):
     edges = spark.createDataFrame([(2, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 1), (7, 1), (7, 6), (8, 8)], "child long, parent long")
     got = {r.model_id: r.unique_key for r in joins.propagated_keys(models, edges).collect()}
     assert got == {1: ["k"], 2: ["k"], 3: ["k"], 6: ["z"]}
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("{{ config(materialized='table', tags=['a', \"b\"], full_refresh=true) }}", {"materialized": "table", "tags": "a,b", "full_refresh": "true"}),
+        ("{{ config( unique_key = \"id\",\n  x=1.5 ) }} {{ config(unique_key='later') }}", {"unique_key": "later", "x": "1.5"}),
+        ("{{ config(a=var('x', 'y'), b='k, c=1', d={'e': 1}) }} -- config(z=1)", {"b": "k, c=1"}), ("select config from t", {}), ("", {}),
+    ],
+)
+def test_inline_settings(spark, text, want):
+    assert one(spark, text, tx.config_values(F.col("t"))) == want
+
+
+def test_dollars_for_reading(spark):
+    values = [0.0, 0.004, 7.4, 949.0, 1049.0, 1234.0, 9949.0, 12_345.0, 999_999.0, 1_499_999.0, 2_500_000.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(tx.shown_usd(F.col("v"))).collect()]
+    assert got == ["$0", "$0", "$7", "$950", "$1.0k", "$1.2k", "$9.9k", "$12k", "$1M", "$2M", "$2M", None]
