@@ -659,6 +659,6 @@ def _(files):
 
 
 @query("shown_usd", "part", sql="""SELECT p_partkey, CASE WHEN s >= 1e6 THEN '$' || CAST(round_even(s / 1e6, 0) AS BIGINT) || 'M' WHEN s >= 1e4 THEN '$' || CAST(round_even(s / 1e3, 0) AS BIGINT) || 'k' WHEN s >= 1e3 THEN printf('$%.1fk', s / 1e3) ELSE '$' || CAST(round_even(s, 0) AS BIGINT) END AS shown
-FROM (SELECT p_partkey, CASE WHEN v = 0 THEN 0 ELSE round(v * m) / m END AS s FROM (SELECT p_partkey, v, power(10, 1 - floor(log10(v + CASE WHEN v = 0 THEN 1 ELSE 0 END))) AS m FROM (SELECT p_partkey, (p_partkey % 1000) * (p_partkey % 1000) * 1.3 AS v FROM part)))""")
+FROM (SELECT p_partkey, CASE WHEN v = 0 THEN 0 ELSE round(v / m) * m END AS s FROM (SELECT p_partkey, v, power(10, floor(log10(v + CASE WHEN v = 0 THEN 1 ELSE 0 END)) - 1) AS m FROM (SELECT p_partkey, (p_partkey % 1000) * (p_partkey % 1000) * 1.3 AS v FROM part)))""")
 def _(part):
     return part.select("p_partkey", tx.shown_usd((F.col("p_partkey") % 1000) * (F.col("p_partkey") % 1000) * 1.3).alias("shown"))
