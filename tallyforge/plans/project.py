@@ -119,7 +119,8 @@ def _(files):
 
 
 @query("refs_sources", "d_more_files", sql="""SELECT model_id, 'ref' AS kind, 'p' AS package, 't_' || k AS name FROM {d_more_files} WHERE template = 12 UNION ALL SELECT model_id, 'source', 'raw', 't_' || k FROM {d_more_files} WHERE template = 14
-UNION ALL SELECT model_id, 'ref', NULL, 'a' FROM {d_more_files} WHERE template IN (16, 17)""")
+UNION ALL SELECT model_id, 'ref', NULL, 'a' FROM {d_more_files} WHERE template IN (16, 17) UNION ALL SELECT model_id, 'source', 'raw', 't_' || k FROM {d_more_files} WHERE template IN (20, 21, 22)
+UNION ALL SELECT model_id, 'ref', NULL, unnest(['t_' || k, 'u_' || k]) FROM {d_more_files} WHERE template = 39""")
 def _(files):
     return files.select("model_id", F.explode(tx.references(F.col("text"))).alias("r")).select("model_id", "r.kind", "r.package", "r.name")
 
