@@ -463,4 +463,4 @@ def test_words_are_cut_alike():
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(ORACLES) <= set(QUERIES)
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(ORACLES) <= set(QUERIES)
