@@ -246,8 +246,8 @@ def test_importance_matches_entropy_by_hand(spark):
     by = {}
     for host, source in rows:
         page = site_style.Page(source)
-        own = page.text(frozenset())
-        for node, (children, content, inside) in page.nodes.items():
+        own = page.text(frozenset(), links=False)
+        for node, (children, content, inside, *_) in page.nodes.items():
             held = by.setdefault((host, node), ({}, {}, []))
             held[0].setdefault(own, tuple(children))
             held[1].setdefault(own, content)
@@ -262,6 +262,37 @@ def test_importance_matches_entropy_by_hand(spark):
     assert got == want and {h for h, _ in got} == {"b", "c", "d"}
 
 
+def test_menus_under_neutral_names_go(spark):
+    rng, v = random.Random(21), vocabulary(22)
+    words = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    menu = lambda: "<div class=q><ul>" + "".join(f"<li><a href=/x>{words(rng.randint(1, 2))}</a></li>" for _ in range(rng.randint(4, 9))) + "</ul></div>"
+    body = lambda: f"<h1><a href=/t>{words(3)}</a></h1><p class=by><a href=/a>{words(2)}</a></p><p>{words(20)} <a href=/b>{words(2)}</a> {words(9)}</p>"
+    rows, want = [], []
+    for k in range(40):  # a site of 20 pages, then hosts of one page each, whose menus are judged by all hosts
+        article = body()
+        rows.append((k, f"http://{'one' if k < 20 else f'h{k}'}.example/{k}", f"<body>{menu()}<div class=z>{article}</div></body>"))
+        want.append(site_style.Page(article).text(frozenset()))
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[k] for k in range(40)] == want
+
+
+def test_copies_on_many_hosts_are_one(spark):
+    page = "<body><div class=only><p>the very same text</p></div></body>"
+    rows = [(k, f"http://h{k}.example/", page) for k in range(30)]
+    got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"the very same text"} and len(got) == 30
+
+
+def test_pages_of_dealt_hosts_nulls_repeats_and_nothing(spark, monkeypatch):
+    schema = "page_id long, url string, html string, host int, low int, part string, rows long, node double"  # clashing names
+    page = lambda k: f"<body><div class=x>Call us</div><p>text {k} of its own</p></body>"
+    rows = [(k % 50 or None, "http://big.example/", page(k % 50), 1, 2, "3", 4, 5.0) for k in range(100)] + [(None, None, None, 1, 2, "3", 4, 5.0)] * 2
+    monkeypatch.setattr(site_style, "LEAST_HOT", 7)
+    got = site_style.extract(spark.createDataFrame(rows, schema)).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter((k or None, f"text {k} of its own") for k in [*range(50)] * 2) + Counter({(None, ""): 2})
+    assert site_style.extract(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_copied_pages_keep_their_articles(spark):
     rng, v = random.Random(5), vocabulary(12)
     words = lambda n: " ".join(rng.choice(v) for _ in range(n))
