@@ -325,7 +325,8 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str):
     def prefixes(batches):
         yield from _prefixes(*shared.value)(batches)
 
-    entries = docs.select("text").mapInArrow(prefixes, "token long, sid long, n int, pos int, hot boolean")
+    # rows without an id link with nothing, so their sets are not indexed
+    entries = docs.where("doc_id is not null").select("text").mapInArrow(prefixes, "token long, sid long, n int, pos int, hot boolean")
     # a list with one set leads nowhere; a hot one has more, whatever part of it a task sees
     per = Window.partitionBy("token", "deal")
     entries = entries.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0))
@@ -352,10 +353,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     Documents of one set (sid) link with each other and with all documents of linked sets; empty sets and rows with a null
     id link with nothing. A group of k different near copies has up to k * (k - 1) / 2 links, which are all given.
     """
-    return _joined(*_indexed(docs, id_col, text_col))
+    sets, lists, counted = _indexed(docs, id_col, text_col)
+    return _joined(lists, counted)[0], sets
 
 
-def _joined(sets: DataFrame, lists: DataFrame, counted) -> tuple[DataFrame, DataFrame]:
+def _joined(lists: DataFrame, counted) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of all linked pairs, and (sid, lead) of the sets that link with their leader."""
     lists = lists.withColumn("class", F.col("sid"))
     led = counted(_led(lists, 0)).select(F.col("x").alias("sid"), F.col("y").alias("lead"), "shared", "union")
     itself = led.select(F.col("lead").alias("sid"), "lead", F.lit(1).cast("long").alias("shared"), F.lit(1).cast("long").alias("union")).distinct()
@@ -369,23 +372,26 @@ def _joined(sets: DataFrame, lists: DataFrame, counted) -> tuple[DataFrame, Data
     told = F.when(p + q <= far, True).when(F.abs(p - q) > far, False)
     derived = written(both.select("x", "y", told.alias("linked")).where("linked is not null").groupBy("x", "y").agg(F.first("linked").alias("linked")), "derived")
     rest = counted(candidates.join(derived, ["x", "y"], "left_anti"))
-    known = sets.where("n > 0 and doc_id is not null").select("sid").distinct()
     found = derived.where("linked").select("x", "y").union(rest.where("linked").select("x", "y"))
-    return found.join(known.withColumnRenamed("sid", "x"), "x", "left_semi").join(known.withColumnRenamed("sid", "y"), "y", "left_semi").select("x", "y"), sets
+    return found, answers.where(100 * F.col("shared") >= PERCENT * F.col("union")).select("sid", "lead")
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document: with how many others it has a similarity of 0.8 or more.
 
-    Counts and components both come from the join's links. Rows are counted, so equal ids count each; rows with a null id
-    are counted nowhere, have 0 links and no component; empty sets are their own component.
+    Counts and components both come from the join's links, which are counted as they are read and written nowhere as such.
+    Components follow links between sets of different leaders, and those of leaders: other links join what is joined.
+    Rows are counted, so equal ids count each; rows with a null id are counted nowhere, have 0 links and no component;
+    empty sets are their own component. An empty table gives no rows.
     """
-    pairs, sets = links(docs, id_col, text_col)
-    pairs = written(pairs, "links")
+    sets, lists, counted = _indexed(docs, id_col, text_col)
+    pairs, led = _joined(lists, counted)
     held = written(sets.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.count("*").alias("held"), F.min("doc_id").alias("lowest")), "held")
     ends = pairs.union(pairs.select("y", "x")).toDF("sid", "other")
     other = ends.join(held.select(F.col("sid").alias("other"), F.col("held").alias("more")), "other").groupBy("sid").agg(F.sum("more").alias("more"))
-    roots = components(pairs).withColumnRenamed("node", "sid")
+    of = lambda k: led.select(F.col("sid").alias(k), F.col("lead").alias(f"lead_{k}"))
+    across = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("lead_x", "x") != F.coalesce("lead_y", "y")).select("x", "y")
+    roots = components(across.union(led.select("sid", "lead"))).withColumnRenamed("node", "sid")
     own = held.join(other, "sid", "left").join(roots, "sid", "left").select("sid", "lowest", F.col("held").alias("rows"), (F.col("held") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "sid").alias("class"))
     own = written(own, "link-counts")
     lowest = own.groupBy("class").agg(F.min("lowest").alias("component_id"))
