@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.globs import glob
 from tallyforge.operators.ordered import running
 
 
@@ -87,7 +88,7 @@ def predicate(spec: dict) -> Column:
         return ~predicate(body)
     field, value = body
     c = F.col(field)
-    test = {"equals": lambda: c == value, "glob": lambda: c.like(value.replace("*", "%")), "regex": lambda: c.rlike(value), "in": lambda: c.isin(*value), "at_least": lambda: c >= value}[kind]()
+    test = {"equals": lambda: c == value, "glob": lambda: glob(c, value), "regex": lambda: c.rlike(value), "in": lambda: c.isin(*value), "at_least": lambda: c >= value}[kind]()
     return F.coalesce(test, F.lit(False))
 
 

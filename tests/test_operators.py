@@ -78,3 +78,11 @@ def test_long_chains_of_computed_edges(spark):
     touched = {r.node for r in lineage.reached(nodes, changed).collect()}
     below = lambda n: {m for c in (2 * n, 2 * n + 1) if c <= 4096 for m in {c} | below(c)}
     assert touched == below(2048) | below(1024) | below(5)
+
+
+def test_globs_of_predicates_take_marks_of_like_literally(spark):
+    rows = spark.createDataFrame([("a_b.sql",), ("axb.sql",), ("a%b.sql",), ("x/a_b.sql",), (None,)], "path string")
+    held = lambda pattern: {r.path for r in rows.where(governance.predicate({"glob": ("path", pattern)})).collect()}
+    assert held("a_b*") == {"a_b.sql"} and held("a%b.sql") == {"a%b.sql"} and held("*a_b.sql") == {"a_b.sql", "x/a_b.sql"}
+    assert held("a?b.sql") == {"a_b.sql", "axb.sql", "a%b.sql"}
+    assert rows.where(governance.predicate({"not": {"glob": ("path", "*")}})).count() == 1
