@@ -20,7 +20,9 @@ def join_keys(rows: DataFrame) -> DataFrame:
     rows: those of rules.features(). Relations are those that aliases stand for, a nested query is QUERY, null where an
     alias is unknown. Joins without an equality of columns give none.
     """
-    pairs = rows.select("model_id", "path", F.explode("joins").alias("j")).select("model_id", "path", "j.start", F.explode("j.pairs").alias("p"))
+    # An expression is exploded, not the column: for a column Spark infers a filter, which reads all joins a second time, before rows are dealt.
+    each = F.flatten(F.transform("joins", lambda j: F.transform(j["pairs"], lambda p: F.struct(j["start"].alias("start"), p.alias("p")))))
+    pairs = rows.select("model_id", "path", F.explode(each).alias("j")).select("model_id", "path", "j.start", "j.p")
     named = lambda side: F.when(F.col(f"p.{side}.relation").rlike("^_+$"), QUERY).otherwise(F.col(f"p.{side}.relation")).alias(f"{side}_relation")
     return pairs.select("model_id", "path", "start", named("left"), F.col("p.left.key").alias("left_key"), named("right"), F.col("p.right.key").alias("right_key"))
 

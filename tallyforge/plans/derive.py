@@ -199,6 +199,19 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: derive(spark, sf_dir, n) for n in _names(text)})
 
 
+#: Rows of a task that works on derived texts.
+DEALT_ROWS = 10_000
+
+
+def dealt(rows: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """rows over all cores, and over more tasks the more there are: they come from few small files, but judging them is work.
+
+    key: a column whose values differ, by which rows are dealt without a sort. counted: what has as many rows and is counted sooner.
+    """
+    n = (rows if counted is None else counted).count()
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT_ROWS)), key)
+
+
 def oracle(text: str) -> str:
     """DuckDB's form of a query over derived relations that it names in braces."""
     needed: list[str] = []

@@ -13,6 +13,7 @@ from tallyforge.functions.globs import glob_regex
 from tallyforge.operators import attribution, baselines, enforcement, evaluation, governance, joins, lineage, rules, snapshot, validation
 from tallyforge.operators import costs as cost_ops
 from tallyforge.plans import catalog
+from tallyforge.plans.derive import dealt
 from tallyforge.plans.registered import ORACLES, QUERIES, query, r4, recursive
 from tallyforge.sources import exports, manifests, settings
 from tallyforge.sources.scratch import scratch
@@ -86,7 +87,7 @@ _PAIRS = [(0, "orders_@", "id", "lines_@", "order_id"), (1, "t", "id", "u", "id"
 
 @query("join_keys", "d_key_files", sql=f"SELECT model_id, replace(l, '@', cast(k AS varchar)) AS left_relation, lk AS left_key, replace(r, '@', cast(k AS varchar)) AS right_relation, rk AS right_key FROM {{d_key_files}} JOIN {_values(_PAIRS, 'template, l, lk, r, rk')} v USING (template)")
 def _(files):
-    return joins.join_keys(rules.features(files)).select("model_id", "left_relation", "left_key", "right_relation", "right_key")
+    return joins.join_keys(rules.features(dealt(files, "model_id"))).select("model_id", "left_relation", "left_key", "right_relation", "right_key")
 
 
 @query("hidden_join_keys", "d_key_files", sql="SELECT model_id FROM {d_key_files} WHERE template IN (3, 12, 13, 17)")
