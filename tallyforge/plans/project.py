@@ -102,7 +102,7 @@ def _keyed(names):
 @query("fan_out_joins", "d_key_files", "d_unique_keys", sql=f"""SELECT model_id, 'R038' AS rule, CASE WHEN template = 0 THEN 'lines_' || k ELSE r END AS joined, CASE WHEN template = 0 THEN 'day' ELSE missing END AS missing
 FROM {{d_key_files}} JOIN {_values([(0, 'lines', 'day'), (3, 'u', 'id,day'), (4, 'u', 'id,day'), (5, 'u', 'id,day'), (6, 'u', 'id'), (7, 'u', 'id,day'), (8, 'u', 'id,day'), (9, 'u', 'id,day'), (10, 'u', 'id,day'), (11, 'u', 'id'), (12, 'u', 'id,day'), (13, 'u', 'day'), (14, 'u', 'id,day'), (16, 'u', 'day'), (17, 'u', 'id,day')], 'template, r, missing')} v USING (template) WHERE template <> 0 OR k % 3 = 1""")
 def _(files, names):
-    found = joins.fan_out(rules.features(files), _keyed(names))
+    found = joins.fan_out(rules.features(dealt(files, "model_id")), _keyed(names))
     return found.select("model_id", "rule", "joined", F.concat_ws(",", "missing").alias("missing"))
 
 
