@@ -133,9 +133,16 @@ def _is_python() -> Column:
     return F.lower("path").endswith(".py")
 
 
-def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(model_id, path, rule, severity) and the columns in `keep` of all rules that a file meets, less what it suppresses itself."""
-    held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), _grade(s).alias("severity"))) for r, (s, c, _) in sorted(conditions(platform).items())]
+def _judged(platform: str, only: tuple[str, ...] | None) -> list[tuple[str, tuple[str | Column, Column, str]]]:
+    return [(r, c) for r, c in sorted(conditions(platform).items()) if only is None or r in only]
+
+
+def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
+    """(model_id, path, rule, severity) and the columns in `keep` of all rules that a file meets, less what it suppresses itself.
+
+    only: the rules to judge, where not all; features that they do not need are not computed then.
+    """
+    held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), _grade(s).alias("severity"))) for r, (s, c, _) in _judged(platform, only)]
     off = F.regexp_extract_all("text", F.lit(r"disable-file=\s*(R[0-9]{3})"), F.lit(1))
     out = rows.withColumn("_off", off).withColumn("f", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
     return out.where(~F.array_contains("_off", F.col("f.rule"))).select("model_id", "path", "f.rule", "f.severity", *keep)

@@ -92,7 +92,7 @@ def _(files):
 
 @query("hidden_join_keys", "d_key_files", sql="SELECT model_id FROM {d_key_files} WHERE template IN (3, 12, 13, 17)")
 def _(files):
-    return rules.findings(rules.features(files)).where("rule = 'R017'").select("model_id")
+    return rules.findings(rules.features(dealt(files, "model_id")), only=("R017",)).select("model_id")
 
 
 def _keyed(names):

@@ -12,7 +12,7 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["join_keys", "fan_out_joins"])
+@pytest.mark.parametrize("name", ["join_keys", "fan_out_joins", "hidden_join_keys"])
 def test_texts_are_dealt(spark, name):
     df = QUERIES[name](spark, SF)
     below = _plan(df).split("RepartitionByExpression")
