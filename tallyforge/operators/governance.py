@@ -52,10 +52,17 @@ def waived(findings: DataFrame, waivers: DataFrame) -> DataFrame:
     return hits.groupBy("side", "finding_id").agg(F.min("waiver").alias("waiver"))
 
 
+def _matching(files: DataFrame, listed: DataFrame, *fields: str) -> tuple[DataFrame, Column]:
+    """files beside all of a short list, and the `fields` of those in the list whose LIKE pattern matches the path."""
+    rows = files.crossJoin(F.broadcast(listed.agg(F.collect_list(F.struct("pattern", *fields)).alias("_listed"))))
+    found = F.filter("_listed", lambda x: F.like(F.col("path"), x["pattern"]))
+    return rows, F.transform(found, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+
 def owned(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, owner) by the last ownership rule that matches."""
-    r = F.broadcast(rules)
-    return files.join(r, F.like(files["path"], r["pattern"]), "left").groupBy("path").agg(F.max_by("owner", "ord").alias("owner"))
+    """(path, owner) by the last ownership rule that matches. Rules are few: a path looks at all of them in its row, so no row is made for a match."""
+    rows, found = _matching(files.select("path"), rules.where("ord is not null"), "ord", "owner")
+    return rows.select("path", F.array_max(found)["owner"].alias("owner")).distinct()
 
 
 def with_overrides(findings: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -94,8 +101,8 @@ def predicate(spec: dict) -> Column:
 
 def scoped(files: DataFrame, scopes: DataFrame) -> DataFrame:
     """(path, scope): of the matching policy scopes the most specific, then the one of the highest priority, then by name."""
-    s = F.broadcast(scopes)
-    return files.join(s, F.like(files["path"], s["pattern"])).groupBy("path").agg(F.max_by("scope", F.struct(F.length("pattern"), "priority", "scope")).alias("scope"))
+    rows, found = _matching(files.select("path"), scopes.withColumn("_length", F.length("pattern")), "_length", "priority", "scope")
+    return rows.select("path", F.explode(F.slice(F.sort_array(found, False), 1, 1)).alias("s")).select("path", "s.scope").distinct()
 
 
 def completeness(counts: DataFrame, limits: dict[str, int]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import lognormal as ln
 from tallyforge.functions import sqltext as st
 from tallyforge.operators import costs, evaluation, governance, lineage, rules
+from tallyforge.plans.derive import dealt
 from tallyforge.plans.registered import query, r4, recursive
 
 # ---- costs
@@ -312,7 +313,7 @@ def _(models, owner_rules):
 
 @query("owner_summary", "d_models", "d_owner_rules", sql="WITH o AS (SELECT m.path, arg_max(r.owner, r.ord) AS owner FROM {d_models} m LEFT JOIN {d_owner_rules} r ON m.path LIKE r.pattern GROUP BY m.path) SELECT coalesce(owner, 'unowned') AS owner, count(*) AS n FROM o GROUP BY 1")
 def _(models, owner_rules):
-    return governance.owned(models, owner_rules).groupBy(F.coalesce("owner", F.lit("unowned")).alias("owner")).agg(F.count("*").alias("n"))
+    return governance.owned(dealt(models.select("path"), "path"), owner_rules).groupBy(F.coalesce("owner", F.lit("unowned")).alias("owner")).agg(F.count("*").alias("n"))
 
 
 @query("severity_overrides", "d_findings", "part", sql="""WITH o AS (SELECT DISTINCT 'R' || lpad(cast(p_partkey % 44 + 1 AS varchar), 3, '0') AS rule, p_partkey % 44 % 5 <> 0 AS enabled, CASE WHEN p_partkey % 44 % 3 = 0 THEN 1 END AS ns FROM part)

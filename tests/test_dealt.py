@@ -18,3 +18,19 @@ def test_texts_are_dealt(spark, name):
     below = _plan(df).split("RepartitionByExpression")
     assert len(below) > 1
     assert "zip_with" not in below[-1] and "regexp_extract_all" not in below[-1]  # nothing is judged before rows are dealt
+
+
+def _owners(spark):
+    files = spark.createDataFrame([("a/x.sql",), ("a/x.sql",), ("b/y.sql",), ("c",), (None,)], "path string")
+    rules = spark.createDataFrame([(1, "a/%", "@a"), (2, "%.sql", "@sql"), (3, "b/%", None), (None, "%", "@never"), (4, None, "@none")], "ord int, pattern string, owner string")
+    return governance.owned(files, rules)
+
+
+def test_the_last_matching_rule_owns(spark):
+    assert {r.path: r.owner for r in _owners(spark).collect()} == {"a/x.sql": "@sql", "b/y.sql": None, "c": None, None: None}
+    assert _owners(spark).count() == 4
+
+
+def test_no_row_is_made_for_a_match(spark):
+    plan = _owners(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "max_by" not in plan
