@@ -308,7 +308,7 @@ def _(found, waivers):
 
 @query("owners", "d_models", "d_owner_rules", sql="SELECT m.path, arg_max(r.owner, r.ord) AS owner FROM {d_models} m LEFT JOIN {d_owner_rules} r ON m.path LIKE r.pattern GROUP BY m.path")
 def _(models, owner_rules):
-    return governance.owned(models, owner_rules)
+    return governance.owned(dealt(models.select("path"), "path"), owner_rules)
 
 
 @query("owner_summary", "d_models", "d_owner_rules", sql="WITH o AS (SELECT m.path, arg_max(r.owner, r.ord) AS owner FROM {d_models} m LEFT JOIN {d_owner_rules} r ON m.path LIKE r.pattern GROUP BY m.path) SELECT coalesce(owner, 'unowned') AS owner, count(*) AS n FROM o GROUP BY 1")
