@@ -42,7 +42,7 @@ def _(files):
 
 @query("more_rule_findings_trino", "d_more_files", sql=_more_sql(TRUTH_TRINO))
 def _(files):
-    return rules.findings(rules.features(files), "trino").select("model_id", "rule")
+    return rules.findings(rules.features(dealt(files, "model_id")), "trino").select("model_id", "rule")
 
 
 #: How each located finding begins in the lower-case text, by rule; rules that are not here concern whole files.
