@@ -37,7 +37,7 @@ _more_sql = lambda truth: f"SELECT model_id, rule FROM {{d_more_files}} JOIN {_v
 
 @query("more_rule_findings", "d_more_files", sql=_more_sql(TRUTH))
 def _(files):
-    return rules.findings(rules.features(files), "snowflake").select("model_id", "rule")
+    return rules.findings(rules.features(dealt(files, "model_id")), "snowflake").select("model_id", "rule")
 
 
 @query("more_rule_findings_trino", "d_more_files", sql=_more_sql(TRUTH_TRINO))
