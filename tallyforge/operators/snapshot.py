@@ -39,9 +39,15 @@ def assembled(files: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def judged(snapshot: DataFrame, platform: str = "generic") -> DataFrame:
-    """The located findings of a snapshot in one pass over all sides, with `severity_rank` and the columns in KEEP; written, since many look at them."""
+    """The located findings of a snapshot in one pass over all sides, with `severity_rank` and the columns in KEEP; written, since many look at them.
+
+    A file that sides have alike, path and settings too, is judged once for all of them.
+    """
     rank = F.create_map(*[F.lit(x) for x in chain(*SEVERITY_RANK.items())])
-    return written(rules.located(rules.features(snapshot), platform, KEEP).withColumn("severity_rank", rank[F.col("severity")]), "judged")
+    alike = snapshot.groupBy(*[c for c in snapshot.columns if c != "side"]).agg(F.collect_list("side").alias("sides"))
+    found = rules.located(rules.features(alike), platform, ("sides", *[c for c in KEEP if c != "side"]))
+    found = found.select(*[c for c in found.columns if c not in ("sides", *KEEP)], F.explode("sides").alias("side"), *[c for c in KEEP if c != "side"])
+    return written(found.withColumn("severity_rank", rank[F.col("severity")]), "judged")
 
 
 def targets_only(found: DataFrame) -> DataFrame:

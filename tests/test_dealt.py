@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyforge.operators import governance
+from tallyforge.operators import governance, snapshot
 from tallyforge.plans.project import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,12 @@ def test_the_last_matching_rule_owns(spark):
 def test_no_row_is_made_for_a_match(spark):
     plan = _owners(spark)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "max_by" not in plan
+
+
+def test_what_sides_have_alike_is_judged_once(spark, monkeypatch):
+    rows, judge = [], snapshot.rules.features
+    monkeypatch.setattr(snapshot.rules, "features", lambda files: rows.append(files.count()) or judge(files))
+    files = [("m.sql", "select * from t", s, True, "m", "raw") for s in ("base", "head")] + [("n.sql", t, s, True, "n", "raw") for s, t in (("base", "select 1"), ("head", "select 1 union select 2"))]
+    found = snapshot.judged(spark.createDataFrame(files, "path string, text string, side string, is_target boolean, model_id string, input string"))
+    assert rows == [3]
+    assert sorted((r.path, r.side, r.rule) for r in found.where("path = 'n.sql'").collect()) == [("n.sql", "head", "R018")]
