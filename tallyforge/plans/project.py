@@ -495,7 +495,7 @@ def _settings(part):
     schema = text("models:\n  - name: m", n, "\n    config: {materialized: table, unique_key: [a, b", n, "]}\n    columns: [{name: id}, {name: c", n, "}]\n  - tags: x\nsources:\n  - name: s", n, "\n    tables: [{name: t1}, {name: t2}]\nexposures:\n  - name: e", n, "\n    depends_on: [r.m", n, "]\n    owner: {email: o@x}\n")
     project = text("name: p", n, "\nmodels:\n  p", n, ":\n    +materialized: view\n    marts:\n      +materialized: table\n      core: {partition_by: {field: day}}\n    staging: {}\n")
     body = F.when(k % 4 == 0, schema).when(k % 4 == 1, project).when(k % 4 == 2, text("models: [", n)).otherwise(text("a:\n  b: ", n))
-    return settings.settings_of(part.select(F.concat(F.lit("p"), n, F.when(k % 4 == 1, "/dbt_project.yml").otherwise("/schema.yml")).alias("path"), body.alias("text")))
+    return settings.settings_of(dealt(part, "p_partkey").select(F.concat(F.lit("p"), n, F.when(k % 4 == 1, "/dbt_project.yml").otherwise("/schema.yml")).alias("path"), body.alias("text")))
 
 
 @query("settings_entities", "part", sql="""WITH k AS (SELECT CAST(p_partkey AS varchar) AS n, p_partkey % 4 AS d FROM part) SELECT 'p' || n || '/schema.yml' AS path, 'model' AS entity, 'm' || n AS name, 'table' AS materialized, 'a,b' || n AS unique_key, 'id,c' || n AS items, '' AS owners FROM k WHERE d = 0
