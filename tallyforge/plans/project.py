@@ -656,7 +656,8 @@ def _(models, obs, history, catalogs):
 @query("inline_settings", "d_more_files", sql="""SELECT model_id, 'incremental' AS materialized, CASE WHEN template IN (12, 13, 15, 20, 21, 22, 23, 24) THEN 'id' END AS unique_key, CASE template WHEN 12 THEN 'merge' WHEN 13 THEN 'merge' WHEN 14 THEN 'append' END AS incremental_strategy,
 CASE WHEN template = 13 THEN 'x' END AS incremental_predicates, CASE WHEN template = 15 THEN 'sync_all_columns' END AS on_schema_change FROM {d_more_files} WHERE template IN (12, 13, 14, 15, 20, 21, 22, 23, 24)""")
 def _(files):
-    found = files.select("model_id", tx.config_values(F.col("text")).alias("c")).where("c['materialized'] is not null")
+    set_ = F.filter(F.array(tx.config_values(F.col("text"))), lambda c: c["materialized"].isNotNull())  # a filter on the column would read the settings twice
+    found = dealt(files, "model_id").select("model_id", F.explode(set_).alias("c"))
     return found.select("model_id", *[F.col("c")[k].alias(k) for k in ("materialized", "unique_key", "incremental_strategy", "incremental_predicates", "on_schema_change")])
 
 
