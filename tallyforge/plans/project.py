@@ -76,8 +76,8 @@ def _(files, models):
 
 @query("places_behind_templates", "d_more_files", sql=f"SELECT model_id, rule, line, col FROM {{d_more_files}} JOIN {_values([(39, 'R012', 4, 3), (20, 'R019', 1, 88), (36, 'R030', 1, None), (33, 'R030', 1, 14)], 'template, rule, line, c')} v USING (template), LATERAL (SELECT coalesce(c, 40 + len(cast(k AS varchar))) AS col)")
 def _(files):
-    places = rules.located(rules.features(files.where("template in (39, 20, 36, 33)")), "snowflake")
-    return places.where("rule in ('R012', 'R019', 'R030')").select("model_id", "rule", "line", "col")
+    places = rules.located(rules.features(dealt(files.where("template in (39, 20, 36, 33)"), "model_id")), "snowflake", only=("R012", "R019", "R030"))
+    return places.select("model_id", "rule", "line", "col")
 
 
 # ---- joins
