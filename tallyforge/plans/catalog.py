@@ -189,9 +189,9 @@ def _features_sql() -> str:
 
 
 def _feature_rows(files, models):
-    """Feature rows, dealt over all cores first: the derived texts come from one small file, and judging them is work, not input."""
+    """Feature rows, dealt first."""
     rows = files.join(models.select("model_id", "materialized", "unique_key", "partition_by", "cluster_by"), "model_id")
-    return rules.features(rows.repartition(files.sparkSession.sparkContext.defaultParallelism))
+    return rules.features(dealt(rows, "model_id", files))
 
 
 _COUNTED = [f"n_{n}" for n in (*st.PATTERNS, *st.LITERAL_PATTERNS)]

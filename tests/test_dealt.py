@@ -12,7 +12,7 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["join_keys", "fan_out_joins", "hidden_join_keys", "owners", "owner_summary", "more_rule_findings_trino", "more_rule_findings", "folder_inheritance", "settings_findings", "settings_entities", "inline_settings", "places_behind_templates"])
+@pytest.mark.parametrize("name", ["join_keys", "fan_out_joins", "hidden_join_keys", "owners", "owner_summary", "more_rule_findings_trino", "more_rule_findings", "folder_inheritance", "settings_findings", "settings_entities", "inline_settings", "places_behind_templates", "finding_ids", "located_findings"])
 def test_texts_are_dealt(spark, name):
     df = QUERIES[name](spark, SF)
     below = _plan(df).split("RepartitionByExpression")
