@@ -144,8 +144,8 @@ def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] =
     """
     held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), _grade(s).alias("severity"))) for r, (s, c, _) in _judged(platform, only)]
     off = F.regexp_extract_all("text", F.lit(r"disable-file=\s*(R[0-9]{3})"), F.lit(1))
-    out = rows.withColumn("_off", off).withColumn("f", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull())))
-    return out.where(~F.array_contains("_off", F.col("f.rule"))).select("model_id", "path", "f.rule", "f.severity", *keep)
+    out = rows.withColumn("_off", off).withColumn("f", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull() & ~F.array_contains("_off", x["rule"]))))
+    return out.select("model_id", "path", "f.rule", "f.severity", *keep)
 
 
 #: What a rule's finding points at: the pattern of each occurrence. Rules that are not here concern a file as a whole.
