@@ -34,10 +34,20 @@ BUCKETS = "minute hour hr day date week month block_time evt_block_time block_da
 WRAPPED = "wrapped_equality"
 
 
+def cut(text: Column) -> Column:
+    """The pieces of a text without comments between its templates, from which shape and breaks come."""
+    return templates.pieces(tx.blanked(text, False), named=True)
+
+
+def shaped(plain: Column) -> Column:
+    """A joined text in lower case, literals blanked."""
+    return F.lower(tx.blanked(plain))
+
+
 def shape(text: Column) -> Column:
     """struct<text, breaks>: the text in lower case without comments, literals and templates; ref() and source() by name."""
-    plain = templates.stripped(tx.blanked(text, False), named=True)
-    return F.struct(F.lower(tx.blanked(plain["text"])).alias("text"), plain["breaks"].alias("breaks"))
+    pieces = cut(text)
+    return F.struct(shaped(templates.joined(pieces)).alias("text"), templates.breaks(pieces).alias("breaks"))
 
 
 def scopes(shaped: Column) -> Column:
@@ -49,7 +59,8 @@ def scopes(shaped: Column) -> Column:
         return F.when(s["text"].rlike(r"\(\s*(?:select|with)\b"), F.struct(flat.alias("text"), F.concat(tx.spans(s["text"], INNERMOST), s["inner"]).alias("inner"))).otherwise(s)
 
     whole = lambda s: F.concat(F.array(F.struct(F.lit(0).alias("start"), s["text"].alias("found"))), s["inner"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, step, whole)
+    nests = shaped.rlike(r"\(\s*(?:select|with)\b")
+    return F.when(nests, F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, step, whole)).otherwise(whole(start))
 
 
 def _bare(name: Column) -> Column:

@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: How comments begin.
+COMMENTS = ("--", "/*", "{#")
+
+
 def without_comments(text: Column) -> Column:
     """Line, block and template comments removed; text inside single quotes stays."""
-    return F.regexp_replace(text, r"('(?:[^']|'')*')|--[^\n]*|/\*(?s:.*?)\*/|\{#(?s:.*?)#\}", "$1")
+    bare = F.regexp_replace(text, r"('(?:[^']|'')*')|--[^\n]*|/\*(?s:.*?)\*/|\{#(?s:.*?)#\}", "$1")
+    return F.when(text.contains(COMMENTS[0]) | text.contains(COMMENTS[1]) | text.contains(COMMENTS[2]), bare).otherwise(text)
 
 
 def masked(text: Column) -> Column:

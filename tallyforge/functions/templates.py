@@ -20,14 +20,22 @@ def _instead(found: Column, named: bool) -> Column:
     return F.when(relation.isNotNull(), F.concat(F.lit(" "), relation, F.lit(" "))).otherwise(other) if named else other
 
 
-def stripped(text: Column, named: bool = False) -> Column:
-    """struct<text, breaks>: the text with blocks as one blank and expressions as a placeholder, and where its pieces come from.
+def pieces(text: Column, named: bool = False) -> Column:
+    """array<struct<plain, own, instead>>: what stands before each template, the template, and what replaces it.
 
-    named: ref() and source() become the name of their relation. breaks: for each piece its first offset here and in the
-    source, and its last offset in the source; offsets of a placeholder all lie in its template. Null text: null members.
+    named: ref() and source() become the name of their relation.
     """
     parts, found = F.split(text, TEMPLATE, -1), F.regexp_extract_all(text, F.lit(TEMPLATE), F.lit(0))
-    pieces = F.zip_with(parts, found, lambda a, b: F.struct(a.alias("plain"), F.coalesce(b, F.lit("")).alias("own"), F.when(b.isNull(), F.lit("")).otherwise(_instead(b, named)).alias("instead")))
+    return F.zip_with(parts, found, lambda a, b: F.struct(a.alias("plain"), F.coalesce(b, F.lit("")).alias("own"), F.when(b.isNull(), F.lit("")).otherwise(_instead(b, named)).alias("instead")))
+
+
+def joined(cut: Column) -> Column:
+    """The text of `pieces`, templates replaced."""
+    return F.array_join(F.transform(cut, lambda x: F.concat(x["plain"], x["instead"])), "")
+
+
+def breaks(cut: Column) -> Column:
+    """For each of `pieces` its first offset in the joined text and in the source, and its last offset in the source."""
 
     def step(s: Column, x: Column) -> Column:
         plain, own, put = F.length(x["plain"]), F.length(x["own"]), F.length(x["instead"])
@@ -36,8 +44,16 @@ def stripped(text: Column, named: bool = False) -> Column:
         return F.struct((at + put).alias("at"), (source + own).alias("source"), F.concat(s["breaks"], F.filter(new, lambda b: b["last"] >= b["source"])).alias("breaks"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("source"), F.array().cast(_BREAKS).alias("breaks"))
-    breaks = F.aggregate(pieces, start, step, lambda s: s["breaks"])
-    return F.struct(F.array_join(F.transform(pieces, lambda x: F.concat(x["plain"], x["instead"])), "").alias("text"), breaks.alias("breaks"))
+    return F.aggregate(cut, start, step, lambda s: s["breaks"])
+
+
+def stripped(text: Column, named: bool = False) -> Column:
+    """struct<text, breaks>: the text with blocks as one blank and expressions as a placeholder, and where its pieces come from.
+
+    Offsets of a placeholder all lie in its template. Null text: null members.
+    """
+    cut = pieces(text, named)
+    return F.struct(joined(cut).alias("text"), breaks(cut).alias("breaks"))
 
 
 def source_offset(breaks: Column, at: Column) -> Column:

@@ -8,10 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions import lognormal as ln
+from tallyforge.functions import sqltext as st
 
 _QUIET = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/|\{#(?s:.*?)#\}"
 
 
+def unless(text: Column, needed: tuple[str, ...], worked: Column, plain: Column) -> Column:
+    """worked where text holds one of the strings that its pattern needs, else `plain`; null for null. A search for a fixed string costs little."""
+    held = F.lit(False)
+    for n in needed:
+        held = held | text.contains(n)
+    return F.when(held, worked).when(text.isNotNull(), plain)
+
+
 def replaced(text: Column, pattern: str, instead) -> Column:
     """text with each match replaced by instead(match)."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -22,7 +31,8 @@ def blanked(text: Column, literals: bool = True) -> Column:
     """Comments, and what is inside single quotes with `literals`, as blanks: every other character keeps its offset and line."""
     blank = lambda t: F.regexp_replace(t, r"[^\n]", " ")
     quoted = lambda t: F.concat(F.lit("'"), blank(F.substring(t, F.lit(2), F.length(t) - 2)), F.lit("'"))
-    return replaced(text, _QUIET, lambda t: F.when(t.startswith("'"), quoted(t) if literals else t).otherwise(blank(t)))
+    blanks = replaced(text, _QUIET, lambda t: F.when(t.startswith("'"), quoted(t) if literals else t).otherwise(blank(t)))
+    return unless(text, (*st.COMMENTS, "'") if literals else st.COMMENTS, blanks, text)
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -128,7 +138,7 @@ def alternatives(text: Column, columns: list[str]) -> Column:
     filters = spans(text, r"\bwhere\b(?s:.*?)(?=\b(?:group\s+by|order\s+by|having|qualify|limit|union|where)\b|;|$)")
     filters = F.filter(filters, lambda f: f["found"].rlike(r"\bor\b"))
     named = rf"(?:^|[^a-z0-9])_?(?:{'|'.join(c.lstrip('_') for c in columns)})\b"
-    return F.filter(filters, lambda f: F.size(F.filter(F.split(f["found"], r"\bor\b"), lambda part: part.rlike(named))) > 1)
+    return unless(text, ("where",), F.filter(filters, lambda f: F.size(F.filter(F.split(f["found"], r"\bor\b"), lambda part: part.rlike(named))) > 1), no_spans())
 
 
 def json_keys(text: Column) -> Column:
@@ -205,7 +215,7 @@ def unbounded_joins(masked: Column) -> Column:
         before, predicate = F.get(parts, i - 1), F.element_at(F.split(part, r"\b(?:where|group\s+by|order\s+by|having|union|qualify|limit)\b", 2), 1)
         return (i > 0) & ~before.rlike(r"\b(?:cross|natural|lateral)\s*$") & ~predicate.rlike(r"\busing\s*\(|^\s*(?:lateral|unnest|flatten|table)\b") & ~has_equality(predicate)
 
-    return F.size(F.filter(parts, open_))
+    return unless(masked, ("join",), F.size(F.filter(parts, open_)), F.lit(0))
 
 
 def cte_reuse(masked: Column) -> Column:

@@ -38,13 +38,13 @@ def sibling_runs(models: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def volumes(models: DataFrame, observed: DataFrame, history: DataFrame, catalog: DataFrame, siblings: DataFrame | None = None, warehouse: str = "generic", overrides: DataFrame | None = None) -> DataFrame:
-    """(model_id, basis, grade, bytes, runs, cv, discount): observations, query history, catalog bytes, catalog rows, prior.
+    """(model_id, basis, grade, bytes, runs, cv, discount, monthly_usd): observations, query history, catalog bytes, catalog rows, prior.
 
     What was not measured is scaled by what partitions, clusters and being a view leave of a scan, and by the discount of
     incremental models; runs that were not measured are an override (model_id, runs_override), else the siblings' median,
-    else the default. discount: what the incremental discount left, 1 where it does not apply.
+    else the default. discount: what the incremental discount left, 1 where it does not apply. monthly_usd: as observed.
     """
-    rows = models.join(observed.select("model_id", "monthly_executions", "monthly_bytes"), "model_id", "left").join(history, "model_id", "left").join(catalog, "model_id", "left")
+    rows = models.join(observed.select("model_id", "monthly_executions", "monthly_bytes", "monthly_usd"), "model_id", "left").join(history, "model_id", "left").join(catalog, "model_id", "left")
     for c, kind in (("partition_by", "string"), ("cluster_by", "string"), ("materialized", "string"), ("unique_key", "string"), ("full_refresh", "boolean")):
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
     seen = F.col("monthly_bytes").isNotNull()
@@ -66,14 +66,19 @@ def volumes(models: DataFrame, observed: DataFrame, history: DataFrame, catalog:
         F.when(seen, F.greatest("monthly_executions", F.lit(1.0))).when(past, F.col("runs_per_month")).otherwise(runs_default).alias("runs"),
         F.when(seen, 0.1).when(past, 0.2).when(size, 0.25).when(count, 0.35).otherwise(0.8).alias("cv"),
         discount.alias("discount"),
+        "monthly_usd",
     )
 
 
-def cost_index(volume: DataFrame, observed: DataFrame, price: float = PRICE_PER_BYTE) -> DataFrame:
-    """Per model the monthly cost as an estimate: observed USD, else scan volume times the price of a byte."""
+def cost_index(volume: DataFrame, observed: DataFrame | None = None, price: float = PRICE_PER_BYTE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per model the monthly cost as an estimate: observed USD, else scan volume times the price of a byte.
+
+    observed: where its monthly_usd counts instead of the volume's own, which spares a second aggregation of the
+    observations. keep: further columns of volume.
+    """
     scan = ln.times(ln.times(F.struct(F.ln("bytes").alias("mu"), F.sqrt(F.log1p(F.col("cv") * F.col("cv"))).alias("sigma")), ln.from_point(F.col("runs"), 0.1)), ln.from_point(F.lit(price), 0.05))
-    rows = volume.join(observed.select("model_id", "monthly_usd"), "model_id", "left")
-    return rows.select("model_id", "grade", F.when(F.col("monthly_usd") > 0, ln.from_point(F.col("monthly_usd"), 0.1)).otherwise(scan).alias("cost"), (F.col("monthly_usd") > 0).alias("is_observed"))
+    rows = volume if observed is None else volume.drop("monthly_usd").join(observed.select("model_id", "monthly_usd"), "model_id", "left")
+    return rows.select("model_id", "grade", F.when(F.col("monthly_usd") > 0, ln.from_point(F.col("monthly_usd"), 0.1)).otherwise(scan).alias("cost"), (F.col("monthly_usd") > 0).alias("is_observed"), *keep)
 
 
 def top_models(costs: DataFrame, n: int = 5) -> DataFrame:

@@ -54,13 +54,16 @@ def features(files: DataFrame) -> DataFrame:
     else the text, has a bound; loose_sources: sources read without one; json_repeats, normal_repeats: equal calls at most.
     """
     masked, bare, text = F.col("_masked"), F.col("_bare"), F.col("text")
-    rows = files.withColumns({n: F.lit(None).cast("string") for n in SETTINGS if n not in files.columns} | {"_masked": st.masked(text), "_bare": F.lower(st.without_comments(text)), "shaped": jn.shape(text), "_block": F.trim(tx.incremental_block(F.lower(text)))})
+    rows = files.withColumns({n: F.lit(None).cast("string") for n in SETTINGS if n not in files.columns} | {"_masked": st.masked(text), "_bare": F.lower(st.without_comments(text)), "_cut": jn.cut(text), "_block": F.trim(tx.incremental_block(F.lower(text)))})
+    rows = rows.withColumns({"_plain": tp.joined(F.col("_cut")), "_breaks": tp.breaks(F.col("_cut"))})  # columns of their own: who needs no places computes no breaks
+    rows = rows.withColumn("_shaped", jn.shaped(F.col("_plain")))
     counts = {f"n_{n}": st.count(masked, p) for n, p in (st.PATTERNS | MORE_PATTERNS).items()} | {f"n_{n}": st.count(bare, p) for n, p in (st.LITERAL_PATTERNS | MORE_LITERAL_PATTERNS).items()}
     counts |= {"n_open_join": tx.unbounded_joins(masked), "cte_reuse": tx.cte_reuse(masked), "n_catalog": F.size(tx.catalogs(masked)), "json_repeats": tx.most_equal(tx.json_keys(bare)), "normal_repeats": tx.most_equal(tx.normalizations(masked))}
-    shape = {"_scopes": jn.scopes(F.col("shaped.text")), "sliced": tx.alternatives(F.col("shaped.text"), st.BOUND_COLUMNS), "bounded": st.is_bounded(text), "block_bounded": st.is_bounded(F.when(F.col("_block") == "", text).otherwise(F.col("_block")))}
+    shape = {"_scopes": jn.scopes(F.col("_shaped")), "sliced": tx.alternatives(F.col("_shaped"), st.BOUND_COLUMNS), "bounded": st.is_bounded(text)}
     loose = F.when(F.lower(text).contains("is_incremental"), tx.loose_sources(F.lower(text), [*st.BOUND_COLUMNS, *st.BOUND_PHRASES])).otherwise(tx.no_spans())
     rows = rows.withColumns(counts | shape | {"loose_sources": loose})
-    return rows.withColumns({"joins": jn.joins(F.col("_scopes")), "nested": jn.correlated(F.col("_scopes"))}).drop("_masked", "_bare", "_scopes", "_block")
+    shape = {"shaped": F.struct(F.col("_shaped").alias("text"), F.col("_breaks").alias("breaks")), "block_bounded": F.when(F.col("_block") == "", F.col("bounded")).otherwise(st.is_bounded(F.col("_block")))}
+    return rows.withColumns(shape | {"joins": jn.joins(F.col("_scopes")), "nested": jn.correlated(F.col("_scopes"))}).drop("_masked", "_bare", "_cut", "_plain", "_breaks", "_shaped", "_scopes", "_block")
 
 
 def _n(name: str) -> Column:
@@ -144,7 +147,7 @@ def findings(rows: DataFrame, platform: str = "generic", keep: tuple[str, ...] =
     """
     held = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), _grade(s).alias("severity"))) for r, (s, c, _) in _judged(platform, only)]
     off = F.regexp_extract_all("text", F.lit(r"disable-file=\s*(R[0-9]{3})"), F.lit(1))
-    out = rows.withColumn("_off", off).withColumn("f", F.explode(F.filter(F.array(*held), lambda x: x.isNotNull() & ~F.array_contains("_off", x["rule"]))))
+    out = rows.withColumns({"_off": off, "_held": F.array(*held)}).withColumn("f", F.explode(F.filter("_held", lambda x: x.isNotNull() & ~F.array_contains("_off", x["rule"]))))
     return out.select("model_id", "path", "f.rule", "f.severity", *keep)
 
 

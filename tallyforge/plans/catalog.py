@@ -54,7 +54,7 @@ def _(models, obs):
 
 def _costs(models, obs, history, catalog):
     seen = costs.observe_monthly(obs)
-    return costs.cost_index(costs.volumes(models, seen, history, catalog, warehouse="bigquery"), seen)
+    return costs.cost_index(costs.volumes(models, seen, history, catalog, warehouse="bigquery"))
 
 
 @query("model_cost_index", "d_models", "d_obs", "d_history", "d_catalog", sql=f"WITH {OBS}, {VOLUME}, {COST} SELECT model_id, grade, round(exp(mu), 4) AS p50, round(exp(mu + sigma * 1.2815515655446004), 4) AS p90 FROM cost")

@@ -186,7 +186,7 @@ _SAVING_INPUTS = ("d_files", "d_models", "d_obs", "d_history", "d_catalog", "d_e
 def _savings(files, models, obs, history, catalogs, edges, exposures):
     seen = cost_ops.observe_monthly(obs)
     volume = cost_ops.volumes(models, seen, history, catalogs, warehouse="bigquery")
-    price = cost_ops.cost_index(volume, seen).select("model_id", "cost", "is_observed").join(volume.select("model_id", (F.col("bytes") * F.col("runs")).alias("scan_bytes"), "discount"), "model_id")
+    price = cost_ops.cost_index(volume, keep=("bytes", "runs", "discount")).withColumn("scan_bytes", F.col("bytes") * F.col("runs")).drop("bytes", "runs", "grade")
     own = rules.findings(catalog._feature_rows(files, models), "bigquery", ("n_cross_join", "n_join", "n_select_star", "n_window", "cte_reuse"))
     found = own.select("model_id", "path", "rule", "severity", attribution.structure_factor(F.col("rule")).alias("structure"))
     below = lineage.downstream_counts(edges, 15).select(F.concat(F.lit("m"), F.col("seed").cast("string")).alias("model_id"), F.col("n").alias("downstream"))
