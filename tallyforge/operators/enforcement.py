@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.globs import glob
 from tallyforge.operators.attribution import INFRASTRUCTURE
+from tallyforge.operators.lineage import reached_by
 
 
 def _covers(rule: dict) -> Column:
@@ -88,11 +89,12 @@ def _in_gate(gate: dict) -> Column:
     return out
 
 
-def gates(findings: DataFrame, models: DataFrame, reach: DataFrame, rules: list[dict], net_usd: float | None = None, only_new: bool = False) -> DataFrame:
+def gates(findings: DataFrame, models: DataFrame, reach: DataFrame | None, rules: list[dict], net_usd: float | None = None, only_new: bool = False, edges: DataFrame | None = None) -> DataFrame:
     """(gate, status, matched, reasons): each gate over findings, changed models and what lies below them.
 
     findings: path, tags, owners, rule, severity and confidence (ranks), savings_usd, gb_months, excepted, blocks. models:
-    path, tags, owners, model_id. reach: (seed, node). A gate has name, mode (fail or warn) and any of paths, tags, owners,
+    path, tags, owners, model_id. reach: (seed, node), or None and edges (parent, child): then what lies below a gate's models
+    is followed as one set, and only for gates that ask for it. A gate has name, mode (fail or warn) and any of paths, tags, owners,
     fail_on, min_confidence, monthly_usd, monthly_gb, pr_increase, blast_radius, require_owner. One pass over findings and one over
     models with partial aggregates; distinct nodes are counted by gate, without a set in any task.
     """
@@ -110,8 +112,13 @@ def gates(findings: DataFrame, models: DataFrame, reach: DataFrame, rules: list[
     flagged = live if "in_change" in live.columns else live.withColumn("in_change", F.lit(False))
     found = flagged.join(changed, "path", "left").agg(*sums)
     bare = models.agg(*[F.count_if(_in_gate(g) & unowned).alias(f"m{i}") for i, g in enumerate(rules)])
-    hit = F.filter(F.array(*[F.when(_in_gate(g), F.lit(i)) for i, g in enumerate(rules)]), lambda x: x.isNotNull())
-    wide = models.select("model_id", F.explode(hit).alias("i")).join(reach, F.col("model_id") == F.col("seed")).select("i", "node").distinct().groupBy("i").agg(F.count("*").alias("below"))
+    hit = F.filter(F.array(*[F.when(_in_gate(g), F.lit(i)) for i, g in enumerate(rules) if g.get("blast_radius") is not None]).cast("array<int>"), lambda x: x.isNotNull())
+    asked = models.select("model_id", F.explode(hit).alias("i"))
+    if reach is None:
+        wide = reached_by(edges, asked.select("i", F.col("model_id").alias("node")))
+    else:
+        wide = asked.join(reach, F.col("model_id") == F.col("seed")).select("i", "node").distinct()
+    wide = wide.groupBy("i").agg(F.count("*").alias("below"))
     line = lambda i, g: F.struct(F.lit(i).alias("i"), *[F.col(f"{c}{i}").alias(c) for c in "nsugom"])
     rows = found.join(F.broadcast(bare), F.lit(True)).select(F.inline(F.array(*[line(i, g) for i, g in enumerate(rules)])))  # one row by one row
     rows = rows.join(wide, "i", "left").withColumn("below", F.coalesce("below", F.lit(0)))

@@ -37,6 +37,33 @@ def spread(first: DataFrame, step: DataFrame, most: int | None = None) -> DataFr
         new.distinct().join(found, keys, "left_anti").select(*keys).write.option("compression", "zstd").parquet(paths[-1])
 
 
+def reached_by(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(i, node): what is downstream of any other of a group's starts; starts: (i, node), each group followed as one set.
+
+    A node remembers two of the starts that reach it (or the only one), which tells whether one besides itself does,
+    also in cycles. So rows grow with the nodes of a group and not with its pairs.
+    """
+    spark, step, base = edges.sparkSession, _steps(edges), scratch(edges.sparkSession, "reached")
+    heads = starts.select("i", F.col("node").alias("_s")).where("_s is not null").distinct()
+    both = lambda rows: rows.where("seed <> node").groupBy("i", "node").agg(F.min("seed").alias("_a"), F.max("seed").alias("_b"))
+    first = both(heads.join(step, F.col("_s") == F.col("_p")).select("i", F.col("_c").alias("node"), F.col("_s").alias("seed")))
+    told = lambda rows, seeds: rows.select("i", "node", F.explode(F.array_distinct(seeds)).alias("seed"))
+    rows, paths = told(first, F.array("_a", "_b")), [f"{base}/round-0"]
+    schema = rows.schema
+    rows.write.option("compression", "zstd").parquet(paths[0])
+    while True:
+        found = spark.read.schema(schema).parquet(*paths)
+        frontier = spark.read.schema(schema).parquet(paths[-1])
+        if frontier.isEmpty():
+            return found.select("i", "node").distinct()
+        known = found.groupBy("i", "node").agg(F.min("seed").alias("_l"), F.max("seed").alias("_h"))
+        new = both(frontier.join(step, F.col("node") == F.col("_p")).select("i", F.col("_c").alias("node"), "seed")).join(known, ["i", "node"], "left").where("_l is null or _l = _h")
+        more = F.filter(F.array("_a", "_b"), lambda x: F.col("_l").isNull() | (x != F.col("_l")))
+        seeds = F.when(F.col("_l").isNull(), more).otherwise(F.slice(more, 1, 1))  # one is known, one more is enough
+        paths.append(f"{base}/round-{len(paths)}")
+        told(new, seeds).write.option("compression", "zstd").parquet(paths[-1])
+
+
 def downstream(edges: DataFrame, seeds: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(seed, node): all that is reachable from each seed along parent -> child, seeds themselves excluded.
 

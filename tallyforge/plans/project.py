@@ -16,7 +16,7 @@ from tallyforge.plans import catalog
 from tallyforge.plans.derive import dealt
 from tallyforge.plans.registered import ORACLES, QUERIES, query, r4, recursive
 from tallyforge.sources import exports, manifests, settings
-from tallyforge.sources.scratch import scratch
+from tallyforge.sources.scratch import scratch, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -265,7 +265,7 @@ UNION ALL SELECT 'core', CASE WHEN coalesce(sum(savings), 0) / 10 >= 1 OR (SELEC
 UNION ALL SELECT 'two', 'pass', count(*), '' FROM y WHERE owner = '@o2' UNION ALL SELECT 'nobody', 'pass', 0, ''""")
 def _(found, changed, models, edges):
     ch = models.join(changed, "k", "left_semi").select("path", F.col("k").alias("model_id"), F.array().cast("array<string>").alias("tags"), F.when(F.col("k") % 2 == 1, F.array(F.lit("@x"))).otherwise(F.array().cast("array<string>")).alias("owners"))
-    out = enforcement.gates(_enforced(found), ch, lineage.downstream(edges, ch.select("model_id")), FULL_GATES, 0.0, True)
+    out = enforcement.gates(_enforced(found), written(ch, "changed"), None, FULL_GATES, 0.0, True, edges)
     return out.select("gate", "status", "matched", F.concat_ws(",", "reasons").alias("reasons"))
 
 
