@@ -37,6 +37,28 @@ def spread(first: DataFrame, step: DataFrame, most: int | None = None) -> DataFr
         new.distinct().join(found, keys, "left_anti").select(*keys).write.option("compression", "zstd").parquet(paths[-1])
 
 
+def _all_pairs(first: DataFrame) -> DataFrame:
+    """(seed, node) of all that follows from the pairs of single steps `first`, in as many rounds as the longest way has doublings.
+
+    After round k all pairs at most 2^k steps apart are known, with their distance. What lies further, up to twice as far, is a
+    known pair and then one exactly 2^k apart, so a way is cut at one place only and known pairs are read once a round.
+    """
+    spark, base, schema = first.sparkSession, scratch(first.sparkSession, "pairs"), "seed {0}, node {0}, _d int".format(first.schema["seed"].dataType.simpleString())
+    far, paths = 1, [f"{base}/round-0"]
+    first.select("seed", "node", F.lit(1).alias("_d")).write.option("compression", "zstd").parquet(paths[0])
+    while True:
+        found = spark.read.schema(schema).parquet(*paths)
+        last = spark.read.schema(schema).parquet(paths[-1]).where(F.col("_d") == far)
+        if last.isEmpty():
+            return found.select("seed", "node")
+        hops = last.select(F.col("seed").alias("_m"), F.col("node").alias("_n"))
+        new = found.join(hops, F.col("node") == F.col("_m")).select("seed", F.col("_n").alias("node"), (F.col("_d") + far).alias("_d")).where("seed <> node")
+        new = new.groupBy("seed", "node").agg(F.min("_d").alias("_d"))
+        far, path = far * 2, f"{base}/round-{len(paths)}"
+        new.join(found, ["seed", "node"], "left_anti").select("seed", "node", "_d").write.option("compression", "zstd").parquet(path)
+        paths.append(path)
+
+
 def reached_by(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(i, node): what is downstream of any other of a group's starts; starts: (i, node), each group followed as one set.
 
@@ -73,7 +95,7 @@ def downstream(edges: DataFrame, seeds: DataFrame | None = None, most: int | Non
     step = _steps(edges)
     start = step.select(F.col("_p").alias("seed")).distinct() if seeds is None else seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
     first = start.join(step, F.col("seed") == F.col("_p")).select("seed", F.col("_c").alias("node")).where("seed <> node").distinct()
-    return spread(first, step, most)
+    return _all_pairs(first) if seeds is None and most is None else spread(first, step, most)
 
 
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:

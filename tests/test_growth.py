@@ -65,6 +65,23 @@ def test_texts_with_and_without_marks(spark, text, bare, blank, quiet):
     assert tuple(spark.createDataFrame([(text,)], "t string").select(st.without_comments(t), tx.blanked(t), tx.blanked(t, False)).first()) == (bare, blank, quiet)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_pairs_of_graphs_with_cycles(spark, seed):
+    edges = _graph(seed)
+    got = {}
+    for r in lineage.downstream(spark.createDataFrame(edges, "parent long, child long")).collect():
+        assert r.node not in got.setdefault(r.seed, set())  # each pair once
+        got[r.seed].add(r.node)
+    assert got == {s: n for s, n in _below(edges).items() if n}
+
+
+def test_a_long_way_takes_few_rounds(spark, monkeypatch):
+    kept, scratch = [], lineage.scratch
+    monkeypatch.setattr(lineage, "scratch", lambda s, n: kept.append(scratch(s, n)) or kept[-1])
+    assert lineage.downstream(spark.createDataFrame([(k, k + 1) for k in range(100)], "parent long, child long")).count() == 5050
+    assert len(os.listdir(kept[-1])) <= 9
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_groups_are_followed_as_one_set(spark, monkeypatch, seed):
     edges, r = _graph(seed), random.Random(seed)
