@@ -4,7 +4,8 @@ A document's histograms of character classes and of common words are compared wi
 documents by the Jensen-Shannon distance; documents that are long enough for a comparison and too far away are rejected,
 as are those that fail the base rules. What is common, what is usual and what is too far is learned for each language
 from all its documents. The first pass measures texts and counts, the second one compares words; what is shuffled is a
-row for each different word of a task, and a few numbers for each language.
+row for each different word of a task, and a few numbers for each language. Each word of a text gets one or two small
+functions; what needs several words is left to functions of whole arrays.
 """
 
 from __future__ import annotations
@@ -27,15 +28,24 @@ LEAST_CHARS, LEAST_JUDGED_WORDS = 200, 100
 FENCE, LEAST_CLASS_BOUND, LEAST_WORD_BOUND = 1.5, 0.28, 0.30
 #: Decimals of the distances, which bounds the different values that quartiles are taken over.
 DECIMALS = 4
+#: Slots that hashes of words fall into, to look common words up.
+SLOTS = 256
+#: How many bits of a hash give way to the place of its window, and those bits.
+LOW_BITS = 31
+LOW = (1 << LOW_BITS) - 1
 #: Fixed classes of characters; what is left is a class of its own.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{N}", "blank": r"[\x20\x09-\x0D]", "stop": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>@=+_/\\^~{}\[\]]"}
 _BINS = [*CLASSES, "rest"]
+#: The columns of a language's reference.
+REFERENCE = ("classes", "words", "shares", "slots")
 
 
 def words_of(text: Column) -> Column:
     """The words of a text in order; empty without any."""
-    bare = F.btrim(text, F.lit(BLANKS))
-    return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    spaced = text
+    for blank in BLANKS[1:]:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")  # a single character is split without a regular expression
 
 
 def _tokens(text: Column) -> Column:
@@ -48,11 +58,30 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words that lie in a window of three words which occurs twice or more; sorts the windows' hashes with their places."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
-    placed = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _covered))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(hashes, placed))
+def _from(values: Column, k: int) -> Column:
+    """The values from the k-th one on."""
+    return F.slice(values, k, F.size(values))
+
+
+def _windows(hashes: Column) -> Column:
+    """A hash of each three words that follow each other, from the hashes of single words."""
+    pairs = F.zip_with(hashes, _from(hashes, 2), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(hashes) > 2, F.slice(F.zip_with(pairs, _from(hashes, 3), lambda a, b: F.xxhash64(a, b)), 1, F.size(hashes) - 2)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _placed(windows: Column) -> Column:
+    """The leading bits of each window with its place below them, in order: equal windows are neighbours. Null if all differ."""
+    leading = F.transform(windows, lambda h, i: h.bitwiseAND(~LOW).bitwiseOR(i.cast("long")))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(leading))
+
+
+def _repeated_words(windows: Column, placed: Column) -> Column:
+    """Words that lie in a window of three words which occurs twice or more."""
+    alike = F.zip_with(placed, _from(placed, 2), lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), LOW_BITS) == 0, F.array(a, b)))
+    places = F.array_distinct(F.flatten(F.array_compact(alike)))
+    # what is alike in the leading bits is compared as a whole
+    whole = F.transform(F.transform(places, lambda x: x.bitwiseAND(LOW).cast("int")), lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("i")))
+    return F.when(placed.isNull(), F.lit(0)).otherwise(_let(F.sort_array(whole), _covered)).cast("long")
 
 
 def _covered(ordered: Column) -> Column:
@@ -63,36 +92,33 @@ def _covered(ordered: Column) -> Column:
     return F.aggregate(places, start, lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")), lambda s: s["n"])
 
 
-def base_measures(text: Column) -> Column:
-    """A struct of the base measures of a text that is not null."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-
-    def measures(words: Column) -> Column:
-        return _let(
-            _repeated_words(words).cast("long"),
-            lambda repeated: F.struct(
-                F.size(words).cast("long").alias("n_words"),
-                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-                (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-                _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-                repeated.alias("n_repeat_words"),
-                ((F.size(words) < LEAST_WORDS) | (100 * repeated > REPEAT_PERCENT * F.size(words))).alias("base_failed"),
-            ),
-        )
-
-    return _let(words_of(text), measures)
+def _without(text: Column, name: str) -> Column:
+    return F.regexp_replace(text, f"{CLASSES[name]}+", "")
 
 
-def _class_counts(text: Column) -> Column:
-    """How many characters of each class a text has, and of the rest; most texts are short once their small letters are out."""
-    first, *others = CLASSES.values()
-    without = lambda t, p: F.regexp_replace(t, f"(?:{p})+", "")
+def _measures(docs: DataFrame) -> DataFrame:
+    """`_row` with all columns of docs (of any name), `_base` with the base measures of each text and `_classes`: how many
+    characters of each class it has, and of the rest.
 
-    def counts(left: Column) -> Column:
-        held = [F.length(text) - F.length(left), *[F.length(left) - F.length(without(left, p)) for p in others]]
-        return _let(F.array(*held), lambda h: F.concat(h, F.array(F.length(text) - F.aggregate(h, F.lit(0), lambda x, y: x + y))))
-
-    return _let(without(text, first), counts).cast("array<long>")
+    What is used twice is a column of its own; most texts are short once their small letters and blanks are out.
+    """
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row")).select("_row", words_of(text).alias("_words"), _without(text, "lower").alias("_large"))
+    rows = rows.select("_row", F.size("_words").alias("_n"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"), "_large", _without(F.col("_large"), "blank").alias("_marks"))
+    rows = rows.select("_row", "_n", _windows(F.col("_hashes")).alias("_windows"), "_large", "_marks")
+    rows = rows.select("_row", "_n", "_windows", _placed(F.col("_windows")).alias("_placed"), "_large", "_marks")
+    n = {k: F.length("_marks") - F.length(_without(F.col("_marks"), k)) for k in CLASSES} | {"lower": F.length(text) - F.length("_large"), "blank": F.length("_large") - F.length("_marks")}
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+    rows = rows.select(
+        "_row", "_n", _repeated_words(F.col("_windows"), F.col("_placed")).alias("_repeated"), F.array(*[n[k] for k in CLASSES]).alias("_known"), F.length(text).alias("_size"),
+        (F.length("_marks") - F.length(F.regexp_replace("_marks", r"[#*$%&|<>]+", ""))).alias("_symbols"), _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_lines"),
+    )
+    known = [F.get("_known", F.lit(k)) for k in range(len(CLASSES))]
+    base = F.struct(
+        F.col("_n").cast("long").alias("n_words"), (F.col("_size") - known[list(CLASSES).index("blank")]).cast("long").alias("word_chars"), F.col("_symbols").cast("long").alias("n_symbols"),
+        F.col("_lines").cast("long").alias("n_dup_lines"), F.col("_repeated").alias("n_repeat_words"), ((F.col("_n") < LEAST_WORDS) | (100 * F.col("_repeated") > REPEAT_PERCENT * F.col("_n"))).alias("base_failed"),
+    )
+    return rows.select("_row", base.alias("_base"), F.array(*known, F.col("_size") - sum(known)).cast("array<long>").alias("_classes"))
 
 
 def _share(counts: Column) -> Column:
@@ -100,16 +126,16 @@ def _share(counts: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """`_row` with all columns of docs (of any name), `_base` and `_classes` of each text; written, so texts are measured once."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    return written(docs.select(F.struct("*").alias("_row"), base_measures(text).alias("_base"), _class_counts(text).alias("_classes")), "measured")
+    """_measures, written, so texts are measured once."""
+    return written(_measures(docs), "measured")
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """(lang, classes array<double>, words array<string>, shares array<double>): each language's distributions over all
-    its documents, and a row with a null lang for all documents together.
+    """(lang, classes array<double>, words array<string>, shares array<double>, slots array<int>): each language's
+    distributions over all its documents, and a row with a null lang for all documents together.
 
-    words are the COMMON_WORDS commonest words (ties by the word), shares their parts of all words and that of the rest.
+    words are the COMMON_WORDS commonest words (ties by the word), shares their parts of all words and that of the rest,
+    slots where to look the words up.
     """
     lang, sums = F.col("_row.lang"), [F.sum(F.get("_classes", F.lit(k))).cast("double").alias(f"c{k}") for k in range(len(_BINS))]
     by_lang = written(measured.groupBy(lang.alias("lang")).agg(*sums), "classes")  # a row for each language
@@ -124,7 +150,8 @@ def references(measured: DataFrame) -> DataFrame:
     bins = top.join(total, top["lang"].eqNullSafe(total["lang"])).select(top["lang"], F.col("top.w").alias("words"), F.transform("top.n", lambda n: n / F.col("total")).alias("own"))
     common = bins.select("lang", "words", F.concat("own", F.array(F.greatest(F.lit(0.0), 1 - F.aggregate("own", F.lit(0.0), lambda a, b: a + b)))).alias("shares"))
     both = classes.join(common, classes["lang"].eqNullSafe(common["lang"]), "left")
-    return written(both.select(classes["lang"], "classes", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("shares", F.array(F.lit(1.0))).alias("shares")), "references")
+    both = both.select(classes["lang"], "classes", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("shares", F.array(F.lit(1.0))).alias("shares"))
+    return written(both.withColumn("slots", _slots(F.col("words"))), "references")
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -142,26 +169,43 @@ def class_distance(counts: Column, reference: Column) -> Column:
     return _distance(F.aggregate(F.zip_with(_share(counts.cast("array<double>")), reference, _half), F.lit(0.0), lambda a, b: a + b))
 
 
-def word_distance(text: Column, words: Column, shares: Column) -> Column:
-    """Distance of a text's common words; null for a text with too few words to tell."""
+def _slot(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(SLOTS - 1)
+
+
+def _slots(words: Column) -> Column:
+    """For each slot 0 if none of the words falls into it, the word's place from 1 if one does, and -1 if several do."""
+    taken = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: _of_slot(F.array_position(slots, s).cast("int"), F.size(F.filter(slots, lambda x: x == s))))
+    return _let(F.transform(words, _slot), taken)
+
+
+def _of_slot(place: Column, n: Column) -> Column:
+    return F.when(n > 1, F.lit(-1)).otherwise(place)
+
+
+def word_hits(tokens: Column, words: Column, slots: Column) -> Column:
+    """The places, from 1 and the last first, of those tokens that are among the words; slots are the words' _slots."""
+
+    def place(token: Column, slot: Column) -> Column:
+        return F.when(slot == 0, F.lit(0)).when(slot < 0, F.array_position(words, token).cast("int")).when(F.get(words, slot - 1) == token, slot).otherwise(F.lit(0))
 
-    def of_tokens(tokens: Column) -> Column:
-        hits = F.sort_array(F.filter(F.transform(tokens, lambda w: F.array_position(words, w).cast("int")), lambda k: k > 0))
-        return F.when(F.size(tokens) >= LEAST_JUDGED_WORDS, _let(hits, lambda h: _distance(of_hits(h, F.size(tokens).cast("double")))))
+    slot_of = F.transform(tokens, lambda w: F.get(slots, _slot(w)))
+    return F.sort_array(F.array_remove(F.zip_with(tokens, slot_of, place), 0), asc=False)
 
-    def of_hits(hits: Column, n: Column) -> Column:
-        ends = F.filter(F.transform(hits, lambda x, i: F.when(i == F.size(hits) - 1, i).when(F.get(hits, i + 1) != x, i)), lambda i: i.isNotNull())
-        start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"), F.lit(-1).alias("last"))
 
-        def step(s: Column, e: Column) -> Column:
-            q = F.get(shares, F.get(hits, e) - 1)
-            return F.struct((s["d"] + _half((e - s["last"]) / n, q)).alias("d"), (s["q"] + q).alias("q"), e.alias("last"))
+def word_distance(hits: Column, n_tokens: Column, shares: Column) -> Column:
+    """Distance of a text's common words, given as word_hits; null for a text with too few words to tell."""
+    n, start = n_tokens.cast("double"), F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"), F.lit(-1).alias("last"))
+    # in the places' order, each bin with the end of its hits
+    ends = F.transform(F.reverse(F.array_distinct(hits)), lambda k: F.struct(F.get(shares, k - 1).alias("q"), (F.size(hits) - F.array_position(hits, k)).cast("int").alias("end")))
 
-        other, q_other = (n - F.size(hits)) / n, F.get(shares, F.size(shares) - 1)
-        # bins that the text lacks add q / 2 each: all of q, less that of the bins it has
-        return F.aggregate(ends, start, step, lambda s: s["d"] + (1 - q_other - s["q"]) / 2 + _half(other, q_other))
+    def step(s: Column, e: Column) -> Column:
+        return F.struct((s["d"] + _half((e["end"] - s["last"]) / n, e["q"])).alias("d"), (s["q"] + e["q"]).alias("q"), e["end"].alias("last"))
 
-    return _let(F.filter(_tokens(text), lambda w: w != ""), of_tokens)
+    other, q_other = (n - F.size(hits)) / n, F.get(shares, F.size(shares) - 1)
+    # bins that the text lacks add q / 2 each: all of q, less that of the bins it has
+    parts = F.aggregate(ends, start, step, lambda s: s["d"] + (1 - q_other - s["q"]) / 2 + _half(other, q_other))
+    return F.when(n_tokens >= LEAST_JUDGED_WORDS, _distance(parts))
 
 
 def _fence(distance: str, least: float) -> Column:
@@ -178,16 +222,20 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     measured = _measured(docs)
     refs = references(measured)
-    known = refs.where("lang is not null").select(F.col("lang").alias("_lang"), *[F.col(c).alias(f"_{c}_of") for c in ("classes", "words", "shares")])
-    whole = refs.where("lang is null").select(*[F.col(c).alias(f"_{c}_all") for c in ("classes", "words", "shares")])
+    known = refs.where("lang is not null").select(F.col("lang").alias("_lang"), *[F.col(c).alias(f"_{c}_of") for c in REFERENCE])
+    whole = refs.where("lang is null").select(*[F.col(c).alias(f"_{c}_all") for c in REFERENCE])
     rows = measured.join(known, F.col("_row.lang") == F.col("_lang"), "left").join(F.broadcast(whole), F.lit(True), "left")  # `whole` is one row
     of = lambda c: F.coalesce(f"_{c}_of", f"_{c}_all")
-    text = F.coalesce("_row.text", F.lit(""))
+    text, asked = F.coalesce("_row.text", F.lit("")), ~F.col("_base.base_failed")
+    tokens = F.when(asked, F.array_remove(_tokens(text), "")).otherwise(F.array().cast("array<string>"))
     rows = rows.select(
         F.struct(*[F.col(f"_row.`{c}`") for c in keep]).alias("_row") if keep else "_row", "_base", F.col("_row.lang").alias("_lang"),
-        F.when(~F.col("_base.base_failed") & (F.length(text) >= LEAST_CHARS), class_distance(F.col("_classes"), of("classes"))).alias("_class_distance"),
-        F.when(~F.col("_base.base_failed"), word_distance(text, of("words"), of("shares"))).alias("_word_distance"),
+        F.when(asked & (F.length(text) >= LEAST_CHARS), class_distance(F.col("_classes"), of("classes"))).alias("_class_distance"),
+        tokens.alias("_tokens"), *[of(c).alias(f"_{c}") for c in ("words", "shares", "slots")],
     )
+    hits = F.when(F.size("_tokens") >= LEAST_JUDGED_WORDS, word_hits(F.col("_tokens"), F.col("_words"), F.col("_slots")))
+    rows = rows.select("_row", "_base", "_lang", "_class_distance", F.size("_tokens").alias("_n"), hits.alias("_hits"), "_shares")
+    rows = rows.select("_row", "_base", "_lang", "_class_distance", word_distance(F.col("_hits"), F.col("_n"), F.col("_shares")).alias("_word_distance"))
     if keep:
         rows = basis = written(rows, "distances")
     else:  # whole rows are not written twice: their distances are computed again below

@@ -474,6 +474,25 @@ def test_base_measures_match_brute_force(spark):
         assert not (failed and r.kept)
 
 
+@pytest.mark.parametrize("slots", [1, 4, 256])
+def test_common_words_are_looked_up_by_their_hash(spark, monkeypatch, slots):
+    monkeypatch.setattr(quality, "SLOTS", slots)
+    rng = random.Random(slots)
+    words = vocabulary(1, 32)
+    texts = [[rng.choice([*words, *vocabulary(2, 60)]) for _ in range(n)] for n in (0, 1, 7, 300)]
+    rows = spark.createDataFrame([(t, words) for t in texts], "t array<string>, w array<string>").withColumn("s", quality._slots(F.col("w")))
+    got = [list(r[0]) for r in rows.select(quality.word_hits(F.col("t"), F.col("w"), F.col("s"))).collect()]
+    assert got == [sorted((words.index(x) + 1 for x in t if x in words), reverse=True) for t in texts]
+
+
+def test_windows_that_are_alike_in_their_leading_bits_alone_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LOW_BITS", 62)
+    monkeypatch.setattr(quality, "LOW", (1 << 62) - 1)  # four kinds of leading bits: nearly every window has neighbours
+    monkeypatch.setattr(quality, "_placed", lambda w: F.sort_array(F.transform(w, lambda h, i: h.bitwiseAND(~quality.LOW).bitwiseOR(i.cast("long")))))
+    rows = {r.doc_id: r.n_repeat_words for r in quality.rules(frame(spark, [" ".join(f"w{i}" for i in range(90)), "a b c " + " ".join(f"w{i}" for i in range(90)) + " a b c", "a b c a b c"])).collect()}
+    assert rows == {0: 0, 1: 6, 2: 6}
+
+
 def test_far_documents_are_rejected(spark):
     rng = random.Random(5)
     common, rare = vocabulary(4, 20), vocabulary(3, 400)
